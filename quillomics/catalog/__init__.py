@@ -12,7 +12,7 @@ from ..sources import views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("perturbation", "pharmacology", "expression", "records")
+MODULES = ("perturbation", "pharmacology", "expression", "records", "analytics", "aggregates", "joins")
 
 
 def query(name: str, oracle: str | None = None):
