@@ -12,7 +12,10 @@ from ..sources import views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("perturbation", "pharmacology", "expression", "records", "analytics", "aggregates", "joins")
+MODULES = (
+    "perturbation", "pharmacology", "expression", "records", "analytics", "aggregates", "joins", "normalizers",
+    "tables", "streams",
+)
 
 
 def query(name: str, oracle: str | None = None):

@@ -19,6 +19,10 @@ def keep_first(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return R.first_per_key(df, keys, *order)
 
 
+def keep_first_n(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFrame:
+    return R.top_n_per_group(df, keys, n, *order)
+
+
 def representative(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], *order: str) -> DataFrame:
     """Distinct keys with the attributes of their first row; combined map-side, nothing is sorted."""
     first = F.min(F.struct(*order, *attributes)).alias("_first")
