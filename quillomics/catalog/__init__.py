@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "perturbation", "pharmacology", "expression", "records", "analytics", "aggregates", "joins", "normalizers",
-    "tables", "streams",
+    "tables", "streams", "spot_checks",
 )
 
 

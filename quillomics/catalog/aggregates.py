@@ -46,10 +46,9 @@ SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median_pri
 def _(t):
     from ..functions import stats
 
-    items = t("lineitem")
-    medians = stats.exact_median(items, ["l_returnflag"], "l_extendedprice", "median_price")
-    spread = items.groupBy("l_returnflag").agg(F.round(F.stddev_samp("l_extendedprice"), 2).alias("std_price"))
-    return medians.withColumn("median_price", F.round("median_price", 4)).join(spread, "l_returnflag")
+    spread = F.round(F.stddev_samp("l_extendedprice"), 2).alias("std_price")
+    out = stats.exact_median(t("lineitem"), ["l_returnflag"], "l_extendedprice", "median_price", spread)
+    return out.withColumn("median_price", F.round("median_price", 4))
 
 
 @query("g06_keep_first_gene", """
@@ -126,12 +125,14 @@ def _(t):
 
 
 @query("g15_mean_pivot", """
-SELECT compound, coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#1'), 0) AS "Brand#1",
-       coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#2'), 0) AS "Brand#2",
-       coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#3'), 0) AS "Brand#3"
+SELECT compound, round(coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#1'), 0), 6) AS "Brand#1",
+       round(coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#2'), 0), 6) AS "Brand#2",
+       round(coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#3'), 0), 6) AS "Brand#3"
 FROM v_signatures GROUP BY compound""")
 def _(t):
-    return op.mean_pivot(t("v_signatures"), "compound", "gene_symbol", "zscore", ["Brand#1", "Brand#2", "Brand#3"])
+    genes = ["Brand#1", "Brand#2", "Brand#3"]
+    wide = op.mean_pivot(t("v_signatures"), "compound", "gene_symbol", "zscore", genes)
+    return wide.select("compound", *[F.round(F.col(f"`{g}`"), 6).alias(g) for g in genes])
 
 
 @query("g15_mean_matrix", """

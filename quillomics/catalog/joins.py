@@ -71,10 +71,10 @@ def _(t):
 
 @query("j08_not_loaded", """
 SELECT DISTINCT screen_name FROM v_screens
-WHERE screen_name NOT IN (SELECT screen_name FROM v_screens WHERE genotype = 'PSAP KO' AND hit_class = 'none' AND pvalue > 0.9E0)""")
+WHERE screen_name NOT IN (SELECT screen_name FROM v_screens WHERE phenotype_name IN ('5-LOW', '1-URGENT'))""")
 def _(t):
     screens = t("v_screens")
-    loaded = screens.filter("genotype = 'PSAP KO' AND hit_class = 'none' AND pvalue > 0.9E0")
+    loaded = screens.filter("phenotype_name IN ('5-LOW', '1-URGENT')")
     return op.not_loaded(screens, loaded, "screen_name").select("screen_name").distinct()
 
 
@@ -104,14 +104,14 @@ def candidates(t):
         F.col("p_brand").alias("query"),
         F.col("p_partkey").alias("rank"),
         F.concat(F.lit("ID"), F.col("p_partkey").cast("string")).alias("candidate_id"),
-        F.when(F.col("p_size") == 7, F.lower("p_brand")).otherwise(F.col("p_name")).alias("name"),
+        F.when(F.expr("p_size % 5 = 2 AND p_brand <= 'Brand#18'"), F.lower("p_brand")).otherwise(F.col("p_name")).alias("name"),
         F.when(F.col("p_type") == "ECONOMY", "target").otherwise("disease").alias("entity"),
     )
 
 
 CANDIDATE_SQL = """
 WITH c AS (SELECT p_brand AS query, p_partkey AS rank, 'ID' || CAST(p_partkey AS VARCHAR) AS candidate_id,
-  CASE WHEN p_size = 7 THEN lower(p_brand) ELSE p_name END AS name,
+  CASE WHEN p_size % 5 = 2 AND p_brand <= 'Brand#18' THEN lower(p_brand) ELSE p_name END AS name,
   CASE WHEN p_type = 'ECONOMY' THEN 'target' ELSE 'disease' END AS entity FROM part)
 """
 

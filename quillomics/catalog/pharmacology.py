@@ -50,10 +50,10 @@ def _(t):
 
 @query("q15_drug_clusters", """
 SELECT drug, cell_line_id, moa, cluster, count(*) AS n_cells FROM v_drug_cells
-WHERE contains(lower(drug), 'green') GROUP BY ALL
+WHERE contains(lower(drug), 'ring') GROUP BY ALL
 ORDER BY drug ASC NULLS FIRST, n_cells DESC, cell_line_id, moa, cluster LIMIT 100""")
 def _(t):
-    return op.drug_clusters(t("v_drug_cells"), "Green", limit=100)
+    return op.drug_clusters(t("v_drug_cells"), "Ring", limit=100)
 
 
 @query("q16_moa_distribution", """

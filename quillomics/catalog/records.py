@@ -279,10 +279,10 @@ SEARCHED = "(" + " OR ".join(f"contains(lower({c}), 'disease 2')" for c in op.SE
 
 @query("q32_search_source", f"""
 SELECT record_id, gene_symbol, disease, drug, title, summary, {SCORE} AS score, source_updated_at FROM v_sources
-WHERE source_key = 'opentargets' AND {SEARCHED} AND contains(lower(drug), 'drug 1')
+WHERE source_key = 'opentargets' AND {SEARCHED.replace('disease 2', 'disease 1')} AND contains(lower(drug), 'drug 1')
 ORDER BY source_updated_at DESC NULLS LAST, 1, 2, 3, 4, 5, 6 LIMIT 20""")
 def _(t):
-    found = op.search(t("v_sources"), "opentargets", "Disease 2", drug="Drug 1", title="not searchable")
+    found = op.search(t("v_sources"), "opentargets", "Disease 1", drug="Drug 1", title="not searchable")
     return found.withColumn("score", op.score()).drop("payload")
 
 

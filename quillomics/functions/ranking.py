@@ -28,21 +28,36 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order, *tie_break(df)).limit(k)
 
 
+# Intermediate merge points per group; bounds what any one task ranks.
+SPREAD = 32
+
+
+def _ranked(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[Column], rank: str) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+
+
 def top_n_per_group(
     df: DataFrame,
     keys: Sequence[str],
     n: int,
     *order: Column,
     rank_as: str | None = None,
+    spread: int = SPREAD,
 ) -> DataFrame:
     """Top n rows of each group.
 
     The rank filter sits directly on the window, so every map task keeps at most
-    n rows per group before the shuffle and a hot group stays small.
+    n rows per group before the shuffle. Those rows still add up for a group that
+    occurs in every task of a very large scan, so they are merged in two steps:
+    first within ``spread`` shares of the input tasks, then per group.
     """
     rank = rank_as or "_rank"
-    window = Window.partitionBy(*keys).orderBy(*order, *tie_break(df))
-    ranked = df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+    order = [*order, *tie_break(df)]
+    if n > 1 and spread > 1:
+        shared = df.withColumn("_share", F.spark_partition_id() % spread)
+        df = _ranked(shared, [*keys, "_share"], n, order, "_rank").drop("_share", "_rank")
+    ranked = _ranked(df, keys, n, order, rank)
     return ranked if rank_as else ranked.drop(rank)
 
 

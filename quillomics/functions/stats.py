@@ -10,47 +10,45 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 10_000
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    """Exact (interpolated) median of ``value`` per group, one row per group.
-
-    A mergeable quantile sketch first brackets the middle of each group. Only the
-    rows inside the bracket, a few per ten thousand, are then ranked; the rest are
-    counted. Equal values are merged beforehand, so ties cannot widen a bracket.
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, out: str = "median", *measures: Column
+) -> DataFrame:
+    """Exact (interpolated) median of ``value`` per group, with further aggregates of the same rows.
+
+    A mergeable quantile sketch, taken in the same pass as the other measures,
+    brackets the middle of each group. Only the rows inside the bracket, a few
+    per ten thousand, are then ranked; the rest are counted. Equal values are
+    merged beforehand, so ties cannot widen a bracket.
     """
     keys = list(keys)
     margin = 4.0 / SKETCH_ACCURACY
-    present = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counted = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    sketch = (
-        present.groupBy(*keys)
-        .agg(
-            F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], SKETCH_ACCURACY).alias("_b"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-        .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            F.col("_b")[0].alias("_lo"),
-            F.col("_b")[1].alias("_hi"),
-            "_n",
-        )
+    number = F.col(value).cast("double")
+    stats = df.groupBy(*keys).agg(
+        *measures,
+        F.percentile_approx(number, [0.5 - margin, 0.5 + margin], SKETCH_ACCURACY).alias("_b"),
+        F.count(number).alias("_n"),
     )
-    same_group = [counted[k].eqNullSafe(sketch[f"_k{i}"]) for i, k in enumerate(keys)]
-    placed = counted.join(sketch, same_group).drop(*[f"_k{i}" for i in range(len(keys))])
-    # Everything under the bracket collapses to one row per group; its count offsets the ranks inside.
-    below = F.col("_v") < F.col("_lo")
-    kept = (
-        placed.filter(F.col("_v") <= F.col("_hi"))
-        .groupBy(*keys, "_n", F.when(~below, F.col("_v")).alias("_v"))
-        .agg(F.sum("_c").alias("_c"))
+    renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    brackets = stats.select(*renamed, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), "_n")
+    counted = (
+        df.select(*keys, number.alias("_v"))
+        .filter(F.col("_v").isNotNull())
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
+    placed = counted.join(brackets, [counted[k].eqNullSafe(brackets[f"_k{i}"]) for i, k in enumerate(keys)])
+    # Everything under the bracket collapses to one row per group; its count offsets the ranks inside.
+    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
+    kept = placed.filter(F.col("_v") <= F.col("_hi")).groupBy(*keys, "_n", inside.alias("_v")).agg(F.sum("_c").alias("_c"))
     running = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
     ranked = kept.withColumn(
         "_last", F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ).withColumn("_first", F.col("_last") - F.col("_c"))
-    low = F.floor((F.col("_n") - 1) / 2)
-    high = F.floor(F.col("_n") / 2)
 
     def at(position):
         return F.max(F.when((F.col("_first") <= position) & (position < F.col("_last")), F.col("_v")))
 
-    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(out))
+    middle = (at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2
+    medians = ranked.groupBy(*renamed).agg(middle.alias(out))
+    same = [stats[k].eqNullSafe(medians[f"_k{i}"]) for i, k in enumerate(keys)]
+    return stats.join(medians, same, "left").drop("_b", "_n", *[f"_k{i}" for i in range(len(keys))])

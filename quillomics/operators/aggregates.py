@@ -50,20 +50,32 @@ def of_top_keys(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     return df.join(top_keys(df, key, value, n).select(key), key, "left_semi")
 
 
+def _cells(df: DataFrame, column: str, entry: Column, keys: Column, wanted: str) -> DataFrame:
+    """One row per (column, wanted key): the key list is a small array, so the grid needs no cross join.
+
+    ``entry`` is a (key, value) struct; each column value gathers only the listed keys.
+    """
+    listed = df.withColumn("_keys", keys)
+    chosen = F.when(F.array_contains("_keys", F.col(wanted)), entry)
+    rows = listed.groupBy(column).agg(
+        F.any_value("_keys").alias("_keys"), F.map_from_entries(F.collect_list(chosen)).alias("_m")
+    )
+    return rows.select(column, "_m", F.posexplode("_keys").alias("_position", wanted))
+
+
 def mean_matrix(df: DataFrame, row: str, column: str, value: str, n: int) -> DataFrame:
     """Mean of every (top row key, column) cell in long form, 0 where a cell is empty.
 
-    The n top row keys travel as one small array; each column value expands to
-    exactly n cells, so the grid is never built by a cross join.
+    The raw rows are read and shuffled once; ranking the keys and filling the
+    grid work on the aggregated cells.
     """
-    tops = top_keys(df, row, value, n)
-    means = (
-        df.join(tops.select(row), row, "left_semi").groupBy(row, column).agg(F.avg(value).alias("mean_value"))
-    )
+    cells = df.groupBy(row, column).agg(F.avg(value).alias("_mean"), F.max(F.abs(value)).alias("_peak"))
+    peaks = cells.groupBy(row).agg(F.max("_peak").alias("_peak"))
+    tops = R.top_k(peaks, n, F.col("_peak").desc_nulls_last())
     keys = tops.agg(F.array_sort(F.collect_list(row))).scalar()
-    columns = means.select(column).distinct().withColumn("_rows", keys)
-    grid = columns.select(column, F.explode("_rows").alias(row))
-    return grid.join(means, [row, column], "left").withColumn("mean_value", F.coalesce("mean_value", F.lit(0.0)))
+    listed = cells.withColumn("_keys", keys).filter(F.array_contains("_keys", F.col(row))).drop("_keys")
+    grid = _cells(listed, column, F.struct(row, "_mean"), keys, row)
+    return grid.select(row, column, F.coalesce(F.col("_m")[F.col(row)], F.lit(0.0)).alias("mean_value"))
 
 
 def mean_pivot(df: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:
@@ -74,11 +86,8 @@ def mean_pivot(df: DataFrame, row: str, column: str, value: str, columns: Sequen
 def entity_matrix(df: DataFrame, entity: str, key: str, value: str, first_entity: str) -> DataFrame:
     """Value of every entity on the keys of one entity, 0 where missing."""
     keys = df.filter(F.col(entity) == first_entity).agg(F.array_sort(F.collect_set(key))).scalar()
-    grid = df.select(entity).distinct().withColumn("_keys", keys)
-    cells = grid.select(entity, F.explode("_keys").alias(key))
-    return cells.join(df.select(entity, key, value), [entity, key], "left").withColumn(
-        value, F.coalesce(value, F.lit(0.0))
-    )
+    grid = _cells(df.select(entity, key, value), entity, F.struct(key, value), keys, key)
+    return grid.select(entity, key, F.coalesce(F.col("_m")[F.col(key)], F.lit(0.0)).alias(value))
 
 
 def first_match_matrix(df: DataFrame, row: str, column: str, value: str, n_rows: int = 12) -> DataFrame:
@@ -86,18 +95,17 @@ def first_match_matrix(df: DataFrame, row: str, column: str, value: str, n_rows:
 
     Leading rows are the first distinct ones when the table is read by value.
     """
-    scored = df.filter(F.col(row).isNotNull() & (F.col(row) != ""))
-    cells = scored.groupBy(row, column).agg(F.max(value).alias("_v"))
-    leading = cells.groupBy(row).agg(F.max("_v").alias("_lead"))
+    cells = df.groupBy(row, column).agg(F.max(value).alias("_v"))
+    leading = cells.filter(F.col(row) != "").groupBy(row).agg(F.max("_v").alias("_lead"))
     top = R.top_k(leading, n_rows, F.col("_lead").desc_nulls_last())
-    # Rank by the same order; n_rows is a dozen, so the array stays tiny.
-    ordered = F.array_sort(F.collect_list(F.struct((-F.coalesce("_lead", F.lit(0.0))).alias("o"), F.col(row).alias("r"))))
+    ordered = F.array_sort(
+        F.collect_list(F.struct((-F.coalesce("_lead", F.lit(0.0))).alias("o"), F.col(row).alias("r")))
+    )
     rows = top.agg(F.transform(ordered, lambda s: s["r"])).scalar()
-    grid = df.select(column).distinct().withColumn("_rows", rows)
-    grid = grid.select(column, F.posexplode("_rows").alias("row_rank", row))
-    joined = grid.join(cells, [row, column], "left")
-    return joined.select(
-        row, column, (F.col("row_rank") + 1).alias("row_rank"), F.coalesce("_v", F.lit(0.0)).alias(value)
+    grid = _cells(cells, column, F.struct(row, "_v"), rows, row)
+    return grid.select(
+        row, column, (F.col("_position") + 1).alias("row_rank"),
+        F.coalesce(F.col("_m")[F.col(row)], F.lit(0.0)).alias(value),
     )
 
 

@@ -44,13 +44,9 @@ def expression_summary(
     if approximate:
         median = F.round(F.percentile_approx("tpm", 0.5), 4).alias("median_tpm")
         return rows.groupBy(*EXPRESSION_KEYS).agg(*measures, median)
-    summary = rows.groupBy(*EXPRESSION_KEYS).agg(*measures)
-    medians = stats.exact_median(rows, EXPRESSION_KEYS, "tpm", "median_tpm").select(
-        *[F.col(k).alias(f"_{k}") for k in EXPRESSION_KEYS], F.round("median_tpm", 4).alias("median_tpm")
-    )
-    same = [summary[k].eqNullSafe(medians[f"_{k}"]) for k in EXPRESSION_KEYS]
-    return summary.join(medians, same, "left").select(
-        *EXPRESSION_KEYS, "n_samples", "mean_tpm", "median_tpm", "std_tpm"
+    summary = stats.exact_median(rows, EXPRESSION_KEYS, "tpm", "median_tpm", *measures)
+    return summary.select(
+        *EXPRESSION_KEYS, "n_samples", "mean_tpm", F.round("median_tpm", 4).alias("median_tpm"), "std_tpm"
     )
 
 

@@ -49,21 +49,23 @@ def _section_of() -> Column:
     return chain
 
 
-def section_rows(records: DataFrame) -> DataFrame:
-    """Every kept record of every gene with its section and rank.
-
-    All sections are ranked by one window over (gene, section), so six queries
-    per gene become one shuffle for all genes. Pathways have no cap and are not
-    ranked at all, so nothing unbounded is gathered in one task.
-    """
-    tagged = records.select(
+def _tagged(records: DataFrame) -> DataFrame:
+    return records.select(
         Q.gene_key(records).alias("gene"),
         _section_of().alias("section"),
         "record_id", "title", "disease", "summary",
         Q.score().alias("_score"),
         Q.V.field("gold_stars", "int").alias("_stars"),
     ).filter(F.col("section").isNotNull() & F.col("gene").isNotNull())
-    capped = tagged.filter(F.col("section") != "pathways")
+
+
+def capped_rows(records: DataFrame) -> DataFrame:
+    """The best records of every capped section of every gene.
+
+    One window over (gene, section) ranks all sections, so six queries per gene
+    become one job for all genes.
+    """
+    capped = _tagged(records).filter(F.col("section") != "pathways")
     lead = F.when(F.col("section") == "associations", F.col("_score")).when(
         F.col("section") == "variants", F.col("_stars").cast("double")
     )
@@ -72,9 +74,13 @@ def section_rows(records: DataFrame) -> DataFrame:
         keep = F.when(F.col("section") == s.name, F.lit(s.keep)).otherwise(keep)
     largest = max(s.keep for s in sections() if s.name != "pathways")
     ranked = R.top_n_per_group(capped, ["gene", "section"], largest, lead.desc_nulls_last(), rank_as="rank")
-    limited = ranked.filter(F.col("rank") <= keep)
-    open_ended = tagged.filter(F.col("section") == "pathways").withColumn("rank", F.lit(None).cast("int"))
-    return limited.unionByName(open_ended).drop("_score", "_stars")
+    return ranked.filter(F.col("rank") <= keep).drop("_score", "_stars")
+
+
+def section_rows(records: DataFrame) -> DataFrame:
+    """Every record a profile shows. Pathways have no cap and are not ranked."""
+    pathways = _tagged(records).filter(F.col("section") == "pathways").drop("_score", "_stars")
+    return capped_rows(records).unionByName(pathways.withColumn("rank", F.lit(None).cast("int")))
 
 
 def coverage(records: DataFrame, capped: bool = True) -> DataFrame:
@@ -107,7 +113,7 @@ def coverage(records: DataFrame, capped: bool = True) -> DataFrame:
 
 def profile(records: DataFrame) -> DataFrame:
     """One row per gene: its coverage and, per capped section, the ranked titles kept."""
-    kept = section_rows(records).filter(F.col("section") != "pathways")
+    kept = capped_rows(records)
     entry = F.struct("rank", "record_id", "title", "disease")
     lists = kept.groupBy("gene").agg(
         *[

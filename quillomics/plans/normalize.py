@@ -412,10 +412,14 @@ def study_records(rows: DataFrame, changes_shown: int = 10, changes_kept: int =
     a study holding most mutations never meets in one task.
     """
     keys = ["gene_symbol", "study_id"]
-    order = [F.col("position").asc()]
+    # One shuffle of the mutations serves the type counts and the sample counts.
+    per_sample = rows.groupBy(*keys, "mutation_type", "sample_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("position").alias("p"), F.min("profile_id").alias("profile_id"),
+        F.min("entrez_id").alias("entrez_id"),
+    )
     types = (
-        rows.groupBy(*keys, "mutation_type")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("p"), F.min("profile_id").alias("profile_id"),
+        per_sample.groupBy(*keys, "mutation_type")
+        .agg(F.sum("n").alias("n"), F.min("p").alias("p"), F.min("profile_id").alias("profile_id"),
              F.min("entrez_id").alias("entrez_id"))
         .groupBy(*keys)
         .agg(
@@ -426,23 +430,24 @@ def study_records(rows: DataFrame, changes_shown: int = 10, changes_kept: int =
             F.min("entrez_id").alias("entrez_id"),
         )
     )
-    samples = rows.groupBy(*keys).agg(F.countDistinct("sample_id").alias("n_samples_affected"))
-    columns = [*keys, "position", "mutation_type", "sample_id", "protein_change"]
-    first_changes = (
-        G.keep_first_n(rows.filter(F.col("protein_change").isNotNull()).select(*columns), keys, changes_kept, *order)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("position", "protein_change"))).alias("c"))
-        .select(*keys, F.transform("c", lambda x: x["protein_change"]).alias("changes"))
-    )
-    first_rows = (
-        G.keep_first_n(rows.select(*columns), keys, sample_rows, *order)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("position", "mutation_type", "sample_id", "protein_change"))).alias("mutations_sample"))
+    samples = per_sample.groupBy(*keys).agg(F.countDistinct("sample_id").alias("n_samples_affected"))
+    # Both lists come from one ranking: each mutation competes as a row and, if it names one, as a change.
+    kinds = F.array_compact(F.array(F.lit("row"), F.when(F.col("protein_change").isNotNull(), "change")))
+    entry = F.struct("position", "mutation_type", "sample_id", "protein_change")
+    first = G.keep_first_n(
+        rows.select(*keys, "position", "mutation_type", "sample_id", "protein_change", F.explode(kinds).alias("kind")),
+        [*keys, "kind"], max(changes_kept, sample_rows), F.col("position").asc(),
     )
-    studies = (
-        types.join(samples, keys).join(first_changes, keys, "left").join(first_rows, keys, "left")
-        .withColumn("changes", items(F.col("changes")))
+
+    def listed(kind: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))
+
+    lists = first.groupBy(*keys).agg(listed("row").alias("rows"), listed("change").alias("changes")).select(
+        *keys,
+        F.slice("rows", 1, sample_rows).alias("mutations_sample"),
+        F.transform(F.slice("changes", 1, changes_kept), lambda x: x["protein_change"]).alias("changes"),
     )
+    studies = types.join(samples, keys).join(lists, keys)
     gene, study = F.col("gene_symbol"), F.col("study_id")
     entry = record(
         text("cbio_", gene, "_", study),
