@@ -81,7 +81,7 @@ def _(t):
 SELECT 'ENS' || p_partkey AS target_id, CASE WHEN p_size % 2 = 0 THEN '{"AB":["Clinical"],"SM":["Approved"]}' ELSE '{"SM":["Approved"]}' END AS labels,
   '{"AB":' || CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END || ',"SM":false}' AS last_values FROM part WHERE p_partkey % 3 = 0""")
 def _(t):
-    parsed = normalize.parsed(target_docs(t), normalize.TARGET_SCHEMA)
+    parsed = normalize.readable(target_docs(t), normalize.TARGET_SCHEMA)
     rows = parsed.filter(F.col("d.target.tractability").isNotNull())
     return rows.select(
         F.col("d.target.id").alias("target_id"),
@@ -164,7 +164,7 @@ SELECT CAST(event_id AS VARCHAR) AS record_id, 'pubmed' AS source_key, upper(eve
   value AS score, true AS has_ingested_at, true AS no_version FROM events""")
 def _(t):
     entry = normalize.record(F.col("event_id"), payload=F.struct(F.col("value").alias("score")), gene=F.upper("event_type"))
-    records = normalize.stamp(normalize.emit(t("events"), "pubmed", F.array(entry)))
+    records = normalize.stamp(normalize.emit(t("events"), "pubmed", entry))
     return records.select(
         "record_id", "source_key", "gene_symbol", "gene_key", V.field("score", "double").alias("score"),
         F.col("ingested_at").isNotNull().alias("has_ingested_at"), F.col("api_version").isNull().alias("no_version"),
@@ -175,8 +175,8 @@ def _(t):
 SELECT event_id % 7 = 0 AS broken, count(*) AS n FROM events GROUP BY 1""")
 def _(t):
     raw = t("events").select(F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(F.col("props")).alias("raw"))
-    bad = normalize.quarantine(raw).agg(F.lit(True).alias("broken"), F.count(F.lit(1)).alias("n"))
-    good = normalize.parsed(raw, "k int").agg(F.lit(False).alias("broken"), F.count(F.lit(1)).alias("n"))
+    bad = normalize.quarantine(raw, "k int").agg(F.lit(True).alias("broken"), F.count(F.lit(1)).alias("n"))
+    good = normalize.readable(raw, "k int").agg(F.lit(False).alias("broken"), F.count(F.lit(1)).alias("n"))
     return good.unionByName(bad)
 
 

@@ -282,4 +282,4 @@ def _(t):
     landed = t("v_records").select(
         "source_key", "gene_symbol", F.when(F.col("event_id") % 11 == 0, "{oops").otherwise(F.to_json("payload")).alias("raw")
     )
-    return tables.run_summary(normalize.parsed(landed, "score double"), normalize.quarantine(landed))
+    return tables.run_summary(normalize.readable(landed, "score double"), normalize.quarantine(landed, "score double"))

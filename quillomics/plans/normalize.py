@@ -1,13 +1,16 @@
 """Raw source documents to common source records.
 
 Each function takes a frame of landed documents (JSON text in ``raw``, one API
-response per row) and emits the common columns. All record kinds of a document
-are built as one array and exploded once, so a document is parsed in one pass
-and nothing is shuffled. Documents that are not JSON go to ``quarantine``.
+response per row) and emits the common columns. A document is parsed once into
+typed columns; the entries of all its record kinds are exploded together, and
+titles and summaries are then plain column expressions. Nothing is shuffled.
+A document that does not read under its schema goes to ``quarantine`` whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
@@ -17,16 +20,29 @@ from ..operators import aggregates as G
 from ..operators import joins
 
 NONE = "None"
+CORRUPT = "_corrupt_record"
+
+
+def _read(docs: DataFrame, schema: str) -> DataFrame:
+    full = f"{schema.strip()}, {CORRUPT} string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return docs.withColumn("_d", F.from_json("raw", full, options))
 
 
 def parsed(docs: DataFrame, schema: str) -> DataFrame:
-    """Readable documents with the parsed body in ``d``; other columns are kept."""
-    return docs.filter(F.try_parse_json("raw").isNotNull()).withColumn("d", F.from_json("raw", schema))
+    """Documents with their body in ``d``, which is NULL for an unreadable one."""
+    read = _read(docs, schema)
+    return read.withColumn("d", F.when(F.col(f"_d.{CORRUPT}").isNull(), F.col("_d"))).drop("_d")
+
+
+def readable(docs: DataFrame, schema: str) -> DataFrame:
+    """Only the documents that can be read."""
+    return parsed(docs, schema).filter(F.col("d").isNotNull())
 
 
-def quarantine(docs: DataFrame) -> DataFrame:
-    """Documents that cannot be parsed."""
-    return docs.filter(F.try_parse_json("raw").isNull())
+def quarantine(docs: DataFrame, schema: str) -> DataFrame:
+    """Only the documents that cannot be read: exactly those ``readable`` leaves out."""
+    return parsed(docs, schema).filter(F.col("d").isNull()).drop("d")
 
 
 def text(*parts) -> Column:
@@ -43,45 +59,64 @@ def items(array: Column) -> Column:
     return F.filter(F.coalesce(array, F.array()), lambda e: e.isNotNull())
 
 
-def one(condition: Column, entry: Column) -> Column:
-    """A single-entry array when the condition holds."""
-    return F.filter(F.array(F.when(condition, entry)), lambda e: e.isNotNull())
-
-
 def joined(array: Column, separator: str = ", ") -> Column:
     return F.array_join(array, separator)
 
 
-def record(record_id, title=None, summary=None, payload=None, disease=None, drug=None, gene=None) -> Column:
-    """One record; absent parts are typed NULLs, so all kinds share a struct type."""
+def record(record_id, title=None, summary=None, payload=None, disease=None, drug=None, gene=None) -> dict[str, Column]:
+    """The parts of one record kind; absent parts are typed NULLs."""
 
     def string(value):
         return (F.lit(None) if value is None else value).cast("string")
 
-    return F.struct(
-        string(record_id).alias("record_id"),
-        string(gene).alias("gene"),
-        string(disease).alias("disease"),
-        string(drug).alias("drug"),
-        string(title).alias("title"),
-        string(summary).alias("summary"),
-        F.coalesce(F.to_json(payload), F.lit("{}")).alias("payload"),
+    return {
+        "record_id": string(record_id),
+        "gene_symbol": string(gene),
+        "disease": string(disease),
+        "drug": string(drug),
+        "title": string(title),
+        "summary": string(summary),
+        "payload": F.lit("{}") if payload is None else F.coalesce(F.to_json(payload), F.lit("{}")),
+    }
+
+
+def emit(docs: DataFrame, source_key: str, *kinds: dict[str, Column], kind: Column | None = None) -> DataFrame:
+    """Common columns from rows that each hold one record; ``kind`` numbers the kind of a row."""
+
+    def part(name: str) -> Column:
+        out = kinds[0][name]
+        for number, parts in enumerate(kinds[1:], start=1):
+            out = F.when(kind == number, parts[name]).otherwise(out)
+        return out.alias(name)
+
+    names = ("gene_symbol", "disease", "drug", "title", "summary")
+    return docs.select(
+        part("record_id"), F.lit(source_key).alias("source_key"), *[part(n) for n in names],
+        F.parse_json(part("payload")).alias("payload"),
     )
 
 
-def emit(docs: DataFrame, source_key: str, records: Column, gene: Column | None = None) -> DataFrame:
-    """Explode record arrays into the common columns."""
-    symbol = F.col("_r.gene") if gene is None else F.coalesce(F.col("_r.gene"), gene)
-    return docs.withColumn("_r", F.explode(records)).select(
-        F.col("_r.record_id").alias("record_id"),
-        F.lit(source_key).alias("source_key"),
-        symbol.alias("gene_symbol"),
-        F.col("_r.disease").alias("disease"),
-        F.col("_r.drug").alias("drug"),
-        F.col("_r.title").alias("title"),
-        F.col("_r.summary").alias("summary"),
-        F.parse_json(F.col("_r.payload")).alias("payload"),
-    )
+def emit_entries(
+    docs: DataFrame, source_key: str, heads: dict[str, Column], *kinds: tuple[Column, Callable[[Column], dict[str, Column]]]
+) -> DataFrame:
+    """Explode the entries of several record kinds at once.
+
+    ``heads`` are the document's own fields that its records show; only they
+    travel with an entry, not the document. Each kind is an array and a function
+    from an entry to its record.
+    """
+
+    def tagged(number: int, array: Column) -> Column:
+        def entry(e: Column) -> Column:
+            slots = [(e if i == number else F.lit(None)).alias(f"e{i}") for i in range(len(kinds))]
+            return F.struct(F.lit(number).alias("kind"), *slots)
+
+        return F.transform(array, entry)
+
+    entries = F.concat(*[tagged(i, array) for i, (array, _) in enumerate(kinds)])
+    rows = docs.select(*[c.alias(n) for n, c in heads.items()], entries.alias("_entries"))
+    rows = rows.select(*heads, F.explode("_entries").alias("_e")).select(*heads, "_e.*")
+    return emit(rows, source_key, *[build(F.col(f"e{i}")) for i, (_, build) in enumerate(kinds)], kind=F.col("kind"))
 
 
 def stamp(records: DataFrame) -> DataFrame:
@@ -121,57 +156,54 @@ target struct<id string, approvedSymbol string,
 
 def target_records(docs: DataFrame) -> DataFrame:
     t = F.col("d.target")
-    gene = t["approvedSymbol"]
+    gene, target_id = F.col("gene"), F.col("target_id")
 
-    def association(a: Column) -> Column:
+    def association(a: Column) -> dict[str, Column]:
         score = F.format_string("%.3f", F.coalesce(a["score"], F.lit(0.0)))
-        areas = joined(F.transform(items(a["disease"]["therapeuticAreas"]), lambda x: x["name"]))
+        areas = joined(items(a["disease"]["therapeuticAreas"])["name"])
         return record(
-            text(t["id"], "_", a["disease"]["id"]),
+            text(target_id, "_", a["disease"]["id"]),
             text(gene, " ↔ ", shown(a["disease"]["name"]), " (score: ", score, ")"),
             text("OpenTargets association score ", score, ". Therapeutic areas: ", areas),
             a,
             disease=a["disease"]["name"],
+            gene=gene,
         )
 
-    def candidate(c: Column) -> Column:
+    def candidate(c: Column) -> dict[str, Column]:
         stage = F.coalesce(F.nullif(c["maxClinicalStage"], F.lit("")), c["drug"]["maximumClinicalStage"])
-        names = joined(
-            F.transform(
-                F.filter(items(c["diseases"]), lambda x: x["disease"].isNotNull()),
-                lambda x: F.coalesce(x["disease"]["name"], F.lit("")),
-            )
-        )
+        listed = F.filter(items(c["diseases"]), lambda x: x["disease"].isNotNull())
+        names = joined(F.transform(listed, lambda x: F.coalesce(x["disease"]["name"], F.lit(""))))
         return record(
-            text(t["id"], "_", F.coalesce(c["drug"]["id"], F.lit("unknown"))),
+            text(target_id, "_", F.coalesce(c["drug"]["id"], F.lit("unknown"))),
             text(shown(c["drug"]["name"]), " → ", gene, " (Phase ", F.coalesce(F.nullif(stage, F.lit("")), F.lit("?")), ")"),
             text("Drug type: ", shown(c["drug"]["drugType"]), ". Max clinical stage: ", shown(stage),
                  ". Diseases: ", F.coalesce(F.nullif(names, F.lit("")), F.lit("unknown")), "."),
             c,
             disease=F.get(c["diseases"], 0)["disease"]["name"],
             drug=c["drug"]["name"],
+            gene=gene,
         )
 
-    assessed = items(t["tractability"])
-    tractability = one(
-        F.size(assessed) > 0,
-        record(
-            text(t["id"], "_tractability"),
+    def tractability(assessed: Column) -> dict[str, Column]:
+        return record(
+            text(target_id, "_tractability"),
             text(gene, " Druggability/Tractability"),
             text("Tractability: ", F.to_json(G.last_by_modality(assessed))),
             F.struct(
-                t["tractability"].alias("tractability"),
-                t["id"].alias("target_id"),
+                assessed.alias("tractability"),
+                target_id.alias("target_id"),
                 G.labels_by_modality(assessed).alias("modalities"),
             ),
-        ),
-    )
-    records = F.concat(
-        F.transform(items(t["associatedDiseases"]["rows"]), association),
-        F.transform(items(t["drugAndClinicalCandidates"]["rows"]), candidate),
-        tractability,
+            gene=gene,
+        )
+
+    return emit_entries(
+        parsed(docs, TARGET_SCHEMA), "opentargets", {"gene": t["approvedSymbol"], "target_id": t["id"]},
+        (items(t["associatedDiseases"]["rows"]), association),
+        (items(t["drugAndClinicalCandidates"]["rows"]), candidate),
+        (F.filter(F.array(items(t["tractability"])), lambda x: F.size(x) > 0), tractability),
     )
-    return emit(parsed(docs, TARGET_SCHEMA), "opentargets", records, gene)
 
 
 # ---- constraint, clinical and loss-of-function variants
@@ -224,14 +256,13 @@ def nonzero(value: Column) -> Column:
 
 def variant_records(docs: DataFrame) -> DataFrame:
     g = F.col("d.gene")
-    symbol = F.upper(F.coalesce(g["symbol"], F.lit("")))
-    gene_id = F.coalesce(g["gene_id"], F.lit(""))
-    c = g["gnomad_constraint"]
-    pli = F.coalesce(c["pLI"], F.lit(0.0))
+    symbol, gene_id = F.col("symbol"), F.col("gene_id")
     number = F.format_string
-    constraint = one(
-        c.isNotNull(),
-        record(
+    place = ("chrom", "start", "stop", "strand")
+
+    def constraint(c: Column) -> dict[str, Column]:
+        pli = F.coalesce(c["pLI"], F.lit(0.0))
+        return record(
             text(gene_id, "_constraint"),
             text(symbol, " Gene Constraint (gnomAD v4)"),
             text(
@@ -240,16 +271,13 @@ def variant_records(docs: DataFrame) -> DataFrame:
                 F.when(nonzero(c["mis_z"]).isNotNull(), text("mis_z=", number("%.2f", c["mis_z"]), ". ")),
                 "obs/exp LoF: ", shown(c["obs_lof"], "?"), "/",
                 F.coalesce(F.when(c["exp_lof"].isNotNull(), number("%.1f", c["exp_lof"])), F.lit("?")),
-                ". Location: chr", shown(g["chrom"], "?"), ":", shown(g["start"], "?"), "-", shown(g["stop"], "?"),
-            ),
-            F.struct(
-                c.alias("constraint"), gene_id.alias("gene_id"), g["chrom"].alias("chrom"), g["start"].alias("start"),
-                g["stop"].alias("stop"), g["strand"].alias("strand"), g["name"].alias("gene_name"),
+                ". Location: chr", shown(F.col("chrom"), "?"), ":", shown(F.col("start"), "?"), "-", shown(F.col("stop"), "?"),
             ),
-        ),
-    )
+            F.struct(c.alias("constraint"), "gene_id", *place, "gene_name"),
+            gene=symbol,
+        )
 
-    def clinical(v: Column) -> Column:
+    def clinical(v: Column) -> dict[str, Column]:
         sig = F.coalesce(v["clinical_significance"], F.lit("unknown"))
         variant_id = F.coalesce(v["variant_id"], F.lit("unknown"))
         name = F.coalesce(F.nullif(v["hgvsp"], F.lit("")), F.nullif(v["hgvsc"], F.lit("")), variant_id)
@@ -263,9 +291,10 @@ def variant_records(docs: DataFrame) -> DataFrame:
                 F.when(v["in_gnomad"], "Yes").otherwise("No"),
             ),
             v,
+            gene=symbol,
         )
 
-    def lof(v: Column) -> Column:
+    def lof(v: Column) -> dict[str, Column]:
         ex, ge = v["exome"], v["genome"]
         af = F.coalesce(nonzero(ex["af"]), nonzero(ge["af"]), F.lit(0.0))
         ac = F.coalesce(nonzero(ex["ac"]), nonzero(ge["ac"]), F.lit(0))
@@ -289,14 +318,19 @@ def variant_records(docs: DataFrame) -> DataFrame:
                 ge["af"].alias("genome_af"), ge["ac"].alias("genome_ac"), hom.alias("homozygote_count"),
                 pops.alias("populations"),
             ),
+            gene=symbol,
         )
 
-    records = F.concat(
-        constraint,
-        F.transform(items(g["clinvar_variants"]), clinical),
-        F.transform(F.filter(items(g["variants"]), is_lof), lof),
+    heads = {
+        "symbol": F.upper(F.coalesce(g["symbol"], F.lit(""))), "gene_id": F.coalesce(g["gene_id"], F.lit("")),
+        **{name: g[name] for name in place}, "gene_name": g["name"],
+    }
+    return emit_entries(
+        parsed(docs, VARIANT_SCHEMA), "gnomad", heads,
+        (items(F.array(g["gnomad_constraint"])), constraint),
+        (items(g["clinvar_variants"]), clinical),
+        (F.filter(items(g["variants"]), is_lof), lof),
     )
-    return emit(parsed(docs, VARIANT_SCHEMA), "gnomad", records, symbol)
 
 
 # ---- pathways
@@ -320,8 +354,9 @@ def pathway_records(memberships: DataFrame) -> DataFrame:
         text("Pathway: ", name, ". Class: ", kind, ".",
              F.when(description != "", text(" Description: ", F.left(description, F.lit(200))))),
         F.struct(pathway.alias("pathway_id"), name.alias("pathway_name"), kind.alias("class"), F.col("kegg_gene_id")),
+        gene=gene,
     )
-    return emit(memberships, "kegg", F.array(entry), gene)
+    return emit(memberships, "kegg", entry)
 
 
 def pathway_link_records(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -334,8 +369,9 @@ def pathway_link_records(links: DataFrame, names: DataFrame) -> DataFrame:
         F.col("pathway_name"),
         text("KEGG pathway ", F.col("pathway_id"), ": ", F.col("pathway_name")),
         F.struct("pathway_id", "pathway_name", "kegg_gene_ids"),
+        gene=F.col("gene_symbol"),
     )
-    return emit(named, "kegg", F.array(entry), F.col("gene_symbol"))
+    return emit(named, "kegg", entry)
 
 
 REACTOME_SCHEMA = """
@@ -345,9 +381,9 @@ gene_symbol string, pathways array<struct<stId string, dbId string, displayName
 
 
 def reactome_records(docs: DataFrame) -> DataFrame:
-    gene = F.upper(F.col("d.gene_symbol"))
+    gene = F.col("gene")
 
-    def pathway(p: Column) -> Column:
+    def pathway(p: Column) -> dict[str, Column]:
         pathway_id = F.coalesce(p["stId"], p["dbId"], F.lit(""))
         name = F.coalesce(p["displayName"], p["name"], F.lit("unknown"))
         places = F.transform(F.slice(items(p["compartment"]), 1, 3), lambda c: F.coalesce(c["displayName"], F.lit("")))
@@ -358,9 +394,11 @@ def reactome_records(docs: DataFrame) -> DataFrame:
                  ". Category: ", F.coalesce(p["schemaClass"], F.lit("Pathway"))),
             F.struct(pathway_id.alias("pathway_id"), name.alias("pathway_name"), p["speciesName"].alias("species"),
                      p["schemaClass"].alias("schema_class")),
+            gene=gene,
         )
 
-    return emit(parsed(docs, REACTOME_SCHEMA), "reactome", F.transform(items(F.col("d.pathways")), pathway), gene)
+    heads = {"gene": F.upper(F.col("d.gene_symbol"))}
+    return emit_entries(parsed(docs, REACTOME_SCHEMA), "reactome", heads, (items(F.col("d.pathways")), pathway))
 
 
 # ---- somatic mutations
@@ -374,7 +412,7 @@ mutations array<struct<mutationType string, mutationStatus string, sampleId stri
 
 def gene_info_records(docs: DataFrame) -> DataFrame:
     """One entry per gene, whatever its number of studies."""
-    d = parsed(docs, MUTATION_SCHEMA)
+    d = readable(docs, MUTATION_SCHEMA)
     genes = d.groupBy(F.col("d.gene_symbol").alias("gene")).agg(F.min(F.col("d.gene_meta")).alias("m"))
     m = F.col("m")
     entry = record(
@@ -383,8 +421,9 @@ def gene_info_records(docs: DataFrame) -> DataFrame:
         text("Entrez: ", shown(m["entrezGeneId"]), " | Chr: ", shown(m["chromosome"], "?"), " ", m["cytoband"],
              " | Type: ", shown(m["type"], "unknown")),
         m,
+        gene=F.col("gene"),
     )
-    return emit(genes, "cbioportal", F.array(entry), F.col("gene"))
+    return emit(genes, "cbioportal", entry)
 
 
 def mutation_rows(docs: DataFrame) -> DataFrame:
@@ -457,8 +496,9 @@ def study_records(rows: DataFrame, changes_shown: int = 10, changes_kept: int =
              " | Top protein changes: ", joined(F.slice("changes", 1, changes_shown))),
         F.struct("gene_symbol", "entrez_id", "study_id", "molecular_profile_id", "n_mutations", "n_samples_affected",
                  "mutation_types", F.col("changes").alias("top_protein_changes"), "mutations_sample"),
+        gene=gene,
     )
-    return emit(studies, "cbioportal", F.array(entry), gene)
+    return emit(studies, "cbioportal", entry)
 
 
 def rollup_records(rolled: DataFrame) -> DataFrame:
@@ -469,8 +509,9 @@ def rollup_records(rolled: DataFrame) -> DataFrame:
         text(F.col("mutation_type"), " (", F.col("sample_count"), " samples, TCGA Pan-Cancer)"),
         F.struct("mutation_type", "protein_change", F.lit("TCGA PanCancer Atlas 2018").alias("cancer_study"), "sample_count", "cancer_types"),
         disease=F.col("disease"),
+        gene=F.col("gene_symbol"),
     )
-    return emit(rolled, "cbioportal", F.array(entry), F.col("gene_symbol"))
+    return emit(rolled, "cbioportal", entry)
 
 
 # ---- proteins
@@ -486,9 +527,9 @@ gene_symbol string, results array<struct<primaryAccession string,
 
 
 def protein_records(docs: DataFrame) -> DataFrame:
-    gene = F.upper(F.col("d.gene_symbol"))
+    gene = F.col("gene")
 
-    def protein(e: Column) -> Column:
+    def protein(e: Column) -> dict[str, Column]:
         comments = items(e["comments"])
 
         def of_kind(kind: str) -> Column:
@@ -524,9 +565,11 @@ def protein_records(docs: DataFrame) -> DataFrame:
                 F.coalesce(e["organism"]["scientificName"], F.lit("")).alias("organism"), keywords.alias("keywords"),
             ),
             disease=F.nullif(joined(F.slice(diseases, 1, 3), "; "), F.lit("")),
+            gene=gene,
         )
 
-    return emit(parsed(docs, PROTEIN_SCHEMA), "uniprot", F.transform(items(F.col("d.results")), protein), gene)
+    heads = {"gene": F.upper(F.col("d.gene_symbol"))}
+    return emit_entries(parsed(docs, PROTEIN_SCHEMA), "uniprot", heads, (items(F.col("d.results")), protein))
 
 
 # ---- genetic tests
@@ -587,7 +630,7 @@ def test_records(docs: DataFrame) -> DataFrame:
         disease=F.get(conditions, 0),
         gene=F.coalesce(F.get(genes, 0), query_gene),
     )
-    return emit(parsed(docs, TEST_SCHEMA), "ncbi_gtr", F.array(entry))
+    return emit(readable(docs, TEST_SCHEMA), "ncbi_gtr", entry)
 
 
 # ---- clinical evidence
@@ -602,35 +645,45 @@ gene struct<name string, variants struct<nodes array<struct<id bigint, name stri
 
 def evidence_records(docs: DataFrame) -> DataFrame:
     """Variants and the evidence nested under each of them."""
-    gene = F.col("d.gene.name")
+    gene = F.col("gene")
 
-    def variant(v: Column) -> Column:
-        profile = v["singleVariantMolecularProfile"]
-        head = record(
+    def variant(v: Column) -> dict[str, Column]:
+        return record(
             text("civic_variant_", v["id"]),
             text(gene, " ", v["name"]),
-            text("Variant types: ", joined(F.transform(items(v["variantTypes"]), lambda x: x["name"])), ". MP score: ",
-                 shown(profile["molecularProfileScore"], "N/A")),
+            text("Variant types: ", joined(items(v["variantTypes"])["name"]), ". MP score: ",
+                 shown(v["singleVariantMolecularProfile"]["molecularProfileScore"], "N/A")),
             v,
+            gene=gene,
         )
 
-        def evidence(e: Column) -> Column:
-            disease = F.coalesce(e["disease"]["name"], F.lit(""))
-            therapies = F.nullif(joined(F.transform(items(e["therapies"]), lambda x: x["name"])), F.lit(""))
-            return record(
-                text("civic_evidence_", e["id"]),
-                text(gene, " ", v["name"], " — Level ", shown(e["evidenceLevel"], "?"), " (", e["evidenceType"], ")"),
-                text(e["significance"], ". Disease: ", disease, ". Therapies: ", shown(therapies, "none"), ". ",
-                     F.left(F.coalesce(e["description"], F.lit("")), F.lit(200))),
-                e,
-                disease=disease,
-                drug=therapies,
-            )
-
-        return F.concat(F.array(head), F.transform(items(profile["evidenceItems"]["nodes"]), evidence))
+    def evidence(pair: Column) -> dict[str, Column]:
+        e = pair["item"]
+        disease = F.coalesce(e["disease"]["name"], F.lit(""))
+        therapies = F.nullif(joined(items(e["therapies"])["name"]), F.lit(""))
+        return record(
+            text("civic_evidence_", e["id"]),
+            text(gene, " ", pair["variant"], " — Level ", shown(e["evidenceLevel"], "?"), " (", e["evidenceType"], ")"),
+            text(e["significance"], ". Disease: ", disease, ". Therapies: ", shown(therapies, "none"), ". ",
+                 F.left(F.coalesce(e["description"], F.lit("")), F.lit(200))),
+            e,
+            disease=disease,
+            drug=therapies,
+            gene=gene,
+        )
 
-    records = F.flatten(F.transform(items(F.col("d.gene.variants.nodes")), variant))
-    return emit(parsed(docs, EVIDENCE_SCHEMA), "civic", records, gene)
+    nodes = items(F.col("d.gene.variants.nodes"))
+    nested = F.flatten(
+        F.transform(
+            nodes,
+            lambda v: F.transform(
+                items(v["singleVariantMolecularProfile"]["evidenceItems"]["nodes"]),
+                lambda e: F.struct(v["name"].alias("variant"), e.alias("item")),
+            ),
+        )
+    )
+    heads = {"gene": F.col("d.gene.name")}
+    return emit_entries(parsed(docs, EVIDENCE_SCHEMA), "civic", heads, (nodes, variant), (nested, evidence))
 
 
 # ---- phenotype and disease associations
@@ -645,7 +698,7 @@ associations array<struct<id string, object string, object_label string, categor
 def phenotype_records(docs: DataFrame) -> DataFrame:
     """Phenotypes, then the other associations whose id is no phenotype's (missing ids are equal)."""
     d = F.col("d")
-    gene = F.upper(d["gene_symbol"])
+    gene, gene_id = F.col("gene"), F.col("gene_id")
 
     def label(a: Column) -> Column:
         return F.coalesce(a["object_label"], a["object"], F.lit(""))
@@ -653,29 +706,31 @@ def phenotype_records(docs: DataFrame) -> DataFrame:
     def source(a: Column) -> Column:
         return shown(a["primary_knowledge_source"], "N/A")
 
-    def phenotype(a: Column) -> Column:
+    def phenotype(a: Column) -> dict[str, Column]:
         return record(
-            text("monarch_", d["gene_id"], "_pheno_", a["object"]),
+            text("monarch_", gene_id, "_pheno_", a["object"]),
             text(gene, " → ", label(a), " (phenotype)"),
             text("Phenotype association: ", label(a), ". ID: ", a["object"], ". Source: ", source(a)),
             a,
+            gene=gene,
         )
 
-    def association(a: Column) -> Column:
+    def association(a: Column) -> dict[str, Column]:
         return record(
-            text("monarch_", d["gene_id"], "_", a["object"]),
+            text("monarch_", gene_id, "_", a["object"]),
             text(gene, " ↔ ", label(a)),
             text("Disease association. Category: ", a["category"], ". Source: ", source(a)),
             a,
             disease=label(a),
+            gene=gene,
         )
 
     phenotypes = items(d["phenotypes"])
     others = F.filter(
         items(d["associations"]), lambda a: ~F.exists(phenotypes, lambda p: p["id"].eqNullSafe(a["id"]))
     )
-    records = F.concat(F.transform(phenotypes, phenotype), F.transform(others, association))
-    return emit(parsed(docs, ASSOCIATION_SCHEMA), "monarch", records, gene)
+    heads = {"gene": F.upper(d["gene_symbol"]), "gene_id": d["gene_id"]}
+    return emit_entries(parsed(docs, ASSOCIATION_SCHEMA), "monarch", heads, (phenotypes, phenotype), (others, association))
 
 
 # ---- protein atlas
@@ -697,35 +752,46 @@ ATLAS_KEPT = (
 def atlas_records(docs: DataFrame) -> DataFrame:
     """A summary, one record per tissue and one per location (text or object)."""
     d = F.col("d")
-    gene = F.upper(d["gene_symbol"])
-    summary = record(
-        text("hpa_", gene, "_summary"),
-        text(gene, " — Human Protein Atlas"),
-        text("Name: ", d["Gene description"], ". Protein class: ", joined(items(d["Protein class"])), ". Chromosome: ",
-             d["Chromosome"], ". Antibody: ", shown(d["Antibody"], "N/A")),
-        F.struct(*[d[k].alias(k) for k in ATLAS_KEPT]),
-    )
+    gene = F.col("gene")
 
-    def tissue(e: Column) -> Column:
+    def summary(k: Column) -> dict[str, Column]:
+        return record(
+            text("hpa_", gene, "_summary"),
+            text(gene, " — Human Protein Atlas"),
+            text("Name: ", k["Gene description"], ". Protein class: ", joined(items(k["Protein class"])), ". Chromosome: ",
+                 k["Chromosome"], ". Antibody: ", shown(F.col("antibody"), "N/A")),
+            k,
+            gene=gene,
+        )
+
+    def tissue(e: Column) -> dict[str, Column]:
         return record(
             text("hpa_", gene, "_tissue_", e["key"]),
             text(gene, " in ", e["key"], ": ", e["value"], " nTPM"),
             text("Tissue: ", e["key"], ". RNA expression: ", e["value"], " nTPM. Specificity: ",
-                 shown(d["RNA tissue specificity"], "N/A")),
+                 shown(F.col("specificity"), "N/A")),
             F.struct(e["key"].alias("tissue"), e["value"].alias("nTPM")),
+            gene=gene,
         )
 
-    def place(raw: Column) -> Column:
-        name = F.when(
-            raw.startswith("{"), F.coalesce(F.get_json_object(raw, "$.location"), F.get_json_object(raw, "$.Location"), F.lit("unknown"))
-        ).otherwise(raw)
+    def place(raw: Column) -> dict[str, Column]:
+        named = F.coalesce(F.get_json_object(raw, "$.location"), F.get_json_object(raw, "$.Location"), F.lit("unknown"))
+        name = F.when(raw.startswith("{"), named).otherwise(raw)
         return record(
             text("hpa_", gene, "_loc_", name),
             text(gene, " localization: ", name),
-            text("Subcellular location: ", name, ". Main locations: ", joined(items(d["Subcellular main location"]))),
+            text("Subcellular location: ", name, ". Main locations: ", joined(items(F.col("main_locations")))),
             F.struct(name.alias("location")),
+            gene=gene,
         )
 
+    heads = {
+        "gene": F.upper(d["gene_symbol"]), "antibody": d["Antibody"], "specificity": d["RNA tissue specificity"],
+        "main_locations": d["Subcellular main location"],
+    }
+    kept = F.when(d.isNotNull(), F.struct(*[d[k].alias(k) for k in ATLAS_KEPT]))
     tissues = F.map_entries(F.coalesce(d["RNA tissue specific nTPM"], F.create_map().cast("map<string,string>")))
-    records = F.concat(F.array(summary), F.transform(tissues, tissue), F.transform(items(d["Subcellular location"]), place))
-    return emit(parsed(docs, ATLAS_SCHEMA), "human_protein_atlas", records, gene)
+    return emit_entries(
+        parsed(docs, ATLAS_SCHEMA), "human_protein_atlas", heads,
+        (items(F.array(kept)), summary), (tissues, tissue), (items(d["Subcellular location"]), place),
+    )

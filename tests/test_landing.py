@@ -48,9 +48,12 @@ def docs(spark, *bodies):
 
 
 def test_broken_documents_are_set_aside(spark):
-    frame = docs(spark, {"gene_symbol": "app", "pathways": [{"stId": "R1", "displayName": "P"}]}, "{not json", "")
+    frame = docs(spark, {"gene_symbol": "app", "pathways": [{"stId": "R1", "displayName": "P"}]}, "{not json", "", '{"pathways": 3}')
     assert normalize.reactome_records(frame).count() == 1
-    assert normalize.quarantine(frame).count() == 2
+    assert normalize.readable(frame, normalize.REACTOME_SCHEMA).count() == 1
+    assert normalize.quarantine(frame, normalize.REACTOME_SCHEMA).count() == 3
+    assert normalize.atlas_records(docs(spark, "{oops")).count() == 0
+    assert normalize.test_records(docs(spark, "{oops")).count() == 0
 
 
 def test_documents_with_missing_parts(spark):
