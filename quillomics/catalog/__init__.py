@@ -11,6 +11,7 @@ from ..sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BUILDERS: dict[str, Callable] = {}
 
 MODULES = (
     "perturbation", "pharmacology", "expression", "records", "analytics", "aggregates", "joins", "normalizers",
@@ -31,6 +32,7 @@ def query(name: str, oracle: str | None = None):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        BUILDERS[name] = fn
         if oracle:
             ORACLES[name] = views.with_views(oracle)
         return fn
@@ -39,14 +41,24 @@ def query(name: str, oracle: str | None = None):
 
 
 class Loader:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """Gives views and tables by name. Views stored under ``prepared`` are read instead of computed."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, prepared: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.prepared = prepared
 
     def __call__(self, name: str) -> DataFrame:
-        if name in views.VIEWS:
-            return views.load(self.spark, self.sf_dir, name)
-        return views.read(self.spark, self.sf_dir, name)
+        if name not in views.VIEWS:
+            return views.read(self.spark, self.sf_dir, name)
+        if self.prepared:
+            return self.spark.read.parquet(f"{self.prepared}/{name}")
+        return views.load(self.spark, self.sf_dir, name)
+
+    def prepare(self, folder: str) -> None:
+        """Store every view as a table, the form in which a user holds this data."""
+        for name in views.VIEWS:
+            views.load(self.spark, self.sf_dir, name).repartition(8).write.parquet(f"{folder}/{name}")
 
 
 def load_all() -> None:

@@ -29,8 +29,13 @@ def representative(df: DataFrame, keys: Sequence[str], attributes: Sequence[str]
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{a}").alias(a) for a in attributes])
 
 
-def top_abs_per_group(df: DataFrame, keys: Sequence[str], value: str, n: int = 200) -> DataFrame:
-    return R.top_n_per_group(df, keys, n, R.abs_desc(value))
+def top_abs_per_group(df: DataFrame, keys: Sequence[str], value: str, n: int = 200, spread: int = 1) -> DataFrame:
+    """The n largest absolute values of each group.
+
+    Signature groups (a line and a drug) hold one row per gene, so they merge in
+    a single step; ``spread`` them when a group can grow with the data.
+    """
+    return R.top_n_per_group(df, keys, n, R.abs_desc(value), spread=spread)
 
 
 def top_abs_ascending(df: DataFrame, value: str, k: int = 20) -> DataFrame:

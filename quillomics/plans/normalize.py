@@ -47,7 +47,7 @@ def quarantine(docs: DataFrame, schema: str) -> DataFrame:
 
 def text(*parts) -> Column:
     """Concatenate text; a missing part reads as nothing."""
-    return F.concat(*[F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts])
+    return F.concat_ws("", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
 def shown(value: Column, missing: str = NONE) -> Column:
@@ -115,7 +115,8 @@ def emit_entries(
 
     entries = F.concat(*[tagged(i, array) for i, (array, _) in enumerate(kinds)])
     rows = docs.select(*[c.alias(n) for n, c in heads.items()], entries.alias("_entries"))
-    rows = rows.select(*heads, F.explode("_entries").alias("_e")).select(*heads, "_e.*")
+    # An outer explode: the inner one adds a size filter below it that would parse each document again.
+    rows = rows.select(*heads, F.explode_outer("_entries").alias("_e")).filter(F.col("_e").isNotNull()).select(*heads, "_e.*")
     return emit(rows, source_key, *[build(F.col(f"e{i}")) for i, (_, build) in enumerate(kinds)], kind=F.col("kind"))
 
 
@@ -434,8 +435,8 @@ def mutation_rows(docs: DataFrame) -> DataFrame:
         F.col("d.study_id").alias("study_id"),
         F.col("d.profile_id").alias("profile_id"),
         F.col("d.gene_meta.entrezGeneId").alias("entrez_id"),
-        F.posexplode(items(F.col("d.mutations"))).alias("position", "m"),
-    ).filter(F.col("study_id").isNotNull())
+        F.posexplode_outer(items(F.col("d.mutations"))).alias("position", "m"),
+    ).filter(F.col("study_id").isNotNull() & F.col("m").isNotNull())
     kind = F.coalesce(F.nullif("m.mutationType", F.lit("")), F.nullif("m.mutationStatus", F.lit("")), F.lit("Unknown"))
     return rows.select(
         "gene_symbol", "study_id", "profile_id", "entrez_id", "position", kind.alias("mutation_type"),
