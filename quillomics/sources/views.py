@@ -152,11 +152,13 @@ def names_in(sql: str, names) -> list[str]:
 
 
 def load(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """A view as a DataFrame. JSON payload text is parsed into VARIANT."""
-    sql = VIEWS[view]
-    for table in names_in(sql, TABLES):
-        read(spark, sf_dir, table).createOrReplaceTempView(table)
-    df = spark.sql(sql)
+    """A view as a DataFrame. JSON payload text is parsed into VARIANT.
+
+    Tables are passed by value, so no view name of the session is taken.
+    """
+    escaped = VIEWS[view].replace("{", "{{").replace("}", "}}")
+    sql = re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", escaped)
+    df = spark.sql(sql, **{name: read(spark, sf_dir, name) for name in names_in(sql, TABLES)})
     if "payload" in df.columns:
         df = df.withColumn("payload", F.parse_json("payload"))
     return df
