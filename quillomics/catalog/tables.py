@@ -87,17 +87,17 @@ SELECT * FROM (VALUES ('lineitem', 'facts'), ('orders', 'facts'), ('part', 'dime
   ('nation', 'dimension'), ('region', 'dimension'), ('events', 'other'), ('documents', 'other'), ('embeddings', 'other'), ('pages', 'other'),
   ('benchmark', 'other'), ('labels', 'other'), ('conversations', 'other')) v(table_name, kind)""")
 def _(t):
-    kinds = {"facts": "^(lineitem|orders)", "dimension": "^(part|supplier|customer|nation|region)"}
+    kinds = {"facts": "/(lineitem|orders)[.]parquet", "dimension": "/(part|supplier|customer|nation|region)[.]parquet"}
     found = files.classify_files(files.list_files(t.spark, t.sf_dir, "*.parquet"), kinds)
-    return found.select(F.split_part("file_name", F.lit("."), F.lit(1)).alias("table_name"), "kind")
+    return found.select(files.table_of().alias("table_name"), "kind").distinct()
 
 
 @query("a09_every_nth_file", """
 SELECT table_name FROM (SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation',
   'orders', 'pages', 'part', 'region', 'supplier']) AS table_name, unnest(range(14)) AS i) WHERE i % 3 = 0""")
 def _(t):
-    sampled = files.classify_files(files.every_nth(files.list_files(t.spark, t.sf_dir, "*.parquet"), 3), {})
-    return sampled.select(F.split_part("file_name", F.lit("."), F.lit(1)).alias("table_name"))
+    sampled = files.every_nth(files.list_files(t.spark, t.sf_dir, "*.parquet"), 3)
+    return sampled.select(files.table_of().alias("table_name"))
 
 
 @query("a10_align_to_schema", """
@@ -217,8 +217,8 @@ def _(t):
     path = scratch_path(spark, "sources")
     database = "rec_" + path.rsplit("-", 1)[1][:12]
     records = t("v_sources").select(
-        "record_id", "source_key", "gene_symbol", "disease", "drug", "title", "summary", "payload",
-        F.lit("2024-02-01").cast("timestamp").alias("ingested_at"), "source_updated_at", F.lit(None).cast("string").alias("api_version"),
+        "record_id", "source_key", "gene_symbol", F.upper("gene_symbol").alias("gene_key"), "disease", "drug", "title",
+        "summary", "payload", F.lit("2024-02-01").cast("timestamp").alias("ingested_at"), "source_updated_at", F.lit(None).cast("string").alias("api_version"),
         F.col("source_key").alias("folder"),
     )
     tables.write_partitioned(records, path, "folder")
@@ -259,10 +259,8 @@ SELECT table_name, CASE WHEN table_name = 'signatures' THEN 'MISSING' ELSE 'EXIS
   SELECT 'lineitem' AS table_name, (SELECT count(*) FROM lineitem) AS n_rows UNION ALL SELECT 'part', (SELECT count(*) FROM part)
   UNION ALL SELECT 'events', (SELECT count(*) FROM events) UNION ALL SELECT 'signatures', NULL)""")
 def _(t):
-    present = files.classify_files(files.list_files(t.spark, t.sf_dir, "*.parquet"), {}).select(
-        F.split_part("file_name", F.lit("."), F.lit(1)).alias("table_name"), "n_bytes"
-    )
-    present = present.groupBy("table_name").agg(F.sum("n_bytes").alias("n_bytes"))
+    found = files.list_files(t.spark, t.sf_dir, "*.parquet")
+    present = found.groupBy(files.table_of().alias("table_name")).agg(F.sum("n_bytes").alias("n_bytes"))
     counts = tables.row_counts({name: t(name) for name in ("lineitem", "part", "events")})
     status = tables.inventory(t.spark, ["lineitem", "part", "events", "signatures"], present)
     return status.join(counts, "table_name", "left").select("table_name", "status", "n_rows")

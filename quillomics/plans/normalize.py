@@ -464,7 +464,7 @@ def study_records(rows: DataFrame, changes_shown: int = 10, changes_kept: int =
         .groupBy(*keys)
         .agg(
             F.sum("n").alias("n_mutations"),
-            F.max_by("mutation_type", F.struct("n", -F.col("p"))).alias("dominant"),
+            F.max_by("mutation_type", F.struct("n", -F.col("p"), "mutation_type")).alias("dominant"),
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("mutation_type", "n")))).alias("mutation_types"),
             F.min("profile_id").alias("molecular_profile_id"),
             F.min("entrez_id").alias("entrez_id"),

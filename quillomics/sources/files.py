@@ -45,17 +45,30 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return reader.load(folder).select("path", F.col("length").alias("n_bytes"))
 
 
+def table_of(path: str | Column = "path") -> Column:
+    """Table a file belongs to, whether the table is one file or a folder of files."""
+    return F.regexp_extract(path, r"/([^/]+?)\.parquet(/|$)", 1)
+
+
 # Words that mark a data file as something other than cell rows.
 SIDE_FILE_WORDS = ("var", "obs", "vocab", "gene", "drug_annot", "annot", "metadata")
 
 
 def classify_files(files: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Kind of each file: the first whose pattern matches its name, else 'other'."""
-    name = F.element_at(F.split("path", "/"), -1)
+    """Kind of each file: the first whose pattern matches its path, else 'other'."""
     kind = F.lit("other")
     for label, pattern in reversed(list(kinds.items())):
-        kind = F.when(name.rlike(pattern), label).otherwise(kind)
-    return files.withColumns({"file_name": name, "kind": kind})
+        kind = F.when(F.col("path").rlike(pattern), label).otherwise(kind)
+    return files.withColumn("kind", kind)
+
+
+def cell_shards(files: DataFrame) -> DataFrame:
+    """Data files that hold cell rows, in path order: side files are recognised by words in their path."""
+    path = F.lower("path")
+    side = F.lit(False)
+    for word in SIDE_FILE_WORDS:
+        side = side | path.contains(word)
+    return files.filter(path.endswith(".parquet") & ~side).orderBy("path")
 
 
 def every_nth(files: DataFrame, n: int) -> DataFrame:

@@ -30,7 +30,7 @@ SCHEMAS = {
     "is_neuronal boolean, gene_symbol string, zscore double, dose_um double, timepoint_h int, source string",
     "drug_cells": "drug string, moa string, cell_line_id string, cluster string, canonical_smiles string, "
     "pubchem_cid string, sample string, barcode string",
-    "records": "record_id string, source_key string, gene_symbol string, disease string, drug string, title string, "
+    "records": "record_id string, source_key string, gene_symbol string, gene_key string, disease string, drug string, title string, "
     "summary string, payload variant, ingested_at timestamp, source_updated_at timestamp, api_version string",
     "query_log": "query_id string, timestamp timestamp, user_email string, species_focus string, query_text string, "
     "response_text string, tools_used string",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, VariantType
 
+from ..functions.ranking import UNSORTABLE
 from .registry import SOURCES, Source
 
 RECORD_KEYS = ("record_id", "source_key")
@@ -36,9 +37,10 @@ def read_merged(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
-    """One row per key, the last under ``order``; combined map-side."""
+    """One row per key, the last under ``order``; combined map-side. Other columns settle equal orders."""
     rest = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
+    ties = [c for c in rest if c not in order and not isinstance(df.schema[c].dataType, UNSORTABLE)]
+    last = F.max_by(F.struct(*rest), F.struct(*order, *ties)).alias("_last")
     out = df.groupBy(*keys).agg(last).select(*keys, "_last.*")
     return out.select(*df.columns)
 
@@ -184,6 +186,7 @@ def create_table_sql(source: Source, database: str, location: str | None = None)
   record_id STRING NOT NULL COMMENT 'Source-specific record identifier',
   source_key STRING NOT NULL COMMENT 'Registry key: {source.key}',
   gene_symbol STRING COMMENT 'Primary gene symbol',
+  gene_key STRING COMMENT 'Gene symbol in upper case, for filters that reach the scan',
   disease STRING COMMENT 'Associated disease or condition',
   drug STRING COMMENT 'Associated drug or compound',
   title STRING COMMENT 'Record title',

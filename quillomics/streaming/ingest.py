@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..sources.tables import VersionedTable
+from ..sources.tables import VersionedTable, latest_per_key
 
 FILES_PER_BATCH = 50
 Transform = Callable[[DataFrame], DataFrame]
@@ -38,10 +38,13 @@ def append_shards(
 
 def upsert_shards(
     spark: SparkSession, path: str, schema: StructType, table: VersionedTable, checkpoint: str, order: Sequence[str],
-    transform: Transform | None = None, files_per_batch: int = FILES_PER_BATCH,
+    transform: Transform | None = None, files_per_batch: int = FILES_PER_BATCH, replace: bool = False,
 ) -> StreamingQuery:
     """Upsert every batch of new shards into a keyed table.
 
+    With ``replace`` the first batch of a checkpoint replaces the table and the
+    later ones are upserted: a full refresh.
+
     A batch repeated after a failure writes the same keys with the same rows, so
     the table ends the same. Keys seen in earlier batches are settled by the
     table itself; no deduplication state is kept in the stream.
@@ -49,8 +52,11 @@ def upsert_shards(
     rows = shard_stream(spark, path, schema, files_per_batch)
     rows = transform(rows) if transform else rows
 
-    def apply(batch: DataFrame, _batch_id: int) -> None:
-        table.upsert(batch, *order)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if replace and batch_id == 0:
+            table.overwrite(latest_per_key(batch.select(*table.schema.fieldNames()), table.keys, *order))
+        else:
+            table.upsert(batch, *order)
 
     return (
         rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -13,7 +13,7 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.shuffle.partitions": "4",
         "spark.driver.memory": "6g",
         "spark.ui.enabled": "false",
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillomics.session import scratch_path
-from quillomics.sources import registry, tables, views
+from quillomics.sources import files, registry, tables, views
 from quillomics.streaming import ingest
 from tests.conftest import SF_DIR, rows
 
@@ -139,5 +139,22 @@ def test_failed_upsert_stream_resumes(spark, tmp_path, records):
     assert keys.count() == keys.distinct().count() == records.select("record_id", "source_key").distinct().count()
 
 
+def test_refresh_replaces_the_table(spark, tmp_path, records):
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
+    records.filter("event_id >= 500").repartition(4).write.parquet(source)
+    table = new_table(spark, records.schema)
+    table.overwrite(records.filter("event_id < 500"))
+    ingest.upsert_shards(
+        spark, source, records.schema, table, checkpoint, ["event_id"], files_per_batch=2, replace=True
+    ).awaitTermination()
+    want = tables.latest_per_key(records.filter("event_id >= 500"), tables.RECORD_KEYS, "event_id")
+    assert rows(table.read()) == rows(want)
+
+
+def test_cell_shards_leave_side_files_out(spark):
+    found = spark.createDataFrame([("/d/b.parquet",), ("/d/a.parquet",), ("/d/drug_annot.parquet",), ("/d/x.csv",)], "path string")
+    assert [r[0] for r in files.cell_shards(found).collect()] == ["/d/a.parquet", "/d/b.parquet"]
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
