@@ -125,24 +125,24 @@ def _(t):
 
 
 @query("g15_mean_pivot", """
-SELECT compound, round(coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#1'), 0), 6) AS "Brand#1",
-       round(coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#2'), 0), 6) AS "Brand#2",
-       round(coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#3'), 0), 6) AS "Brand#3"
+SELECT compound, round(coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#1'), 0), 12) AS "Brand#1",
+       round(coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#2'), 0), 12) AS "Brand#2",
+       round(coalesce(avg(zscore) FILTER (gene_symbol = 'Brand#3'), 0), 12) AS "Brand#3"
 FROM v_signatures GROUP BY compound""")
 def _(t):
     genes = ["Brand#1", "Brand#2", "Brand#3"]
     wide = op.mean_pivot(t("v_signatures"), "compound", "gene_symbol", "zscore", genes)
-    return wide.select("compound", *[F.round(F.col(f"`{g}`"), 6).alias(g) for g in genes])
+    return wide.select("compound", *[F.round(F.col(f"`{g}`"), 12).alias(g) for g in genes])
 
 
 @query("g15_mean_matrix", """
 WITH top AS (SELECT gene_symbol FROM v_signatures GROUP BY 1 ORDER BY max(abs(zscore)) DESC, 1 LIMIT 5),
  m AS (SELECT gene_symbol, cell_line, avg(zscore) AS z FROM v_signatures WHERE gene_symbol IN (SELECT gene_symbol FROM top) GROUP BY 1, 2)
-SELECT t.gene_symbol, c.cell_line, round(coalesce(m.z, 0), 4) AS mean_value
+SELECT t.gene_symbol, c.cell_line, round(coalesce(m.z, 0), 12) AS mean_value
 FROM top t CROSS JOIN (SELECT DISTINCT cell_line FROM m) c LEFT JOIN m ON m.gene_symbol = t.gene_symbol AND m.cell_line = c.cell_line""")
 def _(t):
     cells = op.mean_matrix(t("v_signatures"), "gene_symbol", "cell_line", "zscore", 5)
-    return cells.withColumn("mean_value", F.round("mean_value", 4))
+    return cells.withColumn("mean_value", F.round("mean_value", 12))
 
 
 @query("g17_entity_matrix", """
