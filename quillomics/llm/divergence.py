@@ -129,7 +129,7 @@ def references(docs: DataFrame, common_words: int = 24) -> DataFrame:
 
 
 def judge(
-    docs: DataFrame, *, common_words: int = 24, max_class_distance: float = 0.35, max_word_distance: float = 0.6,
+    docs: DataFrame, *, common_words: int = 24, max_class_distance: float = 0.25, max_word_distance: float = 0.5,
     min_chars: int = 200, min_words: int = 50,
 ) -> DataFrame:
     """Per document the base counts, both distances and the verdict ``kept``.
