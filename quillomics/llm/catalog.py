@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, hilbert, perspectives, urls
+from ..session import scratch_path
+from . import decontaminate, divergence, hilbert, language, packing, perspectives, records, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +88,57 @@ def op10(spark, sf_dir):
     bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
     labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", bad.alias("bad"))
     return urls.judge(pages, labelled, URL_RULES)
+
+
+@query("op4_language_bitmask")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rest = language.remainder(F.col("doc_id"))
+    found = language.identify(docs, language.learn(docs.filter(rest != 0)), keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+CONTAMINATION_SQL = """
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark
+), s AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS length, array_to_string(words[k + 1:k + least(10, len(words))], ' ') AS win
+  FROM (SELECT *, unnest(range(0, greatest(len(words) - 9, 1))) AS k FROM i WHERE len(words) > 0)
+), d AS (
+  SELECT row, n.length, k, array_to_string(words[k + 1:k + n.length], ' ') AS win
+  FROM (SELECT DISTINCT length FROM s) n, LATERAL (SELECT row, words, unnest(range(0, len(words) - n.length + 1)) AS k FROM w WHERE len(words) >= n.length)
+), h AS (SELECT d.row, d.k, d.length, s.item_id FROM d JOIN s ON d.win = s.win AND d.length = s.length),
+c AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(k, k + length)) AS p FROM h) GROUP BY row),
+t AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY row)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c USING (row) LEFT JOIN t USING (row)
+"""
+
+
+@query("op5_prefix_set_join", CONTAMINATION_SQL)
+def op5(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op7_token_records")
+def op7(spark, sf_dir):
+    path = scratch_path(spark, "token-records")
+    records.write_records(table(spark, sf_dir, "documents"), path, tokenizer_file(), end_id=0)
+    return records.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset", "n_bytes")
+
+
+@query("op9_best_two_fit")
+def op9(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), 1024, end_id=2)
