@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, divergence, hilbert, language, packing, perspectives, records, urls
+from . import decontaminate, divergence, hilbert, language, packing, passages, perspectives, records, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,16 @@ def op7(spark, sf_dir):
 @query("op9_best_two_fit")
 def op9(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), 1024, end_id=2)
+
+
+@query("op2_simhash_pivots")
+def op2(spark, sf_dir):
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query("op3_phrase_automata")
+def op3(spark, sf_dir):
+    found = passages.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
