@@ -1,7 +1,69 @@
-"""Corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language ID, near-dedup, substring dedup, decontamination and packing over ``documents``.
+
+Each stage reads what the stage before it wrote. All but the last return the columns of ``documents``. SQL cannot
+express the n-gram filter, the fingerprints or the packing, so there is no checking SQL; tests hold the stages against
+brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillomics.llm import catalog, decontaminate, language, packing, passages, simhash
+from quillomics.session import scratch_path
+
+#: A text of which less than this share of n-grams belongs to its best language is in none of them.
+LEAST_LANGUAGE_SCORE = 0.5
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose text is in a learned language: drops null texts, texts without letters and odd ones."""
+    found = language.identify(docs, language.learn(docs))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group whose five-word shingles have a similarity of about 0.8 or more."""
+    return simhash.distinct_documents(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes the words of recurring passages. A changed text is its kept words joined by spaces; one that lost all
+    its words goes. n_chars follows the text."""
+    found = passages.remove_repeats(docs)
+    found = found.withColumn("text", F.when(F.col("changed"), F.col("kept")).otherwise(F.col("text")))
+    found = found.filter(~(F.col("changed") & (F.col("n_removed") == F.col("n_words"))))
+    found = found.withColumn("n_chars", F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
+    items = catalog.table(spark, sf_dir, "benchmark")
+    return decontaminate.drop_contaminated(docs, items)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their places in sequences of 1024."""
+    return packing.pack(docs, catalog.tokenizer_file(), 1024, end_id=2)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = catalog.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

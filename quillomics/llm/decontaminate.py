@@ -136,14 +136,8 @@ def hits(docs: DataFrame, table: np.ndarray, width: int = 10, shingle: int = 3)
     ).withColumn("__row", F.monotonically_increasing_id())
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 10, shingle: int = 3) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items (sorted as text), spans (word ranges), contaminated.
-
-    A document word is hit if it lies in an occurrence of any window of an item. Words are runs of ASCII letters and
-    digits and of non-ASCII characters, A-Z lower-cased. Null texts have no words; items without id or words are left
-    out; repeated items count once; repeated documents each give a row. Empty tables: no item, no hit; no document, no
-    row. Columns other than doc_id, text and item_id are not read.
-    """
+def _occurrences(docs: DataFrame, items: DataFrame, width: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Item windows, scanned documents, and the occurrences (__row, window, span) of the windows in them."""
     windows = stored(benchmark_windows(items, width, shingle), "benchmark-windows")
     tokens = windows.select("token").distinct()
     counts = stored(frequencies(docs, token_filter(tokens), shingle), "shingle-counts")
@@ -163,7 +157,18 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, shingle: i
         .filter(F.array_join(F.slice(around, begin + 1, F.col("length")), " ") == F.col("window"))
         .select("__row", "window", F.struct((F.col("at") + begin).alias("start"), (F.col("at") + begin + F.col("length")).alias("end")).alias("span"))
     )
-    joined = stored(joined, "window-occurrences")
+    return windows, rows, stored(joined, "window-occurrences")
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = 10, shingle: int = 3) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items (sorted as text), spans (word ranges), contaminated.
+
+    A document word is hit if it lies in an occurrence of any window of an item. Words are runs of ASCII letters and
+    digits and of non-ASCII characters, A-Z lower-cased. Null texts have no words; items without id or words are left
+    out; repeated items count once; repeated documents each give a row. Empty tables: no item, no hit; no document, no
+    row. Columns other than doc_id, text and item_id are not read.
+    """
+    windows, rows, joined = _occurrences(docs, items, width, shingle)
     cover = F.aggregate(
         F.array_sort(F.collect_set("span")), F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
         lambda acc, s: F.struct(
@@ -184,3 +189,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, shingle: i
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         )
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, shingle: int = 3) -> DataFrame:
+    """The documents without any hit, all columns kept. A document is told by its doc_id (null is one) and text."""
+    keyed = docs.withColumn("__tie", F.hash("text"))
+    # The scan passes its doc_id on; here that is the id together with the text's hash.
+    marked = keyed.select(F.struct("doc_id", "__tie").alias("doc_id"), "text")
+    _, rows, joined = _occurrences(marked, items, width, shingle)
+    hit = rows.join(joined.select("__row").distinct(), "__row", "left_semi").select(F.col("doc_id.doc_id").alias("__doc"), F.col("doc_id.__tie").alias("__own")).distinct()
+    return keyed.join(hit, F.expr("doc_id <=> __doc AND __tie <=> __own"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
