@@ -85,9 +85,9 @@ WITH m AS (SELECT upper(gene_symbol) AS gene_symbol, payload->>'$.mutation_type'
            FROM v_sources WHERE source_key = 'cbioportal'),
  r AS (SELECT gene_symbol, mutation_type, protein_change, count(*) AS sample_count,
          list_sort(list(DISTINCT ct)) AS cts FROM m GROUP BY 1, 2, 3),
- k AS (SELECT *, row_number() OVER (PARTITION BY gene_symbol ORDER BY sample_count DESC, mutation_type, protein_change) AS rn FROM r)
+ k AS (SELECT * FROM r)
 SELECT gene_symbol, mutation_type, protein_change, sample_count, array_to_string(cts, '|') AS cancer_types,
-       array_to_string(cts[1:3], '; ') AS disease, protein_change AS title FROM k WHERE rn <= 50""")
+       array_to_string(cts[1:3], '; ') AS disease, protein_change AS title FROM k""")
 def _(t):
     rolled = op.mutation_rollup(mutation_events(t))
     return rolled.withColumn("cancer_types", F.array_join("cancer_types", "|"))

@@ -95,7 +95,7 @@ def _(t):
 
 
 @query("v08_title_scores", r"""
-SELECT gene_symbol, left(disease, 40) AS disease, CAST(regexp_extract(title, 'score:\s*([\d.]+)', 1) AS DOUBLE) AS score
+SELECT gene_symbol, disease, left(disease, 40) AS label, CAST(regexp_extract(title, 'score:\s*([\d.]+)', 1) AS DOUBLE) AS score
 FROM v_sources WHERE source_key = 'opentargets' AND regexp_matches(title, 'score:\s*[\d.]+') AND disease <> ''""")
 def _(t):
     return op.title_scores(src(t, "opentargets"))
@@ -116,8 +116,9 @@ def _(t):
 
 
 @query("v10_disease_counts", """
-SELECT left(coalesce(nullif(disease, ''), 'Unknown'), 35) AS disease, count(*) AS n
-FROM v_sources WHERE source_key = 'cbioportal' GROUP BY 1 ORDER BY n DESC, disease LIMIT 15""")
+SELECT *, left(disease, 35) AS label FROM (
+  SELECT coalesce(nullif(disease, ''), 'Unknown') AS disease, count(*) AS n
+  FROM v_sources WHERE source_key = 'cbioportal' GROUP BY 1 ORDER BY n DESC, disease LIMIT 15)""")
 def _(t):
     return op.disease_counts(src(t, "cbioportal"))
 
@@ -142,7 +143,8 @@ def _(t):
 
 @query("v12_tissue_levels", """
 SELECT gene_symbol, trim(split_part(split_part(title, ' in ', 2), ':', 1)) AS tissue,
-       CASE trim(split_part(title, ':', -1)) WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 WHEN 'High' THEN 3 ELSE 0 END AS level
+       CASE trim(split_part(title, ':', -1)) WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 WHEN 'High' THEN 3 ELSE 0 END AS level,
+       TRY_CAST(payload->>'$.nTPM' AS DOUBLE) AS n_tpm
 FROM v_sources WHERE source_key = 'human_protein_atlas' AND contains(title, ' in ') AND contains(title, ':')""")
 def _(t):
     return op.tissue_levels(src(t, "human_protein_atlas"))
@@ -153,7 +155,7 @@ SELECT gene, fdr, round(-log10(fdr), 6) AS neg_log10_fdr FROM (
   SELECT DISTINCT gene, TRY_CAST(nullif(FDR_TADA_ASD, 'nan') AS DOUBLE) AS fdr FROM v_ndd_genes) WHERE fdr < 0.1E0
 ORDER BY fdr, gene LIMIT 25""")
 def _(t):
-    return op.risk_ranking(perturbation.ndd_risk_genes(t("v_ndd_genes"), "ASD", limit=200))
+    return op.risk_ranking(perturbation.ndd_risk_genes(t("v_ndd_genes"), "ASD", limit=None))
 
 
 @query("v14_effects_per_cell_type", """
@@ -164,7 +166,7 @@ def _(t):
 
 
 @query("v14_phenotype_bars", """
-SELECT left(screen_name, 25) || ' (' || phenotype_name || ')' AS label, phenotype_score FROM v_screens
+SELECT screen_name, phenotype_name, left(screen_name, 25) || ' (' || phenotype_name || ')' AS label, phenotype_score FROM v_screens
 WHERE upper(gene) = 'NATION_3' ORDER BY abs(phenotype_score) DESC NULLS LAST, screen_name, gene, cell_type, genotype,
   crispr_mode, phenotype_name, phenotype_score, pvalue, hit_class LIMIT 50""")
 def _(t):
@@ -176,7 +178,7 @@ WITH r AS (SELECT upper(gene_symbol) AS gene, disease, {SCORE} AS s, {AREA} AS t
            WHERE source_key = 'opentargets'),
  k AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY s DESC NULLS LAST, disease, s, therapeutic_area) AS rn FROM r),
  f AS (SELECT *, min(-rn) OVER (PARTITION BY gene, therapeutic_area) AS fs FROM k WHERE rn <= 10)
-SELECT gene, left(coalesce(disease, 'Unknown'), 40) AS disease, coalesce(s, 0) AS score, therapeutic_area,
+SELECT gene, coalesce(disease, 'Unknown') AS disease, left(coalesce(disease, 'Unknown'), 40) AS label, coalesce(s, 0) AS score, therapeutic_area,
        CAST(dense_rank() OVER (PARTITION BY gene ORDER BY fs) AS INTEGER) AS colour FROM f""")
 def _(t):
     return op.association_bars(src(t, "opentargets"))
@@ -203,26 +205,25 @@ def _(t):
 SELECT moa, count(DISTINCT drug) AS n_drugs FROM v_drug_cells WHERE moa IS NOT NULL GROUP BY moa
 ORDER BY 2 DESC, 1 LIMIT 20""")
 def _(t):
-    return op.largest(pharmacology.moa_distribution(t("v_drug_cells")).select("moa", "n_drugs"), "n_drugs", 20)
+    return op.largest(pharmacology.moa_distribution(t("v_drug_cells"), limit=None).select("moa", "n_drugs"), "n_drugs", 20)
 
 
 @query("v17_cluster_bars", """
 SELECT cluster, n_cells FROM (
-  SELECT drug, cell_line_id, moa, cluster, count(*) AS n_cells FROM v_drug_cells WHERE contains(lower(drug), 'red')
-  GROUP BY ALL ORDER BY drug NULLS FIRST, n_cells DESC, cell_line_id, moa, cluster LIMIT 200)
+  SELECT drug, cell_line_id, moa, cluster, count(*) AS n_cells FROM v_drug_cells WHERE contains(lower(drug), 'red') GROUP BY ALL)
 ORDER BY n_cells DESC, cluster LIMIT 20""")
 def _(t):
-    clusters = pharmacology.drug_clusters(t("v_drug_cells"), "red", limit=200)
+    clusters = pharmacology.drug_clusters(t("v_drug_cells"), "red", limit=None)
     return op.largest(clusters.select("cluster", "n_cells"), "n_cells", 20)
 
 
 @query("v17_cell_type_bars", """
 SELECT predicted_class AS cell_type, n_cells FROM (
   SELECT predicted_class, predicted_subclass, neuron_type, region_level1, region_level2, count(*) AS n_cells
-  FROM v_cell_metadata WHERE passes_qc GROUP BY ALL ORDER BY n_cells DESC, 1, 2, 3, 4, 5 LIMIT 100)
+  FROM v_cell_metadata WHERE passes_qc GROUP BY ALL)
 ORDER BY n_cells DESC, cell_type LIMIT 25""")
 def _(t):
-    cells = perturbation.brain_cell_types(t("v_cell_metadata"), limit=100)
+    cells = perturbation.brain_cell_types(t("v_cell_metadata"), limit=None)
     return op.largest(cells.select(F.col("predicted_class").alias("cell_type"), "n_cells"), "n_cells", 25)
 
 

@@ -309,10 +309,10 @@ def _(t):
 WITH m AS (SELECT upper(gene_symbol) AS g, payload->>'$.mutation_type' AS mt, payload->>'$.protein_change' AS pc,
              payload->>'$.cancer_study' AS ct FROM v_sources WHERE source_key = 'cbioportal'),
  r AS (SELECT g, mt, pc, count(*) AS n, list_sort(list(DISTINCT ct)) AS cts FROM m GROUP BY 1, 2, 3),
- k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, mt, pc) AS rn FROM r)
+ k AS (SELECT * FROM r)
 SELECT 'cbio_' || g || '_' || mt || '_' || pc AS record_id, 'cbioportal' AS source_key, g AS gene_symbol,
   array_to_string(cts[1:3], '; ') AS disease, CAST(NULL AS VARCHAR) AS drug, pc AS title, mt || ' (' || n || ' samples, TCGA Pan-Cancer)' AS summary,
-  CAST(n AS BIGINT) AS sample_count FROM k WHERE rn <= 50""")
+  CAST(n AS BIGINT) AS sample_count FROM k""")
 def _(t):
     from .aggregates import mutation_events
 
@@ -469,10 +469,19 @@ def _(t):
     return normalize.atlas_records(body.select(raw.alias("raw"))).select(*COMMON)
 
 
+@query("v12_tissue_levels_measured", """
+SELECT 'G' || p_partkey AS gene_symbol, tn AS tissue, CAST(0 AS INTEGER) AS level, CAST(tv AS DOUBLE) AS n_tpm
+FROM (SELECT p_partkey, 'brain' AS tn, p_size || '.5' AS tv FROM part UNION ALL SELECT p_partkey, 'liver', '1.0' FROM part)""")
+def _(t):
+    from ..operators import analytics
+
+    return analytics.tissue_ranking(analytics.tissue_levels(normalize.atlas_records(docs(t, "part", ATLAS_DOC, "p_brand"))))
+
+
 @query("n13_receptor_activities", """
 WITH c AS (SELECT 'M' || CAST(p_partkey AS VARCHAR) AS m, p_brand, p_type, p_size FROM part WHERE p_size > 25)
 SELECT molecule_id, molecule_name, target_gene, target_alias, standard_type, standard_value, 'nM' AS standard_units, pchembl_value,
-  left(repeat(molecule_name || ' ', 40), 200) AS assay_description, coalesce(p_brand, '') AS compound_brand, coalesce(p_type, '') AS compound_company,
+  repeat(molecule_name || ' ', 40) AS assay_description, coalesce(p_brand, '') AS compound_brand, coalesce(p_type, '') AS compound_company,
   CASE WHEN p_brand IS NULL THEN 'unknown' ELSE 'DORA' END AS selectivity_class, p_size AS year_approved, 'ChEMBL' AS source
 FROM v_activities LEFT JOIN c ON m = molecule_id
 UNION ALL

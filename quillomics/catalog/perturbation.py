@@ -20,7 +20,7 @@ def _(t):
 @query("q01_knockout_effects_all_types", f"""
 SELECT de_gene AS affected_gene, {EFFECT_COLUMNS} FROM v_diff_expr
 WHERE gene_target = 'Brand#7' AND pvalue_adj < 0.5
-ORDER BY abs(log2fc) DESC, affected_gene, cell_type, log2fc, pvalue_adj, n_perturbed, n_control LIMIT 200""")
+ORDER BY abs(log2fc) DESC, affected_gene, cell_type, log2fc, pvalue_adj, n_perturbed, n_control LIMIT 1000""")
 def _(t):
     return op.knockout_effects(t("v_diff_expr"), "Brand#7", pval_threshold=0.5, limit=1000)
 

@@ -16,7 +16,7 @@ def _(t):
 
 @query("q10_drug_perturbations_cell_line", """
 SELECT compound, moa, cell_line, is_neuronal, gene_symbol, zscore, dose_um, timepoint_h FROM v_signatures
-WHERE upper(cell_line) = 'SUPPLIER#000000003' ORDER BY abs(zscore) DESC, 1, 2, 3, 4, 5, 6, 7, 8 LIMIT 200""")
+WHERE upper(cell_line) = 'SUPPLIER#000000003' ORDER BY abs(zscore) DESC, 1, 2, 3, 4, 5, 6, 7, 8 LIMIT 500""")
 def _(t):
     return op.drug_perturbations(t("v_signatures"), cell_line="supplier#000000003", limit=500)
 

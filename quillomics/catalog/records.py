@@ -129,24 +129,66 @@ def _(t):
     return gene_profile.coverage(t("v_sources"), capped=False)
 
 
+# Every field of every section, as one text per entry; missing fields show as '~'.
+PROFILE_FIELDS = {
+    "associations": {"disease": "disease", "association_score": SCORE, "therapeutic_area": AREA},
+    "variants": {
+        "title": "title", "clinical_significance": "payload->>'$.clinical_significance'", "protein_change": "payload->>'$.hgvsp'",
+        "consequence": "payload->>'$.major_consequence'", "position": num("pos", "INT"), "exome_ac": num("gnomad.exome.ac", "INT"),
+        "exome_an": num("gnomad.exome.an", "INT"), "review_stars": num("gold_stars", "INT"),
+    },
+    "constraint": {
+        **{n: num("constraint." + n, "INT" if n.startswith("obs") else "DOUBLE") for n in op.V.CONSTRAINT_FIELDS},
+        "full_gene_name": "payload->>'$.gene_name'",
+    },
+    "pathways": {"title": "title", "summary": "summary", "pathway_id": "payload->>'$.pathway_id'", "pathway_name": "payload->>'$.pathway_name'"},
+    "mutations": {
+        "title": "title", "disease": "disease", "summary": "summary", "mutation_type": "payload->>'$.mutation_type'",
+        "protein_change": "payload->>'$.protein_change'", "cancer_study": "payload->>'$.cancer_study'",
+    },
+    "proteins": {
+        "title": "title", "summary": "summary", "protein_name": "payload->>'$.protein_name'", "function_desc": "payload->>'$.function'",
+        "location": "coalesce(payload->>'$.subcellular_location', payload->>'$.locations[0]')",
+    },
+    "tests": {
+        "title": "title", "summary": "summary", "disease": "disease", "test_type": "payload->>'$.test_type'",
+        "lab_name": "coalesce(payload->>'$.lab_name', payload->>'$.labname', payload->>'$.offerer')",
+    },
+}
+REAL = {"association_score", "pLI", "oe_lof", "oe_lof_upper", "oe_mis", "mis_z", "lof_z", "exp_lof", "exp_mis"}
+
+
+def entry_sql(section):
+    shown = lambda name, e: f"CAST(CAST(round(({e}) * 1000) AS BIGINT) AS VARCHAR)" if name in REAL else f"CAST({e} AS VARCHAR)"
+    parts = [f"coalesce({shown(name, e)}, '~')" for name, e in PROFILE_FIELDS[section].items()]
+    return f"concat_ws('|', record_id, {', '.join(parts)})"
+
+
+PROFILE_LISTS = ", ".join(
+    f"string_agg({entry_sql(s)}, chr(10) ORDER BY {'title NULLS FIRST, ' + entry_sql(s) if s == 'pathways' else 'rank'}) FILTER (section = '{s}') AS {s}"
+    for s in PROFILE_FIELDS
+)
+
+
 @query("q17_gene_profile", f"""
-WITH {RANKED_SQL}
-SELECT gene, count(*) FILTER (section = 'associations') AS shown_associations,
-       string_agg(record_id, ',' ORDER BY rank) FILTER (section = 'associations') AS association_ids,
-       count(*) FILTER (section = 'tests') AS shown_tests,
-       string_agg(record_id, ',' ORDER BY rank) FILTER (section = 'tests') AS test_ids
-FROM ranked WHERE rank <= {CAP_SQL} GROUP BY gene""")
+WITH tagged AS (SELECT upper(gene_symbol) AS gene, {SECTION_SQL} AS section, record_id, title, disease, summary, payload,
+    {SCORE} AS s, {num('gold_stars', 'INT')} AS stars FROM v_sources),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY gene, section ORDER BY
+    CASE section WHEN 'associations' THEN s WHEN 'variants' THEN stars END DESC NULLS LAST,
+    record_id, title, disease, summary, s, stars) AS rank FROM tagged WHERE section IS NOT NULL)
+SELECT gene, {PROFILE_LISTS} FROM ranked WHERE rank <= {CAP_SQL} GROUP BY gene""")
 def _(t):
-    def ids(section):
-        return F.nullif(F.array_join(F.col(f"{section}.record_id"), ","), F.lit(""))
+    def entry(section):
+        def text(e):
+            def one(name):
+                value = F.round(e[name] * 1000).cast("bigint") if name in REAL else e[name]
+                return F.coalesce(value.cast("string"), F.lit("~"))
+
+            return F.concat_ws("|", e["record_id"], *[one(name) for name in PROFILE_FIELDS[section]])
+
+        return F.nullif(F.array_join(F.transform(section, text), "\n"), F.lit("")).alias(section)
 
-    return gene_profile.profile(t("v_sources")).select(
-        "gene",
-        F.size("associations").cast("bigint").alias("shown_associations"),
-        ids("associations").alias("association_ids"),
-        F.size("tests").cast("bigint").alias("shown_tests"),
-        ids("tests").alias("test_ids"),
-    )
+    return gene_profile.profile(t("v_sources")).select("gene", *[entry(s) for s in PROFILE_FIELDS])
 
 
 LANDSCAPE = f"gene_symbol, disease, {SCORE} AS score, {AREA} AS therapeutic_area"
@@ -156,7 +198,7 @@ LANDSCAPE = f"gene_symbol, disease, {SCORE} AS score, {AREA} AS therapeutic_area
 SELECT {LANDSCAPE} FROM v_sources WHERE source_key = 'opentargets' AND contains(lower(disease), 'disease 1')
 ORDER BY score DESC NULLS LAST, 1, 2, 3, 4 LIMIT 75""")
 def _(t):
-    return op.disease_landscape(src(t, "opentargets"), "DISEASE 1", limit=5)
+    return op.disease_landscape(src(t, "opentargets"), "DISEASE 1", limit=75)
 
 
 @query("q18_disease_landscape_per_gene", f"""
@@ -282,10 +324,18 @@ SELECT record_id, gene_symbol, disease, drug, title, summary, {SCORE} AS score,
 WHERE source_key = 'opentargets' AND {SEARCHED.replace('disease 2', 'disease 1')} AND contains(lower(drug), 'drug 1')
 ORDER BY source_updated_at DESC NULLS LAST, 1, 2, 3, 4, 5, 6 LIMIT 20""")
 def _(t):
-    found = op.search(t("v_sources"), "opentargets", "Disease 1", drug="Drug 1", title="not searchable")
+    found = op.search(t("v_sources"), "opentargets", "Disease 1", drug="Drug 1")
     return found.withColumn("score", op.score()).drop("payload")
 
 
+@query("q32_search_payload_field", f"""
+SELECT record_id, gene_symbol, disease, drug, title, summary, source_updated_at FROM v_sources
+WHERE source_key = 'kegg' AND {SEARCHED} AND contains(lower(payload->>'$.pathway_id'), '1') AND contains(lower(gene_symbol), 'gene1')
+ORDER BY source_updated_at DESC NULLS LAST, 1, 2, 3, 4, 5, 6 LIMIT 500""")
+def _(t):
+    return op.search(t("v_sources"), "kegg", "disease 2", limit=500, pathway_id="1", gene="GENE1").drop("payload")
+
+
 @query("q32_search_all_sources", f"""
 SELECT source_key, record_id, gene_symbol, disease, drug, title, summary, source_updated_at FROM (
   SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY source_updated_at DESC NULLS LAST, record_id, gene_symbol,

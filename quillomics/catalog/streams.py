@@ -44,6 +44,20 @@ def _(t):
     return table.read()
 
 
+@query("s02_upsert_out_of_order", UPSERT_SQL)
+def _(t):
+    """The same from eight shards of mixed ages, one per batch: a later batch with an older order changes nothing."""
+    columns = ["o_custkey", "o_orderkey", "o_totalprice"]
+    orders = t("orders").select(*columns)
+    folder = scratch_path(t.spark, "order-shards")
+    orders.repartition(8, F.xxhash64("o_orderkey")).write.parquet(folder)
+    table = tables.VersionedTable(t.spark, scratch_path(t.spark, "latest"), orders.schema, keys=["o_custkey"], buckets=8)
+    ingest.upsert_shards(
+        t.spark, folder, orders.schema, table, scratch_path(t.spark, "latest-cp"), ["o_orderkey"], files_per_batch=1,
+    ).awaitTermination()
+    return table.read()
+
+
 @query("s03_distinct_records", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
     """Each (user, event type) once; the delay covers the whole table, so no repeat can pass."""

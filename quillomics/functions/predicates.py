@@ -15,10 +15,6 @@ def col(name: str | Column) -> Column:
     return F.col(name) if isinstance(name, str) else name
 
 
-def clamp_limit(limit: int, maximum: int = 200) -> int:
-    return min(max(1, limit), maximum)
-
-
 def equals(name: str, value) -> Column | None:
     return None if value in (None, "") else col(name) == F.lit(value)
 
@@ -32,7 +28,7 @@ def has_text(name: str, text: str | None) -> Column | None:
     return col(name).contains(F.lit(text)) if text else None
 
 
-def has_text_ignore_case(name: str, text: str | None) -> Column | None:
+def has_text_ignore_case(name: str | Column, text: str | None) -> Column | None:
     return F.lower(col(name)).contains(F.lit(text.lower())) if text else None
 
 

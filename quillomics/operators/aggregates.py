@@ -24,17 +24,13 @@ def keep_first_n(df: DataFrame, keys: Sequence[str], n: int, *order: Column) ->
 
 
 def representative(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], *order: str) -> DataFrame:
-    """Distinct keys with the attributes of their first row; combined map-side, nothing is sorted."""
+    """Distinct keys with the attributes of their first row; combined map-side."""
     first = F.min(F.struct(*order, *attributes)).alias("_first")
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{a}").alias(a) for a in attributes])
 
 
-def top_abs_per_group(df: DataFrame, keys: Sequence[str], value: str, n: int = 200, spread: int = 1) -> DataFrame:
-    """The n largest absolute values of each group.
-
-    Signature groups (a line and a drug) hold one row per gene, so they merge in
-    a single step; ``spread`` them when a group can grow with the data.
-    """
+def top_abs_per_group(df: DataFrame, keys: Sequence[str], value: str, n: int = 200, spread: int = R.SPREAD) -> DataFrame:
+    """The n largest absolute values of each group, merged in two steps so that a large group is spread."""
     return R.top_n_per_group(df, keys, n, R.abs_desc(value), spread=spread)
 
 
@@ -71,16 +67,17 @@ def _cells(df: DataFrame, column: str, entry: Column, keys: Column, wanted: str)
 def mean_matrix(df: DataFrame, row: str, column: str, value: str, n: int) -> DataFrame:
     """Mean of every (top row key, column) cell in long form, 0 where a cell is empty.
 
-    The raw rows are read and shuffled once; ranking the keys and filling the
-    grid work on the aggregated cells.
+    The rows are read once: each row key gathers its aggregated cells, at most as many as the grid has columns, and the
+    n leading keys are all that the grid is filled from. A null column is no cell.
     """
     cells = df.groupBy(row, column).agg(F.avg(value).alias("_mean"), F.max(F.abs(value)).alias("_peak"))
-    peaks = cells.groupBy(row).agg(F.max("_peak").alias("_peak"))
-    tops = R.top_k(peaks, n, F.col("_peak").desc_nulls_last())
-    keys = tops.agg(F.array_sort(F.collect_list(row))).scalar()
-    listed = cells.withColumn("_keys", keys).filter(F.array_contains("_keys", F.col(row))).drop("_keys")
-    grid = _cells(listed, column, F.struct(row, "_mean"), keys, row)
-    return grid.select(row, column, F.coalesce(F.col("_m")[F.col(row)], F.lit(0.0)).alias("mean_value"))
+    entry = F.when(F.col(column).isNotNull(), F.struct(column, "_mean"))
+    lines = cells.groupBy(row).agg(F.max("_peak").alias("_peak"), F.array_sort(F.collect_list(entry)).alias("_entries"))
+    tops = R.top_k(lines, n, F.col("_peak").desc_nulls_last())
+    names = F.array_distinct(F.flatten(F.collect_list(F.transform("_entries", lambda e: e[column])).over(Window.partitionBy(F.lit(0)))))
+    grid = tops.select(row, F.map_from_entries("_entries").alias("_m"), names.alias("_names"))
+    grid = grid.select(row, "_m", F.explode("_names").alias(column))
+    return grid.select(row, column, F.coalesce(F.col("_m")[F.col(column)], F.lit(0.0)).alias("mean_value"))
 
 
 def mean_pivot(df: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:
@@ -89,7 +86,8 @@ def mean_pivot(df: DataFrame, row: str, column: str, value: str, columns: Sequen
 
 
 def entity_matrix(df: DataFrame, entity: str, key: str, value: str, first_entity: str) -> DataFrame:
-    """Value of every entity on the keys of one entity, 0 where missing."""
+    """Value of every entity on the keys of one entity, 0 where missing; of repeated cells the largest value."""
+    df = df.groupBy(entity, key).agg(F.max(value).alias(value))
     keys = df.filter(F.col(entity) == first_entity).agg(F.array_sort(F.collect_set(key))).scalar()
     grid = _cells(df.select(entity, key, value), entity, F.struct(key, value), keys, key)
     return grid.select(entity, key, F.coalesce(F.col("_m")[F.col(key)], F.lit(0.0)).alias(value))
@@ -137,8 +135,8 @@ def coverage_shares(df: DataFrame, entity: str, source: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n_records") / total, 6))
 
 
-def mutation_rollup(mutations: DataFrame, per_gene: int = 50) -> DataFrame:
-    """Samples and cancer types per (gene, mutation type, protein change), most frequent first.
+def mutation_rollup(mutations: DataFrame, per_gene: int | None = None) -> DataFrame:
+    """Samples and cancer types per (gene, mutation type, protein change): all, or the most frequent of each gene.
 
     Counting by study first keeps one hot mutation spread over studies and leaves
     only distinct studies to be listed.

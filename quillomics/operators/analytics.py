@@ -118,7 +118,7 @@ def evidence_levels(records: DataFrame) -> DataFrame:
 def title_scores(records: DataFrame) -> DataFrame:
     """Scores written in titles, lowest first."""
     rows = records.select(
-        "gene_symbol", F.left("disease", F.lit(40)).alias("disease"),
+        "gene_symbol", "disease", F.left("disease", F.lit(40)).alias("label"),
         S.first_match("title", r"score:\s*([\d.]+)").try_cast("double").alias("score"),
     ).filter(F.col("score").isNotNull() & (F.col("disease") != ""))
     return rows.orderBy(F.col("score").asc(), *R.tie_break(rows))
@@ -154,10 +154,11 @@ def significance_by_gene(records: DataFrame) -> DataFrame:
     )
 
 
-def disease_counts(records: DataFrame, k: int = 15) -> DataFrame:
-    name = F.left(F.coalesce(F.nullif("disease", F.lit("")), F.lit("Unknown")), F.lit(35))
+def disease_counts(records: DataFrame, k: int | None = 15) -> DataFrame:
+    """Records per disease by its full name; only the label is cut."""
+    name = F.coalesce(F.nullif("disease", F.lit("")), F.lit("Unknown"))
     counts = records.groupBy(name.alias("disease")).agg(F.count(F.lit(1)).alias("n"))
-    return R.top_k(counts, k, F.col("n").desc())
+    return R.top_k(counts, k, F.col("n").desc()).withColumn("label", F.left("disease", F.lit(35)))
 
 
 def test_kind(text: Column) -> Column:
@@ -179,17 +180,26 @@ TISSUE_LEVELS = {"Not detected": 0, "Low": 1, "Medium": 2, "High": 3}
 
 
 def tissue_levels(records: DataFrame) -> DataFrame:
-    """Tissue and detection level out of titles such as 'GENE in tissue: High'."""
+    """Tissue with the measured expression (nTPM) of the payload, or the detection level of the title.
+
+    Titles end in a word ('GENE in tissue: High') or in the measured value; the word gives ``level``, 0 without one.
+    """
     title = F.col("title")
-    level = F.trim(F.split_part(title, F.lit(":"), F.lit(-1)))
+    word = F.trim(F.split_part(title, F.lit(":"), F.lit(-1)))
     code = F.lit(0)
     for name, value in TISSUE_LEVELS.items():
-        code = F.when(level == name, F.lit(value)).otherwise(code)
+        code = F.when(word == name, F.lit(value)).otherwise(code)
     tissue = F.trim(F.split_part(F.split_part(title, F.lit(" in "), F.lit(2)), F.lit(":"), F.lit(1)))
-    rows = records.filter(title.contains(" in ") & title.contains(":")).select(
-        "gene_symbol", tissue.alias("tissue"), code.alias("level")
+    return records.filter(title.contains(" in ") & title.contains(":")).select(
+        "gene_symbol", tissue.alias("tissue"), code.alias("level"), Q.V.field("nTPM", "double").alias("n_tpm"),
+    )
+
+
+def tissue_ranking(levels: DataFrame) -> DataFrame:
+    """Tissues of ``tissue_levels``, most expressed first: by measured value, then by level."""
+    return levels.orderBy(
+        F.col("n_tpm").desc_nulls_last(), F.col("level").desc(), F.col("tissue").desc(), "gene_symbol"
     )
-    return rows.orderBy(F.col("level").desc(), F.col("tissue").desc(), "gene_symbol")
 
 
 def modality_counts(tractability: DataFrame) -> DataFrame:
@@ -211,7 +221,7 @@ def risk_ranking(risk_genes: DataFrame, k: int = 25) -> DataFrame:
     return best.orderBy(F.col("neg_log10_fdr").asc(), *R.tie_break(best))
 
 
-def effects_per_cell_type(mouse_effects: DataFrame, k: int = 15) -> DataFrame:
+def effects_per_cell_type(mouse_effects: DataFrame, k: int | None = 15) -> DataFrame:
     best = R.top_k(mouse_effects.select("cell_type", "n_sig_effects"), k, F.col("n_sig_effects").desc())
     return best.orderBy(F.col("n_sig_effects").asc(), "cell_type")
 
@@ -223,8 +233,8 @@ def phenotype_bars(screen_rows: DataFrame) -> DataFrame:
         F.left(F.coalesce("screen_name", F.lit("")), F.lit(25)),
         F.coalesce("phenotype_name", F.lit("")),
     )
-    rows = screen_rows.select(label.alias("label"), "phenotype_score")
-    return rows.orderBy(F.col("phenotype_score").asc_nulls_last(), "label")
+    rows = screen_rows.select("screen_name", "phenotype_name", label.alias("label"), "phenotype_score")
+    return rows.orderBy(F.col("phenotype_score").asc_nulls_last(), "label", "screen_name", "phenotype_name")
 
 
 def association_bars(records: DataFrame, n: int = 10) -> DataFrame:
@@ -247,7 +257,8 @@ def association_bars(records: DataFrame, n: int = 10) -> DataFrame:
     )
     return numbered.select(
         "gene",
-        F.left(F.coalesce("disease", F.lit("Unknown")), F.lit(40)).alias("disease"),
+        F.coalesce("disease", F.lit("Unknown")).alias("disease"),
+        F.left(F.coalesce("disease", F.lit("Unknown")), F.lit(40)).alias("label"),
         F.coalesce("_score", F.lit(0.0)).alias("score"),
         "therapeutic_area",
         "colour",

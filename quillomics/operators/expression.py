@@ -84,7 +84,7 @@ def cosine(vector: str, query: Column) -> Column:
 
 
 def nearest(
-    items: DataFrame, query: Column | Sequence[float], limit: int = 5, item_id: str = "vec_id", vector: str = "embedding"
+    items: DataFrame, query: Column | Sequence[float], limit: int | None = 5, item_id: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """The k most similar items to one query vector: one scan, k rows kept per task, no pairs formed."""
     if not isinstance(query, Column):
@@ -92,4 +92,4 @@ def nearest(
     # The query becomes a column first: a scalar subquery may not sit inside a lambda.
     paired = items.select(item_id, vector, query.alias("_query"))
     scored = paired.select(item_id, F.round(cosine(vector, F.col("_query")), 6).alias("similarity"))
-    return R.top_k(scored, P.clamp_limit(limit), F.col("similarity").desc_nulls_last())
+    return R.top_k(scored, limit, F.col("similarity").desc_nulls_last())

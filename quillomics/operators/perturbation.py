@@ -25,7 +25,7 @@ def _effects(df: DataFrame, *lead) -> DataFrame:
 
 
 def knockout_effects(
-    diff_expr: DataFrame, gene_target: str, cell_type: str = "", pval_threshold: float = 0.05, limit: int = 50
+    diff_expr: DataFrame, gene_target: str, cell_type: str = "", pval_threshold: float = 0.05, limit: int | None = 50
 ) -> DataFrame:
     """Strongest significant effects of one perturbation."""
     hits = P.where(
@@ -35,11 +35,11 @@ def knockout_effects(
         P.has_text("group_name", cell_type),
     )
     rows = _effects(hits, F.col("de_gene").alias("affected_gene"))
-    return R.top_k(rows, P.clamp_limit(limit), R.abs_desc("log2fc"))
+    return R.top_k(rows, limit, R.abs_desc("log2fc"))
 
 
 def knockouts_affecting(
-    diff_expr: DataFrame, gene_name: str, cell_type: str = "", pval_threshold: float = 0.05, limit: int = 50
+    diff_expr: DataFrame, gene_name: str, cell_type: str = "", pval_threshold: float = 0.05, limit: int | None = 50
 ) -> DataFrame:
     """Perturbations that move one gene most."""
     hits = P.where(
@@ -49,29 +49,29 @@ def knockouts_affecting(
         P.has_text("group_name", cell_type),
     )
     rows = _effects(hits, F.col("gene_target").alias("knockout"))
-    return R.top_k(rows, P.clamp_limit(limit), R.abs_desc("log2fc"))
+    return R.top_k(rows, limit, R.abs_desc("log2fc"))
 
 
 def knockout_effects_by_target(
-    diff_expr: DataFrame, n: int = 50, pval_threshold: float = 0.05, targets: DataFrame | None = None
+    diff_expr: DataFrame, n: int | None = 50, pval_threshold: float = 0.05, targets: DataFrame | None = None
 ) -> DataFrame:
     """Batched form: the top n effects of every target (or of the given ones) in one job."""
     hits = diff_expr.filter((F.col("pvalue_adj") < pval_threshold) & F.col("gene_target").isNotNull())
     if targets is not None:
         hits = hits.join(targets.select("gene_target"), "gene_target", "left_semi")
     rows = _effects(hits, "gene_target", F.col("de_gene").alias("affected_gene"))
-    return R.top_n_per_group(rows, ["gene_target"], P.clamp_limit(n), R.abs_desc("log2fc"))
+    return R.top_n_per_group(rows, ["gene_target"], n, R.abs_desc("log2fc"))
 
 
-def knockouts_affecting_by_gene(diff_expr: DataFrame, n: int = 50, pval_threshold: float = 0.05) -> DataFrame:
+def knockouts_affecting_by_gene(diff_expr: DataFrame, n: int | None = 50, pval_threshold: float = 0.05) -> DataFrame:
     """Batched reverse lookup: the top n perturbations of every affected gene."""
     hits = diff_expr.filter((F.col("pvalue_adj") < pval_threshold) & F.col("de_gene").isNotNull())
     rows = _effects(hits, "de_gene", F.col("gene_target").alias("knockout"))
-    return R.top_n_per_group(rows, ["de_gene"], P.clamp_limit(n), R.abs_desc("log2fc"))
+    return R.top_n_per_group(rows, ["de_gene"], n, R.abs_desc("log2fc"))
 
 
 def ndd_risk_genes(
-    ndd_genes: DataFrame, disorder: str = "NDD", fdr_threshold: float = 0.1, limit: int = 50
+    ndd_genes: DataFrame, disorder: str = "NDD", fdr_threshold: float = 0.1, limit: int | None = 50
 ) -> DataFrame:
     """Genes under a false-discovery threshold for one disorder. Text that is no number counts as missing."""
     disorder = disorder.upper()
@@ -87,11 +87,11 @@ def ndd_risk_genes(
         *flags,
     )
     return R.top_k(
-        rows.filter(F.col("fdr") < fdr_threshold).distinct(), P.clamp_limit(limit), F.col("fdr").asc()
+        rows.filter(F.col("fdr") < fdr_threshold).distinct(), limit, F.col("fdr").asc()
     )
 
 
-def brain_cell_types(cell_metadata: DataFrame, region_filter: str = "", limit: int = 50) -> DataFrame:
+def brain_cell_types(cell_metadata: DataFrame, region_filter: str = "", limit: int | None = 50) -> DataFrame:
     """Cell counts by class, subclass, neuron type and region, over cells that passed QC."""
     keys = ["predicted_class", "predicted_subclass", "neuron_type", "region_level1", "region_level2"]
     cells = P.where(
@@ -100,13 +100,13 @@ def brain_cell_types(cell_metadata: DataFrame, region_filter: str = "", limit: i
         P.any_has_text(["predicted_class", "region_level1", "neuron_type"], region_filter),
     )
     counts = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"))
-    return R.top_k(counts, P.clamp_limit(limit, 100), F.col("n_cells").desc())
+    return R.top_k(counts, limit, F.col("n_cells").desc())
 
 
-def knockout_targets(cell_metadata: DataFrame, search: str = "", limit: int = 50) -> DataFrame:
+def knockout_targets(cell_metadata: DataFrame, search: str = "", limit: int | None = 50) -> DataFrame:
     """Perturbed genes by name, without the control key."""
     targets = P.where(cell_metadata, P.is_target(), P.has_text_ignore_case("gene_target", search))
-    return R.top_k(targets.select("gene_target").distinct(), P.clamp_limit(limit), F.col("gene_target").asc())
+    return R.top_k(targets.select("gene_target").distinct(), limit, F.col("gene_target").asc())
 
 
 def target_summary(cell_metadata: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def target_summary(cell_metadata: DataFrame) -> DataFrame:
 
 
 def screen_hits(
-    screens: DataFrame, gene: str, cell_type: str = "", phenotype: str = "", limit: int = 50
+    screens: DataFrame, gene: str, cell_type: str = "", phenotype: str = "", limit: int | None = 50
 ) -> DataFrame:
     """Screen results of one gene, strongest phenotype first."""
     wanted = [
@@ -146,20 +146,20 @@ def screen_hits(
         P.has_text_ignore_case("cell_type", cell_type),
         P.has_text_ignore_case("phenotype_name", phenotype),
     )
-    return R.top_k(rows.select(*wanted), P.clamp_limit(limit), R.abs_desc("phenotype_score"))
+    return R.top_k(rows.select(*wanted), limit, R.abs_desc("phenotype_score"))
 
 
 SCREEN_KEYS = ["screen_name", "cell_type", "genotype", "crispr_mode", "phenotype_name"]
 
 
-def list_screens(screens: DataFrame, cell_type: str = "", limit: int = 50) -> DataFrame:
+def list_screens(screens: DataFrame, cell_type: str = "", limit: int | None = 50) -> DataFrame:
     """Genes and hits per screen, most hits first."""
     rows = P.where(screens, P.has_text_ignore_case("cell_type", cell_type))
     counts = rows.groupBy(*SCREEN_KEYS).agg(
         F.count(F.lit(1)).alias("n_genes"),
         F.count_if(F.col("hit_class") != "none").alias("n_hits"),
     )
-    return R.top_k(counts, P.clamp_limit(limit, 100), F.col("n_hits").desc())
+    return R.top_k(counts, limit, F.col("n_hits").desc())
 
 
 def screen_validation(screens: DataFrame) -> DataFrame:
@@ -183,20 +183,20 @@ def _mouse_effects(diff_expr: DataFrame, *keys) -> DataFrame:
     )
 
 
-def cross_species_human(screens: DataFrame, gene: str, limit: int = 30) -> DataFrame:
+def cross_species_human(screens: DataFrame, gene: str, limit: int | None = 30) -> DataFrame:
     rows = screens.filter(F.upper("gene") == gene.upper()).select(
         "screen_name", "cell_type", "phenotype_name", "phenotype_score", "pvalue", "hit_class"
     )
-    return R.top_k(rows, P.clamp_limit(limit, 100), R.abs_desc("phenotype_score"))
+    return R.top_k(rows, limit, R.abs_desc("phenotype_score"))
 
 
-def cross_species_mouse(diff_expr: DataFrame, gene: str, limit: int = 30) -> DataFrame:
+def cross_species_mouse(diff_expr: DataFrame, gene: str, limit: int | None = 30) -> DataFrame:
     """Effects per cell type; mouse symbols are written in title case."""
     effects = _mouse_effects(diff_expr.filter(F.col("gene_target") == gene.capitalize()))
-    return R.top_k(effects, P.clamp_limit(limit, 100), F.col("n_sig_effects").desc())
+    return R.top_k(effects, limit, F.col("n_sig_effects").desc())
 
 
-def compare_cross_species(screens: DataFrame, diff_expr: DataFrame, gene: str, limit: int = 30) -> DataFrame:
+def compare_cross_species(screens: DataFrame, diff_expr: DataFrame, gene: str, limit: int | None = 30) -> DataFrame:
     """Human screens and mouse effects of one gene as one tagged table."""
     human = cross_species_human(screens, gene, limit).select(F.lit("human").alias("species"), "*")
     mouse = cross_species_mouse(diff_expr, gene, limit).select(F.lit("mouse").alias("species"), "*")
@@ -242,7 +242,7 @@ def summarize(cell_metadata: DataFrame, screens: DataFrame) -> DataFrame:
 
 
 def phenotype_hits(
-    diff_expr: DataFrame, gene_symbol: str, phenotype_filter: str = "", limit: int = 15
+    diff_expr: DataFrame, gene_symbol: str, phenotype_filter: str = "", limit: int | None = 15
 ) -> DataFrame:
     """Most significant phenotypes of a gene, with the number of matches before the limit."""
     rows = P.where(
@@ -255,5 +255,5 @@ def phenotype_hits(
         F.col("log2fc").alias("effect_size"),
     )
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    best = R.top_k(rows, P.clamp_limit(limit), F.col("p_value").asc_nulls_last())
+    best = R.top_k(rows, limit, F.col("p_value").asc_nulls_last())
     return best.withColumn("total_phenotypes", total)

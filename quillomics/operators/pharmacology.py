@@ -15,7 +15,7 @@ def drug_perturbations(
     gene_symbol: str = "",
     cell_line: str = "",
     neuronal_only: bool = False,
-    limit: int = 50,
+    limit: int | None = 50,
 ) -> DataFrame:
     """Expression signatures, largest absolute z-score first. At least one filter is required."""
     filters = [
@@ -33,11 +33,11 @@ def drug_perturbations(
         )
         if c in signatures.columns
     ]
-    return R.top_k(P.where(signatures, *filters).select(*wanted), P.clamp_limit(limit), R.abs_desc("zscore"))
+    return R.top_k(P.where(signatures, *filters).select(*wanted), limit, R.abs_desc("zscore"))
 
 
 def receptor_pharmacology(
-    activities: DataFrame, compound: str = "", target: str = "", assay_type: str = "", limit: int = 50
+    activities: DataFrame, compound: str = "", target: str = "", assay_type: str = "", limit: int | None = 50
 ) -> DataFrame:
     """Binding activities, most potent first; without filters, every named molecule."""
     filters = [
@@ -57,7 +57,7 @@ def receptor_pharmacology(
         if c in activities.columns
     ]
     rows = P.where(activities, *filters).select(*wanted)
-    return R.top_k(rows, P.clamp_limit(limit), F.col("pchembl_value").desc_nulls_last())
+    return R.top_k(rows, limit, F.col("pchembl_value").desc_nulls_last())
 
 
 def _per_line(cells: DataFrame, *keys: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _per_line(cells: DataFrame, *keys: str) -> DataFrame:
     return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
 
 
-def list_drugs(drug_cells: DataFrame, search: str = "", cell_line: str = "", limit: int = 50) -> DataFrame:
+def list_drugs(drug_cells: DataFrame, search: str = "", cell_line: str = "", limit: int | None = 50) -> DataFrame:
     """Cells and distinct cell lines per drug and mechanism."""
     cells = P.where(
         drug_cells,
@@ -78,20 +78,20 @@ def list_drugs(drug_cells: DataFrame, search: str = "", cell_line: str = "", lim
         .groupBy("drug", "moa")
         .agg(F.sum("_c").alias("n_cells"), F.count("cell_line_id").alias("n_cell_lines"))
     )
-    return R.top_k(counts, P.clamp_limit(limit), F.col("n_cells").desc())
+    return R.top_k(counts, limit, F.col("n_cells").desc())
 
 
-def drug_clusters(drug_cells: DataFrame, drug: str = "", cell_line: str = "", limit: int = 50) -> DataFrame:
+def drug_clusters(drug_cells: DataFrame, drug: str = "", cell_line: str = "", limit: int | None = 50) -> DataFrame:
     """Cell counts by drug, line, mechanism and cluster."""
     cells = P.where(
         drug_cells, P.has_text_ignore_case("drug", drug), P.has_text_ignore_case("cell_line_id", cell_line)
     )
     counts = cells.groupBy("drug", "cell_line_id", "moa", "cluster").agg(F.count(F.lit(1)).alias("n_cells"))
-    return R.top_k(counts, P.clamp_limit(limit), F.col("drug").asc_nulls_first(), F.col("n_cells").desc())
+    return R.top_k(counts, limit, F.col("drug").asc_nulls_first(), F.col("n_cells").desc())
 
 
 def moa_distribution(
-    drug_cells: DataFrame, moa_filter: str = "", limit: int = 50, drop_unknown: bool = False
+    drug_cells: DataFrame, moa_filter: str = "", limit: int | None = 50, drop_unknown: bool = False
 ) -> DataFrame:
     """Distinct drugs, distinct lines and cells per mechanism.
 
@@ -112,7 +112,7 @@ def moa_distribution(
             F.countDistinct("cell_line_id").alias("n_cell_lines"),
         )
     )
-    return R.top_k(counts, P.clamp_limit(limit), F.col("n_drugs").desc())
+    return R.top_k(counts, limit, F.col("n_drugs").desc())
 
 
 def moa_distribution_approx(drug_cells: DataFrame, rsd: float = 0.02) -> DataFrame:

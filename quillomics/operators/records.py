@@ -110,12 +110,12 @@ def test_columns() -> list[Column]:
     ]
 
 
-def associations(records: DataFrame, gene_symbol: str, limit: int = 20) -> DataFrame:
+def associations(records: DataFrame, gene_symbol: str, limit: int | None = 20) -> DataFrame:
     rows = P.where(records, is_gene(records, gene_symbol)).select(*association_columns())
     return R.top_k(rows, limit, F.col("association_score").desc_nulls_last())
 
 
-def reviewed_variants(records: DataFrame, gene_symbol: str, limit: int = 50) -> DataFrame:
+def reviewed_variants(records: DataFrame, gene_symbol: str, limit: int | None = 50) -> DataFrame:
     rows = P.where(records, is_gene(records, gene_symbol), is_variant()).select(*variant_columns())
     return R.top_k(rows, limit, F.col("review_stars").desc_nulls_last())
 
@@ -130,27 +130,27 @@ def pathways(records: DataFrame, gene_symbol: str) -> DataFrame:
     return rows.orderBy(F.col("title").asc_nulls_first(), *R.tie_break(rows))
 
 
-def mutations(records: DataFrame, gene_symbol: str, limit: int = 20) -> DataFrame:
+def mutations(records: DataFrame, gene_symbol: str, limit: int | None = 20) -> DataFrame:
     return R.top_k(P.where(records, is_gene(records, gene_symbol)).select(*mutation_columns()), limit)
 
 
-def proteins(records: DataFrame, gene_symbol: str, limit: int = 5) -> DataFrame:
+def proteins(records: DataFrame, gene_symbol: str, limit: int | None = 5) -> DataFrame:
     return R.top_k(P.where(records, is_gene(records, gene_symbol)).select(*protein_columns()), limit)
 
 
-def tests(records: DataFrame, gene_symbol: str, limit: int = 20) -> DataFrame:
+def tests(records: DataFrame, gene_symbol: str, limit: int | None = 20) -> DataFrame:
     return R.top_k(P.where(records, is_gene(records, gene_symbol)).select(*test_columns()), limit)
 
 
-def disease_landscape(records: DataFrame, disease_filter: str = "", limit: int = 15) -> DataFrame:
+def disease_landscape(records: DataFrame, disease_filter: str = "", limit: int | None = 200) -> DataFrame:
     """Highest-scoring gene-disease pairs overall."""
     rows = P.where(records, P.has_text_ignore_case("disease", disease_filter)).select(
         "gene_symbol", "disease", score().alias("score"), therapeutic_area().alias("therapeutic_area")
     )
-    return R.top_k(rows, min(limit * 15, 200), F.col("score").desc_nulls_last())
+    return R.top_k(rows, limit, F.col("score").desc_nulls_last())
 
 
-def disease_landscape_per_gene(records: DataFrame, disease_filter: str = "", limit: int = 15) -> DataFrame:
+def disease_landscape_per_gene(records: DataFrame, disease_filter: str = "", limit: int | None = 15) -> DataFrame:
     """Highest-scoring diseases of every gene."""
     rows = P.where(records, P.has_text_ignore_case("disease", disease_filter)).select(
         "gene_symbol", "disease", score().alias("score"), therapeutic_area().alias("therapeutic_area")
@@ -174,7 +174,7 @@ def constraint_table(records: DataFrame, gene_symbol: str = "") -> DataFrame:
     return rows.orderBy(F.col("pLI").desc_nulls_last(), *R.tie_break(rows))
 
 
-def constraint_scores(records: DataFrame, gene_symbol: str = "", limit: int = 20) -> DataFrame:
+def constraint_scores(records: DataFrame, gene_symbol: str = "", limit: int | None = 20) -> DataFrame:
     columns = [
         F.col("gene_symbol"), F.col("title"), *V.constraint("pLI"),
         V.field("constraint.oe_lof_upper", "double").alias("LOEUF"), *V.constraint("mis_z", "obs_lof", "exp_lof"),
@@ -183,11 +183,11 @@ def constraint_scores(records: DataFrame, gene_symbol: str = "", limit: int = 20
     return R.top_k(rows, limit, F.col("pLI").desc_nulls_last())
 
 
-def _listing(records: DataFrame, columns: list[str], limit: int, *conditions, order=()) -> DataFrame:
+def _listing(records: DataFrame, columns: list[str], limit: int | None, *conditions, order=()) -> DataFrame:
     return R.top_k(P.where(records, *conditions).select(*columns), limit, *order)
 
 
-def titled_variants(records: DataFrame, gene_symbol: str = "", significance_text: str = "", limit: int = 20):
+def titled_variants(records: DataFrame, gene_symbol: str = "", significance_text: str = "", limit: int | None = 20):
     return _listing(
         records, ["gene_symbol", "title"], limit,
         is_variant(), is_gene(records, gene_symbol), P.has_text_ignore_case("title", significance_text),
@@ -195,7 +195,7 @@ def titled_variants(records: DataFrame, gene_symbol: str = "", significance_text
 
 
 def target_associations(
-    records: DataFrame, gene_symbol: str = "", disease: str = "", limit: int = 20, by_score: bool = False
+    records: DataFrame, gene_symbol: str = "", disease: str = "", limit: int | None = 20, by_score: bool = False
 ) -> DataFrame:
     """Associations with a disease, ordered by title as text, or by the stored score."""
     rows = P.where(
@@ -208,28 +208,28 @@ def target_associations(
     return R.top_k(rows.select(*columns), limit, F.col("title").desc_nulls_last())
 
 
-def tractability(records: DataFrame, gene_symbol: str = "", limit: int = 20) -> DataFrame:
+def tractability(records: DataFrame, gene_symbol: str = "", limit: int | None = 20) -> DataFrame:
     return _listing(
         records, ["gene_symbol", "title", "summary"], limit,
         F.col("title").contains(TRACTABILITY_TITLE), is_gene(records, gene_symbol),
     )
 
 
-def clinical_evidence(records: DataFrame, gene_symbol: str = "", disease: str = "", limit: int = 20) -> DataFrame:
+def clinical_evidence(records: DataFrame, gene_symbol: str = "", disease: str = "", limit: int | None = 20) -> DataFrame:
     return _listing(
         records, ["gene_symbol", "disease", "drug", "title", "summary"], limit,
         is_gene(records, gene_symbol), P.has_text_ignore_case("disease", disease),
     )
 
 
-def cancer_mutations(records: DataFrame, gene_symbol: str = "", cancer_type: str = "", limit: int = 20) -> DataFrame:
+def cancer_mutations(records: DataFrame, gene_symbol: str = "", cancer_type: str = "", limit: int | None = 20) -> DataFrame:
     return _listing(
         records, ["gene_symbol", "disease", "title", "summary"], limit,
         is_gene(records, gene_symbol), P.has_text_ignore_case("disease", cancer_type),
     )
 
 
-def phenotype_associations(records: DataFrame, gene_symbol: str = "", disease: str = "", limit: int = 20) -> DataFrame:
+def phenotype_associations(records: DataFrame, gene_symbol: str = "", disease: str = "", limit: int | None = 20) -> DataFrame:
     """The disease text may sit in either column, but always within the asked gene."""
     return _listing(
         records, ["gene_symbol", "disease", "title", "summary"], limit,
@@ -237,7 +237,7 @@ def phenotype_associations(records: DataFrame, gene_symbol: str = "", disease: s
     )
 
 
-def titled(records: DataFrame, gene_symbol: str = "", title_text: str = "", limit: int = 20) -> DataFrame:
+def titled(records: DataFrame, gene_symbol: str = "", title_text: str = "", limit: int | None = 20) -> DataFrame:
     """Gene, title and summary, narrowed by title text: tests, proteins, tissues and pathways."""
     return _listing(
         records, ["gene_symbol", "title", "summary"], limit,
@@ -248,23 +248,36 @@ def titled(records: DataFrame, gene_symbol: str = "", title_text: str = "", limi
 SEARCH_COLUMNS = ("gene_symbol", "disease", "drug", "title", "summary")
 
 
-def search(records: DataFrame, source_key: str, text: str, limit: int = 20, **filters: str) -> DataFrame:
-    """Free-text search in one source, newest first. Filters apply to searchable columns only."""
+# Searchable fields that are written under a common column.
+FIELD_COLUMNS = {"gene": "gene_symbol", "condition": "disease", "drug_name": "drug", "therapy": "drug", "intervention": "drug"}
+
+
+def searched(records: DataFrame, name: str) -> Column:
+    """The text that a searchable field stands for."""
+    column = FIELD_COLUMNS.get(name, name)
+    return F.col(column) if column in records.columns else V.field(name)
+
+
+def search(records: DataFrame, source_key: str, text: str, limit: int | None = 20, **filters: str) -> DataFrame:
+    """Free-text search in one source, newest first, narrowed by the source's searchable fields."""
     return search_sources(records, [source_key], text, limit, **filters).drop("source_key")
 
 
 def search_sources(
-    records: DataFrame, source_keys: list[str], text: str, limit: int = 20, **filters: str
+    records: DataFrame, source_keys: list[str], text: str, limit: int | None = 20, **filters: str
 ) -> DataFrame:
-    """The newest matches of each given source, in one job."""
+    """The newest matches of each given source, in one job.
+
+    A filter names a searchable field of every source searched: a column of the records, or a field of the payload. Any
+    other name is an error.
+    """
     matches = []
     for key in source_keys:
         source = registry.get(key)
-        extra = [
-            P.has_text_ignore_case(name, value)
-            for name, value in filters.items()
-            if value and name in source.searchable_fields and name in records.columns
-        ]
+        unknown = sorted(name for name, value in filters.items() if value and name not in source.searchable_fields)
+        if unknown:
+            raise ValueError(f"{key} cannot be searched by {', '.join(unknown)}; fields: {', '.join(source.searchable_fields)}")
+        extra = [P.has_text_ignore_case(searched(records, name), value) for name, value in filters.items() if value]
         matches.append(P.all_of(F.col("source_key") == key, *extra))
     rows = P.where(records, P.any_has_text(SEARCH_COLUMNS, text), P.any_of(matches)).select(
         "source_key", "record_id", *SEARCH_COLUMNS, "payload", "source_updated_at"
@@ -304,14 +317,14 @@ def mutation_landscape(records: DataFrame) -> DataFrame:
     )
 
 
-def high_score_pairs(records: DataFrame, minimum: float = 0.5, limit: int = 30) -> DataFrame:
+def high_score_pairs(records: DataFrame, minimum: float = 0.5, limit: int | None = 30) -> DataFrame:
     rows = records.select(
         "gene_symbol", "disease", score().alias("score"), therapeutic_area().alias("therapeutic_area")
     ).filter(F.col("score") >= minimum)
     return R.top_k(rows, limit, F.col("score").desc())
 
 
-def query_history(log: DataFrame, limit: int = 50) -> DataFrame:
+def query_history(log: DataFrame, limit: int | None = 50) -> DataFrame:
     """Latest entries of the query log."""
     columns = [
         c

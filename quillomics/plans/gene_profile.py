@@ -49,23 +49,43 @@ def _section_of() -> Column:
     return chain
 
 
-def _tagged(records: DataFrame) -> DataFrame:
+def section_fields(records: DataFrame) -> dict[str, list[str]]:
+    """Names of the fields that each section shows besides record_id and rank."""
+    return {name: records.select(*columns()).columns for name, columns in FIELDS.items()}
+
+
+FIELDS = {
+    "associations": Q.association_columns, "variants": Q.variant_columns, "constraint": Q.constraint_columns,
+    "pathways": Q.pathway_columns, "mutations": Q.mutation_columns, "proteins": Q.protein_columns, "tests": Q.test_columns,
+}
+
+
+def _tagged(records: DataFrame, fields: bool = False) -> DataFrame:
+    """Rows with their section; with ``fields`` also everything that any section shows, NULL in other sections."""
+    shown = {}
+    if fields:
+        plain = {"title", "disease", "summary"}
+        for section, columns in FIELDS.items():
+            for name, column in zip(section_fields(records)[section], columns(), strict=True):
+                if name not in plain:  # some sections read a field of one name from different paths
+                    shown[name] = F.when(_section_of() == section, column).otherwise(shown.get(name))
     return records.select(
         Q.gene_key(records).alias("gene"),
         _section_of().alias("section"),
         "record_id", "title", "disease", "summary",
         Q.score().alias("_score"),
         Q.V.field("gold_stars", "int").alias("_stars"),
+        *[column.alias(name) for name, column in shown.items()],
     ).filter(F.col("section").isNotNull() & F.col("gene").isNotNull())
 
 
-def capped_rows(records: DataFrame) -> DataFrame:
+def capped_rows(records: DataFrame, fields: bool = False) -> DataFrame:
     """The best records of every capped section of every gene.
 
     One window over (gene, section) ranks all sections, so six queries per gene
     become one job for all genes.
     """
-    capped = _tagged(records).filter(F.col("section") != "pathways")
+    capped = _tagged(records, fields).filter(F.col("section") != "pathways")
     lead = F.when(F.col("section") == "associations", F.col("_score")).when(
         F.col("section") == "variants", F.col("_stars").cast("double")
     )
@@ -112,14 +132,24 @@ def coverage(records: DataFrame, capped: bool = True) -> DataFrame:
 
 
 def profile(records: DataFrame) -> DataFrame:
-    """One row per gene: its coverage and, per capped section, the ranked titles kept."""
-    kept = capped_rows(records)
-    entry = F.struct("rank", "record_id", "title", "disease")
-    lists = kept.groupBy("gene").agg(
+    """One row per gene: its coverage and, per section, the records shown with all their fields.
+
+    Pathways have no cap and come in the order of their titles, the other sections by rank. The records are read twice:
+    for the counts, from three columns, and for the lists.
+    """
+    names = section_fields(records)
+    kept = capped_rows(records, fields=True)
+    pathways = _tagged(records, fields=True).filter(F.col("section") == "pathways").drop("_score", "_stars")
+    rows = kept.unionByName(pathways.withColumn("rank", F.lit(0)))
+    lists = rows.groupBy("gene").agg(
         *[
-            F.array_sort(F.collect_list(F.when(F.col("section") == s.name, entry))).alias(s.name)
+            F.array_sort(F.collect_list(F.when(F.col("section") == s.name, F.struct("rank", *_lead(names[s.name]))))).alias(s.name)
             for s in sections()
-            if s.name != "pathways"
         ]
     )
     return coverage(records).join(lists, "gene", "left")
+
+
+def _lead(names: list[str]) -> list[str]:
+    """Fields of a list entry; title and record_id come first, so that entries of equal rank follow them."""
+    return sorted([*names, "record_id"], key=lambda n: (n != "title", n != "record_id"))

@@ -130,7 +130,7 @@ def receptor_activities(raw: DataFrame, compounds: DataFrame, curated: DataFrame
         S.parse_double("standard_value").alias("standard_value"),
         F.coalesce("standard_units", F.lit("")).alias("standard_units"),
         S.parse_double("pchembl_value").alias("pchembl_value"),
-        F.left(F.coalesce("assay_description", F.lit("")), F.lit(200)).alias("assay_description"),
+        F.coalesce("assay_description", F.lit("")).alias("assay_description"),
     )
     blank = {"compound_brand": "", "compound_company": ""}
     out = joins.lookup(landed, compounds, ["molecule_id"], {**blank, "selectivity_class": "unknown"})

@@ -4,7 +4,9 @@ Each function takes a frame of landed documents (JSON text in ``raw``, one API
 response per row) and emits the common columns. A document is parsed once into
 typed columns; the entries of all its record kinds are exploded together, and
 titles and summaries are then plain column expressions. Nothing is shuffled.
-A document that does not read under its schema goes to ``quarantine`` whole.
+A field of another type than expected is missing in its record; the rest of the
+record and of the document stays, and ``mistyped`` lists the field. Only text that
+is no JSON object goes to ``quarantine`` whole.
 """
 
 from __future__ import annotations
@@ -13,26 +15,50 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NullType
+from pyspark.sql.types import ArrayType, DataType, NullType, StructType, VariantType
 
 from ..functions import scalars as S
 from ..operators import aggregates as G
 from ..operators import joins
 
 NONE = "None"
-CORRUPT = "_corrupt_record"
 
 
-def _read(docs: DataFrame, schema: str) -> DataFrame:
-    full = f"{schema.strip()}, {CORRUPT} string"
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return docs.withColumn("_d", F.from_json("raw", full, options))
+def parsed(docs: DataFrame, schema: str) -> DataFrame:
+    """Documents with their body in ``d``, which is NULL for an unreadable one.
 
+    Every field is cast by itself, so one of another type is NULL and the others stay.
+    """
+    return docs.withColumn("d", F.try_variant_get(F.try_parse_json("raw"), "$", schema.strip()))
 
-def parsed(docs: DataFrame, schema: str) -> DataFrame:
-    """Documents with their body in ``d``, which is NULL for an unreadable one."""
-    read = _read(docs, schema)
-    return read.withColumn("d", F.when(F.col(f"_d.{CORRUPT}").isNull(), F.col("_d"))).drop("_d")
+
+def _unread(value: Column, kind: DataType, path: str) -> list[Column]:
+    """Paths of fields that are given but do not read as ``kind``: one text or NULL per field."""
+    given = value.isNotNull() & ~F.is_variant_null(value)
+    if isinstance(kind, VariantType):
+        return []
+    simple = "array<variant>" if isinstance(kind, ArrayType) else "struct<>" if isinstance(kind, StructType) else kind.simpleString()
+    if isinstance(kind, StructType):
+        wrong = given & ~F.schema_of_variant(value).startswith("OBJECT")
+        inner = [p for f in kind.fields for p in _unread(F.try_variant_get(value, f"$['{f.name}']", "variant"), f.dataType, f"{path}.{f.name}")]
+        return [F.when(wrong, path), *inner]
+    found = F.when(given & F.try_variant_get(value, "$", simple).isNull(), path)
+    if not isinstance(kind, ArrayType):
+        return [found]
+    entries = F.coalesce(F.try_variant_get(value, "$", simple), F.array().cast("array<variant>"))
+
+    def of_entry(entry: Column, i: Column) -> Column:
+        parts = _unread(entry, kind.elementType, "")
+        return F.transform(F.array_compact(F.array(*parts) if parts else F.array().cast("array<string>")), lambda p: F.concat(F.lit(path), F.lit("["), i.cast("string"), F.lit("]"), p))
+
+    return [found, F.array_join(F.flatten(F.transform(entries, of_entry)), "\n")]
+
+
+def mistyped(docs: DataFrame, schema: str) -> DataFrame:
+    """The documents' columns and ``path``: a row per field that is given but was not read, as ``$.a.b[3].c``."""
+    body = F.try_parse_json("raw")
+    paths = F.filter(F.split(F.concat_ws("\n", *_unread(body, StructType.fromDDL(schema), "$")), "\n"), lambda p: p != "")
+    return docs.select("*", F.explode(paths).alias("path"))
 
 
 def readable(docs: DataFrame, schema: str) -> DataFrame:
@@ -354,7 +380,8 @@ def pathway_records(memberships: DataFrame) -> DataFrame:
         text(gene, " in ", name, " (", pathway, ")"),
         text("Pathway: ", name, ". Class: ", kind, ".",
              F.when(description != "", text(" Description: ", F.left(description, F.lit(200))))),
-        F.struct(pathway.alias("pathway_id"), name.alias("pathway_name"), kind.alias("class"), F.col("kegg_gene_id")),
+        F.struct(pathway.alias("pathway_id"), name.alias("pathway_name"), kind.alias("class"), description.alias("description"),
+                 F.col("kegg_gene_id")),
         gene=gene,
     )
     return emit(memberships, "kegg", entry)
@@ -547,10 +574,7 @@ def protein_records(docs: DataFrame) -> DataFrame:
             lambda v: v != "",
         )
         diseases = F.filter(F.transform(of_kind("DISEASE"), lambda c: c["disease"]["diseaseId"]), lambda v: v != "")
-        keywords = F.left(
-            joined(F.transform(items(e["keywords"]), lambda k: F.coalesce(F.nullif(k["name"], F.lit("")), k["value"], F.lit("")))),
-            F.lit(500),
-        )
+        keywords = joined(F.transform(items(e["keywords"]), lambda k: F.coalesce(F.nullif(k["name"], F.lit("")), k["value"], F.lit(""))))
         first = F.get(functions, 0)
         return record(
             text("uniprot_", accession),
@@ -561,7 +585,7 @@ def protein_records(docs: DataFrame) -> DataFrame:
                  shown(e["sequence"]["length"], "?"), " aa"),
             F.struct(
                 accession.alias("accession"), name.alias("protein_name"), first.alias("function"),
-                F.slice(functions, 1, 2).alias("functions"), joined(places, "; ").alias("subcellular_location"),
+                functions.alias("functions"), joined(places, "; ").alias("subcellular_location"),
                 places.alias("locations"), diseases.alias("diseases"), e["sequence"]["length"].alias("length"),
                 F.coalesce(e["organism"]["scientificName"], F.lit("")).alias("organism"), keywords.alias("keywords"),
             ),
@@ -577,10 +601,10 @@ def protein_records(docs: DataFrame) -> DataFrame:
 
 TEST_SCHEMA = """
 uid string, _query_gene string, testname string, accession string, testtype string,
-analytes array<struct<analytetype string, name string>>, conditionlist array<struct<name string>>,
-conditionname string, offerer string, labname string, country string, orderurl string,
+analytes array<struct<analytetype string, name string>>, conditionlist variant, conditionname variant, title string, gtid string,
+offerer string, labname string, country string, orderurl string,
 offererlocation struct<city string, state string, country string>,
-method string, testpurpose array<string>, analyticalvalidity string, clinicalutility string
+method variant, testpurpose variant, analyticalvalidity string, clinicalutility string, raw_summary variant
 """
 
 
@@ -588,23 +612,33 @@ def stripped(value: Column) -> Column:
     return F.trim(F.coalesce(value, F.lit("")))
 
 
+def named(value: Column) -> Column:
+    """Names in a field that is one text, a list of texts, a list of named objects, or such a list written as text."""
+    written = F.try_variant_get(value, "$", "string")
+    value = F.when(F.schema_of_variant(value) == "STRING", F.coalesce(F.when(written.startswith("["), F.try_parse_json(written)), value)).otherwise(value)
+    entries = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+    kind = F.schema_of_variant
+    one = lambda e: F.when(kind(e).startswith("OBJECT"), F.try_variant_get(e, "$.name", "string")).otherwise(F.try_variant_get(e, "$", "string"))
+    names = F.transform(entries, lambda e: stripped(F.when(~F.is_variant_null(e), one(e))))
+    return F.filter(names, lambda n: n != "")
+
+
 def test_records(docs: DataFrame) -> DataFrame:
-    """Conditions and methods may be a list of named objects or plain text."""
+    """Conditions, methods and purposes may be plain text, a list of texts or a list of named objects."""
     t = F.col("d")
     query_gene = F.coalesce(t["_query_gene"], F.lit(""))
-    name = stripped(t["testname"])
-    accession = stripped(F.coalesce(F.nullif(t["accession"], F.lit("")), text("GTR", t["uid"])))
+    name = stripped(F.coalesce(F.nullif(t["testname"], F.lit("")), t["title"]))
+    accession = stripped(F.coalesce(F.nullif(t["accession"], F.lit("")), F.nullif(t["gtid"], F.lit("")), text("GTR", t["uid"])))
     kind = stripped(t["testtype"])
 
     def names(array: Column) -> Column:
         return F.filter(F.transform(items(array), lambda x: x["name"]), lambda n: n != "")
 
     genes = names(F.filter(items(t["analytes"]), lambda a: a["analytetype"] == "Gene"))
-    listed = F.from_json(t["method"], "array<struct<name string>>")
-    method = F.when(t["method"].startswith("["), joined(names(listed), "; ")).otherwise(F.coalesce(t["method"], F.lit("")))
-    named = names(t["conditionlist"])
-    plain = F.nullif(stripped(t["conditionname"]), F.lit(""))
-    conditions = F.when(F.size(named) > 0, named).when(plain.isNotNull(), F.array(plain)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    method = joined(F.coalesce(named(t["method"]), none), "; ")
+    listed = F.coalesce(named(t["conditionlist"]), none)
+    conditions = F.when(F.size(listed) > 0, listed).otherwise(F.coalesce(named(t["conditionname"]), none))
     lab = stripped(F.coalesce(F.nullif(t["offerer"], F.lit("")), t["labname"]))
     place = t["offererlocation"]
     country = stripped(F.coalesce(F.nullif(t["country"], F.lit("")), place["country"]))
@@ -621,12 +655,12 @@ def test_records(docs: DataFrame) -> DataFrame:
              " | Type: ", given(kind), " | Lab: ", given(lab), F.when(location != "", text(" (", location, ")"))),
         F.struct(
             t["uid"].alias("gtr_id"), accession.alias("accession"), name.alias("test_name"), kind.alias("test_type"),
-            joined(items(t["testpurpose"]), "; ").alias("test_purpose"), genes.alias("genes_tested"),
+            joined(F.coalesce(named(t["testpurpose"]), none), "; ").alias("test_purpose"), genes.alias("genes_tested"),
             conditions.alias("conditions"), method.alias("method"), lab.alias("lab_name"), country.alias("lab_country"),
             stripped(place["state"]).alias("lab_state"), stripped(place["city"]).alias("lab_city"),
             F.coalesce(t["orderurl"], F.lit("")).alias("order_url"),
             F.coalesce(t["analyticalvalidity"], F.lit("")).alias("analytical_validity"),
-            F.coalesce(t["clinicalutility"], F.lit("")).alias("clinical_utility"),
+            F.coalesce(t["clinicalutility"], F.lit("")).alias("clinical_utility"), t["raw_summary"].alias("raw_summary"),
         ),
         disease=F.get(conditions, 0),
         gene=F.coalesce(F.get(genes, 0), query_gene),

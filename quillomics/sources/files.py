@@ -181,11 +181,11 @@ def flat_fields(value: Column) -> Column:
     )
 
 
-def profile(df: DataFrame, distinct: bool = False) -> DataFrame:
+def profile(df: DataFrame, distinct: bool = False, metadata_below: int = 200, sample_length: int = 60) -> DataFrame:
     """Type, missing values and a sample value per column, from a single aggregation.
 
     ``distinct`` adds a sketched distinct count, which marks columns with fewer
-    than 200 values as metadata.
+    than ``metadata_below`` values as metadata. Samples show ``sample_length`` characters.
     """
     aggregates = [F.count(F.lit(1)).alias("_rows")]
     for i, name in enumerate(df.columns):
@@ -194,7 +194,7 @@ def profile(df: DataFrame, distinct: bool = False) -> DataFrame:
             F.lit(name).alias("column"),
             F.lit(df.schema[name].dataType.simpleString()).alias("type"),
             F.count_if(c.isNull()).alias("n_null"),
-            F.min(F.left(c.cast("string"), F.lit(60))).alias("sample"),
+            F.min(F.left(c.cast("string"), F.lit(sample_length))).alias("sample"),
         ]
         if distinct:
             parts.append(F.approx_count_distinct(c, 0.02).alias("n_distinct"))
@@ -202,4 +202,4 @@ def profile(df: DataFrame, distinct: bool = False) -> DataFrame:
     one = df.agg(*aggregates)
     rows = one.select("_rows", F.explode(F.array(*[F.col(f"_c{i}") for i in range(len(df.columns))])).alias("p"))
     out = rows.select("p.*", F.col("_rows").alias("n_rows"))
-    return out.withColumn("is_metadata", F.col("n_distinct") < 200) if distinct else out
+    return out.withColumn("is_metadata", F.col("n_distinct") < metadata_below) if distinct else out

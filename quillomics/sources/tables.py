@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, VariantType
 
-from ..functions.ranking import UNSORTABLE
+from ..functions.ranking import sortable
 from .registry import SOURCES, Source
 
 RECORD_KEYS = ("record_id", "source_key")
@@ -39,15 +39,23 @@ def read_merged(spark: SparkSession, *paths: str) -> DataFrame:
 def latest_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """One row per key, the last under ``order``; combined map-side. Other columns settle equal orders."""
     rest = [c for c in df.columns if c not in keys]
-    ties = [c for c in rest if c not in order and not isinstance(df.schema[c].dataType, UNSORTABLE)]
+    ties = [sortable(df.schema[c]).alias(c) for c in rest if c not in order]
     last = F.max_by(F.struct(*rest), F.struct(*order, *ties)).alias("_last")
     out = df.groupBy(*keys).agg(last).select(*keys, "_last.*")
     return out.select(*df.columns)
 
 
 def merge(target: DataFrame, batch: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
-    """Update matching rows and insert the others; the batch is reduced to one row per key first."""
+    """Update matching rows and insert the others; the batch is reduced to one row per key first.
+
+    With an order the later row of target and batch stays, whichever came first; at equal order, and without one, the
+    batch's does.
+    """
     fresh = latest_per_key(batch, keys, *order)
+    if order:
+        matching = target.join(fresh.select(*keys), list(keys), "left_semi")
+        both = matching.withColumn("_fresh", F.lit(0)).unionByName(fresh.select(*target.columns, F.lit(1).alias("_fresh")))
+        fresh = latest_per_key(both, keys, *order, "_fresh").drop("_fresh")
     kept = target.join(fresh.select(*keys), list(keys), "left_anti")
     return kept.unionByName(fresh)
 
@@ -176,7 +184,23 @@ class VersionedTable:
         return self._commit(merge(current, batch.select(*self.schema.fieldNames()), self.keys, *order), "part")
 
     def changes(self, since: int, until: int | None = None) -> DataFrame:
-        return changes(self.read(since), self.read(until), self.keys)
+        """The feed between two versions; only buckets whose folder differs are read."""
+        before, after = self._bucket_folders(since), self._bucket_folders(until)
+        same = {b for b, folder in before.items() if after.get(b) == folder}
+        old, new = ([f for b, f in folders.items() if b not in same] for folders in (before, after))
+        return changes(self._read_folders(old), self._read_folders(new), self.keys)
+
+    def remove_versions(self, keep: int) -> list[int]:
+        """Removes version folders that version ``keep`` and later ones do not read; returns their numbers.
+
+        Older versions cannot be read afterwards. A folder goes whole, and only if no bucket of it is still used.
+        """
+        used = {f.rsplit("/", 1)[0] for n, _, _ in self.versions() if n >= keep for f in self._bucket_folders(n).values()}
+        gone = [(n, folder) for n, _, folder in self.versions() if n < keep and folder not in used]
+        for _, folder in gone:
+            fs, path = self._fs(folder)
+            fs.delete(path, True)
+        return [n for n, _ in gone]
 
 
 def create_table_sql(source: Source, database: str, location: str | None = None) -> str:

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from quillomics import catalog
 from tests.conftest import SF_DIR
 from tools.check import compare, connect
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 # Results that may legitimately be empty on the smallest tables.
 MAY_BE_EMPTY = {
     "q08_compare_cross_species", "q10_drug_perturbations", "q11_receptor_pharmacology", "q17c_constraint",

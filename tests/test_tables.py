@@ -158,3 +158,43 @@ def test_cell_shards_leave_side_files_out(spark):
 
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_later_row_wins_whichever_came_first(spark):
+    target = spark.createDataFrame([(1, 20, "new"), (2, 5, "old"), (3, 1, "kept")], "k int, o int, v string")
+    batch = spark.createDataFrame([(1, 10, "late"), (2, 6, "fresh"), (4, 1, "added")], "k int, o int, v string")
+    got = {r.k: r.v for r in tables.merge(target, batch, ["k"], "o").collect()}
+    assert got == {1: "new", 2: "fresh", 3: "kept", 4: "added"}
+    assert {r.k: r.v for r in tables.merge(target, batch, ["k"]).collect()}[1] == "late"
+
+
+def test_feed_reads_changed_buckets_and_versions_go(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id AS k", "id * 2 AS v")
+    table = tables.VersionedTable(spark, str(tmp_path / "t"), rows.schema, keys=["k"], buckets=16)
+    first = table.overwrite(rows)
+    second = table.upsert(spark.createDataFrame([(7, 0)], rows.schema))
+    feed = table.changes(first, second)
+    assert sorted((r.change_type, r.k, r.v) for r in feed.collect()) == [("update_postimage", 7, 0), ("update_preimage", 7, 14)]
+    assert len(feed.inputFiles()) == 2
+    third = table.overwrite(rows.limit(5))
+    assert table.remove_versions(third) == [first, second]
+    assert table.read().count() == 5
+
+
+def test_search_by_unknown_field_is_an_error(spark):
+    from quillomics.operators import records
+    from quillomics.sources import views
+    from tests.conftest import SF_DIR
+
+    rows = views.load(spark, SF_DIR, "v_sources")
+    assert records.search(rows, "kegg", "record", limit=None, gene="GENE_NOT_THERE").count() == 0
+    with pytest.raises(ValueError, match="colour"):
+        records.search(rows, "kegg", "record", colour="red")
+
+
+def test_repeated_cells_of_a_matrix(spark):
+    from quillomics.operators import aggregates
+
+    rows = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 3.0), ("b", "y", 2.0), ("b", "x", 5.0)], "e string, k string, v double")
+    got = {(r.e, r.k): r.v for r in aggregates.entity_matrix(rows, "e", "k", "v", "a").collect()}
+    assert got == {("a", "x"): 3.0, ("b", "x"): 5.0}
