@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .arrow import map_arrow
-from .ordering import positions
+from .ordering import positions, stored
 from .tokens import encoder
 from .words import slices
 
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True):
                     ids += end
                     n = len(ids) // 4
                     stops = [*range(n % capacity or capacity, n + 1, capacity)]
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
 
     Tokens are computed once and stored. An empty table gives no rows. Equal documents are interchangeable.
     """
-    return place(pieces(docs, tokenizer, capacity, end_id, with_ids), capacity)
+    return place(stored(pieces(docs, tokenizer, capacity, end_id, with_ids), "tokens"), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

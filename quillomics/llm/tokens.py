@@ -1,93 +1,115 @@
 """Token ids of whole texts with a public tokenizer file, at the speed of its repeated words.
 
 Byte-level pre-tokenisation never joins what stands before a space that is followed by a non-space with what stands
-after, so a text can be cut there and each piece encoded once per worker. Every piece is encoded by the tokenizers
-library; only its result is kept.
+after, so a text can be cut there, and each piece be encoded once per worker by the tokenizers library.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces kept per worker and generation (two generations are held); each takes about 200 bytes.
-KEPT_PIECES = 400_000
+from .words import Words, texts_of
+
+#: Pieces a worker keeps between batches, about 200 bytes each; beyond that it keeps those of the last batch.
+KEPT_PIECES = 1_000_000
 #: Longer pieces are not kept.
-KEPT_LENGTH = 48
+KEPT_LENGTH = 64
+
+#: A space before one of these bytes may be followed by white space; texts are not cut there.
+_MAYBE_BLANK = np.zeros(256, bool)
+_MAYBE_BLANK[:0x21] = True
+_MAYBE_BLANK[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: After letters, these begin a pre-token of their own. The apostrophe may take letters along, so it is none of them.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A space or none and Latin letters (A-Z, U+00C0 to U+017F but for the two signs among them) in UTF-8.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
 
-_UNSAFE = re.compile(r" \s| $")
-_CUT = re.compile(r"(?= \S)")
-#: A word of Latin letters and the marks after it: two pre-tokens for certain.
-_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ſ]+)([.,;:!?|)\]]+)")
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (size of them) for every pair, end to end."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; holds a bounded cache of pieces."""
+    """Encodes texts to token ids; holds a bounded cache of pieces."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _keep(self, piece: str, ids: bytes) -> None:
-        if len(piece) <= KEPT_LENGTH:
-            if len(self.young) >= KEPT_PIECES:
-                self.old, self.young = self.young, {}
-            self.young[piece] = ids
-
-    def _known(self, piece: str) -> bytes | None:
-        ids = self.young.get(piece)
-        if ids is None:
-            ids = self.old.get(piece)
-            if ids is not None:
-                self._keep(piece, ids)
-        return ids
-
-    def _all(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of every piece; words are encoded without their marks, so that one entry serves all of them."""
-        out, parts = {}, {}
+        self.known: dict[bytes, bytes] = {}
+
+    @property
+    def vocabulary(self) -> int:
+        return self.tokenizer.get_vocab_size()
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Adds pieces to the cache. A word and the marks after it are two pre-tokens, so each is encoded by itself."""
+        whole, joined = [], []
         for piece in pieces:
-            ids = self._known(piece)
-            if ids is not None:
-                out[piece] = ids
-            elif pair := _WORD_AND_MARKS.fullmatch(piece):
-                parts[piece] = pair.groups()
-            else:
-                parts[piece] = (piece,)
-        needed = {p for pair in parts.values() for p in pair}
-        ids = {p: self._known(p) for p in needed}
-        new = [p for p, found in ids.items() if found is None]
-        for p, found in zip(new, self._encode(new), strict=True):
-            ids[p] = found
-            self._keep(p, found)
-        for piece, pair in parts.items():
-            out[piece] = b"".join(ids[p] for p in pair)
-            if len(pair) > 1:
-                self._keep(piece, out[piece])
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as bytes; null is the empty text."""
-        cut = []
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif _UNSAFE.search(text):
-                cut.append(_CUT.split(text))
+            word = piece.rstrip(_MARKS)
+            if word != piece and _WORD.fullmatch(word):
+                joined.append((piece, word, piece[len(word):]))
             else:
-                first, *rest = text.split(" ")
-                cut.append(([first] if first else []) + [" " + x for x in rest])
-        known = self._all({piece for pieces in cut for piece in pieces})
-        return [b"".join([known[piece] for piece in pieces]) for pieces in cut]
+                whole.append(piece)
+        parts = {word for _, word, _ in joined}
+        parts.update(marks for *_, marks in joined)
+        whole += parts.difference(self.known, whole)
+        self.known.update(zip(whole, self._ids(whole), strict=True))
+        for piece, word, marks in joined:
+            self.known[piece] = self.known[word] + self.known[marks]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end (unsigned 32-bit), and where each text's begin, with the end; null is empty.
+
+        Equal pieces are encoded once: they are grouped by a hash, and the bytes of all are compared with their group's.
+        """
+        texts = texts_of(column)
+        data = texts.data
+        begins = np.zeros(len(data) + 1, bool)
+        begins[:-2] = (data[:-1] == 0x20) & ~_MAYBE_BLANK[data[1:]]
+        filled = texts.offsets[1:] > texts.offsets[:-1]
+        begins[texts.offsets[1:][filled] - 1] = False  # a space that ends its text
+        begins[texts.offsets[:-1][filled]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data)).astype(np.int64)[:len(start)]
+        first = np.searchsorted(start, texts.offsets)
+        _, at, group = np.unique(Words(texts, start, end, first).hashes(), return_index=True, return_inverse=True)
+        size = end - start
+        if not np.array_equal(size[at][group], size) or not np.array_equal(data[_places(start[at][group], size)], data):
+            group, at = np.arange(len(start)), np.arange(len(start))  # two pieces of one hash: each by itself
+        raw = data.tobytes()
+        pieces = [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        seen = set(pieces)
+        self._learn(seen.difference(self.known))
+        found = [self.known[x] for x in pieces]
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table = np.frombuffer(b"".join(found), "<u4")
+        begins = np.cumsum(counts) - counts
+        flat = table[_places(begins[group], counts[group])] if len(found) else np.zeros(0, "<u4")
+        offsets = np.concatenate(([0], np.cumsum(counts[group])))[first]
+        if len(self.known) > KEPT_PIECES:
+            self.known = {x: self.known[x] for x in seen if len(x) <= KEPT_LENGTH}
+        else:
+            for x in [x for x in seen if len(x) > KEPT_LENGTH]:
+                del self.known[x]
+        return flat, offsets
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit bytes."""
+        flat, offsets = self.encode_column(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        data, offsets = flat.tobytes(), (4 * offsets).tolist()
+        return [data[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

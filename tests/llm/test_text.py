@@ -263,6 +263,7 @@ def plain_ids(texts):
 def test_encoder_equals_library(texts):
     got = [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(catalog.tokenizer_file()).encode(texts)]
     assert got == plain_ids(texts)
+    assert len(tokens.encoder(catalog.tokenizer_file()).known) <= tokens.KEPT_PIECES
 
 
 def test_encoder_on_documents(spark, sf_dir):
