@@ -42,10 +42,11 @@ def _unread(value: Column, kind: DataType, path: str) -> list[Column]:
         wrong = given & ~F.schema_of_variant(value).startswith("OBJECT")
         inner = [p for f in kind.fields for p in _unread(F.try_variant_get(value, f"$['{f.name}']", "variant"), f.dataType, f"{path}.{f.name}")]
         return [F.when(wrong, path), *inner]
-    found = F.when(given & F.try_variant_get(value, "$", simple).isNull(), path)
     if not isinstance(kind, ArrayType):
-        return [found]
-    entries = F.coalesce(F.try_variant_get(value, "$", simple), F.array().cast("array<variant>"))
+        return [F.when(given & F.try_variant_get(value, "$", simple).isNull(), path)]
+    is_list = F.schema_of_variant(value).startswith("ARRAY")
+    found = F.when(given & ~is_list, path)
+    entries = F.when(is_list, F.try_variant_get(value, "$", simple))
 
     def of_entry(entry: Column, i: Column) -> Column:
         parts = _unread(entry, kind.elementType, "")
