@@ -7,6 +7,8 @@ window can begin and end in the document, and the words themselves are compared
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,23 +22,17 @@ from .words import NOT_ALNUM, Words, mixed, slices, texts_of, window_hashes, wor
 FILTER_BITS = 23
 
 
-def _shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word and hash of every shingle, and for each word how many words follow in its text, itself included.
-
-    A text of fewer words than ``width``, but not none, is one shingle.
-    """
-    hashes, counts = words.hashes(), words.counts
-    ahead = np.repeat(words.first[1:], counts) - np.arange(len(hashes))
-    whole = window_hashes(hashes, width)
-    at = np.flatnonzero(ahead >= width)
-    values = whole[at]
-    for n in range(1, width):
-        short = words.first[:-1][counts == n]
-        if len(short):
-            at = np.concatenate((at, short))
-            values = np.concatenate((values, mixed(window_hashes(hashes, n)[short] + np.uint64(n))))
-    order = np.argsort(at, kind="stable")
-    return at[order], values[order], ahead
+def _shingles(words: Words, widths: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of every shingle of each of the widths, in the order of the words."""
+    hashes = words.hashes()
+    ahead = np.repeat(words.first[1:], words.counts) - np.arange(len(hashes))
+    at = [np.flatnonzero(ahead >= n) for n in widths]
+    values = [mixed(window_hashes(hashes, n)[a] + np.uint64(n)) for n, a in zip(widths, at, strict=True) if len(a)]
+    if not values:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    places = np.concatenate(at)
+    order = np.argsort(places, kind="stable")
+    return places[order], np.concatenate(values)[order]
 
 
 def _joined(texts, words: Words, at: int, to: int) -> str:
@@ -55,13 +51,14 @@ def benchmark_windows(items: DataFrame, width: int = 10, shingle: int = 3) -> Da
             for part in slices(batch):
                 texts = texts_of(part.column("text")).lower()
                 words = words_of(texts, NOT_ALNUM)
-                at, values, _ = _shingles(words, shingle)
+                grams = {n: _shingles(words, [n]) for n in range(1, shingle + 1)}
                 rows = []
                 for i, item in enumerate(part.column("item_id").to_pylist()):
                     begin, end = int(words.first[i]), int(words.first[i + 1])
                     if item is None or begin == end:
                         continue
                     length = min(width, end - begin)
+                    at, values = grams[min(shingle, length)]
                     for w in range(begin, end - length + 1):
                         window = _joined(texts, words, w, w + length)
                         lo, hi = np.searchsorted(at, (w, w + max(1, length - shingle + 1)))
@@ -90,21 +87,21 @@ def _passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return table[values & n] & table[(values >> np.uint64(32)) & n]
 
 
-def frequencies(docs: DataFrame, table: np.ndarray, shingle: int = 3) -> DataFrame:
+def frequencies(docs: DataFrame, table: np.ndarray, widths: Sequence[int]) -> DataFrame:
     """token, n: occurrences in all documents of the shingles that pass the filter, counted in each task first."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                _, values, _ = _shingles(words_of(texts_of(part.column("text")).lower(), NOT_ALNUM), shingle)
+                _, values = _shingles(words_of(texts_of(part.column("text")).lower(), NOT_ALNUM), widths)
                 found, n = np.unique(values[_passes(shared.value, values)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["token", "n"])
 
     return map_arrow(docs.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def hits(docs: DataFrame, table: np.ndarray, width: int = 10, shingle: int = 3) -> DataFrame:
+def hits(docs: DataFrame, table: np.ndarray, widths: Sequence[int], width: int = 10) -> DataFrame:
     """__row, doc_id, n_words and __hits: the shingles that pass the filter, with the words around them.
 
     A hit is (token, at, around): ``around`` is the words from ``width`` - 1 before the shingle to as many after it,
@@ -118,13 +115,13 @@ def hits(docs: DataFrame, table: np.ndarray, width: int = 10, shingle: int = 3)
             for part in slices(batch):
                 texts = texts_of(part.column("text")).lower()
                 words = words_of(texts, NOT_ALNUM)
-                at, values, ahead = _shingles(words, shingle)
+                at, values = _shingles(words, widths)
                 keep = np.flatnonzero(_passes(shared.value, values))
                 found: list[list] = [[] for _ in range(part.num_rows)]
                 owners = np.searchsorted(words.first, at[keep], "right") - 1
                 for p, v, i in zip(at[keep].tolist(), values[keep].view(np.int64).tolist(), owners.tolist(), strict=True):
                     begin = max(int(words.first[i]), p - width + 1)
-                    end = min(int(words.first[i + 1]), p + width + shingle - 1)
+                    end = min(int(words.first[i + 1]), p + width + max(widths) - 1)
                     found[i].append({"token": v, "at": begin - int(words.first[i]), "before": p - begin, "around": _joined(texts, words, begin, end)})
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(found, shape)], names=["doc_id", "n_words", "__hits"],
@@ -140,14 +137,16 @@ def _occurrences(docs: DataFrame, items: DataFrame, width: int, shingle: int) ->
     """Item windows, scanned documents, and the occurrences (__row, window, span) of the windows in them."""
     windows = stored(benchmark_windows(items, width, shingle), "benchmark-windows")
     tokens = windows.select("token").distinct()
-    counts = stored(frequencies(docs, token_filter(tokens), shingle), "shingle-counts")
+    # Windows shorter than a shingle are looked for by their own width.
+    widths = [shingle, *sorted(r[0] for r in windows.filter(F.col("length") < shingle).select("length").distinct().collect())]
+    counts = stored(frequencies(docs, token_filter(tokens), widths), "shingle-counts")
     rarity = windows.select("window", "length", "token", "place").distinct().join(counts, "token", "left")
     # The first token in order of rarity; windows with a shingle that no document has need no join.
     first = rarity.groupBy("window", "length").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")).alias("first"))
     prefix = stored(
         first.filter("first.n > 0").select("window", "length", F.col("first.token").alias("token"), F.col("first.place").alias("place")), "window-prefixes",
     )
-    rows = stored(hits(docs, token_filter(prefix), width, shingle), "document-hits")
+    rows = stored(hits(docs, token_filter(prefix), widths, width), "document-hits")
     around = F.split("around", " ")
     begin = F.col("before") - F.col("place")
     joined = (
