@@ -23,6 +23,21 @@ def equals_ignore_case(name: str, value: str | None) -> Column | None:
     return F.upper(col(name)) == F.lit(value.upper()) if value else None
 
 
+def with_keys(df: DataFrame, *names: str) -> DataFrame:
+    """Adds the upper-case key column of each name, for tables to be stored: filters on it prune files."""
+    return df.withColumns({f"{name}_key": F.upper(name) for name in names})
+
+
+def key_of(df: DataFrame, name: str) -> Column:
+    """The stored key column of a name, or its upper-case form where the table has none."""
+    return F.col(f"{name}_key") if f"{name}_key" in df.columns else F.upper(name)
+
+
+def equals_key(df: DataFrame, name: str, value: str | None) -> Column | None:
+    """Equality that ignores case; reaches the file scan where the table has the key column."""
+    return key_of(df, name) == F.lit(value.upper()) if value else None
+
+
 def has_text(name: str, text: str | None) -> Column | None:
     """Case-sensitive substring; the text is taken literally, not as a pattern."""
     return col(name).contains(F.lit(text)) if text else None

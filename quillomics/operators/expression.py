@@ -17,7 +17,7 @@ EXPRESSION_KEYS = ["gene_symbol", "cohort", "tissue"]
 def baseline_expression(baseline: DataFrame, gene_symbol: str, tissue: str = "") -> DataFrame:
     """Median expression of one gene over tissues, highest first."""
     rows = P.where(
-        baseline, P.equals_ignore_case("gene_symbol", gene_symbol), P.has_text_ignore_case("tissue", tissue)
+        baseline, P.equals_key(baseline, "gene_symbol", gene_symbol), P.has_text_ignore_case("tissue", tissue)
     )
     return rows.orderBy(F.col("median_tpm").desc_nulls_last(), *R.tie_break(rows))
 
@@ -32,8 +32,8 @@ def expression_summary(
     """
     rows = P.where(
         expression,
-        P.equals_ignore_case("gene_symbol", gene_symbol),
-        P.equals_ignore_case("cohort", cohort),
+        P.equals_key(expression, "gene_symbol", gene_symbol),
+        P.equals_key(expression, "cohort", cohort),
         P.has_text_ignore_case("tissue", tissue),
     )
     measures = [

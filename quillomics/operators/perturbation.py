@@ -142,7 +142,7 @@ def screen_hits(
     ]
     rows = P.where(
         screens,
-        P.equals_ignore_case("gene", gene),
+        P.equals_key(screens, "gene", gene),
         P.has_text_ignore_case("cell_type", cell_type),
         P.has_text_ignore_case("phenotype_name", phenotype),
     )
@@ -184,7 +184,7 @@ def _mouse_effects(diff_expr: DataFrame, *keys) -> DataFrame:
 
 
 def cross_species_human(screens: DataFrame, gene: str, limit: int | None = 30) -> DataFrame:
-    rows = screens.filter(F.upper("gene") == gene.upper()).select(
+    rows = screens.filter(P.equals_key(screens, "gene", gene)).select(
         "screen_name", "cell_type", "phenotype_name", "phenotype_score", "pvalue", "hit_class"
     )
     return R.top_k(rows, limit, R.abs_desc("phenotype_score"))
@@ -207,7 +207,7 @@ def cross_species_panel(screens: DataFrame, diff_expr: DataFrame) -> DataFrame:
     """Both species side by side for every symbol; each side is aggregated before the join."""
     human = (
         screens.filter(F.col("gene").isNotNull())
-        .groupBy(F.upper("gene").alias("gene_key"))
+        .groupBy(P.key_of(screens, "gene").alias("gene_key"))
         .agg(
             F.count(F.lit(1)).alias("human_screens"),
             F.count_if(F.col("hit_class") != "none").alias("human_hits"),

@@ -19,9 +19,9 @@ def drug_perturbations(
 ) -> DataFrame:
     """Expression signatures, largest absolute z-score first. At least one filter is required."""
     filters = [
-        P.equals_ignore_case("compound", compound),
-        P.equals_ignore_case("gene_symbol", gene_symbol),
-        P.equals_ignore_case("cell_line", cell_line),
+        P.equals_key(signatures, "compound", compound),
+        P.equals_key(signatures, "gene_symbol", gene_symbol),
+        P.equals_key(signatures, "cell_line", cell_line),
         F.col("is_neuronal") if neuronal_only else None,
     ]
     P.require_one("give at least one of compound, gene_symbol, cell_line or neuronal_only", *filters)
@@ -42,8 +42,8 @@ def receptor_pharmacology(
     """Binding activities, most potent first; without filters, every named molecule."""
     filters = [
         P.has_text_ignore_case("molecule_name", compound),
-        P.any_of([P.equals_ignore_case("target_alias", target), P.equals_ignore_case("target_gene", target)]),
-        P.equals_ignore_case("standard_type", assay_type),
+        P.any_of([P.equals_key(activities, "target_alias", target), P.equals_key(activities, "target_gene", target)]),
+        P.equals_key(activities, "standard_type", assay_type),
     ]
     if all(f is None for f in filters):
         filters = [F.col("molecule_name").isNotNull() & (F.col("molecule_name") != "")]
