@@ -3,7 +3,7 @@
 A record file is a sequence of frames:
 
     length of the payload, unsigned 64-bit | masked checksum of those 8 bytes, unsigned 32-bit
-    payload: 1 byte (1: has an id, 0: none), id, signed 64-bit, then ids, unsigned 32-bit
+    payload: 1 byte (1: has an id, 0: none), 1 byte (bytes per token id: 2 or 4), id, signed 64-bit, then token ids, unsigned
     masked checksum of the payload, unsigned 32-bit | one line feed
 
 All numbers are little-endian. A checksum is CRC-32, rotated right by 15 bits plus 0xA282EAD8 modulo 2^32, so that a
@@ -28,7 +28,7 @@ from .arrow import map_arrow
 from .tokens import encoder
 from .words import slices
 
-HEAD, OWNER, SUM = struct.Struct("<QI"), struct.Struct("<Bq"), struct.Struct("<I")
+HEAD, OWNER, SUM = struct.Struct("<QI"), struct.Struct("<BBq"), struct.Struct("<I")
 INDEX = "doc_id long, shard long, file string, offset long, n_bytes long, shard_start long, n_tokens long, ids_crc32 long"
 #: Text bytes meant for one file; a file is read by one task.
 FILE_BYTES = 16 << 20
@@ -39,14 +39,17 @@ def masked_crc(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    payload = OWNER.pack(doc_id is not None, doc_id or 0) + ids
+def frame(doc_id: int | None, ids: bytes, width: int = 4) -> bytes:
+    """One record; ``ids`` are unsigned 32-bit, stored in ``width`` bytes each, which must hold them."""
+    if width == 2:
+        ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    payload = OWNER.pack(doc_id is not None, width, doc_id or 0) + ids
     size = struct.pack("<Q", len(payload))
     return size + SUM.pack(masked_crc(size)) + payload + SUM.pack(masked_crc(payload)) + b"\n"
 
 
-def frames(data: memoryview, file: str = "") -> Iterator[tuple[int, int, int | None, memoryview]]:
-    """Offset, size, id and ids of each frame; ValueError if a length or a checksum is wrong."""
+def frames(data: memoryview, file: str = "") -> Iterator[tuple[int, int, int | None, bytes]]:
+    """Offset, size, id and ids (unsigned 32-bit) of each frame; ValueError if a length or a checksum is wrong."""
     at = 0
     while at < len(data):
         if at + HEAD.size > len(data):
@@ -58,8 +61,9 @@ def frames(data: memoryview, file: str = "") -> Iterator[tuple[int, int, int | N
         payload = data[begin:end]
         if masked_crc(payload) != SUM.unpack_from(data, end)[0]:
             raise ValueError(f"{file}: wrong checksum at byte {at}")
-        has, owner = OWNER.unpack_from(payload)
-        yield at, end + SUM.size + 1 - at, owner if has else None, payload[OWNER.size:]
+        has, width, owner = OWNER.unpack_from(payload)
+        ids = np.frombuffer(payload[OWNER.size:], f"<u{width}").astype("<u4").tobytes()
+        yield at, end + SUM.size + 1 - at, owner if has else None, ids
         at = end + SUM.size + 1
 
 
@@ -79,10 +83,11 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, f
 
     def run(batches):
         encode = encoder(tokenizer).encode
+        width = 2 if max(encoder(tokenizer).vocabulary - 1, end_id) < 1 << 16 else 4
         for batch in batches:
             for part in slices(batch):
-                ids = encode(part.column("text").to_pylist())
-                made = [frame(d, i + end) for d, i in zip(part.column("doc_id").to_pylist(), ids, strict=True)]
+                ids = encode(part.column("text"))
+                made = [frame(d, i + end, width) for d, i in zip(part.column("doc_id").to_pylist(), ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
     framed = map_arrow(rows, run, "value binary")
