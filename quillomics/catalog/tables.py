@@ -3,6 +3,9 @@
 Written tables go to the folder named by spark.checkpoint.dir.
 """
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -11,6 +14,7 @@ from ..session import scratch_path
 from ..sources import files, registry, schemas, tables, views
 from . import query
 
+
 @query("a01_column_scan", "SELECT l_orderkey, l_extendedprice FROM lineitem")
 def _(t):
     return files.scan(t.spark, f"{t.sf_dir}/lineitem.parquet", ["l_orderkey", "l_extendedprice"])
@@ -82,22 +86,37 @@ def _(t):
     return t("nation").join(targets, "n_regionkey").select("n_name", "target")
 
 
-@query("a09_discover_files", """
-SELECT * FROM (VALUES ('lineitem', 'facts'), ('orders', 'facts'), ('part', 'dimension'), ('supplier', 'dimension'), ('customer', 'dimension'),
-  ('nation', 'dimension'), ('region', 'dimension'), ('events', 'other'), ('documents', 'other'), ('embeddings', 'other'), ('pages', 'other'),
-  ('benchmark', 'other'), ('labels', 'other'), ('conversations', 'other')) v(table_name, kind)""")
+def rows_of(t, chosen):
+    """Rows in the chosen files, by table: each table's files are read, one row comes back per table."""
+    paths = {}
+    for name, path in sorted(tuple(r) for r in chosen.select(files.table_of(), "path").collect()):
+        paths.setdefault(name, []).append(path)
+    counts = [t.spark.read.parquet(*p).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for name, p in paths.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def rows_sql(*names):
+    return " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n_rows FROM {name}" for name in names)
+
+
+KINDS = {"facts": "/(lineitem|orders)[.]parquet", "dimension": "/(part|supplier|customer|nation|region)[.]parquet"}
+
+
+@query("a09_discover_files", rows_sql("lineitem", "orders"))
+def _(t):
+    found = files.classify_files(files.list_files(t.spark, t.sf_dir, "*.parquet"), KINDS)
+    return rows_of(t, found.filter("kind = 'facts'"))
+
+
+@query("a09_other_files", rows_sql("events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"))
 def _(t):
-    kinds = {"facts": "/(lineitem|orders)[.]parquet", "dimension": "/(part|supplier|customer|nation|region)[.]parquet"}
-    found = files.classify_files(files.list_files(t.spark, t.sf_dir, "*.parquet"), kinds)
-    return found.select(files.table_of().alias("table_name"), "kind").distinct()
+    found = files.classify_files(files.list_files(t.spark, t.sf_dir, "*.parquet"), KINDS)
+    return rows_of(t, found.filter("kind NOT IN ('facts', 'dimension')"))
 
 
-@query("a09_every_nth_file", """
-SELECT table_name FROM (SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation',
-  'orders', 'pages', 'part', 'region', 'supplier']) AS table_name, unnest(range(14)) AS i) WHERE i % 3 = 0""")
+@query("a09_every_nth_file", rows_sql("benchmark", "documents", "labels", "orders", "region"))
 def _(t):
-    sampled = files.every_nth(files.list_files(t.spark, t.sf_dir, "*.parquet"), 3)
-    return sampled.select(files.table_of().alias("table_name"))
+    return rows_of(t, files.every_nth(files.list_files(t.spark, t.sf_dir, "*.parquet"), 3))
 
 
 @query("a10_align_to_schema", """

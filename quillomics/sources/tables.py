@@ -25,9 +25,14 @@ def write_partitioned(df: DataFrame, path: str, *keys: str, mode: str = "overwri
 
 
 def write_clustered(df: DataFrame, path: str, *columns: str, partitions: int | None = None) -> None:
-    """Range-clustered layout, so selective reads skip files and row groups by their statistics."""
+    """Range-clustered layout, so selective reads skip files and row groups by their statistics.
+
+    Ranges run on through a hash of the other columns, so a value that many rows share is written by several tasks.
+    """
     order = [F.col(c) for c in columns]
-    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    rest = [sortable(f) for f in df.schema.fields if f.name not in columns]
+    cuts = [*order, F.xxhash64(*rest)] if rest else order
+    ranged = df.repartitionByRange(partitions, *cuts) if partitions else df.repartitionByRange(*cuts)
     ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 

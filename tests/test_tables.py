@@ -198,3 +198,12 @@ def test_repeated_cells_of_a_matrix(spark):
     rows = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 3.0), ("b", "y", 2.0), ("b", "x", 5.0)], "e string, k string, v double")
     got = {(r.e, r.k): r.v for r in aggregates.entity_matrix(rows, "e", "k", "v", "a").collect()}
     assert got == {("a", "x"): 3.0, ("b", "x"): 5.0}
+
+
+def test_clustered_write_splits_a_frequent_value(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(40_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    tables.write_clustered(rows, str(tmp_path / "c"), "k", partitions=8)
+    hot = [pq.read_table(f).column("k").to_pylist().count("hot") for f in (tmp_path / "c").glob("part-*")]
+    assert sum(hot) == 36_000 and max(hot) < 9_000
