@@ -82,14 +82,15 @@ def test_hot_key_is_written_by_several_tasks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "w")).count() == 400_000
 
 
-def test_clustered_files_have_disjoint_ranges(spark, tmp_path):
+def test_clustered_files_share_limits_only(spark, tmp_path):
     path = str(tmp_path / "c")
     tables.write_clustered(views.load(spark, SF_DIR, "v_diff_expr"), path, "de_gene", partitions=4)
     ranges = (
         spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("f"))
         .agg(F.min("de_gene").alias("lo"), F.max("de_gene").alias("hi")).orderBy("lo").collect()
     )
-    assert len(ranges) > 1 and all(a["hi"] < b["lo"] for a, b in zip(ranges, ranges[1:]))
+    # A value at a limit may go on in the next file: frequent values are split.
+    assert len(ranges) > 1 and all(a["hi"] <= b["lo"] for a, b in zip(ranges, ranges[1:]))
 
 
 def test_source_tables_from_ddl(spark):
