@@ -151,7 +151,23 @@ def op2(spark, sf_dir):
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-@query("op3_phrase_automata")
+REPEATS_SQL = """
+WITH w AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), x AS (
+  SELECT row, k, md5(array_to_string(words[k + 1:k + 35], ' ')) AS win
+  FROM (SELECT row, words, unnest(range(0, len(words) - 34)) AS k FROM w WHERE len(words) >= 35)
+), c AS (
+  SELECT DISTINCT row, unnest(range(k + 1, k + 36)) AS place FROM x WHERE win IN (SELECT win FROM x GROUP BY win HAVING count(*) > 1)
+), p AS (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w),
+k AS (SELECT row, string_agg(word, ' ' ORDER BY place) AS kept FROM p ANTI JOIN c USING (row, place) GROUP BY row),
+n AS (SELECT row, count(*) AS n_removed FROM c GROUP BY row)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (row) LEFT JOIN k USING (row)
+"""
+
+
+@query("op3_phrase_automata", REPEATS_SQL)
 def op3(spark, sf_dir):
     found = passages.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
