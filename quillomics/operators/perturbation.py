@@ -9,6 +9,7 @@ from ..functions import predicates as P
 from ..functions import ranking as R
 from ..functions import scalars as S
 
+# Disorders, and gene lists flagged in the table.
 DISORDERS = ("ASD", "DD", "NDD")
 LIST_FLAGS = ("ASD72", "DD309", "NDD373", "SCZ244")
 

@@ -260,13 +260,20 @@ def searched(records: DataFrame, name: str) -> Column:
 
 def search(records: DataFrame, source_key: str, text: str, limit: int | None = 20, **filters: str) -> DataFrame:
     """Free-text search in one source, newest first, narrowed by the source's searchable fields."""
-    return search_sources(records, [source_key], text, limit, **filters).drop("source_key")
+    rows = _matches(records, [source_key], text, **filters).drop("source_key")
+    return R.top_k(rows, limit, F.col("source_updated_at").desc_nulls_last())
 
 
 def search_sources(
     records: DataFrame, source_keys: list[str], text: str, limit: int | None = 20, **filters: str
 ) -> DataFrame:
-    """The newest matches of each given source, in one job.
+    """The newest matches of each given source, in one job."""
+    rows = _matches(records, source_keys, text, **filters)
+    return R.top_n_per_group(rows, ["source_key"], limit, F.col("source_updated_at").desc_nulls_last())
+
+
+def _matches(records: DataFrame, source_keys: list[str], text: str, **filters: str) -> DataFrame:
+    """Records of the sources that hold the text.
 
     A filter names a searchable field of every source searched: a column of the records, or a field of the payload. Any
     other name is an error.
@@ -279,10 +286,9 @@ def search_sources(
             raise ValueError(f"{key} cannot be searched by {', '.join(unknown)}; fields: {', '.join(source.searchable_fields)}")
         extra = [P.has_text_ignore_case(searched(records, name), value) for name, value in filters.items() if value]
         matches.append(P.all_of(F.col("source_key") == key, *extra))
-    rows = P.where(records, P.any_has_text(SEARCH_COLUMNS, text), P.any_of(matches)).select(
+    return P.where(records, P.any_has_text(SEARCH_COLUMNS, text), P.any_of(matches)).select(
         "source_key", "record_id", *SEARCH_COLUMNS, "payload", "source_updated_at"
     )
-    return R.top_n_per_group(rows, ["source_key"], limit, F.col("source_updated_at").desc_nulls_last())
 
 
 def source_coverage(records: DataFrame) -> DataFrame:

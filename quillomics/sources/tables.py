@@ -11,8 +11,11 @@ from pyspark.sql.types import StructType, VariantType
 
 from ..functions.ranking import sortable
 from .registry import SOURCES, Source
+from .schemas import schema
 
 RECORD_KEYS = ("record_id", "source_key")
+#: Columns of a record that are never missing.
+REQUIRED = (*RECORD_KEYS, "payload", "ingested_at")
 
 
 def write_partitioned(df: DataFrame, path: str, *keys: str, mode: str = "overwrite") -> None:
@@ -211,19 +214,9 @@ class VersionedTable:
 def create_table_sql(source: Source, database: str, location: str | None = None) -> str:
     """DDL of a source's record table."""
     place = f"\nLOCATION '{location}'" if location else ""
+    columns = ",\n  ".join(f"{f.name} {f.dataType.simpleString()}{' NOT NULL' if f.name in REQUIRED else ''}" for f in schema("records").fields)
     return f"""CREATE TABLE IF NOT EXISTS {database}.{source.target_table} (
-  record_id STRING NOT NULL COMMENT 'Source-specific record identifier',
-  source_key STRING NOT NULL COMMENT 'Registry key: {source.key}',
-  gene_symbol STRING COMMENT 'Primary gene symbol',
-  gene_key STRING COMMENT 'Gene symbol in upper case, for filters that reach the scan',
-  disease STRING COMMENT 'Associated disease or condition',
-  drug STRING COMMENT 'Associated drug or compound',
-  title STRING COMMENT 'Record title',
-  summary STRING COMMENT 'Short summary',
-  payload VARIANT NOT NULL COMMENT 'Full source record',
-  ingested_at TIMESTAMP NOT NULL,
-  source_updated_at TIMESTAMP COMMENT 'Last update at the source',
-  api_version STRING COMMENT 'API version used for ingestion'
+  {columns}
 )
 USING PARQUET{place}
 COMMENT '{source.name}'
