@@ -112,14 +112,16 @@ def confirmed(docs: DataFrame, width: int = 35, gram: int = GRAM) -> DataFrame:
         raise ValueError("a region's windows must overlap and fit the bits of a long")
     found = regions(docs, width, gram)
     anchors = found.groupBy("anchor").agg(F.count("*").alias("__n"), F.min("region").alias("__low"), F.max("region").alias("__high"))
-    anchors = anchors.filter("__n > 1").select(F.col("anchor"), (F.col("__low") == F.col("__high")).alias("alone"))
+    # Stored apart from the join, whose shares of a frequent anchor can then go to several tasks.
+    anchors = stored(anchors.filter("__n > 1").select(F.col("anchor"), (F.col("__low") == F.col("__high")).alias("alone")), "recurring-anchors")
     found = stored(found.join(anchors, "anchor"), "recurring-regions")
     several = found.filter("NOT alone")
     examples = several.groupBy("anchor", "region").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("doc_id", "__tie", "first", "n")])
     examples = examples.groupBy("doc_id", "__tie").agg(F.collect_list(F.struct("anchor", "region", "copies", "first", "n")).alias("__regions"))
     windows = stored(_region_windows(_joined(docs, examples, "inner"), width), "region-windows")
     recurring = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("copies")).filter("copies > 1").drop("copies")
-    masks = windows.join(recurring, ["anchor", "window"]).groupBy("anchor", "region").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("mask"))
+    masks = windows.join(stored(recurring, "recurring-windows"), ["anchor", "window"])
+    masks = stored(masks.groupBy("anchor", "region").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("mask")), "region-masks")
     whole = found.filter("alone").select("doc_id", "__tie", "first", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     partial = several.join(masks, ["anchor", "region"]).select("doc_id", "__tie", "first", "mask")
     # Rows of one document and text that is repeated have the same regions.

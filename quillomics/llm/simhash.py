@@ -153,7 +153,7 @@ def links(nodes: DataFrame, radius: int, n_segments: int, agree: int, block: int
     and every pair of blocks is compared by itself, so no pair is left out and no step holds more than two blocks.
     """
     keys = candidate_keys(nodes, n_segments, agree)
-    sizes = keys.groupBy("key").count().filter("count > 1")
+    sizes = stored(keys.groupBy("key").count().filter("count > 1"), "candidate-keys")
     rows = keys.join(sizes, "key")
     n = F.expr(f"cast((count + {block - 1}) div {block} AS int)")
     own = F.pmod(F.xxhash64("node"), n).cast("int")
