@@ -15,8 +15,8 @@ import pyarrow as pa
 
 from .words import Words, texts_of
 
-#: Pieces a worker keeps between batches, about 200 bytes each; beyond that it keeps those of the last batch.
-KEPT_PIECES = 1_000_000
+#: Pieces a worker keeps between batches, about 200 bytes each; beyond that it keeps those that came again.
+KEPT_PIECES = 500_000
 #: Longer pieces are not kept.
 KEPT_LENGTH = 64
 
@@ -44,6 +44,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
 
     @property
     def vocabulary(self) -> int:
@@ -58,7 +59,7 @@ class Encoder:
         whole, joined = [], []
         for piece in pieces:
             word = piece.rstrip(_MARKS)
-            if word != piece and _WORD.fullmatch(word):
+            if len(piece) <= KEPT_LENGTH and word != piece and _WORD.fullmatch(word):
                 joined.append((piece, word, piece[len(word):]))
             else:
                 whole.append(piece)
@@ -91,6 +92,7 @@ class Encoder:
         raw = data.tobytes()
         pieces = [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
         seen = set(pieces)
+        self.again |= seen.intersection(self.known)
         self._learn(seen.difference(self.known))
         found = [self.known[x] for x in pieces]
         counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -98,11 +100,12 @@ class Encoder:
         begins = np.cumsum(counts) - counts
         flat = table[_places(begins[group], counts[group])] if len(found) else np.zeros(0, "<u4")
         offsets = np.concatenate(([0], np.cumsum(counts[group])))[first]
+        for x in [x for x in seen if len(x) > KEPT_LENGTH]:
+            del self.known[x]
+            self.again.discard(x)
         if len(self.known) > KEPT_PIECES:
-            self.known = {x: self.known[x] for x in seen if len(x) <= KEPT_LENGTH}
-        else:
-            for x in [x for x in seen if len(x) > KEPT_LENGTH]:
-                del self.known[x]
+            kept = self.again if len(self.again) <= KEPT_PIECES * 3 // 4 else seen.intersection(self.again)
+            self.known, self.again = {x: self.known[x] for x in kept}, set()
         return flat, offsets
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at once; one longer text is worked on alone.
-SLICE_BYTES = 4 << 20
+#: Bytes of text worked on at once, just under a power of two (tables of powers double); one longer text is worked on alone.
+SLICE_BYTES = (1 << 21) - 2
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTE_BASE = 0x5851F42D4C957F2D
 _U64 = (1 << 64) - 1

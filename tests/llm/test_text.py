@@ -272,6 +272,15 @@ def test_encoder_on_documents(spark, sf_dir):
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == plain_ids(texts)
 
 
+def test_encoder_forgets_rightly(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 200)
+    texts = [r.text for r in documents(spark, sf_dir).select("text").limit(60).collect()]
+    encoder = tokens.Encoder(catalog.tokenizer_file())
+    got = [np.frombuffer(x, "<u4").tolist() for k in range(0, len(texts), 5) for x in encoder.encode(texts[k:k + 5])]
+    assert got == plain_ids(texts)
+    assert len(encoder.known) <= 200
+
+
 def test_records_query(spark, sf_dir):
     docs = sorted((r.doc_id, r.text) for r in documents(spark, sf_dir).select("doc_id", "text").collect())
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in catalog.QUERIES["op7_token_records"](spark, sf_dir).collect()}
