@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose five-word shingles have a similarity of about 0.8 or more."""
+    """Keeps one document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     return simhash.distinct_documents(docs)
 
 

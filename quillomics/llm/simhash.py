@@ -13,6 +13,7 @@ them, and the radius holds for all bits together, which is how a similarity well
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +34,9 @@ SEED = 42
 PIVOTS = 12
 #: Fingerprints of one candidate group that are compared at once; larger groups are compared block by block.
 BLOCK = 1024
+#: Shingles of one such block, and those that are looked up at once.
+BLOCK_SHINGLES = 1 << 19
+COMPARED = 1 << 20
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -57,6 +61,39 @@ def _spaced(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     return out.tobytes(), start, start + sizes
 
 
+def _shingles(part: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
+    """Per text, XXH64 of the shingles of blank-separated words of its lower-cased form, repeats included.
+
+    A text of fewer than ``shingle`` words is one shingle; a text without words, or null, has none.
+    """
+    words = words_of(texts_of(part.column("text")).lower(), BLANKS)
+    data, start, end = _spaced(words)
+    digest = xxhash.xxh64_intdigest
+    for i in range(part.num_rows):
+        a, b = int(words.first[i]), int(words.first[i + 1])
+        last = max(a + 1, b - shingle + 1) if a < b else a
+        spans = zip(start[a:last].tolist(), end[min(a + shingle, b) - 1:b].tolist(), strict=True) if a < b else ()
+        yield np.array([digest(data[s:e], SEED) for s, e in spans], np.uint64)
+
+
+def _prints(hashes: np.ndarray, seeds: np.ndarray) -> list[int]:
+    """Fingerprints of some hashes: a bit is set if it is in over half of them, for all but the first of their scrambles."""
+    out = []
+    for t, seed in enumerate(seeds):
+        bits = mixed(hashes ^ seed) if t else hashes
+        ones = np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(bits), bitorder="little").view(np.int64)[0])
+    return out
+
+
+def _seeds(n: int) -> np.ndarray:
+    return np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _lists(flat: np.ndarray, sizes: Sequence[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, prints: int = 1, keep: list[str] | None = None) -> DataFrame:
     """Adds ``prints`` (array of ``prints`` longs) of the lower-cased text's shingles of blank-separated words.
 
@@ -64,30 +101,48 @@ def fingerprints(docs: DataFrame, shingle: int = 3, prints: int = 1, keep: list[
     scrambles of it for more. A text of fewer than ``shingle`` words is one shingle; a text without words, or null, has
     all bits 0.
     """
-    seeds = np.arange(prints, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    seeds = _seeds(prints)
 
     def work(part: pa.RecordBatch) -> list[pa.Array]:
-        words = words_of(texts_of(part.column("text")).lower(), BLANKS)
-        data, start, end = _spaced(words)
-        digest = xxhash.xxh64_intdigest
         out = np.zeros((part.num_rows, prints), np.int64)
-        for i in range(part.num_rows):
-            a, b = int(words.first[i]), int(words.first[i + 1])
-            if a == b:
-                continue
-            last = max(a + 1, b - shingle + 1)
-            spans = zip(start[a:last].tolist(), end[min(a + shingle, b) - 1:b].tolist(), strict=True)
-            hashes = np.array([digest(data[s:e], SEED) for s, e in spans], np.uint64)
-            for t, seed in enumerate(seeds):
-                bits = mixed(hashes ^ seed) if t else hashes
-                ones = np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
-                out[i, t] = np.packbits(2 * ones > len(bits), bitorder="little").view(np.int64)[0]
-        offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * prints)
-        return [pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))]
+        for i, hashes in enumerate(_shingles(part, shingle)):
+            if len(hashes):
+                out[i] = _prints(hashes, seeds)
+        return [_lists(out.ravel(), [prints] * part.num_rows)]
 
     return with_text_columns(docs, [("prints", ArrayType(LongType()))], work, keep=keep)
 
 
+def sketches(docs: DataFrame, shingle: int, prints: int, keep: list[str]) -> DataFrame:
+    """Adds node (a hash of the text's set of shingles), size (of that set) and ``prints`` fingerprints of the set.
+
+    Here a shingle counts once however often a text repeats it, as in the Jaccard similarity.
+    """
+    seeds = _seeds(prints)
+
+    def work(part: pa.RecordBatch) -> list[pa.Array]:
+        out = np.zeros((part.num_rows, prints), np.int64)
+        node, size = np.zeros(part.num_rows, np.uint64), np.zeros(part.num_rows, np.int64)
+        for i, hashes in enumerate(_shingles(part, shingle)):
+            once = np.unique(hashes)
+            node[i], size[i] = xxhash.xxh64_intdigest(once.tobytes(), SEED), len(once)
+            if len(once):
+                out[i] = _prints(once, seeds)
+        return [pa.array(node.view(np.int64)), pa.array(size), _lists(out.ravel(), [prints] * part.num_rows)]
+
+    return with_text_columns(docs, [("node", LongType()), ("size", LongType()), ("prints", ArrayType(LongType()))], work, keep=keep)
+
+
+def shingle_sets(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
+    """Adds ``shingles``, the sorted distinct hashes of the text's shingles, as unsigned numbers in longs."""
+
+    def work(part: pa.RecordBatch) -> list[pa.Array]:
+        sets = [np.unique(h) for h in _shingles(part, shingle)]
+        return [_lists(np.concatenate(sets).view(np.int64), [len(x) for x in sets])]
+
+    return with_text_columns(docs, [("shingles", ArrayType(LongType()))], work, keep=keep)
+
+
 def _coordinates(fingerprint: Column, mask: int) -> Column:
     """Distances of one segment to all pivots, four bits each: a segment has at most 15 bits."""
     packed = F.lit(0).cast("long")
@@ -107,10 +162,54 @@ def candidate_keys(nodes: DataFrame, n_segments: int, agree: int) -> DataFrame:
     return table.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
-def _stars(groups: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+class _Sets:
+    """Sorted sets of numbers, one per member, that are compared pair by pair."""
+
+    def __init__(self, sizes: np.ndarray, values: np.ndarray):
+        numbers, ids = np.unique(values, return_inverse=True)
+        self.sizes, self.first, self.ids, self.n = sizes, np.cumsum(sizes) - sizes, ids.astype(np.int64), len(numbers)
+        self.places = np.repeat(np.arange(len(sizes)), sizes) * self.n + self.ids  # ascending
+
+    def alike(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether the Jaccard similarity of the sets of members a and b is at least ``similarity``; no set is empty."""
+        out = np.zeros(len(a), bool)
+        near = np.minimum(self.sizes[a], self.sizes[b]) / np.maximum(self.sizes[a], self.sizes[b]) >= similarity
+        todo = np.flatnonzero(near)
+        ends = np.cumsum(self.sizes[a[todo]])
+        at = 0
+        while at < len(todo):  # runs of about COMPARED numbers
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED, "right")))
+            x, y = a[todo[at:to]], b[todo[at:to]]
+            sizes = self.sizes[x]
+            starts = np.cumsum(sizes) - sizes
+            own = np.arange(int(sizes.sum())) + np.repeat(self.first[x] - starts, sizes)
+            asked = np.repeat(y * self.n, sizes) + self.ids[own]
+            found = self.places[np.minimum(np.searchsorted(self.places, asked), len(self.places) - 1)] == asked
+            common = np.add.reduceat(found, starts, dtype=np.int64)
+            out[todo[at:to]] = common / (sizes + self.sizes[y] - common) >= similarity
+            at = to
+        return out
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, each the smallest member of a class, after the classes of a and b became one."""
+    while True:
+        x, y = label[a], label[b]
+        if np.array_equal(x, y):
+            return label
+        low = np.minimum(x, y)
+        label = label.copy()
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while not np.array_equal(label, up := label[label]):
+            label = up
+
+
+def _stars(groups: np.ndarray, prints: np.ndarray, radius: int, sets: _Sets | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal groups as (member, smallest member it is linked with through the run).
 
-    ``prints`` has a row per member and a column per fingerprint.
+    ``prints`` has a row per member and a column per fingerprint. With ``sets``, pairs within the radius are linked only if
+    their sets are similar enough; pairs that are linked through others already are not compared.
     """
     table = [np.bitwise_count(prints ^ np.uint64(p % (1 << BITS))).sum(1, dtype=np.int32) for p in pivots()]
     left, right = [], []
@@ -119,47 +218,37 @@ def _stars(groups: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndar
     ends = np.append(begins[1:], n)
     stops = np.repeat(ends, ends - begins)
     active = np.arange(n)
+    label = np.arange(n)
     for step in range(1, n):
         active = active[active + step < stops[active]]
         if not len(active):
             break
-        a = active
+        a = active if sets is None else active[label[active] != label[active + step]]
         for distances in table:  # largest difference of a coordinate
             a = a[np.abs(distances[a] - distances[a + step]) <= radius]
         a = a[np.bitwise_count(prints[a] ^ prints[a + step]).sum(1, dtype=np.int32) <= radius]
-        left.append(a)
-        right.append(a + step)
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
+        if sets is None:
+            left.append(a)
+            right.append(a + step)
+        elif len(a := a[sets.alike(a, a + step, similarity)]):
+            label = _merged(label, a, a + step)
+    if left:
+        label = _merged(label, np.concatenate(left), np.concatenate(right))
     members = np.flatnonzero(label != np.arange(n))
     return members, label[members]
 
 
-def links(nodes: DataFrame, radius: int, n_segments: int, agree: int, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between nodes (node, prints) that join the same ones as all candidate pairs within the radius would.
-
-    Each candidate group gives at most one edge per member. A group of more than ``block`` nodes is split into blocks,
-    and every pair of blocks is compared by itself, so no pair is left out and no step holds more than two blocks.
-    """
-    keys = candidate_keys(nodes, n_segments, agree)
-    sizes = stored(keys.groupBy("key").count().filter("count > 1"), "candidate-keys")
-    rows = keys.join(sizes, "key")
-    n = F.expr(f"cast((count + {block - 1}) div {block} AS int)")
+def _in_blocks(rows: DataFrame, key: str, n: Column) -> DataFrame:
+    """key, i, j and the other columns: a row for each pair of the ``n`` blocks of its key that has the node's block."""
+    others = [c for c in rows.columns if c != key]
     own = F.pmod(F.xxhash64("node"), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    rows = rows.select("key", "node", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "node")
-    rows = rows.join(nodes.select("node", "prints"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return rows.select(key, *others, F.explode(pairs).alias("p")).select(F.col(key).alias("key"), "p.i", "p.j", *others)
+
+
+def _links_in(rows: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """Edges (a, b) of rows (key, i, j, node, prints) within each key, i and j; with ``similarity``, rows have shingles too."""
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def run(batches):
         held = None
@@ -178,11 +267,44 @@ def links(nodes: DataFrame, radius: int, n_segments: int, agree: int, block: int
             return
         prints = rows.column("prints").combine_chunks()
         node = rows.column("node").to_numpy()
-        a, b = _stars(groups, prints.flatten().to_numpy().view(np.uint64).reshape(len(rows), -1), radius)
+        sets = None
+        if similarity is not None:
+            shingles = rows.column("shingles").combine_chunks()
+            sets = _Sets(shingles.value_lengths().to_numpy().astype(np.int64), shingles.flatten().to_numpy().view(np.uint64))
+        a, b = _stars(groups, prints.flatten().to_numpy().view(np.uint64).reshape(len(rows), -1), radius, sets, similarity)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    return map_arrow(rows.select("key", "i", "j", "node", "prints"), run, "a long, b long")
+    return map_arrow(rows, run, "a long, b long")
+
+
+def links(nodes: DataFrame, radius: int, n_segments: int, agree: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between nodes (node, prints) that join the same ones as all candidate pairs within the radius would.
+
+    Each candidate group gives at most one edge per member. A group of more than ``block`` nodes is split into blocks,
+    and every pair of blocks is compared by itself, so no pair is left out and no step holds more than two blocks.
+    """
+    return _links_by(candidate_keys(nodes, n_segments, agree), nodes, radius, block)
+
+
+def _links_by(keys: DataFrame, nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """``links`` among the nodes that share a key of ``keys`` (key, node)."""
+    sizes = stored(keys.groupBy("key").count().filter("count > 1"), "candidate-keys")
+    n = F.expr(f"cast((count + {block - 1}) div {block} AS int)")
+    rows = _in_blocks(keys.join(sizes, "key").select("key", "node", "count"), "key", n)
+    return _links_in(rows.join(nodes.select("node", "prints"), "node").select("key", "i", "j", "node", "prints"), radius)
+
+
+def similar(members: DataFrame, radius: int, similarity: float, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Edges (a, b) that join the same nodes as all pairs of one root with a Jaccard similarity of at least ``similarity`` would.
+
+    ``members`` has root, node, size, prints and shingles. Every two members of a root are compared, unless the radius
+    rules them out or others link them already; a root is split into blocks of about ``block`` nodes or ``shingles`` shingles.
+    """
+    sums = members.groupBy("root").agg(F.count("*").alias("count"), F.sum("size").alias("total"))
+    n = F.expr(f"cast(greatest((count + {block - 1}) div {block}, (total + {shingles - 1}) div {shingles}) AS int)")
+    rows = _in_blocks(members.drop("size").join(stored(sums, "root-sizes"), "root"), "root", n)
+    return _links_in(rows.select("key", "i", "j", "node", "prints", "shingles"), radius, similarity)
 
 
 def _classes(rows: DataFrame, radius: int, n_segments: int, agree: int) -> tuple[DataFrame, DataFrame]:
@@ -222,16 +344,22 @@ def distinct_documents(
     """The rows that stay when of each group of near-duplicates only one does: the smallest doc_id (null last), then
     the smallest text hash; of equal rows one.
 
-    Documents are linked if one of their fingerprints agrees in ``agree`` of ``n_segments`` segments and all their bits
-    together differ by no more than is expected at Jaccard ``similarity`` of their shingles. Documents without words are
-    one group. All columns stay; an empty table stays empty.
+    Documents are linked if the Jaccard similarity of their sets of shingles is at least ``similarity``. Compared are those
+    that fingerprints chain together: one of them agrees in ``agree`` of ``n_segments`` segments and all their bits
+    together differ by no more than is expected at that similarity. Documents without words are one group. All columns
+    stay; an empty table stays empty.
     """
     radius = int(prints * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     names = docs.columns
     keyed = docs.withColumn("__tie", F.xxhash64("text"))
-    slim = fingerprints(keyed, shingle, prints, keep=["doc_id", "__tie"]).withColumn("node", F.xxhash64("prints"))
-    slim = stored(slim, "fingerprints")
-    _, roots = _classes(slim, radius, n_segments, agree)
+    slim = stored(sketches(keyed, shingle, prints, keep=["doc_id", "__tie"]), "fingerprints")
+    one = F.min(F.struct("doc_id", "__tie")).alias("one")
+    nodes = stored(slim.groupBy("node").agg(F.first("size").alias("size"), F.first("prints").alias("prints"), one), "distinct-fingerprints")
+    near = components(links(nodes, radius, n_segments, agree))
+    members = nodes.join(near, "node").select(F.col("one.doc_id").alias("__doc"), F.col("one.__tie").alias("__own"), "root", "node", "size", "prints")
+    texts = keyed.select("doc_id", "__tie", "text").join(members, F.expr("doc_id <=> __doc AND __tie <=> __own"))
+    members = stored(shingle_sets(texts, shingle, ["root", "node", "size", "prints"]), "shingle-sets")
+    roots = components(similar(members, radius, similarity))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__tie")
     first = slim.groupBy("node").agg(F.min(rank).alias("rank"), F.count("*").alias("n"))
     placed = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

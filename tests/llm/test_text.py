@@ -129,6 +129,20 @@ def test_distinct_documents(spark):
     assert simhash.distinct_documents(fixture.empty(spark)).count() == 0
 
 
+def pairs_of_texts(spark, cases):
+    """Documents 2i and 2i + 1 for each (n, k): they share n - k of n + k five-word shingles."""
+    texts = []
+    for i, (n, k) in enumerate(cases):
+        words = [f"w{i}x{j}" for j in range(n + 4)]
+        texts += [" ".join(words), " ".join([*words[:len(words) - k], *(f"v{i}x{j}" for j in range(k))])]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_documents_below_the_similarity_stay(spark):
+    docs = pairs_of_texts(spark, [(n, n // 9 + k) for n in (60, 300) for k in (1, 2) for _ in range(30)])
+    assert simhash.distinct_documents(docs).count() == docs.count()
+
+
 # --- substring dedup
 
 def without_repeats(texts, width):
