@@ -6,8 +6,9 @@ have the same coordinates there, so candidates are documents that agree in all c
 With ``radius`` + ``agree`` segments none within the radius is missed. Candidates whose whole distances differ by more
 than the radius to any reference are discarded, and the rest are verified bit by bit.
 
-Several fingerprints per document (the same shingles, other bits) make longer ones: candidates may then come from any of
-them, and the radius holds for all bits together, which is how a similarity well below 1 can be searched for.
+Several fingerprints per document (the same shingles, other bits) make longer ones, whose radius holds for all bits
+together. Near copies of a similarity well below 1 differ in too many bits to share segments: there candidates are
+documents that agree in a band of least shingle hashes, bits discard, and the sets of shingles decide.
 """
 
 from __future__ import annotations
@@ -113,8 +114,19 @@ def fingerprints(docs: DataFrame, shingle: int = 3, prints: int = 1, keep: list[
     return with_text_columns(docs, [("prints", ArrayType(LongType()))], work, keep=keep)
 
 
-def sketches(docs: DataFrame, shingle: int, prints: int, keep: list[str]) -> DataFrame:
-    """Adds node (a hash of the text's set of shingles), size (of that set) and ``prints`` fingerprints of the set.
+def _band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key per band from the least of ``rows`` scrambles of the hashes: two sets agree in a band with a probability
+    of their Jaccard similarity to the power of ``rows``."""
+    least = np.array([mixed(hashes ^ seed).min() for seed in mixed(_seeds(bands * rows + 1)[1:])]).reshape(bands, rows)
+    key = np.arange(bands, dtype=np.uint64)
+    for column in least.T:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ column)
+    return key
+
+
+def sketches(docs: DataFrame, shingle: int, prints: int, bands: int, rows: int, keep: list[str]) -> DataFrame:
+    """Adds node (a hash of the text's set of shingles), size (of that set), ``prints`` fingerprints of the set and its
+    candidate keys (none without shingles).
 
     Here a shingle counts once however often a text repeats it, as in the Jaccard similarity.
     """
@@ -122,15 +134,20 @@ def sketches(docs: DataFrame, shingle: int, prints: int, keep: list[str]) -> Dat
 
     def work(part: pa.RecordBatch) -> list[pa.Array]:
         out = np.zeros((part.num_rows, prints), np.int64)
+        keys = np.zeros((part.num_rows, bands), np.uint64)
         node, size = np.zeros(part.num_rows, np.uint64), np.zeros(part.num_rows, np.int64)
         for i, hashes in enumerate(_shingles(part, shingle)):
             once = np.unique(hashes)
             node[i], size[i] = xxhash.xxh64_intdigest(once.tobytes(), SEED), len(once)
             if len(once):
                 out[i] = _prints(once, seeds)
-        return [pa.array(node.view(np.int64)), pa.array(size), _lists(out.ravel(), [prints] * part.num_rows)]
+                keys[i] = _band_keys(once, bands, rows)
+        keys = keys[size > 0].ravel().view(np.int64)
+        lists = _lists(out.ravel(), [prints] * part.num_rows), _lists(keys, np.where(size > 0, bands, 0))
+        return [pa.array(node.view(np.int64)), pa.array(size), *lists]
 
-    return with_text_columns(docs, [("node", LongType()), ("size", LongType()), ("prints", ArrayType(LongType()))], work, keep=keep)
+    longs = ArrayType(LongType())
+    return with_text_columns(docs, [("node", LongType()), ("size", LongType()), ("prints", longs), ("bands", longs)], work, keep=keep)
 
 
 def shingle_sets(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
@@ -339,23 +356,25 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, agree: int = 3, s
 
 
 def distinct_documents(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, prints: int = 8, n_segments: int = 5, agree: int = 2, salt: int = 16,
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, prints: int = 8, bands: int = 16, rows: int = 4, salt: int = 16,
 ) -> DataFrame:
     """The rows that stay when of each group of near-duplicates only one does: the smallest doc_id (null last), then
     the smallest text hash; of equal rows one.
 
     Documents are linked if the Jaccard similarity of their sets of shingles is at least ``similarity``. Compared are those
-    that fingerprints chain together: one of them agrees in ``agree`` of ``n_segments`` segments and all their bits
-    together differ by no more than is expected at that similarity. Documents without words are one group. All columns
+    that candidates chain together: pairs that agree in one of ``bands`` keys of ``rows`` least hashes (at 0.8, all but
+    0.0002 of them) and whose bits differ by no more than a quarter over what is expected at that similarity and five
+    standard deviations; the quarter is for sets of few shingles. Documents without words are one group. All columns
     stay; an empty table stays empty.
     """
-    radius = int(prints * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    share = 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = math.ceil(prints * BITS * share + 5 * math.sqrt(prints * BITS * share * (1 - share)))
     names = docs.columns
     keyed = docs.withColumn("__tie", F.xxhash64("text"))
-    slim = stored(sketches(keyed, shingle, prints, keep=["doc_id", "__tie"]), "fingerprints")
+    slim = stored(sketches(keyed, shingle, prints, bands, rows, keep=["doc_id", "__tie"]), "fingerprints")
     one = F.min(F.struct("doc_id", "__tie")).alias("one")
-    nodes = stored(slim.groupBy("node").agg(F.first("size").alias("size"), F.first("prints").alias("prints"), one), "distinct-fingerprints")
-    near = components(links(nodes, radius, n_segments, agree))
+    nodes = stored(slim.groupBy("node").agg(F.first("size").alias("size"), F.first("prints").alias("prints"), F.first("bands").alias("bands"), one), "distinct-fingerprints")
+    near = components(_links_by(nodes.select("node", F.explode("bands").alias("key")), nodes, radius))
     members = nodes.join(near, "node").select(F.col("one.doc_id").alias("__doc"), F.col("one.__tie").alias("__own"), "root", "node", "size", "prints")
     texts = keyed.select("doc_id", "__tie", "text").join(members, F.expr("doc_id <=> __doc AND __tie <=> __own"))
     members = stored(shingle_sets(texts, shingle, ["root", "node", "size", "prints"]), "shingle-sets")

@@ -143,6 +143,37 @@ def test_documents_below_the_similarity_stay(spark):
     assert simhash.distinct_documents(docs).count() == docs.count()
 
 
+def test_documents_at_the_similarity_go(spark):
+    cases = [(n, n // 9 - k) for n in (9, 18, 60, 300) for k in (0, 1) for _ in range(40)]
+    got = {r.doc_id for r in simhash.distinct_documents(pairs_of_texts(spark, cases)).collect()}
+    assert got == {2 * i for i in range(len(cases))}
+
+
+def test_distinct_documents_query(spark, sf_dir):
+    """All pairs of texts by their shingles."""
+    least, shared = {}, defaultdict(list)
+    for r in documents(spark, sf_dir).select("doc_id", "text").collect():
+        words = re.findall(PLAIN, lower(r.text or ""))
+        key = frozenset(" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+        least[key] = min(r.doc_id, least.get(key, r.doc_id))
+    parent = {i: i for i in least.values()}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, i in least.items():
+        for b in {id(b): b for s in a for b in shared[s]}.values():
+            if len(a & b) / len(a | b) >= 0.8:
+                low, high = sorted((root(i), root(least[b])))
+                parent[high] = low
+        for s in a:
+            shared[s].append(a)
+    kept = [r.doc_id for r in simhash.distinct_documents(documents(spark, sf_dir)).collect()]
+    assert sorted(kept) == sorted({root(i) for i in parent})
+
+
 # --- substring dedup
 
 def without_repeats(texts, width):
