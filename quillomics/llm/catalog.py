@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, divergence, hilbert, language, packing, passages, perspectives, records, simhash, urls
+from . import centroids, codebooks, decontaminate, divergence, fingerprints, hilbert, language, packing, passages, perspectives, records, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +171,71 @@ FROM w LEFT JOIN n USING (row) LEFT JOIN k USING (row)
 def op3(spark, sf_dir):
     found = passages.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _rounds_sql(points: str, start: str, keys: str, rounds: int) -> str:
+    """Rounds of Lloyd's iteration over x (r, keys, i, x) and e0 (keys, c, i, y): e1 ... and the last places p."""
+    on = f"{keys}, i" if keys else "i"
+    lead = f"{keys}, " if keys else ""
+    steps = [points, start]
+    for k in range(rounds + 1):
+        steps.append(f"""p{k} AS MATERIALIZED (
+  SELECT r, {lead}min({{'d': d, 'c': c}}) AS m FROM (SELECT r, {lead}c, sum((x - y) * (x - y)) AS d FROM x JOIN e{k} USING ({on}) GROUP BY r, {lead}c)
+  GROUP BY ALL
+)""")
+        if k < rounds:
+            steps.append(f"""e{k + 1} AS MATERIALIZED (
+  SELECT {lead}c, i, CAST(coalesce((s - ((s % n) + n) % n) // n, y) AS BIGINT) AS y
+  FROM e{k} LEFT JOIN (SELECT {lead}m.c AS c, i, sum(x) AS s, count(*) AS n FROM p{k} JOIN x USING (r{', ' + keys if keys else ''}) GROUP BY ALL)
+  USING ({lead}c, i)
+)""")
+    return ",\n".join(steps)
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+CODES_SQL = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE {_FINITE}
+),
+{_rounds_sql(
+    "x AS MATERIALIZED (SELECT r, t * 4 // len(v) AS p, t % (len(v) // 4) AS i, v[t + 1] AS x FROM (SELECT r, v, unnest(range(len(v))) AS t FROM k))",
+    "e0 AS MATERIALIZED (SELECT p, r - 1 AS c, i, x AS y FROM x WHERE r <= 256)", "p", 4)},
+s AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, c, i)) AS codebooks_sha256 FROM e4),
+o AS (SELECT r, string_agg(printf('%02x', m.c), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM p4 GROUP BY r)
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM k JOIN o USING (r), s
+"""
+
+
+@query("op11_dual_tree_codes", CODES_SQL)
+def op11(spark, sf_dir):
+    return codebooks.compress(table(spark, sf_dir, "embeddings"), parts=4, size=256, rounds=4, scale=1024)
+
+
+CLUSTERS_SQL = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE {_FINITE} AND len(embedding) = 64
+),
+{_rounds_sql(
+    "x AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(v) AS x FROM k)",
+    """e0 AS MATERIALIZED (
+  SELECT c, i, x AS y FROM x JOIN (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c FROM k) USING (r) WHERE c < 16
+)""", "", 3)},
+s AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM e3 GROUP BY c)
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance,
+  CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM k JOIN p3 USING (r) JOIN s ON s.c = m.c
+"""
+
+
+@query("op12_literal_centroids", CLUSTERS_SQL)
+def op12(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
+@query("op13_simhash_fingerprints")
+def op13(spark, sf_dir):
+    return fingerprints.likenesses(table(spark, sf_dir, "documents"))
