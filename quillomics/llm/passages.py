@@ -12,6 +12,7 @@ anchor has one region only, all its windows recur with it; else the windows of o
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ PIECE = 512
 ALPHABET = 1_000_000
 
 
-def _windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(words: Words, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words and of the windows, and the first words of windows that lie in one text."""
-    hashes = words.hashes()
+    hashes = words.hashes(seed)
     windows = window_hashes(hashes, width)
     ahead = np.repeat(words.first[1:], words.counts) - np.arange(len(hashes))
     return hashes, windows, np.flatnonzero(ahead[:len(windows)] >= width)
@@ -50,13 +51,13 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def regions(docs: DataFrame, width: int = 35, gram: int = GRAM) -> DataFrame:
+def regions(docs: DataFrame, width: int = 35, gram: int = GRAM, seed: int = 0) -> DataFrame:
     """anchor, region, doc_id, __tie, first, n: every run of n windows from word ``first`` on that share an anchor."""
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 words = words_of(texts_of(part.column("text")), BLANKS)
-                hashes, windows, at = _windows(words, width)
+                hashes, windows, at = _windows(words, width, seed)
                 if not len(at):
                     continue
                 grams = window_hashes(hashes, gram)
@@ -85,13 +86,13 @@ def _joined(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(lists, F.expr("doc_id <=> __doc AND __tie = __own"), how).drop("__doc", "__own")
 
 
-def _region_windows(docs: DataFrame, width: int) -> DataFrame:
+def _region_windows(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """anchor, region, copies, place, window: the windows of each document's listed regions."""
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 words = words_of(texts_of(part.column("text")), BLANKS)
-                _, windows, _ = _windows(words, width)
+                _, windows, _ = _windows(words, width, seed)
                 listed = part.column("__regions")
                 counts = np.diff(listed.offsets.to_numpy())
                 flat = listed.flatten()
@@ -106,11 +107,14 @@ def _region_windows(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs.select("text", "__regions"), run, "anchor long, region long, copies long, place int, window long")
 
 
-def confirmed(docs: DataFrame, width: int = 35, gram: int = GRAM) -> DataFrame:
-    """doc_id, __tie and __marks (first, mask): regions with the windows, as bits, that recur anywhere in ``docs``."""
+def confirmed(docs: DataFrame, width: int = 35, gram: int = GRAM, seed: int = 0) -> DataFrame:
+    """doc_id, __tie and __marks (first, mask): regions with the windows, as bits, that recur anywhere in ``docs``.
+
+    Words are hashed under ``seed``. Texts cannot be made to collide by whoever does not know it.
+    """
     if not gram < width <= gram + 61:
         raise ValueError("a region's windows must overlap and fit the bits of a long")
-    found = regions(docs, width, gram)
+    found = regions(docs, width, gram, seed)
     anchors = found.groupBy("anchor").agg(F.count("*").alias("__n"), F.min("region").alias("__low"), F.max("region").alias("__high"))
     # Stored apart from the join, whose shares of a frequent anchor can then go to several tasks.
     anchors = stored(anchors.filter("__n > 1").select(F.col("anchor"), (F.col("__low") == F.col("__high")).alias("alone")), "recurring-anchors")
@@ -118,7 +122,7 @@ def confirmed(docs: DataFrame, width: int = 35, gram: int = GRAM) -> DataFrame:
     several = found.filter("NOT alone")
     examples = several.groupBy("anchor", "region").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("doc_id", "__tie", "first", "n")])
     examples = examples.groupBy("doc_id", "__tie").agg(F.collect_list(F.struct("anchor", "region", "copies", "first", "n")).alias("__regions"))
-    windows = stored(_region_windows(_joined(docs, examples, "inner"), width), "region-windows")
+    windows = stored(_region_windows(_joined(docs, examples, "inner"), width, seed), "region-windows")
     recurring = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("copies")).filter("copies > 1").drop("copies")
     masks = windows.join(stored(recurring, "recurring-windows"), ["anchor", "window"])
     masks = stored(masks.groupBy("anchor", "region").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("mask")), "region-masks")
@@ -191,7 +195,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = GRAM, keep: lis
     """
     keyed = docs.withColumn("__tie", F.hash("text"))
     own = keyed.select("doc_id", "__tie", "text")
-    rows = _joined(keyed, confirmed(own, width, gram), "left")
+    rows = _joined(keyed, confirmed(own, width, gram, secrets.randbits(64)), "left")
 
     def work(part: pa.RecordBatch) -> list[pa.Array]:
         words = words_of(texts_of(part.column("text")), BLANKS)

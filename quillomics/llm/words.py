@@ -12,11 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-#: Bytes of text worked on at once, just under a power of two (tables of powers double); one longer text is worked on alone.
-SLICE_BYTES = (1 << 21) - 2
+#: Bytes of text worked on at once; one longer text is worked on alone.
+SLICE_BYTES = 1 << 21
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_BYTE_BASE = 0x5851F42D4C957F2D
 _U64 = (1 << 64) - 1
 
 #: Separators of plain words: space and the controls 0x09 to 0x0D.
@@ -65,29 +65,46 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.texts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, equal for equal words everywhere."""
-        data = self.texts.data
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        powers, inverse = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:len(data)], out=sums[1:])
-        return mixed((sums[self.end] - sums[self.start]) * inverse[self.start])
-
-
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64; the tables grow to the longest slice."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", _BYTE_BASE), ("down", pow(_BYTE_BASE, -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _POWERS[name] = np.cumprod(table, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, equal for equal words everywhere under one seed.
+
+        Words are read in lanes of eight bytes, as many rounds as the longest of them has; much longer words are hashed
+        one by one. Beside the bytes this takes a few numbers per word, whatever the length of the text.
+        """
+        data = np.concatenate((self.texts.data, np.zeros(8, np.uint8)))
+        lanes = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        out = np.empty(len(self.start), np.uint64)
+        for at in range(0, len(out), WORDS_AT_ONCE):
+            some = slice(at, at + WORDS_AT_ONCE)
+            out[some] = self._hashes(lanes, self.start[some], self.end[some], seed)
+        return out
+
+    def _hashes(self, lanes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+        size = end - start
+        out = mixed(size.astype(np.uint64) + np.uint64(mixed_number(seed)))
+        left = np.flatnonzero(size <= LONG_WORD)
+        at = 0
+        while len(left):
+            lane = lanes[start[left] + at] & _KEPT_BYTES[np.minimum(size[left] - at, 8)]
+            out[left] = mixed((out[left] ^ lane) * np.uint64(_MULTIPLIER) + np.uint64(at))
+            at += 8
+            left = left[size[left] > at]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = xxhash.xxh64_intdigest(self.texts.data[start[i]:end[i]], seed & _U64)
+        return out
+
+
+#: Words hashed at once.
+WORDS_AT_ONCE = 1 << 18
+#: Longer words (in bytes) are hashed one by one.
+LONG_WORD = 128
+#: Masks of the first 0 to 8 bytes of a lane.
+_KEPT_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def mixed_number(x: int) -> int:
+    """``mixed`` of one number."""
+    return int(mixed(np.array([x & _U64], np.uint64))[0])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -133,17 +150,20 @@ def words_of(texts: Texts, separators: np.ndarray) -> Words:
         edges = edges[(edges > 0) & (edges < len(inside))]
         opens[edges] = inside[edges]
         closes[edges - 1] = inside[edges - 1]
-    start = np.flatnonzero(opens)
-    return Words(texts, start, np.flatnonzero(closes) + 1, np.searchsorted(start, texts.offsets))
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes)
+    end += 1
+    return Words(texts, start, end, np.searchsorted(start, texts.offsets))
 
 
 def window_hashes(word_hash: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` words, by first word; runs may cross texts, the caller masks them."""
+    """A 64-bit hash of each run of ``width`` words, by first word; runs may cross texts, the caller masks them.
+
+    Every place in a run has a multiplier of its own, unrelated to the others."""
     n = len(word_hash) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power, out = 1, np.zeros(n, np.uint64)
+    out, product = np.zeros(n, np.uint64), np.empty(n, np.uint64)
     for k in range(width):
-        out += word_hash[k:k + n] * np.uint64(power)
-        power = power * _MULTIPLIER & _U64
+        np.multiply(word_hash[k:k + n], np.uint64(mixed_number(_MULTIPLIER + k) | 1), out=product)
+        out += product
     return mixed(out)
