@@ -81,3 +81,14 @@ def _(t):
     # The searched text is itself an indexed item here; one row, fetched as a scalar subquery.
     wanted = items.filter("vec_id = 3").select("embedding").scalar()
     return op.nearest(items, wanted)
+
+
+@query("q36_batch_search", """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def _(t):
+    """A batch of twenty query vectors against all items, in one scan of them."""
+    items = t("embeddings")
+    return op.nearest_batch(items, items.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records as op
 from ..plans import gene_profile
+from ..session import scratch_path
 from . import query
 
 AREA = "coalesce(payload->>'$.disease.therapeuticAreas[0].name', payload->>'$.therapeuticAreas[0].name')"
@@ -347,6 +348,21 @@ def _(t):
     return op.search_sources(t("v_sources"), keys, "disease 2", 10).drop("payload")
 
 
+@query("q32_search_indexed", f"""
+SELECT source_key, record_id, gene_symbol, disease, drug, title, summary, source_updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY source_updated_at DESC NULLS LAST, record_id, gene_symbol,
+    disease, drug, title, summary) AS rn FROM v_sources WHERE {SEARCHED}) WHERE rn <= 10""")
+def _(t):
+    """The same search through an index of trigrams over all sources."""
+    from ..plans import search_index
+    from ..sources import registry
+
+    path = scratch_path(t.spark, "trigrams")
+    search_index.build(t("v_sources"), path)
+    index = search_index.Index(t.spark, path)
+    return search_index.search_sources(t("v_sources"), index, [s.key for s in registry.SOURCES], "disease 2", 10).drop("payload")
+
+
 @query("q37_query_history", """
 SELECT query_id, timestamp, user_email, query_text FROM (
   SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 60 + turn) AS timestamp FROM v_query_log)

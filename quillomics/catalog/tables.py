@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import payload as V
 from ..session import scratch_path
-from ..sources import files, registry, schemas, tables, views
+from ..sources import files, layout, registry, schemas, tables, views
 from . import query
 
 
@@ -179,6 +179,23 @@ def _(t):
     return t.spark.read.parquet(path).filter("drug = 'red widget'")
 
 
+@query("a15_zordered_write", """
+SELECT 'drug' AS filter, drug, moa, cell_line_id, cluster FROM v_drug_cells WHERE drug = 'red widget'
+UNION ALL SELECT 'moa', drug, moa, cell_line_id, cluster FROM v_drug_cells WHERE moa = 'MEDIUM'
+UNION ALL SELECT 'cell_line_id', drug, moa, cell_line_id, cluster FROM v_drug_cells WHERE cell_line_id = 'Supplier#000000016'""")
+def _(t):
+    """One layout for filters on each of three columns."""
+    path = scratch_path(t.spark, "zordered")
+    layout.write_zordered(t("v_drug_cells"), path, "drug", "moa", "cell_line_id", files=16)
+    cells = t.spark.read.parquet(path)
+    wanted = {"drug": "red widget", "moa": "MEDIUM", "cell_line_id": "Supplier#000000016"}
+    found = [
+        cells.filter(F.col(c) == value).select(F.lit(c).alias("filter"), "drug", "moa", "cell_line_id", "cluster")
+        for c, value in wanted.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def split_records(t):
     """Older records as the table, newer ones as the batch that arrives."""
     rows = t("v_records").select("record_id", "source_key", "gene_symbol", "disease", "title", "source_updated_at", "event_id")

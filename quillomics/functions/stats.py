@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
-SLICES = 64
 
 
 def exact_median(
@@ -16,11 +15,10 @@ def exact_median(
 ) -> DataFrame:
     """Exact (interpolated) median of ``value`` per group, with further aggregates of the same rows.
 
-    A mergeable quantile sketch, taken in the same pass as the other measures,
-    brackets the middle of each group. The bracket is cut into slices whose rows
-    are only counted; the one or two slices that hold the middle ranks are the
-    only values ever sorted, about one row in a hundred thousand of a large
-    group. Equal values are merged beforehand, so ties cannot widen a slice.
+    Two reads. The first takes a mergeable quantile sketch with the other measures; its rank error has a sure bound, so
+    the middle ranks lie between two of its quantiles. The second counts the values between them, equal ones together,
+    and all smaller ones in one number per task; larger ones are left out. Only the counted values, about one row in a
+    thousand of a large group, are then put in order.
     """
     keys = list(keys)
     margin = 4.0 / SKETCH_ACCURACY
@@ -31,47 +29,20 @@ def exact_median(
         F.count(number).alias("_n"),
     )
     aliases = [f"_k{i}" for i in range(len(keys))]
-    brackets = stats.select(
-        *[F.col(k).alias(a) for k, a in zip(keys, aliases)], F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), "_n"
-    )
-    counted = (
-        df.select(*keys, number.alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    # Slice -1 is everything under the bracket; rows above it are not needed.
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    inner = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * SLICES), F.lit(SLICES - 1)).cast("int")
-    placed = (
-        counted.join(brackets, [counted[k].eqNullSafe(brackets[a]) for k, a in zip(keys, aliases)])
-        .filter(F.col("_v") <= F.col("_hi"))
-        .select(*keys, "_n", "_v", "_c", F.when(F.col("_v") < F.col("_lo"), -1).otherwise(inner).alias("_slice"))
-    )
+    renamed = [F.col(k).alias(a) for k, a in zip(keys, aliases, strict=True)]
+    brackets = stats.select(*renamed, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), "_n")
+    rows = df.select(*keys, number.alias("_v")).filter(F.col("_v").isNotNull())
+    same = [rows[k].eqNullSafe(brackets[a]) for k, a in zip(keys, aliases, strict=True)]
+    inside = rows.join(brackets, [*same, F.col("_v") <= F.col("_hi")])
+    # What lies below the bracket is one null value, which comes first.
+    inside = inside.groupBy(*aliases, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*aliases).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.withColumn("_last", F.sum("_c").over(order)).withColumn("_first", F.col("_last") - F.col("_c"))
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
 
-    def holds(position: Column) -> Column:
-        return (F.col("_first") <= position) & (position < F.col("_last"))
-
-    def running(*partition: str):
-        order = Window.partitionBy(*partition).orderBy("_slice" if len(partition) == len(keys) else "_v")
-        return order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    slices = placed.groupBy(*keys, "_n", "_slice").agg(F.sum("_c").alias("_c"))
-    slices = slices.withColumn("_last", F.sum("_c").over(running(*keys))).withColumn("_first", F.col("_last") - F.col("_c"))
-    middle = slices.filter(holds(low) | holds(high)).select(
-        *[F.col(k).alias(a) for k, a in zip(keys, aliases)], F.col("_slice").alias("_s"), F.col("_first").alias("_start")
-    )
-    inside = placed.filter(F.col("_slice") >= 0)
-    same = [inside[k].eqNullSafe(middle[a]) for k, a in zip(keys, aliases)]
-    ranked = inside.join(middle, [*same, inside["_slice"] == middle["_s"]])
-    ranked = ranked.withColumn("_last", F.col("_start") + F.sum("_c").over(running(*keys, "_slice"))).withColumn(
-        "_first", F.col("_last") - F.col("_c")
-    )
-
     def at(position: Column) -> Column:
-        return F.max(F.when(holds(position), F.col("_v")))
+        return F.max(F.when((F.col("_first") <= position) & (position < F.col("_last")), F.col("_v")))
 
-    medians = ranked.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, aliases)]).agg(((at(low) + at(high)) / 2).alias(out))
-    found = [stats[k].eqNullSafe(medians[a]) for k, a in zip(keys, aliases)]
+    medians = ranked.groupBy(*aliases).agg(((at(low) + at(high)) / 2).alias(out))
+    found = [stats[k].eqNullSafe(medians[a]) for k, a in zip(keys, aliases, strict=True)]
     return stats.join(medians, found, "left").drop("_b", "_n", *aliases)

@@ -93,3 +93,45 @@ def nearest(
     paired = items.select(item_id, vector, query.alias("_query"))
     scored = paired.select(item_id, F.round(cosine(vector, F.col("_query")), 6).alias("similarity"))
     return R.top_k(scored, limit, F.col("similarity").desc_nulls_last())
+
+
+#: Query vectors scored in one scan; larger batches take a scan per block of so many.
+BATCH = 256
+
+
+def _blocks(queries: DataFrame, query_id: str, vector: str, block: int) -> list[Column]:
+    """The query vectors with their lengths, as arrays of at most ``block`` entries, each a scalar of one row."""
+    n = queries.count()
+    entry = F.struct(F.col(query_id).alias("id"), F.col(vector).alias("v"), F.sqrt(_dot(F.col(vector), F.col(vector))).alias("norm"))
+    if n <= block:
+        return [queries.agg(F.collect_list(entry)).scalar()]
+    shares = -(-n // block)
+    # Ids are spread by hash; a share is a bounded batch whatever their number.
+    share = F.pmod(F.xxhash64(query_id), F.lit(shares))
+    return [queries.filter(share == i).agg(F.collect_list(entry)).scalar() for i in range(shares)]
+
+
+def _dot(a: Column, b: Column) -> Column:
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def nearest_batch(
+    items: DataFrame, queries: DataFrame, limit: int = 5, item_id: str = "vec_id", vector: str = "embedding",
+    query_id: str = "query_id", query_vector: str = "embedding", block: int = BATCH,
+) -> DataFrame:
+    """The ``limit`` most similar items to each of a batch of query vectors: query_id, item id, similarity and rank.
+
+    One scan of the items scores all query vectors of a block (``block`` of them on average, held as one value by every
+    task); each task keeps ``limit`` items per query before anything is shuffled. Vectors that are null, of length zero
+    or of another number of components have a null similarity and come last.
+    """
+    found = None
+    for wanted in _blocks(queries, query_id, query_vector, block):
+        rows = items.select(item_id, vector, _dot(F.col(vector), F.col(vector)).alias("_square"), wanted.alias("_queries"))
+        rows = rows.select(item_id, vector, F.sqrt("_square").alias("_norm"), F.explode("_queries").alias("_q"))
+        score = F.try_divide(_dot(F.col(vector), F.col("_q.v")), F.col("_norm") * F.col("_q.norm"))
+        scored = rows.select(F.col("_q.id").alias(query_id), item_id, F.round(score, 6).alias("similarity"))
+        best = R.top_n_per_group(scored, [query_id], limit, F.col("similarity").desc_nulls_last(), rank_as="rank")
+        found = best if found is None else found.unionByName(best)
+    return found
