@@ -2,6 +2,8 @@
 
 from ..functions import predicates as P
 from ..operators import perturbation as op
+from ..session import scratch_path
+from ..sources import tables
 from . import query
 
 EFFECT_COLUMNS = (
@@ -53,6 +55,36 @@ def _(t):
     return op.knockouts_affecting_by_gene(t("v_diff_expr"), n=3)
 
 
+def panel_sql(key, name, panel):
+    return f"""
+SELECT {key}, {name}, cell_type, log2fc, pvalue_adj, n_perturbed, n_control FROM (
+  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY abs(log2fc) DESC, {name}, cell_type, log2fc,
+      pvalue_adj, n_perturbed, n_control) AS rn
+  FROM (SELECT {key}, {'de_gene' if key == 'gene_target' else 'gene_target'} AS {name}, {EFFECT_COLUMNS} FROM v_diff_expr
+        WHERE pvalue_adj < 0.05 AND {key} IN ({panel})))
+WHERE rn <= 5"""
+
+
+def partitioned_effects(t, key):
+    path = scratch_path(t.spark, "effects")
+    tables.write_partitioned(t("v_diff_expr"), path, key)
+    return t.spark.read.parquet(path)
+
+
+@query("q01_knockout_panel", panel_sql("gene_target", "affected_gene", "SELECT p_brand FROM part WHERE p_size = 7"))
+def _(t):
+    """A panel of targets on the table partitioned by target: other partitions are not read."""
+    panel = t("part").filter("p_size = 7").select("p_brand").distinct()
+    return op.knockout_effects_by_target(partitioned_effects(t, "gene_target"), n=5, targets=panel)
+
+
+@query("q02_knockouts_affecting_panel", panel_sql("de_gene", "knockout", "SELECT p_name FROM part WHERE p_size = 7"))
+def _(t):
+    """The reverse lookup of a panel of genes on the table partitioned by gene."""
+    panel = t("part").filter("p_size = 7").select("p_name").distinct()
+    return op.knockouts_affecting_by_gene(partitioned_effects(t, "de_gene"), n=5, genes=panel)
+
+
 @query("q03_ndd_risk_genes", """
 SELECT DISTINCT gene, gene_id, chromosome, fdr, pvalue, ASD72 FROM (
   SELECT gene, gene_id, chromosome, TRY_CAST(nullif(FDR_TADA_ASD, 'nan') AS DOUBLE) AS fdr,

@@ -36,12 +36,12 @@ def _(t):
     """The latest order of every customer, kept by an upserting stream."""
     columns = ["o_custkey", "o_orderkey", "o_totalprice"]
     schema = t("orders").select(*columns).schema
-    table = tables.VersionedTable(t.spark, scratch_path(t.spark, "latest"), schema, keys=["o_custkey"], buckets=8)
+    table = tables.Keyed(scratch_path(t.spark, "latest"), schema, ("o_custkey",), buckets=8)
     ingest.upsert_shards(
         t.spark, shards(t, "orders"), t("orders").schema, table, scratch_path(t.spark, "latest-cp"), ["o_orderkey"],
         lambda rows: rows.select(*columns),
     ).awaitTermination()
-    return table.read()
+    return tables.read_keyed(t.spark, table)
 
 
 @query("s02_upsert_out_of_order", UPSERT_SQL)
@@ -51,11 +51,33 @@ def _(t):
     orders = t("orders").select(*columns)
     folder = scratch_path(t.spark, "order-shards")
     orders.repartition(8, F.xxhash64("o_orderkey")).write.parquet(folder)
-    table = tables.VersionedTable(t.spark, scratch_path(t.spark, "latest"), orders.schema, keys=["o_custkey"], buckets=8)
+    table = tables.Keyed(scratch_path(t.spark, "latest"), orders.schema, ("o_custkey",), buckets=8)
     ingest.upsert_shards(
         t.spark, folder, orders.schema, table, scratch_path(t.spark, "latest-cp"), ["o_orderkey"], files_per_batch=1,
     ).awaitTermination()
-    return table.read()
+    return tables.read_keyed(t.spark, table)
+
+
+@query("s02_change_feed", """
+WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS last FROM orders)
+SELECT 'insert' AS change_type, o_custkey, o_orderkey, o_totalprice FROM r WHERE first = 1
+UNION ALL SELECT 'update_preimage', o_custkey, o_orderkey, o_totalprice FROM r WHERE first = 1 AND last > 1
+UNION ALL SELECT 'update_postimage', o_custkey, o_orderkey, o_totalprice FROM r WHERE last = 1 AND first > 1""")
+def _(t):
+    """Changes of two batches, the first and the last order of every customer, the second of them sent twice."""
+    columns = ["o_custkey", "o_orderkey", "o_totalprice"]
+    keyed = t("orders").select(*columns)
+    orders = t("orders").groupBy("o_custkey").agg(
+        F.min(F.struct("o_orderkey", "o_totalprice")).alias("first"), F.max(F.struct("o_orderkey", "o_totalprice")).alias("last"),
+    )
+    table = tables.Keyed(scratch_path(t.spark, "latest"), keyed.schema, ("o_custkey",), buckets=8)
+    ledger = ingest.Ledger(t.spark, scratch_path(t.spark, "ledger"), "orders")
+    feed = scratch_path(t.spark, "feed")
+    tables.clear(t.spark, table)
+    for batch_id, part in ((0, "first"), (1, "last"), (1, "last")):
+        ingest.upsert_batch(orders.select("o_custkey", f"{part}.*"), batch_id, table, ledger, ["o_orderkey"], feed=feed)
+    return t.spark.read.parquet(feed).drop("batch")
 
 
 @query("s03_distinct_records", "SELECT DISTINCT user_id, event_type FROM events")

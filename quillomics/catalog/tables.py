@@ -172,6 +172,39 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+def scratch_database(t, label):
+    """A new database in the scratch folder."""
+    path = scratch_path(t.spark, label)
+    name = f"{label}_{path.rsplit('-', 1)[1][:12]}"
+    t.spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    return name
+
+
+@query("a14_create_table_as_select", "SELECT drug, moa, cell_line_id, count(*) AS n_cells FROM v_drug_cells WHERE drug IS NOT NULL GROUP BY ALL")
+def _(t):
+    """A catalog table made by SQL from a query."""
+    name = scratch_database(t, "ctas")
+    t("v_drug_cells").createOrReplaceTempView(f"{name}_cells")
+    t.spark.sql(f"""CREATE TABLE {name}.counts USING parquet AS
+        SELECT drug, moa, cell_line_id, count(*) AS n_cells FROM {name}_cells WHERE drug IS NOT NULL GROUP BY ALL""")
+    return t.spark.table(f"{name}.counts")
+
+
+@query("a14_bucketed_join", """
+WITH e AS (SELECT gene_target, count(*) AS n_effects, min(pvalue_adj) AS best_pvalue FROM v_diff_expr GROUP BY 1),
+ c AS (SELECT gene_target, count(*) AS n_cells FROM v_cell_metadata GROUP BY 1)
+SELECT gene_target, n_effects, best_pvalue, n_cells FROM e JOIN c USING (gene_target)""")
+def _(t):
+    """Two tables bucketed by target, summed up and joined where their buckets lie: no row is shuffled."""
+    name = scratch_database(t, "bucketed")
+    tables.write_bucketed(t("v_diff_expr").select("gene_target", "pvalue_adj"), f"{name}.effects", "gene_target", buckets=8)
+    tables.write_bucketed(t("v_cell_metadata").select("gene_target", "cell_barcode"), f"{name}.cells", "gene_target", buckets=8)
+    effects = t.spark.table(f"{name}.effects").groupBy("gene_target")
+    effects = effects.agg(F.count(F.lit(1)).alias("n_effects"), F.min("pvalue_adj").alias("best_pvalue"))
+    cells = t.spark.table(f"{name}.cells").groupBy("gene_target").agg(F.count(F.lit(1)).alias("n_cells"))
+    return effects.join(cells.hint("merge"), "gene_target")
+
+
 @query("a15_clustered_write", "SELECT drug, moa, cell_line_id, cluster FROM v_drug_cells WHERE drug = 'red widget'")
 def _(t):
     path = scratch_path(t.spark, "ranged")
@@ -214,8 +247,8 @@ RECORD_LIST = "record_id, source_key, gene_symbol, disease, title, source_update
 
 
 def record_table(t, old):
-    table = tables.VersionedTable(t.spark, scratch_path(t.spark, "records"), old.schema, buckets=16)
-    table.overwrite(tables.latest_per_key(old, tables.RECORD_KEYS, "event_id"))
+    table = tables.Keyed(scratch_path(t.spark, "records"), old.schema, buckets=16)
+    tables.overwrite(tables.latest_per_key(old, tables.RECORD_KEYS, "event_id"), table)
     return table
 
 
@@ -223,9 +256,9 @@ def record_table(t, old):
 def _(t):
     old, new = split_records(t)
     table = record_table(t, old)
-    table.upsert(new, "event_id")
-    table.upsert(new, "event_id")
-    return table.read()
+    for _ in range(2):
+        tables.upsert(new, table, "event_id")
+    return tables.read_keyed(t.spark, table)
 
 
 @query("a16_merge_frames", LATEST_SQL + f"SELECT {RECORD_LIST} FROM m")
@@ -238,11 +271,11 @@ def _(t):
 @query("a17_clear_and_append", "SELECT query_id, user_email, query_text FROM v_query_log")
 def _(t):
     log = t("v_query_log").select("query_id", "user_email", "query_text")
-    table = tables.VersionedTable(t.spark, scratch_path(t.spark, "log"), log.schema, keys=["query_id"], buckets=4)
-    table.overwrite(log.limit(0).unionByName(log))
-    table.clear()
-    table.upsert(log, "query_text")
-    return table.read()
+    table = tables.Keyed(scratch_path(t.spark, "log"), log.schema, ("query_id",), buckets=4)
+    tables.overwrite(log, table)
+    tables.clear(t.spark, table)
+    tables.upsert(log, table, "query_text")
+    return tables.read_keyed(t.spark, table)
 
 
 @query("a18_source_tables", """
@@ -276,9 +309,10 @@ UNION ALL SELECT 'update_postimage', {', '.join('n.' + c.strip() for c in RECORD
 UNION ALL SELECT 'insert', {RECORD_LIST} FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE n.record_id = o.record_id AND n.source_key = o.source_key)""")
 def _(t):
     old, new = split_records(t)
-    table = record_table(t, old)
-    table.upsert(new, "event_id")
-    return table.changes(1)
+    table, path = record_table(t, old), scratch_path(t.spark, "feed")
+    tables.upsert_feed(new, table, "event_id").write.parquet(path)
+    tables.upsert(new, table, "event_id")
+    return t.spark.read.parquet(path)
 
 
 @query("a19_replay", LATEST_SQL + f"SELECT {RECORD_LIST} FROM m")

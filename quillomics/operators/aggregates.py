@@ -67,17 +67,18 @@ def _cells(df: DataFrame, column: str, entry: Column, keys: Column, wanted: str)
 def mean_matrix(df: DataFrame, row: str, column: str, value: str, n: int) -> DataFrame:
     """Mean of every (top row key, column) cell in long form, 0 where a cell is empty.
 
-    The rows are read once: each row key gathers its aggregated cells, at most as many as the grid has columns, and the
-    n leading keys are all that the grid is filled from. A null column is no cell.
+    The columns are those of the n leading keys, one row each; every one of them is paired with the n keys, which are all
+    that is held as one value, and the cells are joined to the pairs. A null column is no cell.
     """
     cells = df.groupBy(row, column).agg(F.avg(value).alias("_mean"), F.max(F.abs(value)).alias("_peak"))
-    entry = F.when(F.col(column).isNotNull(), F.struct(column, "_mean"))
-    lines = cells.groupBy(row).agg(F.max("_peak").alias("_peak"), F.array_sort(F.collect_list(entry)).alias("_entries"))
-    tops = R.top_k(lines, n, F.col("_peak").desc_nulls_last())
-    names = F.array_distinct(F.flatten(F.collect_list(F.transform("_entries", lambda e: e[column])).over(Window.partitionBy(F.lit(0)))))
-    grid = tops.select(row, F.map_from_entries("_entries").alias("_m"), names.alias("_names"))
-    grid = grid.select(row, "_m", F.explode("_names").alias(column))
-    return grid.select(row, column, F.coalesce(F.col("_m")[F.col(column)], F.lit(0.0)).alias("mean_value"))
+    tops = R.top_k(cells.groupBy(row).agg(F.max("_peak").alias("_peak")), n, F.col("_peak").desc_nulls_last())
+    leading = tops.agg(F.collect_list(F.struct(row)).alias("_keys")).scalar()
+    listed = cells.filter(F.col(column).isNotNull()).select(row, column, "_mean", leading.alias("_keys"))
+    listed = listed.filter(F.array_contains("_keys", F.struct(row)))
+    grid = listed.groupBy(column).agg(F.any_value("_keys").alias("_keys")).select(column, F.explode("_keys").alias("_key")).select(F.col(f"_key.{row}").alias("_row"), F.col(column).alias("_column"))
+    cells = listed.select(row, column, "_mean")
+    found = grid.join(cells, F.col("_row").eqNullSafe(F.col(row)) & (F.col("_column") == F.col(column)), "left")
+    return found.select(F.col("_row").alias(row), F.col("_column").alias(column), F.coalesce("_mean", F.lit(0.0)).alias("mean_value"))
 
 
 def mean_pivot(df: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:
@@ -85,12 +86,27 @@ def mean_pivot(df: DataFrame, row: str, column: str, value: str, columns: Sequen
     return df.groupBy(row).pivot(column, list(columns)).agg(F.avg(value)).fillna(0)
 
 
+#: Keys of a grid that are held as one value, and parts that the pairing of entities with them is dealt to.
+KEY_BLOCK, PARTS = 1024, 16
+
+
 def entity_matrix(df: DataFrame, entity: str, key: str, value: str, first_entity: str) -> DataFrame:
-    """Value of every entity on the keys of one entity, 0 where missing; of repeated cells the largest value."""
-    df = df.groupBy(entity, key).agg(F.max(value).alias(value))
-    keys = df.filter(F.col(entity) == first_entity).agg(F.array_sort(F.collect_set(key))).scalar()
-    grid = _cells(df.select(entity, key, value), entity, F.struct(key, value), keys, key)
-    return grid.select(entity, key, F.coalesce(F.col("_m")[F.col(key)], F.lit(0.0)).alias(value))
+    """Value of every entity on the keys of one entity, 0 where missing; of repeated cells the largest value.
+
+    The keys are cut into blocks of about KEY_BLOCK; every entity meets every block by an equality join in PARTS parts,
+    and the cells are joined to the pairs, so no task holds more than a block of keys.
+    """
+    cells = df.groupBy(entity, key).agg(F.max(value).alias(value))
+    keys = cells.filter((F.col(entity) == first_entity) & F.col(key).isNotNull()).select(key)
+    blocks = keys.agg((F.floor(F.count(F.lit(1)) / KEY_BLOCK) + 1).cast("bigint")).scalar()
+    held = keys.withColumn("_blocks", blocks).groupBy(F.pmod(F.xxhash64(key), F.col("_blocks")).alias("_block")).agg(F.collect_list(key).alias("_keys"))
+    held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    entities = cells.select(F.col(entity).alias("_entity")).distinct().withColumn("_blocks", blocks)
+    part = F.pmod(F.xxhash64("_entity"), F.lit(PARTS)).cast("int")
+    entities = entities.select("_entity", part.alias("_part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block"))
+    grid = entities.join(held, ["_block", "_part"]).select("_entity", F.explode("_keys").alias("_key"))
+    found = grid.join(cells, F.col("_entity").eqNullSafe(F.col(entity)) & (F.col("_key") == F.col(key)), "left")
+    return found.select(F.col("_entity").alias(entity), F.col("_key").alias(key), F.coalesce(F.col(value), F.lit(0.0)).alias(value))
 
 
 def first_match_matrix(df: DataFrame, row: str, column: str, value: str, n_rows: int = 12) -> DataFrame:

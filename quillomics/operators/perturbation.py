@@ -56,17 +56,37 @@ def knockouts_affecting(
 def knockout_effects_by_target(
     diff_expr: DataFrame, n: int | None = 50, pval_threshold: float = 0.05, targets: DataFrame | None = None
 ) -> DataFrame:
-    """Batched form: the top n effects of every target (or of the given ones) in one job."""
+    """Batched form: the top n effects of every target, or of a panel of targets, in one job.
+
+    On a table partitioned by target only the partitions of the panel are read.
+    """
     hits = diff_expr.filter((F.col("pvalue_adj") < pval_threshold) & F.col("gene_target").isNotNull())
-    if targets is not None:
-        hits = hits.join(targets.select("gene_target"), "gene_target", "left_semi")
+    hits = _of_panel(hits, "gene_target", targets)
     rows = _effects(hits, "gene_target", F.col("de_gene").alias("affected_gene"))
     return R.top_n_per_group(rows, ["gene_target"], n, R.abs_desc("log2fc"))
 
 
-def knockouts_affecting_by_gene(diff_expr: DataFrame, n: int | None = 50, pval_threshold: float = 0.05) -> DataFrame:
-    """Batched reverse lookup: the top n perturbations of every affected gene."""
+def _of_panel(rows: DataFrame, key: str, panel: DataFrame | None) -> DataFrame:
+    """Rows whose key is in the panel's first column; all rows without a panel.
+
+    An empty name is no key. The filter says so, and also tells the optimizer that the panel is a selection, whose keys
+    are then found before the rows are read (dynamic partition pruning).
+    """
+    if panel is None:
+        return rows
+    wanted = panel.select(F.col(panel.columns[0]).alias(key)).filter(F.col(key) != "")
+    return rows.join(wanted, key, "left_semi")
+
+
+def knockouts_affecting_by_gene(
+    diff_expr: DataFrame, n: int | None = 50, pval_threshold: float = 0.05, genes: DataFrame | None = None
+) -> DataFrame:
+    """Batched reverse lookup: the top n perturbations of every affected gene, or of a panel of genes.
+
+    On a table partitioned by the affected gene only the partitions of the panel are read.
+    """
     hits = diff_expr.filter((F.col("pvalue_adj") < pval_threshold) & F.col("de_gene").isNotNull())
+    hits = _of_panel(hits, "de_gene", genes)
     rows = _effects(hits, "de_gene", F.col("gene_target").alias("knockout"))
     return R.top_n_per_group(rows, ["de_gene"], n, R.abs_desc("log2fc"))
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, VariantType
+from pyspark.sql.types import IntegerType, StructField, StructType, VariantType
 
 from ..functions.ranking import sortable
+from ..session import scratch_path
 from .registry import SOURCES, Source
 from .schemas import schema
 
@@ -18,13 +20,15 @@ RECORD_KEYS = ("record_id", "source_key")
 REQUIRED = (*RECORD_KEYS, "payload", "ingested_at")
 
 
-def write_partitioned(df: DataFrame, path: str, *keys: str, mode: str = "overwrite") -> None:
+def write_partitioned(df: DataFrame, path: str, *keys: str, mode: str = "overwrite", dynamic: bool = False) -> None:
     """Partitioned write that stays balanced.
 
     Rebalancing by key sizes the write tasks from measured data: small keys share
-    a task, and a key holding a third of the rows is split over many.
+    a task, and a key holding a third of the rows is split over many. A dynamic
+    overwrite replaces only the partitions that ``df`` has rows for.
     """
-    df.hint("rebalance", *[F.col(k) for k in keys]).write.mode(mode).partitionBy(*keys).parquet(path)
+    writer = df.hint("rebalance", *[F.col(k) for k in keys]).write.mode(mode).partitionBy(*keys)
+    writer.option("partitionOverwriteMode", "dynamic" if dynamic else "static").parquet(path)
 
 
 def write_clustered(df: DataFrame, path: str, *columns: str, partitions: int | None = None) -> None:
@@ -110,105 +114,80 @@ def replay(old: DataFrame, feed: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.join(gone, list(keys), "left_anti").unionByName(added.select(*old.columns))
 
 
-class VersionedTable:
-    """A keyed Parquet table whose versions replace only the key buckets they touch.
+@dataclass(frozen=True)
+class Keyed:
+    """A plain Parquet table with one row per key, partitioned by a hash bucket of the key. The number of buckets is
+    fixed when the table is made. One writer at a time."""
 
-    A full version replaces everything before it; a partial one holds just the
-    buckets a batch falls into, so a small batch never rewrites a large table. A
-    version counts once its write committed (its ``_SUCCESS`` file exists), which
-    makes a failed or repeated write harmless. Single writer.
+    path: str
+    schema: StructType
+    keys: tuple[str, ...] = RECORD_KEYS
+    buckets: int = 64
+
+
+BUCKET = "_bucket"
+
+
+def _bucketed(rows: DataFrame, table: Keyed) -> DataFrame:
+    bucket = F.pmod(F.xxhash64(*table.keys), F.lit(table.buckets)).cast("int")
+    return rows.select(*table.schema.fieldNames()).withColumn(BUCKET, bucket)
+
+
+def overwrite(rows: DataFrame, table: Keyed) -> None:
+    """Replaces the table; rows have unique keys. No rows clear it."""
+    write_partitioned(_bucketed(rows, table), table.path, BUCKET)
+
+
+def clear(spark: SparkSession, table: Keyed) -> None:
+    overwrite(spark.createDataFrame([], table.schema), table)
+
+
+def read_keyed(spark: SparkSession, table: Keyed, buckets: Sequence[int] | None = None) -> DataFrame:
+    """The table, or the rows of some of its buckets: only their folders are read."""
+    rows = spark.read.schema(StructType([*table.schema.fields, StructField(BUCKET, IntegerType())])).parquet(table.path)
+    rows = rows if buckets is None else rows.filter(F.col(BUCKET).isin(list(buckets)))
+    return rows.select(*table.schema.fieldNames())
+
+
+def _met(batch: DataFrame, table: Keyed) -> DataFrame:
+    """Rows of the buckets that the batch falls into."""
+    touched = sorted(r[0] for r in _bucketed(batch, table).select(BUCKET).distinct().collect())  # at most one per bucket
+    return read_keyed(batch.sparkSession, table, touched)
+
+
+def upsert(batch: DataFrame, table: Keyed, *order: str) -> None:
+    """Updates and inserts a batch: the buckets it falls into are read, merged, and replaced by a dynamic overwrite.
+
+    What they become is first written to the shared folder, so a lost task never reads what is being replaced. The same
+    batch again leaves the table as it is, so a failed upsert is repeated.
     """
+    if batch.isEmpty():
+        return
+    spark, path = batch.sparkSession, scratch_path(batch.sparkSession, "merged")
+    merged = merge(_met(batch, table), batch.select(*table.schema.fieldNames()), table.keys, *order)
+    merged.write.parquet(path)
+    fresh = _bucketed(spark.read.schema(table.schema).parquet(path), table)
+    write_partitioned(fresh, table.path, BUCKET, dynamic=True)
+
+
+def upsert_feed(batch: DataFrame, table: Keyed, *order: str) -> DataFrame:
+    """What an upsert of the batch would change, as a feed; to be stored before the upsert. Other buckets are not read."""
+    old = _met(batch, table)
+    return changes(old, merge(old, batch.select(*table.schema.fieldNames()), table.keys, *order), table.keys)
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str] = RECORD_KEYS,
-                 buckets: int = 64):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.keys, self.buckets = list(keys), buckets
-
-    def _fs(self, path: str):
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
-
-    def _names(self, path: str) -> list[str]:
-        fs, jvm_path = self._fs(path)
-        return [s.getPath().getName() for s in fs.listStatus(jvm_path)] if fs.exists(jvm_path) else []
-
-    def versions(self) -> list[tuple[int, str, str]]:
-        """Committed versions as (number, full or part, folder), oldest first."""
-        found = []
-        for name in sorted(self._names(self.path)):
-            match = re.fullmatch(r"v=(\d+)-(full|part)-b(\d+)", name)
-            if not match or "_SUCCESS" not in self._names(f"{self.path}/{name}"):
-                continue
-            if int(match[3]) != self.buckets:
-                raise ValueError(f"table has {match[3]} buckets, not {self.buckets}")
-            found.append((int(match[1]), match[2], f"{self.path}/{name}"))
-        return found
-
-    def _bucket_folders(self, version: int | None = None) -> dict[int, str]:
-        """Newest folder of every bucket, up to a version."""
-        folders: dict[int, str] = {}
-        for number, kind, folder in self.versions():
-            if version is not None and number > version:
-                break
-            if kind == "full":
-                folders = {}
-            for name in self._names(folder):
-                if name.startswith("_bucket="):
-                    folders[int(name.split("=")[1])] = f"{folder}/{name}"
-        return folders
-
-    def _read_folders(self, folders: Sequence[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*folders)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        return self._read_folders(list(self._bucket_folders(version).values()))
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-
-    def _commit(self, rows: DataFrame, kind: str) -> int:
-        numbers = [n for n, _, _ in self.versions()]
-        number = (numbers[-1] if numbers else 0) + 1
-        target = f"{self.path}/v={number:08d}-{kind}-b{self.buckets}"
-        ordered = rows.select(*self.schema.fieldNames())
-        write_partitioned(ordered.withColumn("_bucket", self._bucket()), target, "_bucket")
-        return number
-
-    def overwrite(self, rows: DataFrame) -> int:
-        return self._commit(rows, "full")
-
-    def clear(self) -> int:
-        return self._commit(self.spark.createDataFrame([], self.schema), "full")
-
-    def upsert(self, batch: DataFrame, *order: str) -> int:
-        """Update and insert a batch; only the buckets it falls into are read and rewritten."""
-        touched = [r[0] for r in batch.select(self._bucket()).distinct().collect()]
-        if not touched:
-            return self.versions()[-1][0] if self.versions() else 0
-        folders = self._bucket_folders()
-        current = self._read_folders([folders[b] for b in touched if b in folders])
-        return self._commit(merge(current, batch.select(*self.schema.fieldNames()), self.keys, *order), "part")
-
-    def changes(self, since: int, until: int | None = None) -> DataFrame:
-        """The feed between two versions; only buckets whose folder differs are read."""
-        before, after = self._bucket_folders(since), self._bucket_folders(until)
-        same = {b for b, folder in before.items() if after.get(b) == folder}
-        old, new = ([f for b, f in folders.items() if b not in same] for folders in (before, after))
-        return changes(self._read_folders(old), self._read_folders(new), self.keys)
-
-    def remove_versions(self, keep: int) -> list[int]:
-        """Removes version folders that version ``keep`` and later ones do not read; returns their numbers.
-
-        Older versions cannot be read afterwards. A folder goes whole, and only if no bucket of it is still used.
-        """
-        used = {f.rsplit("/", 1)[0] for n, _, _ in self.versions() if n >= keep for f in self._bucket_folders(n).values()}
-        gone = [(n, folder) for n, _, folder in self.versions() if n < keep and folder not in used]
-        for _, folder in gone:
-            fs, path = self._fs(folder)
-            fs.delete(path, True)
-        return [n for n, _ in gone]
+
+def merge_into(batch: DataFrame, name: str, keys: Sequence[str]) -> None:
+    """Upserts a batch with unique keys into a table of a catalog that offers row-level changes."""
+    same = [F.col(f"{name}.{k}").eqNullSafe(F.col(f"batch.{k}")) for k in keys]
+    batch.alias("batch").mergeInto(name, reduce(Column.__and__, same)).whenMatched().updateAll().whenNotMatched().insertAll().merge()
+
+
+def write_bucketed(df: DataFrame, name: str, *keys: str, buckets: int = 64) -> None:
+    """A catalog table bucketed and sorted by the keys: joins of such tables on them need no shuffle.
+
+    Rows are dealt out by the same hash as the buckets, so each bucket is written by one task, as one sorted file.
+    """
+    df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
 
 
 def create_table_sql(source: Source, database: str, location: str | None = None) -> str:

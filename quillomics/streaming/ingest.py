@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..sources.tables import VersionedTable, latest_per_key
+from ..sources import tables
 
 FILES_PER_BATCH = 50
 Transform = Callable[[DataFrame], DataFrame]
@@ -36,27 +37,66 @@ def append_shards(
     )
 
 
+LEDGER = "stream string, batch_id long, step string"
+
+
+class Ledger:
+    """Which steps of which batches are done, kept as appended rows beside a table."""
+
+    def __init__(self, spark: SparkSession, path: str, stream: str):
+        self.spark, self.path, self.stream = spark, path, stream
+        spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
+
+    def done(self, batch_id: int) -> set[str]:
+        rows = self.spark.read.schema(LEDGER).parquet(self.path)
+        return {r["step"] for r in rows.filter((F.col("stream") == self.stream) & (F.col("batch_id") == batch_id)).select("step").distinct().collect()}
+
+    def add(self, batch_id: int, step: str) -> None:
+        self.spark.createDataFrame([(self.stream, batch_id, step)], LEDGER).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def upsert_batch(
+    batch: DataFrame, batch_id: int, table: tables.Keyed, ledger: Ledger, order: Sequence[str], replace: bool = False, feed: str | None = None,
+) -> None:
+    """One batch of an upserting stream. What the ledger lists of it is not done again.
+
+    The feed of changes is taken and listed before the table changes, so a batch repeated between the two finds it whole.
+    """
+    done = ledger.done(batch_id)
+    if "table" in done:
+        return
+    if feed and "feed" not in done:
+        tables.upsert_feed(batch, table, *order).write.mode("overwrite").parquet(f"{feed}/batch={batch_id}")
+        ledger.add(batch_id, "feed")
+    if replace and batch_id == 0:
+        tables.overwrite(tables.latest_per_key(batch.select(*table.schema.fieldNames()), table.keys, *order), table)
+    else:
+        tables.upsert(batch, table, *order)
+    ledger.add(batch_id, "table")
+
+
 def upsert_shards(
-    spark: SparkSession, path: str, schema: StructType, table: VersionedTable, checkpoint: str, order: Sequence[str],
-    transform: Transform | None = None, files_per_batch: int = FILES_PER_BATCH, replace: bool = False,
+    spark: SparkSession, path: str, schema: StructType, table: tables.Keyed, checkpoint: str, order: Sequence[str],
+    transform: Transform | None = None, files_per_batch: int = FILES_PER_BATCH, replace: bool = False, feed: str | None = None,
 ) -> StreamingQuery:
-    """Upsert every batch of new shards into a keyed table.
+    """Upsert every batch of new shards into a keyed table, which is made if it is missing.
 
     With ``replace`` the first batch of a checkpoint replaces the table and the
-    later ones are upserted: a full refresh.
+    later ones are upserted: a full refresh. ``feed`` is a folder for the changes
+    of each batch.
 
-    A batch repeated after a failure writes the same keys with the same rows, so
-    the table ends the same. Keys seen in earlier batches are settled by the
-    table itself; no deduplication state is kept in the stream.
+    The ledger in the checkpoint's folder lists finished batches: one that the
+    stream repeats after a failure writes nothing. Keys seen in earlier batches
+    are settled by the table itself; no deduplication state is kept in the stream.
     """
     rows = shard_stream(spark, path, schema, files_per_batch)
     rows = transform(rows) if transform else rows
+    ledger = Ledger(spark, f"{checkpoint.rstrip('/')}-ledger", checkpoint)
+    empty = spark.createDataFrame([], StructType([*table.schema.fields, StructField(tables.BUCKET, IntegerType())]))
+    empty.write.mode("ignore").partitionBy(tables.BUCKET).parquet(table.path)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if replace and batch_id == 0:
-            table.overwrite(latest_per_key(batch.select(*table.schema.fieldNames()), table.keys, *order))
-        else:
-            table.upsert(batch, *order)
+        upsert_batch(batch, batch_id, table, ledger, order, replace, feed)
 
     return (
         rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
