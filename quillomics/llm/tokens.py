@@ -30,6 +30,14 @@ _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
 
 
+#: The character that stands for each byte in the vocabulary: itself if it is shown as such, else one from U+0100 on.
+_SHOWN, _HIDDEN = {}, 0
+for _byte in range(256):
+    if not (0x21 <= _byte <= 0x7E or 0xA1 <= _byte <= 0xAC or 0xAE <= _byte):
+        _SHOWN[_byte] = chr(0x100 + _HIDDEN)
+        _HIDDEN += 1
+
+
 def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ... (size of them) for every pair, end to end."""
     return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
@@ -41,8 +49,12 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Then a word is one pre-token, and its ids are what the model makes of its bytes.
+        self.words_alone = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.again: set[bytes] = set()
 
@@ -54,18 +66,28 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of single words, from the tokenizer's model: neither split nor aligned with their text."""
+        tokens = self.model.tokenize
+        return [array("I", [t.id for t in tokens(x.decode("latin-1").translate(_SHOWN))]).tobytes() for x in words]
+
     def _learn(self, pieces: set[bytes]) -> None:
         """Adds pieces to the cache. A word and the marks after it are two pre-tokens, so each is encoded by itself."""
-        whole, joined = [], []
+        words, whole, joined = [], [], []
         for piece in pieces:
-            word = piece.rstrip(_MARKS)
-            if len(piece) <= KEPT_LENGTH and word != piece and _WORD.fullmatch(word):
+            if _WORD.fullmatch(piece):
+                words.append(piece)
+                continue
+            word = piece.rstrip(_MARKS) if piece[-1] in _MARKS and len(piece) <= KEPT_LENGTH else piece
+            if word != piece and _WORD.fullmatch(word):
                 joined.append((piece, word, piece[len(word):]))
             else:
                 whole.append(piece)
-        parts = {word for _, word, _ in joined}
-        parts.update(marks for *_, marks in joined)
-        whole += parts.difference(self.known, whole)
+        words += {word for _, word, _ in joined}.difference(self.known, words)
+        whole += {marks for *_, marks in joined}.difference(self.known, whole)
+        if not self.words_alone:
+            whole, words = whole + words, []
+        self.known.update(zip(words, self._ids_of_words(words), strict=True))
         self.known.update(zip(whole, self._ids(whole), strict=True))
         for piece, word, marks in joined:
             self.known[piece] = self.known[word] + self.known[marks]
