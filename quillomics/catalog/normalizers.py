@@ -273,7 +273,7 @@ def mutation_docs(t):
 MUTATION_ROWS = """
 m AS (SELECT 'G' || (l_suppkey % 5) AS gene_symbol, 'study_' || (l_partkey % 4) AS study_id,
   CASE WHEN l_returnflag <> 'N' THEN l_returnflag WHEN l_linestatus = 'O' THEN 'SOMATIC' ELSE 'Unknown' END AS mt,
-  'S' || (l_orderkey % 200) AS sample_id FROM lineitem)"""
+  'S' || (l_orderkey % 200) AS sample_id, l_linenumber <> 1 AS named FROM lineitem)"""
 
 
 @query("n06_gene_info_records", """
@@ -286,12 +286,12 @@ def _(t):
 @query("g09_study_summary", f"""
 WITH {MUTATION_ROWS},
  c AS (SELECT gene_symbol, study_id, mt, count(*) AS n FROM m GROUP BY 1, 2, 3),
- s AS (SELECT gene_symbol, study_id, count(*) AS n_mutations, count(DISTINCT sample_id) AS n_samples_affected FROM m GROUP BY 1, 2)
+ s AS (SELECT gene_symbol, study_id, count(*) AS n_mutations, count(DISTINCT sample_id) AS n_samples_affected, CAST(count_if(named) AS BIGINT) AS n_changes_kept FROM m GROUP BY 1, 2)
 SELECT 'cbio_' || gene_symbol || '_' || study_id AS record_id, gene_symbol,
   gene_symbol || ' somatic mutations in ' || study_id || ' — ' || n_mutations || ' events, ' || n_samples_affected || ' samples' AS title,
   n_mutations, n_samples_affected, (SELECT count(*) FROM c WHERE c.gene_symbol = s.gene_symbol AND c.study_id = s.study_id) AS n_types,
   (SELECT max(n) FROM c WHERE c.gene_symbol = s.gene_symbol AND c.study_id = s.study_id) AS n_dominant,
-  least(50, n_mutations) AS n_changes_kept
+  n_changes_kept
 FROM s""")
 def _(t):
     records = normalize.study_records(normalize.mutation_rows(mutation_docs(t)))

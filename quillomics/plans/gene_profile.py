@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,29 +14,37 @@ from ..operators import records as Q
 
 @dataclass(frozen=True)
 class Section:
-    """One part of a profile: which records, in which order, and how many are kept."""
+    """One part of a profile: which records it shows."""
 
     name: str
     source_key: str
-    keep: int
     extra: Column | None = None
-    order: tuple[Column, ...] = ()
+
+
+#: Records shown per section. A cap that is None shows all.
+CAPS = {"associations": 20, "variants": 50, "constraint": 1, "pathways": None, "mutations": 20, "proteins": 5, "tests": 20}
+Caps = Mapping[str, int | None]
 
 
 def sections() -> list[Section]:
-    # Sections and their caps.
+    # Sections and their sources.
     return [
-        Section("associations", "opentargets", 20, order=(F.col("_score").desc_nulls_last(),)),
-        Section("variants", "gnomad", 50, Q.is_variant(), (F.col("_stars").desc_nulls_last(),)),
-        Section("constraint", "gnomad", 1, Q.is_constraint()),
-        Section("pathways", "kegg", 2**31 - 1, order=(F.col("title").asc_nulls_first(),)),
-        Section("mutations", "cbioportal", 20),
-        Section("proteins", "uniprot", 5),
-        Section("tests", "ncbi_gtr", 20),
+        Section("associations", "opentargets"),
+        Section("variants", "gnomad", Q.is_variant()),
+        Section("constraint", "gnomad", Q.is_constraint()),
+        Section("pathways", "kegg"),
+        Section("mutations", "cbioportal"),
+        Section("proteins", "uniprot"),
+        Section("tests", "ncbi_gtr"),
     ]
 
 
 COUNTED = ("associations", "variants", "pathways", "mutations", "proteins", "tests")
+SHOWN = ("title", "disease", "summary")
+
+
+def _caps(caps: Caps | None) -> dict[str, int | None]:
+    return CAPS | dict(caps or {})
 
 
 def _section_of() -> Column:
@@ -49,61 +58,55 @@ def _section_of() -> Column:
     return chain
 
 
-def section_fields(records: DataFrame) -> dict[str, list[str]]:
-    """Names of the fields that each section shows besides record_id and rank."""
-    return {name: records.select(*columns()).columns for name, columns in FIELDS.items()}
-
-
 FIELDS = {
     "associations": Q.association_columns, "variants": Q.variant_columns, "constraint": Q.constraint_columns,
     "pathways": Q.pathway_columns, "mutations": Q.mutation_columns, "proteins": Q.protein_columns, "tests": Q.test_columns,
 }
 
 
-def _tagged(records: DataFrame, fields: bool = False) -> DataFrame:
-    """Rows with their section; with ``fields`` also everything that any section shows, NULL in other sections."""
-    shown = {}
-    if fields:
-        plain = {"title", "disease", "summary"}
-        for section, columns in FIELDS.items():
-            for name, column in zip(section_fields(records)[section], columns(), strict=True):
-                if name not in plain:  # some sections read a field of one name from different paths
-                    shown[name] = F.when(_section_of() == section, column).otherwise(shown.get(name))
+def _tagged(records: DataFrame, payload: bool = False) -> DataFrame:
+    """Rows with their gene and section; a text column that the records do not have is null."""
+    texts = [F.col(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in SHOWN]
     return records.select(
         Q.gene_key(records).alias("gene"),
         _section_of().alias("section"),
-        "record_id", "title", "disease", "summary",
+        "record_id", *texts,
         Q.score().alias("_score"),
         Q.V.field("gold_stars", "int").alias("_stars"),
-        *[column.alias(name) for name, column in shown.items()],
+        *["payload"] * payload,
     ).filter(F.col("section").isNotNull() & F.col("gene").isNotNull())
 
 
-def capped_rows(records: DataFrame, fields: bool = False) -> DataFrame:
-    """The best records of every capped section of every gene.
+def _ranked(tagged: DataFrame, caps: dict[str, int | None]) -> DataFrame:
+    """The best records of every section but pathways, with their rank.
 
     One window over (gene, section) ranks all sections, so six queries per gene
     become one job for all genes.
     """
-    capped = _tagged(records, fields).filter(F.col("section") != "pathways")
     lead = F.when(F.col("section") == "associations", F.col("_score")).when(
         F.col("section") == "variants", F.col("_stars").cast("double")
     )
+    keeps = {name: n for name, n in caps.items() if name != "pathways"}
+    largest = None if None in keeps.values() else max(keeps.values())
     keep = F.lit(None).cast("int")
-    for s in sections():
-        keep = F.when(F.col("section") == s.name, F.lit(s.keep)).otherwise(keep)
-    largest = max(s.keep for s in sections() if s.name != "pathways")
-    ranked = R.top_n_per_group(capped, ["gene", "section"], largest, lead.desc_nulls_last(), rank_as="rank")
-    return ranked.filter(F.col("rank") <= keep).drop("_score", "_stars")
+    for name, n in keeps.items():
+        keep = F.when(F.col("section") == name, F.lit(n)).otherwise(keep)
+    ranked = R.top_n_per_group(tagged.filter(F.col("section") != "pathways"), ["gene", "section"], largest, lead.desc_nulls_last(), rank_as="rank")
+    return ranked.filter(F.coalesce(F.col("rank") <= keep, F.lit(True))).drop("_score", "_stars")
+
+
+def capped_rows(records: DataFrame, caps: Caps | None = None) -> DataFrame:
+    """The best records of every ranked section of every gene; ``caps`` replaces some of CAPS."""
+    return _ranked(_tagged(records), _caps(caps))
 
 
-def section_rows(records: DataFrame) -> DataFrame:
+def section_rows(records: DataFrame, caps: Caps | None = None) -> DataFrame:
     """Every record a profile shows. Pathways have no cap and are not ranked."""
     pathways = _tagged(records).filter(F.col("section") == "pathways").drop("_score", "_stars")
-    return capped_rows(records).unionByName(pathways.withColumn("rank", F.lit(None).cast("int")))
+    return capped_rows(records, caps).unionByName(pathways.withColumn("rank", F.lit(None).cast("int")))
 
 
-def coverage(records: DataFrame, capped: bool = True) -> DataFrame:
+def coverage(records: DataFrame, capped: bool = True, caps: Caps | None = None) -> DataFrame:
     """Records per section of each gene, sources with data and total.
 
     Capped counts stop at the section's cap; the true totals do not. Both come
@@ -116,11 +119,10 @@ def coverage(records: DataFrame, capped: bool = True) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     if capped:
-        caps = {s.name: s.keep for s in sections()}
-        limit = F.lit(None).cast("int")
+        limit = F.lit(None).cast("bigint")
         for name in COUNTED:
-            limit = F.when(F.col("section") == name, F.lit(caps[name])).otherwise(limit)
-        counts = counts.withColumn("n", F.least("n", limit.cast("bigint")))
+            limit = F.when(F.col("section") == name, F.lit(_caps(caps)[name]).cast("bigint")).otherwise(limit)
+        counts = counts.withColumn("n", F.least("n", limit))
     return counts.groupBy("gene").agg(
         *[
             F.coalesce(F.max(F.when(F.col("section") == name, F.col("n"))), F.lit(0).cast("bigint")).alias(f"n_{name}")
@@ -131,25 +133,25 @@ def coverage(records: DataFrame, capped: bool = True) -> DataFrame:
     )
 
 
-def profile(records: DataFrame) -> DataFrame:
+def profile(records: DataFrame, caps: Caps | None = None) -> DataFrame:
     """One row per gene: its coverage and, per section, the records shown with all their fields.
 
-    Pathways have no cap and come in the order of their titles, the other sections by rank. The records are read twice:
-    for the counts, from three columns, and for the lists.
+    Needs record_id, source_key, gene_symbol and payload; title, disease and summary are null where the records have no
+    such column. Pathways have no cap and come in the order of their titles, the other sections by rank. Fields are
+    read from the payloads of the records that are kept only. ``caps`` replaces some of CAPS; None shows all.
     """
-    names = section_fields(records)
-    kept = capped_rows(records, fields=True)
-    pathways = _tagged(records, fields=True).filter(F.col("section") == "pathways").drop("_score", "_stars")
+    tagged = _tagged(records, payload=True)
+    kept = _ranked(tagged, _caps(caps))
+    pathways = tagged.filter(F.col("section") == "pathways").drop("_score", "_stars")
     rows = kept.unionByName(pathways.withColumn("rank", F.lit(0)))
-    lists = rows.groupBy("gene").agg(
-        *[
-            F.array_sort(F.collect_list(F.when(F.col("section") == s.name, F.struct("rank", *_lead(names[s.name]))))).alias(s.name)
-            for s in sections()
-        ]
-    )
-    return coverage(records).join(lists, "gene", "left")
+    lists = rows.groupBy("gene").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("section") == name, F.struct("rank", *_entry(tagged, columns()))))).alias(name)
+        for name, columns in FIELDS.items()
+    ])
+    return coverage(records, caps=caps).join(lists, "gene", "left")
 
 
-def _lead(names: list[str]) -> list[str]:
+def _entry(tagged: DataFrame, columns: list[Column]) -> list[Column]:
     """Fields of a list entry; title and record_id come first, so that entries of equal rank follow them."""
-    return sorted([*names, "record_id"], key=lambda n: (n != "title", n != "record_id"))
+    named = dict(zip(tagged.select(*columns).columns, columns, strict=True)) | {"record_id": F.col("record_id")}
+    return [named[n] for n in sorted(named, key=lambda n: (n != "title", n != "record_id"))]

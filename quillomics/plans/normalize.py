@@ -472,12 +472,15 @@ def mutation_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def study_records(rows: DataFrame, changes_shown: int = 10, changes_kept: int = 50, sample_rows: int = 30) -> DataFrame:
+def study_records(
+    rows: DataFrame, changes_shown: int = 10, changes_kept: int | None = None, sample_rows: int | None = None
+) -> DataFrame:
     """One summary per gene and study.
 
-    Counts come from pre-aggregated types and samples. The listed changes and
-    sample rows are cut to the first few per study before they are gathered, so
-    a study holding most mutations never meets in one task.
+    Counts come from pre-aggregated types and samples. The payload lists all
+    changes and mutation rows of a study, or the first ones if numbers are given;
+    then they are cut before they are gathered, so a study holding most mutations
+    never meets in one task. The summary names the first ``changes_shown``.
     """
     keys = ["gene_symbol", "study_id"]
     # One shuffle of the mutations serves the type counts and the sample counts.
@@ -504,16 +507,19 @@ def study_records(rows: DataFrame, changes_shown: int = 10, changes_kept: int =
     entry = F.struct("position", "mutation_type", "sample_id", "protein_change")
     first = G.keep_first_n(
         rows.select(*keys, "position", "mutation_type", "sample_id", "protein_change", F.explode(kinds).alias("kind")),
-        [*keys, "kind"], max(changes_kept, sample_rows), F.col("position").asc(),
+        [*keys, "kind"], None if None in (changes_kept, sample_rows) else max(changes_kept, sample_rows), F.col("position").asc(),
     )
 
+    def first_of(rows: str, n: int | None) -> Column:
+        return F.col(rows) if n is None else F.slice(rows, 1, n)
+
     def listed(kind: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))
 
     lists = first.groupBy(*keys).agg(listed("row").alias("rows"), listed("change").alias("changes")).select(
         *keys,
-        F.slice("rows", 1, sample_rows).alias("mutations_sample"),
-        F.transform(F.slice("changes", 1, changes_kept), lambda x: x["protein_change"]).alias("changes"),
+        first_of("rows", sample_rows).alias("mutations_sample"),
+        F.transform(first_of("changes", changes_kept), lambda x: x["protein_change"]).alias("changes"),
     )
     studies = types.join(samples, keys).join(lists, keys)
     gene, study = F.col("gene_symbol"), F.col("study_id")

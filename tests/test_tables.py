@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,57 +16,97 @@ def records(spark):
     return views.load(spark, SF_DIR, "v_records").select(*COLUMNS)
 
 
-def new_table(spark, schema, buckets=8):
-    return tables.VersionedTable(spark, scratch_path(spark, "t"), schema, buckets=buckets)
+def new_table(schema, path, buckets=8):
+    return tables.Keyed(path, schema, buckets=buckets)
+
+
+def listing(path):
+    """Data files under a table's folder."""
+    return {str(f.relative_to(path)) for f in Path(path).rglob("part-*")}
 
 
 def test_upsert_twice_is_upsert_once(spark, records):
     old, batch = records.filter("event_id < 600"), records.filter("event_id >= 400").withColumn("title", F.lit("new"))
-    table = new_table(spark, records.schema)
-    table.overwrite(old)
-    table.upsert(batch, "event_id")
-    once = rows(table.read())
-    table.upsert(batch, "event_id")
-    assert rows(table.read()) == once
-    assert once == rows(tables.merge(old, batch, tables.RECORD_KEYS, "event_id"))
-
-
-def test_small_batch_rewrites_only_its_buckets(spark, records):
-    table = new_table(spark, records.schema, buckets=32)
-    table.overwrite(tables.latest_per_key(records, tables.RECORD_KEYS, "event_id"))
-    before = table._bucket_folders()
-    table.upsert(records.filter("event_id = 5").withColumn("title", F.lit("changed")), "event_id")
-    after = table._bucket_folders()
-    assert len([b for b in before if before[b] != after[b]]) == 1
-    assert table.read().count() == table.read(1).count()
-
-
-def test_feed_replays_onto_the_older_version(spark, records):
-    table = new_table(spark, records.schema)
-    table.overwrite(tables.latest_per_key(records.filter("event_id < 700"), tables.RECORD_KEYS, "event_id"))
-    table.upsert(records.filter("event_id > 600").withColumn("title", F.lit("t")), "event_id")
-    feed = table.changes(1)
+    table = new_table(records.schema, scratch_path(spark, "t"))
+    tables.overwrite(tables.latest_per_key(old, tables.RECORD_KEYS, "event_id"), table)
+    for _ in range(2):
+        tables.upsert(batch, table, "event_id")
+        want = tables.merge(tables.latest_per_key(old, tables.RECORD_KEYS, "event_id"), batch, tables.RECORD_KEYS, "event_id")
+        assert rows(tables.read_keyed(spark, table)) == rows(want)
+
+
+def test_small_batch_rewrites_only_its_bucket(spark, records, tmp_path):
+    table = new_table(records.schema, str(tmp_path / "t"), buckets=32)
+    tables.overwrite(tables.latest_per_key(records, tables.RECORD_KEYS, "event_id"), table)
+    before, n = listing(table.path), tables.read_keyed(spark, table).count()
+    tables.upsert(records.filter("event_id = 5").withColumn("title", F.lit("changed")), table, "event_id")
+    after = listing(table.path)
+    touched = {f.split("/")[0] for f in before ^ after}
+    assert len(touched) == 1 and len({f.split("/")[0] for f in before}) == 32
+    assert tables.read_keyed(spark, table).count() == n
+    plan = tables.read_keyed(spark, table, [3])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan or "PartitionFilters: [(_bucket" in plan
+
+
+def test_empty_batch_changes_nothing(spark, records, tmp_path):
+    table = new_table(records.schema, str(tmp_path / "t"))
+    tables.overwrite(tables.latest_per_key(records, tables.RECORD_KEYS, "event_id"), table)
+    before = listing(table.path)
+    tables.upsert(records.limit(0), table, "event_id")
+    assert listing(table.path) == before
+    tables.clear(spark, table)
+    assert tables.read_keyed(spark, table).count() == 0
+
+
+def test_feed_replays_onto_the_older_rows(spark, records, tmp_path):
+    table = new_table(records.schema, str(tmp_path / "t"))
+    tables.overwrite(tables.latest_per_key(records.filter("event_id < 700"), tables.RECORD_KEYS, "event_id"), table)
+    batch = records.filter("event_id > 600").withColumn("title", F.lit("t"))
+    old = spark.createDataFrame(tables.read_keyed(spark, table).collect(), records.schema)
+    tables.upsert_feed(batch, table, "event_id").write.parquet(str(tmp_path / "feed"))
+    tables.upsert(batch, table, "event_id")
+    feed = spark.read.parquet(str(tmp_path / "feed"))
     assert {r[0] for r in feed.select("change_type").distinct().collect()} == {"insert", "update_preimage", "update_postimage"}
-    assert rows(tables.replay(table.read(1), feed, tables.RECORD_KEYS)) == rows(table.read())
-    table.clear()
-    assert table.read().count() == 0
-    assert {r[0] for r in table.changes(2).select("change_type").distinct().collect()} == {"delete"}
+    assert rows(tables.replay(old, feed, tables.RECORD_KEYS)) == rows(tables.read_keyed(spark, table))
+
+
+def test_merge_needs_a_catalog_that_offers_it(spark, tmp_path):
+    spark.sql(f"CREATE TABLE plain_merge (k INT, v STRING) USING parquet LOCATION '{tmp_path / 'm'}'")
+    try:
+        with pytest.raises(Exception, match="MERGE|merge|UNSUPPORTED"):
+            tables.merge_into(spark.createDataFrame([(1, "a")], "k int, v string"), "plain_merge", ["k"])
+    finally:
+        spark.sql("DROP TABLE plain_merge")
+
 
+def test_repeated_batch_writes_nothing(spark, records, tmp_path):
+    table = new_table(records.schema, str(tmp_path / "t"))
+    tables.clear(spark, table)
+    ledger = ingest.Ledger(spark, str(tmp_path / "ledger"), "s")
+    other = ingest.Ledger(spark, str(tmp_path / "ledger"), "another stream")
+    feed = str(tmp_path / "feed")
+    ingest.upsert_batch(records, 0, table, ledger, ["event_id"], feed=feed)
+    before = listing(tmp_path)
+    ingest.upsert_batch(records.withColumn("title", F.lit("never")), 0, table, ledger, ["event_id"], feed=feed)
+    assert listing(tmp_path) == before and other.done(0) == set() and ledger.done(0) == {"feed", "table"}
 
-def test_uncommitted_version_is_ignored(spark, records, tmp_path):
-    table = new_table(spark, records.schema)
-    table.overwrite(records)
-    n = table.read().count()
-    records.limit(3).withColumn("_bucket", F.lit(0)).write.partitionBy("_bucket").option(
-        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{table.path}/v=00000002-full-b8")
-    assert table.read().count() == n and len(table.versions()) == 1
 
+def test_batch_lost_after_its_feed_keeps_the_feed(spark, records, tmp_path, monkeypatch):
+    table = new_table(records.schema, str(tmp_path / "t"))
+    tables.clear(spark, table)
+    ledger, feed = ingest.Ledger(spark, str(tmp_path / "ledger"), "s"), str(tmp_path / "feed")
+    done = tables.upsert
 
-def test_bucket_count_cannot_change(spark, records):
-    table = new_table(spark, records.schema)
-    table.overwrite(records)
-    with pytest.raises(ValueError):
-        tables.VersionedTable(spark, table.path, records.schema, buckets=16).read()
+    def fails(batch, table, *order):
+        done(batch, table, *order)
+        raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(tables, "upsert", fails)
+    with pytest.raises(RuntimeError):
+        ingest.upsert_batch(records, 0, table, ledger, ["event_id"], feed=feed)
+    monkeypatch.setattr(tables, "upsert", done)
+    ingest.upsert_batch(records, 0, table, ledger, ["event_id"], feed=feed)
+    assert spark.read.parquet(feed).filter("change_type = 'insert'").count() == tables.read_keyed(spark, table).count()
 
 
 def test_hot_key_is_written_by_several_tasks(spark, tmp_path):
@@ -118,38 +160,36 @@ def test_stream_resumes_without_loss_or_repeats(spark, tmp_path):
     assert rows(spark.read.parquet(target)) == rows(items)
 
 
-def test_failed_upsert_stream_resumes(spark, tmp_path, records):
+def test_failed_upsert_stream_resumes(spark, tmp_path, records, monkeypatch):
     source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
     records.repartitionByRange(6, "event_id").write.parquet(source)
-    table = new_table(spark, records.schema)
-    attempts = []
-
-    class Fails(tables.VersionedTable):
-        def upsert(self, batch, *order):
-            version = super().upsert(batch, *order)
-            attempts.append(version)
-            if len(attempts) == 2:
-                raise RuntimeError("lost after the write")
-            return version
-
-    broken = Fails(spark, table.path, records.schema, buckets=8)
+    table = new_table(records.schema, str(tmp_path / "t"))
+    attempts, done = [], tables.upsert
+
+    def fails(batch, table, *order):
+        done(batch, table, *order)
+        attempts.append(1)
+        if len(attempts) == 2:
+            raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(tables, "upsert", fails)
     with pytest.raises(Exception):
-        ingest.upsert_shards(spark, source, records.schema, broken, checkpoint, ["event_id"], files_per_batch=2).awaitTermination()
+        ingest.upsert_shards(spark, source, records.schema, table, checkpoint, ["event_id"], files_per_batch=2).awaitTermination()
     ingest.upsert_shards(spark, source, records.schema, table, checkpoint, ["event_id"], files_per_batch=2).awaitTermination()
-    keys = table.read().select("record_id", "source_key")
+    keys = tables.read_keyed(spark, table).select("record_id", "source_key")
     assert keys.count() == keys.distinct().count() == records.select("record_id", "source_key").distinct().count()
 
 
 def test_refresh_replaces_the_table(spark, tmp_path, records):
     source, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
     records.filter("event_id >= 500").repartition(4).write.parquet(source)
-    table = new_table(spark, records.schema)
-    table.overwrite(records.filter("event_id < 500"))
+    table = new_table(records.schema, str(tmp_path / "t"))
+    tables.overwrite(records.filter("event_id < 500"), table)
     ingest.upsert_shards(
         spark, source, records.schema, table, checkpoint, ["event_id"], files_per_batch=2, replace=True
     ).awaitTermination()
     want = tables.latest_per_key(records.filter("event_id >= 500"), tables.RECORD_KEYS, "event_id")
-    assert rows(table.read()) == rows(want)
+    assert rows(tables.read_keyed(spark, table)) == rows(want)
 
 
 def test_cell_shards_leave_side_files_out(spark):
@@ -169,19 +209,6 @@ def test_later_row_wins_whichever_came_first(spark):
     assert {r.k: r.v for r in tables.merge(target, batch, ["k"]).collect()}[1] == "late"
 
 
-def test_feed_reads_changed_buckets_and_versions_go(spark, tmp_path):
-    rows = spark.range(200).selectExpr("id AS k", "id * 2 AS v")
-    table = tables.VersionedTable(spark, str(tmp_path / "t"), rows.schema, keys=["k"], buckets=16)
-    first = table.overwrite(rows)
-    second = table.upsert(spark.createDataFrame([(7, 0)], rows.schema))
-    feed = table.changes(first, second)
-    assert sorted((r.change_type, r.k, r.v) for r in feed.collect()) == [("update_postimage", 7, 0), ("update_preimage", 7, 14)]
-    assert len(feed.inputFiles()) == 2
-    third = table.overwrite(rows.limit(5))
-    assert table.remove_versions(third) == [first, second]
-    assert table.read().count() == 5
-
-
 def test_search_by_unknown_field_is_an_error(spark):
     from quillomics.operators import records
     from quillomics.sources import views
