@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+import uuid
 import zipfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
@@ -11,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructField, StructType
 
+from . import tokens
 from .words import slices
 
 
@@ -30,9 +35,34 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand on the executors."""
+    """``df.mapInArrow`` with this package at hand on the executors.
+
+    Workers live on from one job to the next. One that comes to work of another kind first gives back what the last
+    left in it: encoders with their caches, and memory that is free but held.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    kind = uuid.uuid4().hex
+
+    def begun(batches):
+        turn_to(kind)
+        yield from run(batches)
+
+    return df.mapInArrow(begun, schema)
+
+
+_AT_WORK = [""]
+
+
+def turn_to(kind: str) -> None:
+    """Gives back memory if this worker did other work before."""
+    if _AT_WORK[0] == kind:
+        return
+    _AT_WORK[0] = kind
+    tokens.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def with_text_columns(

@@ -30,14 +30,15 @@ def query(name: str, oracle: str | None = None):
 
 ROTATE_SQL = """
 WITH m AS (
-  SELECT conv_id, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS place
+  SELECT conv_id, role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, coalesce(text, '')) - 1 AS place
   FROM conversations
-), s AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
+), s AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role IS DISTINCT FROM 'system'),
 p AS (
-  SELECT m.conv_id, s.speaker, m.place // 64 AS chunk, m.place, m.role = s.speaker AS mine,
-    '<|im_start|>' || CASE WHEN m.role = 'system' THEN 'system' WHEN m.role = s.speaker THEN 'assistant'
-      ELSE 'user name=' || m.role END || chr(10) || m.text || '<|im_end|>' || chr(10) AS piece
+  SELECT m.conv_id, s.speaker, m.place // 64 AS chunk, m.place, m.role IS NOT DISTINCT FROM s.speaker AS mine,
+    '<|im_start|>' || CASE WHEN m.role = 'system' THEN 'system' WHEN m.role IS NOT DISTINCT FROM s.speaker THEN 'assistant'
+      ELSE 'user name=' || translate(replace(coalesce(m.role, 'unknown'), '<|im_', '<| im_'), chr(10) || chr(13), '  ') END
+      || chr(10) || m.text || '<|im_end|>' || chr(10) AS piece
   FROM m JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id
 ), o AS (
   SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, speaker, chunk ORDER BY place) - length(piece) AS begun FROM p

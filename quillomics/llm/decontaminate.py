@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_arrow
 from .ordering import stored
+from .names import guarded
 from .words import NOT_ALNUM, Words, mixed, slices, texts_of, window_hashes, words_of
 
 #: Bits of the filter of benchmark shingles that every task gets, whatever the size of the benchmark.
@@ -190,6 +191,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, shingle: i
     )
 
 
+@guarded
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, shingle: int = 3) -> DataFrame:
     """The documents without any hit, all columns kept. A document is told by its doc_id (null is one) and text."""
     keyed = docs.withColumn("__tie", F.hash("text"))

@@ -17,8 +17,8 @@ BLANK = r"[\x20\x09-\x0D]+"
 #: Character classes counted one after another, each in what the earlier ones left; the rest is the last class.
 CLASSES = (r"[a-z]+", r"[\x20\x09-\x0D]+", r"[\u0080-\x{10FFFF}]+", r"[.,;:!?'\"()-]+", r"[A-Z]+", r"[0-9]+")
 SYMBOLS = "#*$%&|<>"
-#: Languages whose references may be sent to all tasks; with more, the join shuffles.
-BROADCAST_LANGUAGES = 10_000
+#: Key of the reference over all documents, which those without a language are compared with.
+ALL = "*"
 
 
 def words_of(text: Column) -> Column:
@@ -58,23 +58,30 @@ def repeated_words(words: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    def windows(h: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(h) - 5)
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)]))
+    def joined(a: Column, b: Column, by: int) -> Column:
+        """Hashes of the runs that begin where those of ``a`` do and end where those of ``b``, ``by`` places on, do."""
+        n = F.size(b) - by
+        return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1 + by), n), lambda x, y: F.xxhash64(x, y))
 
-    # Each list is bound once, as the one element of an array, so that it is not computed per use.
-    hashed = F.array(F.transform(words, lambda w: F.xxhash64(w)))
-    found = F.transform(
-        F.transform(hashed, windows),
-        lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)),
-    )[0]
+    def distinct(h: Column) -> Column:
+        return F.size(F.array_distinct(h)) == F.size(h)
+
+    # Each list is bound once, as the one element of an array, so that it is not computed per use. Five words are looked
+    # at only where four recur.
+    def found(h: Column) -> Column:
+        fours = F.transform(F.array(joined(h, h, 1)), lambda two: joined(two, two, 2))
+        return F.transform(fours, lambda four: F.when(distinct(four), F.lit(0)).otherwise(
+            F.transform(F.array(joined(four, h, 4)), lambda five: F.when(distinct(five), F.lit(0)).otherwise(covered(five)))[0],
+        ))[0]
+
+    found = F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), found)[0]
     return F.when(F.size(words) < 6, F.lit(0)).otherwise(found).cast("long")
 
 
 def base_features(docs: DataFrame) -> DataFrame:
     """doc_id, __lang, __words, __class (counts) and the base counts of every whole text; null counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.col("lang").alias("__lang"), text.alias("__text"))
+    rows = docs.select("doc_id", _key(F.col("lang")).alias("__lang"), text.alias("__text"))
     rest, columns = "__text", []
     for i, pattern in enumerate(CLASSES):
         rows = rows.withColumn(f"__rest{i}", F.regexp_replace(rest, pattern, ""))
@@ -92,13 +99,25 @@ def base_features(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.size("__words").cast("long").alias("n_words"), repeated_words(F.col("__words")).alias("n_repeat_words"))
 
 
+def _key(lang: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit(ALL))
+
+
 def references(docs: DataFrame, common_words: int = 24) -> DataFrame:
-    """Per language of all documents: class shares, its ``common_words`` most frequent words and their shares.
+    """Per language, and over all documents (key ``*``): class shares, the ``common_words`` most frequent words and their
+    shares.
 
     Words are lower-cased and split at blanks; the last share is that of all other words. Ties in frequency follow the
-    word. Documents without language are left out. Counts are combined before they are shuffled.
+    word. Documents without language count in the reference over all. Counts are combined before they are shuffled.
     """
-    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").alias("__lang"), F.col("text").alias("__text"))
+    rows = docs.filter("text IS NOT NULL").select(_key(F.col("lang")).alias("__lang"), F.col("text").alias("__text"))
+
+    def with_all(sums: DataFrame, *keys: str) -> DataFrame:
+        """The rows by language, and their sums over all languages."""
+        totals = [F.sum(c).alias(c) for c in sums.columns if c not in ("__lang", *keys)]
+        every = sums.groupBy(F.lit(ALL).alias("__lang"), *keys).agg(*totals)
+        return sums.filter(F.col("__lang") != ALL).unionByName(every)
+
     rest, columns = "__text", []
     classes = rows
     for i, pattern in enumerate(CLASSES):
@@ -106,10 +125,12 @@ def references(docs: DataFrame, common_words: int = 24) -> DataFrame:
         columns.append(F.length(rest) - F.length(f"__rest{i}"))
         rest = f"__rest{i}"
     columns.append(F.length(rest))
-    sums = classes.groupBy("__lang").agg(*[F.sum(c.cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    sums = with_all(classes.groupBy("__lang").agg(*[F.sum(c.cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]))
     sums = sums.select("__lang", F.array(*[f"c{i}" for i in range(len(columns))]).alias("c"))
-    counts = rows.select("__lang", F.explode(words_of(F.lower("__text"))).alias("word")).groupBy("__lang", "word").count()
-    counts = stored(counts, "word-counts")
+    # The outer form, as the plain one would split each text a second time to see whether it has words.
+    words = rows.select("__lang", F.explode_outer(words_of(F.lower("__text"))).alias("word")).filter("word IS NOT NULL")
+    counts = stored(words.groupBy("__lang", "word").count(), "word-counts")
+    counts = with_all(counts, "word")
     totals = counts.groupBy("__lang").agg(F.sum("count").alias("total"))
     # The leading words of each language are kept per task first (max_by-like heap), so no language meets in one task whole.
     top = counts.withColumn("__part", F.pmod(F.xxhash64("word"), F.lit(64)))
@@ -136,13 +157,12 @@ def judge(
 
     ``base_failed``: under 10 words, or over 20 % of the words repeated. A document that passes is dropped if its class
     distance exceeds the limit and it has at least ``min_chars`` characters, or its word distance does and it has at
-    least ``min_words`` words. Distances are null for documents without language or text. Null text counts as empty.
+    least ``min_words`` words. A document without a language is compared with the reference over all documents. Distances
+    are null for documents without words. Null text counts as empty.
     Repeated rows are judged one by one; columns other than doc_id, text and lang are not read. An empty table gives
     no rows.
     """
     refs = stored(references(docs, common_words), "language-references")
-    if refs.count() <= BROADCAST_LANGUAGES:
-        refs = F.broadcast(refs)
     rows = base_features(docs).join(refs, "__lang", "left")
     rows = rows.withColumn("__line", F.concat(F.lit(" "), F.lower(F.array_join("__words", "  ")), F.lit(" ")))
     found = F.transform("ref_words", lambda w: (

@@ -13,11 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.layout import cell_limits, cell_of
 from .ordering import positions, stored
 
-#: Leading bytes of a string that take part in its order.
-STRING_BYTES = 7
-
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
     """Transitions of the curve in ``dims`` dimensions: next state and digit for state * 2^dims + cell bits.
@@ -68,30 +66,15 @@ def curve_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(levels, start, step, lambda acc: acc["index"])
 
 
-def _number(df: DataFrame, dim: Column, kind: str) -> Column:
-    """A long in the order of the dimension: strings count by their leading bytes."""
-    if kind != "string":
-        return dim.cast("long")
-    head = F.substring(F.concat(dim.cast("binary"), F.lit(bytearray(STRING_BYTES))), 1, STRING_BYTES)
-    return F.conv(F.hex(head), 16, 10).cast("long")
-
-
 def on_curve(df: DataFrame, dims: Mapping[str, Column], bits: int = 4, name: str = "curve") -> DataFrame:
-    """Adds the curve index over ``dims`` (label: column expression), each cut into 2^bits cells.
+    """Adds the curve index over ``dims`` (label: column expression), each cut into at most 2^bits cells.
 
-    Cells hold about equal numbers of rows: their limits are approximate percentiles over all rows. A null lies in the
-    lowest cell. An empty table stays empty.
+    Cells hold about equal numbers of rows: their limits are values at equal steps of the counts of all values in
+    order, whole strings included. A null lies in the lowest cell. An empty table stays empty.
     """
-    kinds = dict(df.select(*[c.alias(k) for k, c in dims.items()]).dtypes)
-    numbers = {k: _number(df, c, kinds[k]) for k, c in dims.items()}
-    cut = [i / (1 << bits) for i in range(1, 1 << bits)]
-    limits = df.agg(*[F.percentile_approx(c, cut, 2000).alias(k) for k, c in numbers.items()]).first()
-
-    def cell(number: Column, steps: list | None) -> Column:
-        below = F.filter(F.lit([int(x) for x in steps or [0]]).cast("array<long>"), lambda x: x < number)
-        return F.when(number.isNotNull(), F.size(below)).otherwise(0)
-
-    cells = [cell(number, limits[k]) for k, number in numbers.items()]
+    taken = {k: f"__dim{i}" for i, k in enumerate(dims)}
+    values = df.select(*[c.alias(taken[k]) for k, c in dims.items()])
+    cells = [cell_of(c, cell_limits(values, taken[k], 1 << bits)) for k, c in dims.items()]
     return df.withColumn(name, curve_index(cells, bits))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 from .arrow import map_arrow, with_text_columns
 from .ordering import stored
+from .names import guarded
 from .words import Texts, mixed, slices, texts_of
 
 UNKNOWN = "und"
@@ -139,6 +140,7 @@ def learn(docs: DataFrame, min_share: float = 1e-5, bits: int = 20, hashes: int
     return Model(languages, masks, filled ** hashes, hashes, prior)
 
 
+@guarded
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The rows with lang_pred and score (the winner's corrected share of n-grams, 0 to 1).
 

@@ -22,6 +22,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType
 
 from .arrow import map_arrow, with_text_columns
 from .ordering import stored
+from .names import guarded
 from .words import BLANKS, Words, mixed, slices, texts_of, window_hashes, words_of
 
 #: Words of the n-grams that anchors are chosen from.
@@ -184,6 +185,7 @@ def locate(words: Words, passages: list[tuple[int, int]], width: int) -> np.ndar
     return np.cumsum(covered)[:-1] > 0
 
 
+@guarded
 def remove_repeats(docs: DataFrame, width: int = 35, gram: int = GRAM, keep: list[str] | None = None) -> DataFrame:
     """The rows with n_words, n_removed, kept (the words left, joined by spaces), kept_sha256 and changed.
 

@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, LongType
 from .arrow import map_arrow, with_text_columns
 from .components import components
 from .ordering import stored
+from .names import guarded
 from .words import BLANKS, Words, mixed, texts_of, words_of
 
 BITS = 64
@@ -355,6 +356,7 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, agree: int = 3, s
     )
 
 
+@guarded
 def distinct_documents(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, prints: int = 8, bands: int = 16, rows: int = 4, salt: int = 16,
 ) -> DataFrame:

@@ -15,8 +15,8 @@ import pyarrow as pa
 
 from .words import Words, texts_of
 
-#: Pieces a worker keeps between batches, about 200 bytes each; beyond that it keeps those that came again.
-KEPT_PIECES = 500_000
+#: Pieces after which a worker begins a new cache, about 200 bytes each; of the one before it keeps what comes again.
+KEPT_PIECES = 150_000
 #: Longer pieces are not kept.
 KEPT_LENGTH = 64
 
@@ -44,7 +44,7 @@ def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts to token ids; holds a bounded cache of pieces."""
+    """Encodes texts to token ids; holds a bounded cache of pieces, those of two turns of KEPT_PIECES."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,7 +56,7 @@ class Encoder:
         self.words_alone = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()
+        self.before: dict[bytes, bytes] = {}
 
     @property
     def vocabulary(self) -> int:
@@ -113,21 +113,21 @@ class Encoder:
             group, at = np.arange(len(start)), np.arange(len(start))  # two pieces of one hash: each by itself
         raw = data.tobytes()
         pieces = [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-        seen = set(pieces)
-        self.again |= seen.intersection(self.known)
-        self._learn(seen.difference(self.known))
-        found = [self.known[x] for x in pieces]
+        known, before = self.known, self.before
+        self._learn({x for x in pieces if x not in known and x not in before})
+        found = [known[x] if x in known else before[x] for x in pieces]
+        if before:
+            known.update(zip(pieces, found, strict=True))
         counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
         table = np.frombuffer(b"".join(found), "<u4")
         begins = np.cumsum(counts) - counts
         flat = table[_places(begins[group], counts[group])] if len(found) else np.zeros(0, "<u4")
         offsets = np.concatenate(([0], np.cumsum(counts[group])))[first]
-        for x in [x for x in seen if len(x) > KEPT_LENGTH]:
-            del self.known[x]
-            self.again.discard(x)
-        if len(self.known) > KEPT_PIECES:
-            kept = self.again if len(self.again) <= KEPT_PIECES * 3 // 4 else seen.intersection(self.again)
-            self.known, self.again = {x: self.known[x] for x in kept}, set()
+        for x in pieces:
+            if len(x) > KEPT_LENGTH:
+                known.pop(x, None)
+        if len(known) > KEPT_PIECES:
+            self.known, self.before = {}, known
         return flat, offsets
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
@@ -145,3 +145,8 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Lets go of this worker's encoders."""
+    _ENCODERS.clear()
