@@ -1,12 +1,14 @@
 """Substring dedup with repeated-phrase automata.
 
-Passages that recur are confirmed by counts over all documents. Documents are then dealt out in shards; each shard compiles
-an Aho-Corasick automaton from its confirmed passages and streams its documents through it to find every occurrence.
+Recurring passages are confirmed by counts over all documents, and one example of each kind is written out. Passages are
+dealt into shards, each compiled into Aho-Corasick automata, and all stretches of documents that may hold a shard's
+passages are streamed through them to locate every occurrence, word by word.
 
 Counting all windows of a corpus would move more data than the corpus has, so windows are counted by content-defined
 samples first. Of the word n-grams in a window the one with the smallest hash is its anchor: equal windows have equal
 anchors, so a window recurs only if its anchor does. Consecutive windows with the same anchor form a region. If an
-anchor has one region only, all its windows recur with it; else the windows of one example per region are counted.
+anchor has one kind of region only, all its windows recur with it; else the windows of one example per kind are counted.
+Regions are also what is streamed: one whose anchor is met once holds no recurring window, and goes nowhere.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import secrets
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType
 
@@ -27,8 +29,6 @@ from .words import BLANKS, Words, mixed, slices, texts_of, window_hashes, words_
 
 #: Words of the n-grams that anchors are chosen from.
 GRAM = 8
-#: Longer passages go into an automaton in overlapping pieces of so many words.
-PIECE = 512
 #: Distinct words that one automaton can tell apart (characters stand for words).
 ALPHABET = 1_000_000
 
@@ -108,10 +108,12 @@ def _region_windows(docs: DataFrame, width: int, seed: int) -> DataFrame:
     return map_arrow(docs.select("text", "__regions"), run, "anchor long, region long, copies long, place int, window long")
 
 
-def confirmed(docs: DataFrame, width: int = 35, gram: int = GRAM, seed: int = 0) -> DataFrame:
-    """doc_id, __tie and __marks (first, mask): regions with the windows, as bits, that recur anywhere in ``docs``.
+def confirmed(docs: DataFrame, width: int = 35, gram: int = GRAM, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Regions that may recur, and one example of each kind of them with its confirmed windows.
 
-    Words are hashed under ``seed``. Texts cannot be made to collide by whoever does not know it.
+    The regions (anchor, region, copies, doc_id, __tie, first, n) are all those whose anchor is met more than once; regions
+    of one kind have the same words. The examples have one row per kind and mask: the windows, as bits, that recur
+    anywhere in ``docs``. Words are hashed under ``seed``: texts cannot be made to collide by whoever does not know it.
     """
     if not gram < width <= gram + 61:
         raise ValueError("a region's windows must overlap and fit the bits of a long")
@@ -120,69 +122,178 @@ def confirmed(docs: DataFrame, width: int = 35, gram: int = GRAM, seed: int = 0)
     # Stored apart from the join, whose shares of a frequent anchor can then go to several tasks.
     anchors = stored(anchors.filter("__n > 1").select(F.col("anchor"), (F.col("__low") == F.col("__high")).alias("alone")), "recurring-anchors")
     found = stored(found.join(anchors, "anchor"), "recurring-regions")
-    several = found.filter("NOT alone")
-    examples = several.groupBy("anchor", "region").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("doc_id", "__tie", "first", "n")])
-    examples = examples.groupBy("doc_id", "__tie").agg(F.collect_list(F.struct("anchor", "region", "copies", "first", "n")).alias("__regions"))
-    windows = stored(_region_windows(_joined(docs, examples, "inner"), width, seed), "region-windows")
+    first = [F.first(c).alias(c) for c in ("alone", "doc_id", "__tie", "first", "n")]
+    examples = stored(found.groupBy("anchor", "region").agg(F.count("*").alias("copies"), *first), "region-examples")
+    listed = examples.filter("NOT alone").groupBy("doc_id", "__tie").agg(F.collect_list(F.struct("anchor", "region", "copies", "first", "n")).alias("__regions"))
+    windows = stored(_region_windows(_joined(docs, listed, "inner"), width, seed), "region-windows")
     recurring = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("copies")).filter("copies > 1").drop("copies")
     masks = windows.join(stored(recurring, "recurring-windows"), ["anchor", "window"])
-    masks = stored(masks.groupBy("anchor", "region").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("mask")), "region-masks")
-    whole = found.filter("alone").select("doc_id", "__tie", "first", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    partial = several.join(masks, ["anchor", "region"]).select("doc_id", "__tie", "first", "mask")
-    # Rows of one document and text that is repeated have the same regions.
-    return whole.union(partial).groupBy("doc_id", "__tie").agg(F.collect_set(F.struct("first", "mask")).alias("__marks"))
+    masks = masks.groupBy("anchor", "region").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("mask"))
+    whole = examples.filter("alone").withColumn("mask", F.expr("shiftleft(1L, n) - 1"))
+    partial = examples.filter("NOT alone").join(masks, ["anchor", "region"])
+    examples = stored(whole.unionByName(partial).drop("alone"), "confirmed-examples")
+    return found.drop("alone"), examples
 
 
-def _passages(words: Words, owners: np.ndarray, firsts: np.ndarray, masks: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Maximal runs of words that confirmed windows cover, as places in ``words``."""
+#: Words of the confirmed passages of one automaton, on average.
+SHARD_WORDS = 200_000
+#: Copies of a kind of region beyond which they are dealt to HOT_PARTS parts, each with its own passages.
+HOT_COPIES, HOT_PARTS = 1024, 64
+_TO_SPACE = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
+
+
+def _texts(docs: DataFrame, width: int, runs: bool) -> DataFrame:
+    """shard, part, kind, doc_id, __tie, first and words of each document's listed regions.
+
+    The words are joined by spaces. With ``runs`` they are those of each run of confirmed windows (kind 0, a passage),
+    else those of the whole region (kind 1, a stretch of a document).
+    """
+    names = ["shard", "part", "kind", "doc_id", "__tie", "first", "words"]
+
+    def run(batches):
+        for batch in batches:
+            for slice_ in slices(batch):
+                words = words_of(texts_of(slice_.column("text")), BLANKS)
+                listed = slice_.column("__regions")
+                owner = np.repeat(np.arange(slice_.num_rows), np.diff(listed.offsets.to_numpy()))
+                flat = listed.flatten()
+                shard, part, first, n, mask = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "part", "first", "n", "mask"))
+                if runs:
+                    bits = (mask[:, None] >> np.arange(63)) & 1
+                    edges = np.diff(np.pad(bits, ((0, 0), (1, 1))), axis=1)
+                    (row, begin), (_, end) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+                else:
+                    row, begin, end = np.arange(len(owner)), np.zeros(len(owner), np.int64), n
+                at = words.first[owner[row]] + first[row] + begin
+                to = at + (end - begin) + width - 1
+                size = np.concatenate(([0], np.cumsum(words.end - words.start)))
+                tight = words.end[to - 1] - words.start[at] == size[to] - size[at] + (to - at - 1)
+                data, start, stop = words.texts.data.tobytes(), words.start.tolist(), words.end.tolist()
+                joined = [
+                    data[start[a]:stop[b - 1]].translate(_TO_SPACE) if one else b" ".join([data[start[k]:stop[k]] for k in range(a, b)])
+                    for a, b, one in zip(at.tolist(), to.tolist(), tight.tolist(), strict=True)
+                ]
+                of = pa.array(owner[row])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(shard[row].astype(np.int32)), pa.array(part[row].astype(np.int32)), pa.array(np.full(len(row), 0 if runs else 1, np.int32)),
+                    slice_.column("doc_id").take(of), slice_.column("__tie").take(of), pa.array(first[row].astype(np.int32)), pa.array(joined, pa.binary()),
+                ], names=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = f"shard int, part int, kind int, doc_id {kinds['doc_id']}, __tie {kinds['__tie']}, first int, words binary"
+    return map_arrow(docs.select("doc_id", "__tie", "text", "__regions"), run, schema)
+
+
+class Automata:
+    """Aho-Corasick automata over whole words, one per ALPHABET distinct words of the passages."""
+
+    def __init__(self, passages: list[bytes]):
+        import ahocorasick
+
+        self.parts = []
+        at = 0
+        while at < len(passages):
+            letters: dict[bytes, str] = {}
+            automaton = ahocorasick.Automaton()
+            while at < len(passages) and len(letters) < ALPHABET:
+                words = passages[at].split(b" ")
+                coded = "".join([letters.setdefault(w, _letter(len(letters))) for w in words])
+                automaton.add_word(coded, len(words))
+                at += 1
+            automaton.make_automaton()
+            self.parts.append((letters, automaton))
+
+    def find(self, words: bytes) -> list[tuple[int, int]]:
+        """First word and number of words of every occurrence of a passage."""
+        out = []
+        split = words.split(b" ")
+        for letters, automaton in self.parts:
+            coded = "".join([letters.get(w, _NO_PASSAGE) for w in split])
+            out += [(stop + 1 - size, size) for stop, size in automaton.iter(coded)]
+        return out
+
+
+_NO_PASSAGE = "\x01"
+
+
+def _letter(i: int) -> str:
+    """A character for a word; surrogates are left out."""
+    return chr(i + 2 if i + 2 < 0xD800 else i + 2 + 0x800)
+
+
+def locate(passages: DataFrame, stretches: DataFrame, width: int) -> DataFrame:
+    """doc_id, __tie, first and mask: the windows, as bits, of each stretch that lie in an occurrence of a passage.
+
+    Both have the columns that ``_texts`` gives. Each shard's passages are compiled into automata as they come, before
+    the shard's stretches, which are then streamed through them: a task holds one shard's passages at a time.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in stretches.schema}
+
+    def run(batches):
+        of, waiting, automata = None, [], None
+        for batch in batches:
+            shard, part, kind = (batch.column(c).to_numpy() for c in ("shard", "part", "kind"))
+            begin = np.flatnonzero(np.concatenate(([True], (np.diff(shard) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0))))
+            masks = np.zeros(batch.num_rows, np.int64)
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), batch.num_rows], strict=True):
+                if of != (shard[a], part[a]):
+                    of, waiting, automata = (shard[a], part[a]), [], None
+                texts = batch.column("words").slice(a, b - a).to_pylist()
+                if kind[a] == 0:
+                    waiting += texts
+                    continue
+                if automata is None:
+                    automata, waiting = Automata(waiting), []
+                for i, text in enumerate(texts, a):
+                    mask = 0
+                    for first, size in automata.find(text):
+                        mask |= ((1 << (size - width + 1)) - 1) << first
+                    masks[i] = mask
+            hit = pa.array(np.flatnonzero(masks))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(hit) for c in ("doc_id", "__tie", "first")), pa.array(masks[masks != 0])], names=["doc_id", "__tie", "first", "mask"],
+            )
+
+    both = passages.unionByName(stretches).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+    return map_arrow(both, run, f"doc_id {kinds['doc_id']}, __tie {kinds['__tie']}, first int, mask long")
+
+
+def marks(docs: DataFrame, width: int = 35, gram: int = GRAM, seed: int = 0) -> DataFrame:
+    """doc_id, __tie and __marks (first, mask): the windows of each document that recur, found by automata.
+
+    One example of every kind of confirmed passage is written out; the passages are dealt into shards, each compiled
+    into automata, and every stretch of every document that may hold one of a shard's passages goes through them.
+    """
+    found, examples = confirmed(docs, width, gram, seed)
+    total = examples.agg(F.coalesce(F.sum(F.col("n") + width), F.lit(0))).first()[0]
+    shard = F.pmod(F.xxhash64("anchor", "region"), F.lit(1 + total // SHARD_WORDS)).cast("int").alias("shard")
+
+    def listed(rows: DataFrame, part: Column, mask: Column) -> DataFrame:
+        rows = rows.select("doc_id", "__tie", F.struct(shard, part.cast("int").alias("part"), "first", "n", mask.alias("mask")).alias("r"))
+        # Rows of one document and text that is repeated have the same regions.
+        return rows.groupBy("doc_id", "__tie").agg(F.collect_set("r").alias("__regions"))
+
+    passages = _texts(_joined(docs, listed(examples, F.when(F.col("copies") > HOT_COPIES, 1).otherwise(0), F.col("mask")), "inner"), width, True)
+    # Here part tells whether the passage is frequent; then each part of its copies gets it.
+    parts = F.when(F.col("part") == 1, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    passages = stored(passages.dropDuplicates(["shard", "part", "words"]).withColumn("part", F.explode(parts)), "passage-shards")
+    copies = examples.select("anchor", "region", (F.col("copies") > HOT_COPIES).alias("__hot"))
+    mine = found.join(copies, ["anchor", "region"])
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64("doc_id", "__tie", "first"), F.lit(HOT_PARTS))).otherwise(0)
+    stretches = _texts(_joined(docs, listed(mine, part, F.lit(0).cast("long")), "inner"), width, False)
+    located = locate(passages, stretches, width)
+    return located.groupBy("doc_id", "__tie").agg(F.collect_set(F.struct("first", "mask")).alias("__marks"))
+
+
+def _covered(words: Words, owners: np.ndarray, firsts: np.ndarray, masks: np.ndarray, width: int) -> np.ndarray:
+    """Which words the marked windows cover."""
     bits = np.flatnonzero((masks[:, None] >> np.arange(62)) & 1)
     rows, place = bits // 62, bits % 62
     starts = np.unique(words.first[owners[rows]] + firsts[rows] + place)
-    if not len(starts):
-        return []
-    # Two windows of one text that overlap or touch are one passage only if the windows between recur as well.
-    text = np.searchsorted(words.first, starts, "right")
-    begin = np.flatnonzero(np.append(True, (np.diff(starts) != 1) | (np.diff(text) != 0)))
-    last = np.append(begin[1:], len(starts)) - 1
-    return list(zip(starts[begin].tolist(), (starts[last] + width).tolist(), strict=True))
-
-
-def locate(words: Words, passages: list[tuple[int, int]], width: int) -> np.ndarray:
-    """Words of a shard covered by an occurrence of any of its passages, found by automata over whole words."""
-    import ahocorasick
-
-    covered = np.zeros(len(words.start) + 1, np.int64)
-    hashes = words.hashes()
-    pieces = []
-    for begin, end in passages:
-        step = PIECE - width + 1
-        pieces += [(at, min(at + PIECE, end)) for at in range(begin, max(begin + 1, end - width + 1), step)]
-    at = 0
-    while at < len(pieces):
-        # One automaton takes as many passages as its alphabet holds.
-        to = len(pieces)
-        while to - at > 1 and sum(e - b for b, e in pieces[at:to]) > ALPHABET:
-            to = at + (to - at) // 2
-        own = pieces[at:to]
-        known = np.unique(np.concatenate([hashes[b:e] for b, e in own]))
-        code = np.searchsorted(known, hashes)
-        code[code == len(known)] = 0
-        code = np.where(known[code] == hashes, code + 2, 1).astype(np.uint32)  # 1: a word of no passage
-        code[code >= 0xD800] += 0x800
-        text = code.astype("<u4").tobytes().decode("utf-32-le")
-        automaton = ahocorasick.Automaton()
-        for phrase in {text[b:e] for b, e in own}:
-            automaton.add_word(phrase, len(phrase))
-        automaton.make_automaton()
-        for i in range(len(words.texts)):
-            begin, end = int(words.first[i]), int(words.first[i + 1])
-            if end - begin < width:
-                continue
-            for stop, size in automaton.iter(text[begin:end]):
-                covered[begin + stop + 1 - size] += 1
-                covered[begin + stop + 1] -= 1
-        at = to
-    return np.cumsum(covered)[:-1] > 0
+    steps = np.zeros(len(words.start) + 1, np.int64)
+    steps[starts] += 1
+    steps[starts + width] -= 1
+    return np.cumsum(steps)[:-1] > 0
 
 
 @guarded
@@ -197,16 +308,15 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = GRAM, keep: lis
     """
     keyed = docs.withColumn("__tie", F.hash("text"))
     own = keyed.select("doc_id", "__tie", "text")
-    rows = _joined(keyed, confirmed(own, width, gram, secrets.randbits(64)), "left")
+    rows = _joined(keyed, marks(own, width, gram, secrets.randbits(64)), "left")
 
     def work(part: pa.RecordBatch) -> list[pa.Array]:
         words = words_of(texts_of(part.column("text")), BLANKS)
-        marks = part.column("__marks")
-        counts = np.asarray(marks.value_lengths().fill_null(0)).astype(np.int64)
-        flat = marks.flatten()
+        found = part.column("__marks")
+        counts = np.asarray(found.value_lengths().fill_null(0)).astype(np.int64)
+        flat = found.flatten()
         owners = np.repeat(np.arange(part.num_rows), counts)
-        passages = _passages(words, owners, flat.field("first").to_numpy().astype(np.int64), flat.field("mask").to_numpy(), width)
-        covered = locate(words, passages, width) if passages else np.zeros(len(words.start), bool)
+        covered = _covered(words, owners, flat.field("first").to_numpy().astype(np.int64), flat.field("mask").to_numpy(), width)
         data = words.texts.data.tobytes()
         start, end, first = words.start.tolist(), words.end.tolist(), words.first.tolist()
         removed = np.diff(np.concatenate(([0], np.cumsum(covered)))[words.first])

@@ -466,3 +466,75 @@ def test_pipeline_stands_edges(spark, sf_dir):
             stage(spark, docs, sf_dir).write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() > 0) == (start.limit(1).count() > 0)
+
+
+# --- words that polynomial hashes take for equal, very long texts, names used inside
+
+def alike():
+    """A long word and its complement, told apart by no polynomial hash modulo 2^64."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_alike_to_polynomials_are_kept(spark):
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(i, f"{w} {rest}") for i, w in enumerate(alike())], "doc_id long, text string")
+    assert [r.n_removed for r in passages.remove_repeats(docs).collect()] == [0, 0]
+
+
+def test_automata_compare_words(spark):
+    """A passage whose example only hashes like a stretch is not found in it."""
+    rows = [(0, 0, 0, None, None, 0, b"a b c"), (0, 0, 1, 1, 7, 4, b"x a b c"), (0, 0, 1, 2, 7, 0, b"a b d c"), (1, 0, 1, 3, 7, 0, b"a b c")]
+    df = spark.createDataFrame(rows, "shard int, part int, kind int, doc_id long, __tie int, first int, words binary")
+    got = passages.locate(df.filter("kind = 0"), df.filter("kind = 1"), 3).collect()
+    assert [(r.doc_id, r.first, r["mask"]) for r in got] == [(1, 4, 2)]
+
+
+@pytest.mark.parametrize("hot,alphabet", [(1, 1_000_000), (1024, 40)])
+def test_repeats_in_parts(spark, sf_dir, monkeypatch, hot, alphabet):
+    monkeypatch.setattr(passages, "HOT_COPIES", hot)
+    monkeypatch.setattr(passages, "SHARD_WORDS", 500)
+    monkeypatch.setattr(passages, "ALPHABET", alphabet)
+    docs = documents(spark, sf_dir).select("doc_id", "text").filter("doc_id < 120")
+    texts = docs.collect()
+    want = dict(zip([r.doc_id for r in texts], without_repeats([r.text for r in texts], 35), strict=True))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in passages.remove_repeats(docs).collect()} == want
+
+
+def test_hashing_a_long_text_takes_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import pyarrow as pa
+from quillomics.llm.words import BLANKS, texts_of, window_hashes, words_of
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+words = words_of(texts_of(pa.array(["lorem ipsum dolor sit amet " * 1_500_000])), BLANKS)
+window_hashes(words.hashes(), 35)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 500
+
+
+RESERVED = ["__tie", "__letter", "__marks", "__regions", "__doc", "__own", "__id", "__key", "own_0", "changed", "kept", "lang_pred", "score"]
+
+
+def test_names_used_inside_come_back(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = fixture.documents(spark, RESERVED)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        for row in out.select(*RESERVED).collect():
+            assert set(row) == {"clash"}, name
+    internal = [c for c in RESERVED if c.startswith("__")]
+    items = catalog.table(spark, sf_dir, "benchmark")
+    for out in (
+        passages.remove_repeats(docs), simhash.distinct_documents(docs), decontaminate.drop_contaminated(docs, items),
+        language.identify(docs, language.learn(docs)),
+    ):
+        assert all(set(r) == {"clash"} for r in out.select(*internal).collect())
