@@ -351,3 +351,46 @@ def _(t):
         "source_key", "gene_symbol", F.when(F.col("event_id") % 11 == 0, "{oops").otherwise(F.to_json("payload")).alias("raw")
     )
     return tables.run_summary(normalize.readable(landed, "score double"), normalize.quarantine(landed, "score double"))
+
+
+LANDED_SQL = """
+SELECT source_key, CAST(count_if(event_id % 11 <> 0) AS BIGINT) AS records_written, CAST(count_if(event_id % 11 = 0) AS BIGINT) AS errors
+FROM v_sources GROUP BY 1"""
+
+
+def landed_rows(t):
+    return t("v_sources").select("source_key", "gene_symbol", "record_id", "event_id", "title")
+
+
+@query("a22_observed_summary", LANDED_SQL)
+def _(t):
+    """Counts per source taken by the job that writes the rows."""
+    keys = [s.key for s in registry.SOURCES]
+    return tables.write_observed(landed_rows(t), scratch_path(t.spark, "landed"), F.col("event_id") % 11 != 0, keys)
+
+
+@query("a22_observed_stream", LANDED_SQL)
+def _(t):
+    """The same counts from a file stream, added up over its batches."""
+    from ..streaming import ingest
+
+    source, target, summary = (scratch_path(t.spark, n) for n in ("shards", "landed", "counts"))
+    landed_rows(t).repartition(4).write.parquet(source)
+    rows = ingest.shard_stream(t.spark, source, landed_rows(t).schema, 2)
+    keys = [s.key for s in registry.SOURCES]
+    ingest.append_observed(rows, target, summary, scratch_path(t.spark, "landed-cp"), F.col("event_id") % 11 != 0, keys).awaitTermination()
+    counts = t.spark.read.schema(tables.SUMMARY).parquet(summary).groupBy("source_key")
+    return counts.agg(F.sum("records_written").alias("records_written"), F.sum("errors").alias("errors"))
+
+
+@query("a11_merged_profile", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{kind}' AS type, count(*) AS n_rows, CAST(count_if({c} IS NULL) AS BIGINT) AS n_null, {number} FROM v_expression"
+    for c, kind, number in (
+        ("gene_symbol", "string", "CAST(NULL AS DOUBLE) AS least, CAST(NULL AS DOUBLE) AS greatest"), ("tissue", "string", "NULL, NULL"),
+        ("sample_id", "bigint", "CAST(min(sample_id) AS DOUBLE), CAST(max(sample_id) AS DOUBLE)"), ("tpm", "double", "min(tpm), max(tpm)"))))
+def _(t):
+    """Sketches of two snapshots, stored and merged: the exact part of the profile; estimates are held by the tests."""
+    rows, path = t("v_expression").select("gene_symbol", "tissue", "sample_id", "tpm"), scratch_path(t.spark, "sketches")
+    for part in (rows.filter("sample_id % 3 = 0"), rows.filter("sample_id % 3 <> 0")):
+        files.profile_sketches(part).write.mode("append").parquet(path)
+    return files.merged_profile(t.spark.read.parquet(path)).drop("n_distinct", "median")

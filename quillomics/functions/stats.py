@@ -28,21 +28,22 @@ def exact_median(
         F.percentile_approx(number, [0.5 - margin, 0.5 + margin], SKETCH_ACCURACY).alias("_b"),
         F.count(number).alias("_n"),
     )
+    others = [c for c in stats.columns if c not in (*keys, "_b")]
     aliases = [f"_k{i}" for i in range(len(keys))]
     renamed = [F.col(k).alias(a) for k, a in zip(keys, aliases, strict=True)]
-    brackets = stats.select(*renamed, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), "_n")
+    brackets = stats.select(*renamed, *others, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
     rows = df.select(*keys, number.alias("_v")).filter(F.col("_v").isNotNull())
     same = [rows[k].eqNullSafe(brackets[a]) for k, a in zip(keys, aliases, strict=True)]
-    inside = rows.join(brackets, [*same, F.col("_v") <= F.col("_hi")])
+    # The measures go along, and a group without values stays, so nothing is joined to the groups again.
+    inside = rows.join(brackets, [*same, F.col("_v") <= F.col("_hi")], "right")
     # What lies below the bracket is one null value, which comes first.
-    inside = inside.groupBy(*aliases, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*aliases).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.groupBy(*aliases, *others, F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_w")).agg(F.count("_v").alias("_c"))
+    order = Window.partitionBy(*aliases).orderBy(F.col("_w").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = inside.withColumn("_last", F.sum("_c").over(order)).withColumn("_first", F.col("_last") - F.col("_c"))
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
 
     def at(position: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= position) & (position < F.col("_last")), F.col("_v")))
+        return F.max(F.when((F.col("_first") <= position) & (position < F.col("_last")), F.col("_w")))
 
-    medians = ranked.groupBy(*aliases).agg(((at(low) + at(high)) / 2).alias(out))
-    found = [stats[k].eqNullSafe(medians[a]) for k, a in zip(keys, aliases, strict=True)]
-    return stats.join(medians, found, "left").drop("_b", "_n", *aliases)
+    medians = ranked.groupBy(*aliases, *others).agg(((at(low) + at(high)) / 2).alias(out))
+    return medians.select(*[F.col(a).alias(k) for k, a in zip(keys, aliases, strict=True)], *[c for c in others if c != "_n"], out)

@@ -74,7 +74,7 @@ def _of_panel(rows: DataFrame, key: str, panel: DataFrame | None) -> DataFrame:
     """
     if panel is None:
         return rows
-    wanted = panel.select(F.col(panel.columns[0]).alias(key)).filter(F.col(key) != "")
+    wanted = panel.select(F.col(panel.columns[0]).alias(key)).filter(F.length(key) > 0)
     return rows.join(wanted, key, "left_semi")
 
 

@@ -203,3 +203,40 @@ def profile(df: DataFrame, distinct: bool = False, metadata_below: int = 200, sa
     rows = one.select("_rows", F.explode(F.array(*[F.col(f"_c{i}") for i in range(len(df.columns))])).alias("p"))
     out = rows.select("p.*", F.col("_rows").alias("n_rows"))
     return out.withColumn("is_metadata", F.col("n_distinct") < metadata_below) if distinct else out
+
+
+#: Items of a sketch of quantiles, and bits of a sketch of distinct values (relative error about 1 %).
+QUANTILE_ITEMS, DISTINCT_BITS = 400, 14
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def profile_sketches(df: DataFrame) -> DataFrame:
+    """One row per column: column, type, n_rows, n_null, least, greatest (as text), and mergeable sketches of its distinct
+    values (hll) and, for numbers, of its quantiles (kll). To be stored for each snapshot or batch of shards; one pass."""
+    parts = []
+    for name in df.columns:
+        c, kind = F.col(f"`{name}`"), df.schema[name].dataType.simpleString()
+        number = kind in NUMERIC or kind.startswith("decimal")
+        parts.append(F.struct(
+            F.lit(name).alias("column"), F.lit(kind).alias("type"), F.count(F.lit(1)).alias("n_rows"), F.count_if(c.isNull()).alias("n_null"),
+            *[(f(c.cast("double")) if number else F.lit(None).cast("double")).alias(side) for side, f in (("least", F.min), ("greatest", F.max))],
+            F.hll_sketch_agg(c.cast("string"), F.lit(DISTINCT_BITS)).alias("hll"),
+            (F.kll_sketch_agg_double(c.cast("double"), F.lit(QUANTILE_ITEMS)) if number else F.lit(None).cast("binary")).alias("kll"),
+        ).alias(f"_c{len(parts)}"))
+    one = df.agg(*parts)
+    return one.select(F.explode(F.array(*[F.col(f"_c{i}") for i in range(len(parts))])).alias("p")).select("p.*")
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """The profile of all rows that the stored sketches were taken of, without reading those rows: column, type, n_rows,
+    n_null, least, greatest, n_distinct and median, the last two estimated (errors about 1 % of the number and the rank).
+    """
+    merged = sketches.groupBy("column", "type").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.min("least").alias("least"), F.max("greatest").alias("greatest"),
+        F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("n_distinct"), F.collect_list("kll").alias("_kll"),
+    )
+    # Sketches of a column are few, one per snapshot, and small; those of no values give no quantile.
+    kept = F.filter("_kll", lambda s: F.kll_sketch_get_n_double(s) > 0)
+    both = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.get(kept, F.lit(0)), lambda acc, s: F.kll_sketch_merge_double(acc, s))
+    median = F.when(F.size(kept) > 0, F.kll_sketch_get_quantile_double(both, F.lit(0.5)))
+    return merged.withColumn("median", median).drop("_kll")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType, VariantType
 
@@ -241,3 +241,29 @@ def run_summary(records: DataFrame, rejected: DataFrame) -> DataFrame:
         .groupBy("source_key", "gene_symbol")
         .agg(F.sum("records_written").alias("records_written"), F.sum("errors").alias("errors"))
     )
+
+
+def summary_metrics(ok: Column, sources: Sequence[str]) -> list[Column]:
+    """Counts of good and bad rows of each source, for ``DataFrame.observe``: two numbers per source."""
+    source = F.col("source_key")
+    return [
+        F.count_if((source == key) & (ok if good else ~ok)).alias(f"{key}|{'written' if good else 'errors'}")
+        for key in sources for good in (True, False)
+    ]
+
+
+SUMMARY = "source_key string, records_written bigint, errors bigint"
+
+
+def write_observed(rows: DataFrame, path: str, ok: Column, sources: Sequence[str], mode: str = "append") -> DataFrame:
+    """Writes rows, good ones apart from bad ones, and returns what it wrote per source: source_key, records_written, errors.
+
+    The counts are taken by the writing job itself, so nothing is read twice. Rows with a source that is not listed are
+    written and not counted; a source without rows is left out.
+    """
+    seen = Observation()
+    marked = rows.withColumn("_good", F.coalesce(ok, F.lit(False)))
+    marked = marked.observe(seen, *summary_metrics(F.col("_good"), sources))
+    write_partitioned(marked, path, "_good", mode=mode)
+    counts = [(key, seen.get[f"{key}|written"], seen.get[f"{key}|errors"]) for key in sources]
+    return rows.sparkSession.createDataFrame([c for c in counts if c[1] or c[2]], SUMMARY)

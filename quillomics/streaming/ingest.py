@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -115,3 +115,17 @@ def append_log(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
         rows.writeStream.format("parquet").outputMode("append").option("path", target)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def append_observed(
+    rows: DataFrame, target: str, summary: str, checkpoint: str, ok: Column, sources: Sequence[str],
+) -> StreamingQuery:
+    """Appends landed rows as they arrive and, per batch, the counts that the writing job took of them.
+
+    A batch has a folder of its own in both places, so one that is repeated after a failure replaces itself.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        counts = tables.write_observed(batch, f"{target}/batch={batch_id}", ok, sources, mode="overwrite")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{summary}/batch={batch_id}")
+
+    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

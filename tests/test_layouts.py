@@ -17,7 +17,7 @@ from tests.conftest import SF_DIR, rows
 def plan_of(df):
     """The plan that ran."""
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
 
 
 def cells(spark, n=20_000):
@@ -226,3 +226,28 @@ def test_profile_caps_are_arguments(spark):
     counts = {r.gene: r.n_variants for r in gene_profile.coverage(records, capped=False).collect()}
     assert {r.gene: r.n for r in every.collect()} == counts
     assert len(registry.SOURCES) == 21
+
+
+# --- stored sketches
+
+def test_profile_of_old_and_new_shards_rereads_nothing(spark, tmp_path):
+    from quillomics.sources import files
+
+    df = spark.range(40_000).select(
+        (F.col("id") % 9_000).alias("k"), (F.xxhash64("id") % 100_000 / 1000).alias("x"), F.when(F.col("id") % 4 > 0, (F.col("id") % 37).cast("string")).alias("s"),
+        F.lit(None).cast("int").alias("none"),
+    )
+    old, new = df.filter("k < 5000"), df.filter("k >= 5000")
+    for part in (old, new, df.limit(0)):
+        files.profile_sketches(part).write.mode("append").parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    merged = files.merged_profile(stored)
+    assert len({f for f in merged.inputFiles()}) == len(stored.inputFiles())  # nothing but the sketches is read
+    got = {r["column"]: r for r in merged.collect()}
+    assert {c: (r.n_rows, r.n_null) for c, r in got.items()} == {"k": (40_000, 0), "x": (40_000, 0), "s": (40_000, 10_000), "none": (40_000, 40_000)}
+    assert abs(got["k"].n_distinct - 9_000) < 0.05 * 9_000 and abs(got["s"].n_distinct - 37) <= 1 and got["none"].n_distinct == 0
+    for c in ("k", "x"):
+        below = df.filter(F.col(c) <= got[c].median).count() / 40_000
+        assert 0.47 < below < 0.53
+        assert (got[c].least, got[c].greatest) == tuple(map(float, df.agg(F.min(c), F.max(c)).first()))
+    assert got["s"].median is None and got["none"].median is None
