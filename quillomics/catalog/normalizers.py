@@ -536,7 +536,7 @@ p AS (SELECT *, ct || CASE WHEN o_orderkey % 4 = 0 THEN '-PSAP KO' ELSE '' END |
 WITH {SCREEN_PARTS}
 SELECT o_orderkey, screen_name, cell_type, genotype, crispr_mode, coalesce(nullif(ph, ''), 'Survival') AS phenotype_name FROM p""")
 def _(t):
-    parsed = landing.parse_screen_name(named_screens(t))
+    parsed = landing.screen_attributes(named_screens(t))
     return parsed.select("o_orderkey", "screen_name", "cell_type", "genotype", "crispr_mode", "phenotype_name")
 
 

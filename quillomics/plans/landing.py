@@ -10,37 +10,28 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import joins
 
-# Parts of screen names, tried in this order.
-CRISPR_MODES = ("CRISPRi", "CRISPRa", "CRISPRn", "inducible CRISPRi", "inducible CRISPRa")
-CELL_TYPES = (
-    "Glutamatergic Neuron", "Glutamatergic-Neuron", "iTF-Microglia", "iAstrocyte", "iPSC", "T Cell", "HSPC",
-)
-GENOTYPES = ("PSAP KO", "MAPT-WT/V337M", "MAPT-WT/WT", "i11w-hT")
+# Parts of screen names as patterns, and what a name without them stands for.
+SCREEN_PARTS = {
+    "crispr_mode": (r"CRISPR[ian]", "unknown"),
+    "cell_type": (r"^(?:Glutamatergic[ -]Neuron|iTF-Microglia|iAstrocyte|iPSC|T Cell|HSPC)", "unknown"),
+    "genotype": (r"PSAP KO|MAPT-WT/V337M|MAPT-WT/WT|i11w-hT", "WT"),
+}
 DEFAULT_PHENOTYPE = "Survival"
 
 
-def _first(options: Sequence[str], test, default: str, show=lambda o: o) -> Column:
-    result = F.lit(default)
-    for option in reversed(options):
-        result = F.when(test(option), F.lit(show(option))).otherwise(result)
-    return result
+def screen_attributes(df: DataFrame, name: str = "screen_name") -> DataFrame:
+    """Cell type, genotype, CRISPR mode and phenotype out of a screen name.
 
-
-def parse_screen_name(df: DataFrame, name: str = "screen_name") -> DataFrame:
-    """Cell type, genotype, CRISPR mode and phenotype out of a screen name."""
-    n = F.col(name)
-    out = df.withColumns({
-        "crispr_mode": _first(CRISPR_MODES, lambda o: n.contains(o), "unknown"),
-        "cell_type": _first(CELL_TYPES, lambda o: n.startswith(o), "unknown", lambda o: o.replace("-", " ")),
-        "genotype": _first(GENOTYPES, lambda o: n.contains(o), "WT"),
-    })
-    rest = n
-    for part in (F.replace("cell_type", F.lit(" "), F.lit("-")), F.col("cell_type"), F.col("crispr_mode"), F.col("genotype")):
-        rest = F.replace(rest, part, F.lit(""))
-    for mark in ("-", " ", "-"):
-        rest = F.btrim(rest, F.lit(mark))
-    rest = F.coalesce(F.nullif(rest, F.lit("")), F.lit(DEFAULT_PHENOTYPE))
-    return out.withColumn("phenotype_name", F.trim(F.btrim(rest, F.lit("-"))))
+    The phenotype is what the matched parts leave of the name. The plain genotype may be written out too.
+    """
+    found = {part: F.regexp_extract(name, pattern, 0) for part, (pattern, _) in SCREEN_PARTS.items()}
+    plain = SCREEN_PARTS["genotype"][1]
+    known = "|".join(pattern for pattern, _ in SCREEN_PARTS.values())
+    rest = F.when(found["genotype"] == "", F.regexp_replace(name, f"{known}|{plain}", "")).otherwise(F.regexp_replace(name, known, ""))
+    phenotype = F.nullif(F.regexp_replace(rest, "^[- ]+|[- ]+$", ""), F.lit(""))
+    parts = {part: F.coalesce(F.nullif(found[part], F.lit("")), F.lit(default)) for part, (_, default) in SCREEN_PARTS.items()}
+    parts["cell_type"] = F.translate(parts["cell_type"], "-", " ")
+    return df.withColumns({**parts, "phenotype_name": F.coalesce(phenotype, F.lit(DEFAULT_PHENOTYPE))})
 
 
 # Column names of the screen tables, by preference.
@@ -74,10 +65,8 @@ def unify_screens(raw: DataFrame, name: str = "screen_name", source: str = "cris
         *[S.parse_double(columns[c].cast("string")).alias(c) for c in ("phenotype_score", "pvalue", "gene_score")],
         F.coalesce(F.trim(columns["hit_class"]), F.lit("none")).alias("hit_class"),
     ).filter(F.col("gene").isNotNull() & ~F.col("gene").isin("", "nan"))
-    named = F.lit(False)
-    for mode in CRISPR_MODES[:3]:
-        named = named | F.col("screen_name").contains(mode)
-    parsed = parse_screen_name(rows)
+    named = F.col("screen_name").rlike(SCREEN_PARTS["crispr_mode"][0])
+    parsed = screen_attributes(rows)
     defaults = {
         "cell_type": F.lit("Glutamatergic Neuron"), "phenotype_name": F.col("screen_name"),
         "genotype": F.lit("WT"), "crispr_mode": F.lit("CRISPRi"),

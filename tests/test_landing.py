@@ -28,7 +28,7 @@ SCREENS = {
 def test_screen_names(spark):
     df = spark.createDataFrame([(n,) for n in SCREENS], "screen_name string")
     got = {r["screen_name"]: (r["cell_type"], r["genotype"], r["crispr_mode"], r["phenotype_name"])
-           for r in landing.parse_screen_name(df).collect()}
+           for r in landing.screen_attributes(df).collect()}
     assert got == SCREENS
 
 
