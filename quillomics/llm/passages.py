@@ -1,6 +1,6 @@
 """Substring dedup with repeated-phrase automata.
 
-Recurring passages are confirmed by counts over all documents, and one example of each kind is written out. Passages are
+Recurring passages are confirmed by counts over all documents, and one example of each kind is taken. Passages are
 dealt into shards, each compiled into Aho-Corasick automata, and all stretches of documents that may hold a shard's
 passages are streamed through them to locate every occurrence, word by word.
 
@@ -142,11 +142,11 @@ HOT_COPIES, HOT_PARTS = 1024, 64
 _TO_SPACE = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 
 
-def _texts(docs: DataFrame, width: int, runs: bool) -> DataFrame:
+def _texts(docs: DataFrame, width: int) -> DataFrame:
     """shard, part, kind, doc_id, __tie, first and words of each document's listed regions.
 
-    The words are joined by spaces. With ``runs`` they are those of each run of confirmed windows (kind 0, a passage),
-    else those of the whole region (kind 1, a stretch of a document).
+    The words are joined by spaces: for kind 0 (passages) those of each run of the windows in the mask, for kind 1
+    (stretches) those of the whole region.
     """
     names = ["shard", "part", "kind", "doc_id", "__tie", "first", "words"]
 
@@ -157,13 +157,14 @@ def _texts(docs: DataFrame, width: int, runs: bool) -> DataFrame:
                 listed = slice_.column("__regions")
                 owner = np.repeat(np.arange(slice_.num_rows), np.diff(listed.offsets.to_numpy()))
                 flat = listed.flatten()
-                shard, part, first, n, mask = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "part", "first", "n", "mask"))
-                if runs:
-                    bits = (mask[:, None] >> np.arange(63)) & 1
-                    edges = np.diff(np.pad(bits, ((0, 0), (1, 1))), axis=1)
-                    (row, begin), (_, end) = np.nonzero(edges == 1), np.nonzero(edges == -1)
-                else:
-                    row, begin, end = np.arange(len(owner)), np.zeros(len(owner), np.int64), n
+                shard, part, kind, first, n, mask = (
+                    flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "part", "kind", "first", "n", "mask")
+                )
+                # A stretch is one run of all its windows.
+                mask = np.where(kind == 1, (np.int64(1) << n) - 1, mask)
+                bits = (mask[:, None] >> np.arange(63)) & 1
+                edges = np.diff(np.pad(bits, ((0, 0), (1, 1))), axis=1)
+                (row, begin), (_, end) = np.nonzero(edges == 1), np.nonzero(edges == -1)
                 at = words.first[owner[row]] + first[row] + begin
                 to = at + (end - begin) + width - 1
                 size = np.concatenate(([0], np.cumsum(words.end - words.start)))
@@ -175,7 +176,7 @@ def _texts(docs: DataFrame, width: int, runs: bool) -> DataFrame:
                 ]
                 of = pa.array(owner[row])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(shard[row].astype(np.int32)), pa.array(part[row].astype(np.int32)), pa.array(np.full(len(row), 0 if runs else 1, np.int32)),
+                    pa.array(shard[row].astype(np.int32)), pa.array(part[row].astype(np.int32)), pa.array(kind[row].astype(np.int32)),
                     slice_.column("doc_id").take(of), slice_.column("__tie").take(of), pa.array(first[row].astype(np.int32)), pa.array(joined, pa.binary()),
                 ], names=names)
 
@@ -221,13 +222,13 @@ def _letter(i: int) -> str:
     return chr(i + 2 if i + 2 < 0xD800 else i + 2 + 0x800)
 
 
-def locate(passages: DataFrame, stretches: DataFrame, width: int) -> DataFrame:
+def locate(texts: DataFrame, width: int) -> DataFrame:
     """doc_id, __tie, first and mask: the windows, as bits, of each stretch that lie in an occurrence of a passage.
 
-    Both have the columns that ``_texts`` gives. Each shard's passages are compiled into automata as they come, before
+    ``texts`` are passages and stretches with the columns that ``_texts`` gives. Each shard's passages are compiled into automata as they come, before
     the shard's stretches, which are then streamed through them: a task holds one shard's passages at a time.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in stretches.schema}
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
 
     def run(batches):
         of, waiting, automata = None, [], None
@@ -254,34 +255,30 @@ def locate(passages: DataFrame, stretches: DataFrame, width: int) -> DataFrame:
                 [*(batch.column(c).take(hit) for c in ("doc_id", "__tie", "first")), pa.array(masks[masks != 0])], names=["doc_id", "__tie", "first", "mask"],
             )
 
-    both = passages.unionByName(stretches).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
-    return map_arrow(both, run, f"doc_id {kinds['doc_id']}, __tie {kinds['__tie']}, first int, mask long")
+    dealt = texts.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+    return map_arrow(dealt, run, f"doc_id {kinds['doc_id']}, __tie {kinds['__tie']}, first int, mask long")
 
 
 def marks(docs: DataFrame, width: int = 35, gram: int = GRAM, seed: int = 0) -> DataFrame:
     """doc_id, __tie and __marks (first, mask): the windows of each document that recur, found by automata.
 
-    One example of every kind of confirmed passage is written out; the passages are dealt into shards, each compiled
-    into automata, and every stretch of every document that may hold one of a shard's passages goes through them.
+    One example of every kind of confirmed passage is dealt into shards, each compiled into automata, and every stretch
+    of every document that may hold one of a shard's passages goes through them. A document's text is read once for both.
     """
     found, examples = confirmed(docs, width, gram, seed)
     total = examples.agg(F.coalesce(F.sum(F.col("n") + width), F.lit(0))).first()[0]
-    shard = F.pmod(F.xxhash64("anchor", "region"), F.lit(1 + total // SHARD_WORDS)).cast("int").alias("shard")
-
-    def listed(rows: DataFrame, part: Column, mask: Column) -> DataFrame:
-        rows = rows.select("doc_id", "__tie", F.struct(shard, part.cast("int").alias("part"), "first", "n", mask.alias("mask")).alias("r"))
-        # Rows of one document and text that is repeated have the same regions.
-        return rows.groupBy("doc_id", "__tie").agg(F.collect_set("r").alias("__regions"))
-
-    passages = _texts(_joined(docs, listed(examples, F.when(F.col("copies") > HOT_COPIES, 1).otherwise(0), F.col("mask")), "inner"), width, True)
-    # Here part tells whether the passage is frequent; then each part of its copies gets it.
-    parts = F.when(F.col("part") == 1, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    passages = stored(passages.dropDuplicates(["shard", "part", "words"]).withColumn("part", F.explode(parts)), "passage-shards")
-    copies = examples.select("anchor", "region", (F.col("copies") > HOT_COPIES).alias("__hot"))
-    mine = found.join(copies, ["anchor", "region"])
-    part = F.when(F.col("__hot"), F.pmod(F.xxhash64("doc_id", "__tie", "first"), F.lit(HOT_PARTS))).otherwise(0)
-    stretches = _texts(_joined(docs, listed(mine, part, F.lit(0).cast("long")), "inner"), width, False)
-    located = locate(passages, stretches, width)
+    shard = F.pmod(F.xxhash64("anchor", "region"), F.lit(1 + total // SHARD_WORDS)).cast("int")
+    hot = F.col("copies") > HOT_COPIES
+    # Each part of the copies of a frequent kind gets its passages.
+    parts = F.when(hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    passages = examples.select("doc_id", "__tie", "first", "n", "mask", shard.alias("shard"), F.explode(parts).alias("part"), F.lit(0).alias("kind"))
+    mine = found.join(examples.select("anchor", "region", "copies"), ["anchor", "region"])
+    part = F.when(hot, F.pmod(F.xxhash64("doc_id", "__tie", "first"), F.lit(HOT_PARTS))).otherwise(0).cast("int")
+    mine = mine.select("doc_id", "__tie", "first", "n", F.lit(0).cast("long").alias("mask"), shard.alias("shard"), part.alias("part"), F.lit(1).alias("kind"))
+    # Rows of one document and text that is repeated have the same regions.
+    entry = F.struct("shard", "part", "kind", "first", "n", "mask")
+    listed = passages.unionByName(mine).groupBy("doc_id", "__tie").agg(F.collect_set(entry).alias("__regions"))
+    located = locate(_texts(_joined(docs, listed, "inner"), width), width)
     return located.groupBy("doc_id", "__tie").agg(F.collect_set(F.struct("first", "mask")).alias("__marks"))
 
 
