@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,10 +15,16 @@ _PLACE_BITS = 33
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows, written to the shared scratch folder and read again: computed once, and no lineage to redo."""
-    path = scratch_path(df.sparkSession, label)
+    """The rows, written to the shared scratch folder and read again: computed once, and no lineage to redo.
+
+    Shuffle files behind them are of no use afterwards, but stay on the executors' disks until the driver collects the
+    garbage that names them; so it does that here.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def positions(df: DataFrame, order: Sequence[Column], name: str, label: str = "ordered") -> DataFrame:

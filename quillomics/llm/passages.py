@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = GRAM, keep: lis
     """
     keyed = docs.withColumn("__tie", F.hash("text"))
     own = keyed.select("doc_id", "__tie", "text")
-    rows = _joined(keyed, marks(own, width, gram, secrets.randbits(64)), "left")
+    rows = _joined(keyed, stored(marks(own, width, gram, secrets.randbits(64)), "marks"), "left")
 
     def work(part: pa.RecordBatch) -> list[pa.Array]:
         words = words_of(texts_of(part.column("text")), BLANKS)
