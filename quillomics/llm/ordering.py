@@ -24,7 +24,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` gave and that nothing reads any more: what came of them is itself stored."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def positions(df: DataFrame, order: Sequence[Column], name: str, label: str = "ordered") -> DataFrame:

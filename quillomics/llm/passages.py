@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType
 
 from .arrow import map_arrow, with_text_columns
-from .ordering import stored
+from .ordering import discard, stored
 from .names import guarded
 from .words import BLANKS, Words, mixed, slices, texts_of, window_hashes, words_of
 
@@ -122,17 +122,21 @@ def confirmed(docs: DataFrame, width: int = 35, gram: int = GRAM, seed: int = 0)
     # Stored apart from the join, whose shares of a frequent anchor can then go to several tasks.
     anchors = stored(anchors.filter("__n > 1").select(F.col("anchor"), (F.col("__low") == F.col("__high")).alias("alone")), "recurring-anchors")
     found = stored(found.join(anchors, "anchor"), "recurring-regions")
+    discard(anchors)
     first = [F.first(c).alias(c) for c in ("alone", "doc_id", "__tie", "first", "n")]
     examples = stored(found.groupBy("anchor", "region").agg(F.count("*").alias("copies"), *first), "region-examples")
     listed = examples.filter("NOT alone").groupBy("doc_id", "__tie").agg(F.collect_list(F.struct("anchor", "region", "copies", "first", "n")).alias("__regions"))
     windows = stored(_region_windows(_joined(docs, listed, "inner"), width, seed), "region-windows")
     recurring = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("copies")).filter("copies > 1").drop("copies")
-    masks = windows.join(stored(recurring, "recurring-windows"), ["anchor", "window"])
-    masks = masks.groupBy("anchor", "region").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("mask"))
+    recurring = stored(recurring, "recurring-windows")
+    masks = windows.join(recurring, ["anchor", "window"])
+    masks = stored(masks.groupBy("anchor", "region").agg(F.sum(F.expr("shiftleft(1L, place)")).alias("mask")), "region-masks")
+    discard(windows, recurring)
     whole = examples.filter("alone").withColumn("mask", F.expr("shiftleft(1L, n) - 1"))
     partial = examples.filter("NOT alone").join(masks, ["anchor", "region"])
-    examples = stored(whole.unionByName(partial).drop("alone"), "confirmed-examples")
-    return found.drop("alone"), examples
+    kept = stored(whole.unionByName(partial).drop("alone"), "confirmed-examples")
+    discard(examples, masks)
+    return found, kept
 
 
 #: Words of the confirmed passages of one automaton, on average.
@@ -279,7 +283,9 @@ def marks(docs: DataFrame, width: int = 35, gram: int = GRAM, seed: int = 0) ->
     entry = F.struct("shard", "part", "kind", "first", "n", "mask")
     listed = passages.unionByName(mine).groupBy("doc_id", "__tie").agg(F.collect_set(entry).alias("__regions"))
     located = locate(_texts(_joined(docs, listed, "inner"), width), width)
-    return located.groupBy("doc_id", "__tie").agg(F.collect_set(F.struct("first", "mask")).alias("__marks"))
+    found_marks = stored(located.groupBy("doc_id", "__tie").agg(F.collect_set(F.struct("first", "mask")).alias("__marks")), "marks")
+    discard(found, examples)
+    return found_marks
 
 
 def _covered(words: Words, owners: np.ndarray, firsts: np.ndarray, masks: np.ndarray, width: int) -> np.ndarray:
@@ -305,7 +311,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = GRAM, keep: lis
     """
     keyed = docs.withColumn("__tie", F.hash("text"))
     own = keyed.select("doc_id", "__tie", "text")
-    rows = _joined(keyed, stored(marks(own, width, gram, secrets.randbits(64)), "marks"), "left")
+    rows = _joined(keyed, marks(own, width, gram, secrets.randbits(64)), "left")
 
     def work(part: pa.RecordBatch) -> list[pa.Array]:
         words = words_of(texts_of(part.column("text")), BLANKS)
