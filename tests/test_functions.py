@@ -56,6 +56,15 @@ def test_salted_join_equals_plain_join(spark):
         joins.salted(facts, dim, ["k"], "full")
 
 
+def test_copies_of_a_salted_join_are_not_broadcast(spark):
+    """The dim is under the broadcast threshold by its estimate, its copies are not counted in it."""
+    facts, dim = spark.range(5000).withColumn("k", F.col("id") % 50), spark.range(40).withColumnRenamed("id", "k")
+    for how in ("inner", "left"):
+        joined = joins.salted(facts, dim, ["k"], how, buckets=1000)
+        assert joined.count() == facts.join(dim, "k", how).count()
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_not_among_treats_missing_keys_as_equal(spark):
     left = spark.createDataFrame([("a",), (None,), ("b",)], "k string")
     assert rows(joins.not_among(left, spark.createDataFrame([("a",), (None,)], "k string"), "k")) == [("b",)]
