@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, DataType, NullType, StructType, Variant
 from ..functions import scalars as S
 from ..operators import aggregates as G
 from ..operators import joins
+from ..session import scratch_path
 
 NONE = "None"
 
@@ -463,8 +464,9 @@ def mutation_rows(docs: DataFrame) -> DataFrame:
         F.col("d.study_id").alias("study_id"),
         F.col("d.profile_id").alias("profile_id"),
         F.col("d.gene_meta.entrezGeneId").alias("entrez_id"),
-        F.posexplode_outer(items(F.col("d.mutations"))).alias("position", "m"),
-    ).filter(F.col("study_id").isNotNull() & F.col("m").isNotNull())
+        # Without a study nothing is exploded: a filter on the study would move below and parse every document again.
+        F.posexplode_outer(F.when(F.col("d.study_id").isNotNull(), items(F.col("d.mutations")))).alias("position", "m"),
+    ).filter(F.col("m").isNotNull())
     kind = F.coalesce(F.nullif("m.mutationType", F.lit("")), F.nullif("m.mutationStatus", F.lit("")), F.lit("Unknown"))
     return rows.select(
         "gene_symbol", "study_id", "profile_id", "entrez_id", "position", kind.alias("mutation_type"),
@@ -481,8 +483,13 @@ def study_records(
     changes and mutation rows of a study, or the first ones if numbers are given;
     then they are cut before they are gathered, so a study holding most mutations
     never meets in one task. The summary names the first ``changes_shown``.
+    The mutations are stored in the scratch folder first: types, samples and lists
+    each read them, and documents are parsed once.
     """
     keys = ["gene_symbol", "study_id"]
+    stored = scratch_path(rows.sparkSession, "mutations")
+    rows.write.parquet(stored)
+    rows = rows.sparkSession.read.parquet(stored)
     # One shuffle of the mutations serves the type counts and the sample counts.
     per_sample = rows.groupBy(*keys, "mutation_type", "sample_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("position").alias("p"), F.min("profile_id").alias("profile_id"),
@@ -514,7 +521,7 @@ def study_records(
         return F.col(rows) if n is None else F.slice(rows, 1, n)
 
     def listed(kind: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))
+        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry)))
 
     lists = first.groupBy(*keys).agg(listed("row").alias("rows"), listed("change").alias("changes")).select(
         *keys,

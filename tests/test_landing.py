@@ -97,6 +97,18 @@ def test_study_summary(spark):
     assert [m["sample_id"] for m in payload["mutations_sample"]] == ["a", "a"]
 
 
+def test_mutation_documents_are_parsed_once(spark):
+    """Whatever reads the mutations afterwards; those without a study are left out."""
+    bodies = [{"gene_symbol": "APP", "study_id": s, "mutations": [{"sampleId": "a", "proteinChange": "R1H"}, None]} for s in ("s1", None)]
+    found = normalize.mutation_rows(docs(spark, *bodies))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") == 1
+    assert [(r["study_id"], r["position"], r["protein_change"]) for r in found.collect()] == [("s1", 0, "R1H")]
+    records = normalize.study_records(found)
+    assert "posexplode" not in records._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["title"] for r in records.collect()] == ["APP somatic mutations in s1 — 1 events, 1 samples"]
+
+
 def test_test_records_accept_lists_and_text(spark):
     listed = {"uid": "1", "_query_gene": "APP", "testname": "T", "conditionlist": [{"name": "A"}, {"name": "B"}], "method": [{"name": "Seq"}]}
     plain = {"uid": "2", "_query_gene": "APP", "testname": "T", "conditionname": "Plain", "method": "Sequencing"}
