@@ -60,6 +60,16 @@ def z_order(df: DataFrame, columns: Sequence[str], bits: int = 5) -> Column:
     return interleaved([cell_of(F.col(c), cell_limits(df, c, 1 << bits)) for c in columns], bits)
 
 
+def zordered(df: DataFrame, *columns: str, files: int | None = None, bits: int = 5) -> DataFrame:
+    """The rows in the partitions and the order that ``write_zordered`` writes."""
+    # A column of its own: as an expression it would be worked out again in every comparison of the sort.
+    place = "_place" + "_" * max(map(len, df.columns))
+    placed = df.withColumn(place, z_order(df, columns, bits))
+    order = [F.col(place), F.xxhash64(*[sortable(f) for f in df.schema.fields])]
+    ranged = placed.repartitionByRange(files, *order) if files else placed.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(place, *columns).drop(place)
+
+
 def write_zordered(df: DataFrame, path: str, *columns: str, files: int | None = None, bits: int = 5) -> None:
     """Files that each hold a small box of the columns, so that a filter on any of them skips most files.
 
@@ -67,10 +77,7 @@ def write_zordered(df: DataFrame, path: str, *columns: str, files: int | None =
     several files. Numbers, dates and strings have their own order; null lies in the lowest cell. ``files`` is the number
     of files, the number of shuffle partitions if None.
     """
-    place = z_order(df, columns, bits)
-    order = [place, F.xxhash64(*[sortable(f) for f in df.schema.fields])]
-    ranged = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
-    ranged.sortWithinPartitions(place, *columns).write.mode("overwrite").parquet(path)
+    zordered(df, *columns, files=files, bits=bits).write.mode("overwrite").parquet(path)
 
 
 def file_ranges(df: DataFrame, *columns: str) -> DataFrame:

@@ -185,9 +185,11 @@ def merge_into(batch: DataFrame, name: str, keys: Sequence[str]) -> None:
 def write_bucketed(df: DataFrame, name: str, *keys: str, buckets: int = 64) -> None:
     """A catalog table bucketed and sorted by the keys: joins of such tables on them need no shuffle.
 
-    Rows are dealt out by the same hash as the buckets, so each bucket is written by one task, as one sorted file.
+    Rows are dealt out by the same hash as the buckets. A bucket is written by one task, as one sorted file, until its
+    measured size asks for several: a file and a sort stay bounded, however large a bucket is.
     """
-    df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    dealt = df.hint("rebalance", buckets, *[F.col(k) for k in keys])
+    dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
 
 
 def create_table_sql(source: Source, database: str, location: str | None = None) -> str:

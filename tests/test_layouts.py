@@ -51,6 +51,15 @@ def test_frequent_value_goes_to_several_files(spark, tmp_path):
     assert sum(sizes) == 30_000 and max(sizes) < 8_000
 
 
+def test_places_on_the_curve_are_worked_out_once_per_row(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("b", 2, None), (None, 3, 6), ("a", 1, 5)], "_place string, _place_ long, x long")
+    found = layout.zordered(df, "_place", "x", files=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    sort = next(line for line in plan.splitlines() if "Sort [" in line)
+    assert "shiftleft" in plan and "shiftleft" not in sort
+    assert found.columns == df.columns and rows(found) == rows(df)
+
+
 def test_cells_hold_equal_counts(spark):
     df = spark.range(10_000).select((F.col("id") * F.col("id")).alias("x")).unionByName(spark.createDataFrame([(None,)] * 5, "x long"))
     limits = layout.cell_limits(df, "x", 8)
@@ -161,6 +170,24 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark):
+    a = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 4 != 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("gene"), "id")
+    b = a.select("gene").distinct()
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "64KB")
+    try:
+        tables.write_bucketed(a, "bucketed_hot", "gene", buckets=4)
+        tables.write_bucketed(b, "bucketed_dim", "gene", buckets=4)
+        sizes = [r["n"] for r in spark.table("bucketed_hot").groupBy("_metadata.file_path").agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 15_000
+        joined = spark.table("bucketed_hot").join(spark.table("bucketed_dim").hint("merge"), "gene")
+        assert "Exchange" not in plan_of(joined) and rows(joined) == rows(a)
+    finally:
+        spark.conf.unset(size)
+        for name in ("bucketed_hot", "bucketed_dim"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_panel_reads_its_partitions_only(spark, tmp_path):
     path = str(tmp_path / "effects")
     tables.write_partitioned(views.load(spark, SF_DIR, "v_diff_expr"), path, "gene_target")
