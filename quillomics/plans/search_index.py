@@ -30,10 +30,12 @@ def grams_of(text: str) -> list[str]:
 
 
 def _trigrams(text: Column) -> Column:
-    """Trigrams of a text in lower case; none for texts under three characters, and for null."""
-    low = F.lower(text)
-    starts = F.when(F.length(low) >= GRAM, F.sequence(F.lit(1), F.length(low) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.transform(starts, lambda i: F.substring(low, i, F.lit(GRAM))), F.array().cast("array<string>"))
+    """Trigrams of a text in lower case; none for texts under three characters, and for null.
+
+    One pass: three characters are looked at, one is taken. Characters are code points, as in ``grams_of``.
+    """
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def bucket_of(gram: Column, buckets: int = BUCKETS) -> Column:

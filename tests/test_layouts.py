@@ -101,6 +101,13 @@ def test_index_finds_what_a_scan_finds(spark, tmp_path, text):
     assert rows(found.drop("payload")) == rows(Q.search_sources(records, keys, text, None).drop("payload"))
 
 
+def test_trigrams_are_those_of_the_text_in_one_pass(spark):
+    texts = ["", "ab", "abc", "Disease 23", "a\nb\r\nc d", "x\U0001F9ECy\U0001F9EC\U0001F9ECz", "ÄÖÜß€", "aaaaa"]
+    df = spark.createDataFrame([(x,) for x in [*texts, None]], "t string").select("t", search_index._trigrams(F.col("t")).alias("g"))
+    assert {r["t"]: sorted(set(r["g"])) for r in df.collect()} == {x: search_index.grams_of(x) for x in texts} | {None: []}
+    assert "substring" not in plan_of(df)
+
+
 def test_index_reads_the_asked_partitions_only(spark, tmp_path):
     records = views.load(spark, SF_DIR, "v_sources")
     search_index.build(records, str(tmp_path / "i"))
