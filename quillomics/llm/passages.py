@@ -282,9 +282,12 @@ def marks(docs: DataFrame, width: int = 35, gram: int = GRAM, seed: int = 0) ->
     # Rows of one document and text that is repeated have the same regions.
     entry = F.struct("shard", "part", "kind", "first", "n", "mask")
     listed = passages.unionByName(mine).groupBy("doc_id", "__tie").agg(F.collect_set(entry).alias("__regions"))
+    # Stored before the texts move: what the lists were made from need not lie beside the shuffled texts.
+    listed = stored(listed, "listed-regions")
+    discard(found, examples)
     located = locate(_texts(_joined(docs, listed, "inner"), width), width)
     found_marks = stored(located.groupBy("doc_id", "__tie").agg(F.collect_set(F.struct("first", "mask")).alias("__marks")), "marks")
-    discard(found, examples)
+    discard(listed)
     return found_marks
 
 

@@ -538,3 +538,28 @@ def test_names_used_inside_come_back(spark, sf_dir):
         language.identify(docs, language.learn(docs)),
     ):
         assert all(set(r) == {"clash"} for r in out.select(*internal).collect())
+
+
+def test_regions_are_removed_before_the_texts_move(spark, monkeypatch):
+    """When the marks are written only the documents' lists of regions lie beside the shuffled texts."""
+    kept, beside = {}, {}
+    store, drop = passages.stored, passages.discard
+
+    def stored(df, label):
+        if label == "marks":
+            beside[label] = sorted(kept.values())
+        table = store(df, label)
+        kept[id(table)] = label
+        return table
+
+    def discard(*tables):
+        drop(*tables)
+        for table in tables:
+            del kept[id(table)]
+
+    monkeypatch.setattr(passages, "stored", stored)
+    monkeypatch.setattr(passages, "discard", discard)
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, f"c d {passage}"), (3, "none")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in passages.remove_repeats(docs).collect()} == {1: 40, 2: 40, 3: 0}
+    assert beside == {"marks": ["listed-regions"]} and sorted(kept.values()) == ["marks"]
