@@ -326,6 +326,35 @@ def test_encoder_forgets_rightly(spark, sf_dir, monkeypatch):
     assert len(encoder.known) <= 200
 
 
+def test_words_between_marks_and_lines_are_encoded_alone(monkeypatch):
+    encoder = tokens.Encoder(catalog.tokenizer_file())
+    asked = {"words": [], "whole": []}
+    for name, kind in (("_ids_of_words", "words"), ("_ids", "whole")):
+        inner = getattr(encoder, name)
+        monkeypatch.setattr(encoder, name, lambda pieces, inner=inner, kind=kind: asked[kind].extend(pieces) or inner(pieces))
+    texts = ["(Qzu,vrek.\nThex7 \u00e9t\u00e9!!\n\n\nNo", "vrek 7 Qzu", None, "\n\nNo it's.\n\u00d7"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert got == plain_ids(texts)
+    assert {b"Qzu", b"vrek", b"Thex", " \u00e9t\u00e9".encode()} <= set(asked["words"])
+    assert not any(w in x for x in asked["whole"] for w in (b"Qzu", b"vrek", b"The"))
+    before = len(asked["words"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == got and len(asked["words"]) == before
+
+
+def test_added_tokens_keep_their_marks():
+    texts = ["a<|endoftext|>b's.", "x <|endoftext|>\nThe", "The a.\nb"]
+    encoder = tokens.Encoder(catalog.tokenizer_file())
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == plain_ids(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in encoder.encode([t])] == plain_ids(texts)
+
+
+def test_pieces_of_one_hash(monkeypatch):
+    monkeypatch.setattr(tokens.Words, "hashes", lambda self, seed=0: (self.end - self.start).astype(np.uint64))
+    encoder = tokens.Encoder(catalog.tokenizer_file())
+    for texts in (["one", "of"], ["two", "of", "is"], ["six", "of"], ["to"], ["one"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == plain_ids(texts)
+
+
 def test_records_query(spark, sf_dir):
     docs = sorted((r.doc_id, r.text) for r in documents(spark, sf_dir).select("doc_id", "text").collect())
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in catalog.QUERIES["op7_token_records"](spark, sf_dir).collect()}
