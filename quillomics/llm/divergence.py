@@ -58,30 +58,23 @@ def repeated_words(words: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    def joined(a: Column, b: Column, by: int) -> Column:
-        """Hashes of the runs that begin where those of ``a`` do and end where those of ``b``, ``by`` places on, do."""
-        n = F.size(b) - by
-        return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1 + by), n), lambda x, y: F.xxhash64(x, y))
-
-    def distinct(h: Column) -> Column:
-        return F.size(F.array_distinct(h)) == F.size(h)
-
-    # Each list is bound once, as the one element of an array, so that it is not computed per use. Five words are looked
-    # at only where four recur.
+    # Each list is bound once, as the one element of an array, so that it is not computed per use.
     def found(h: Column) -> Column:
-        fours = F.transform(F.array(joined(h, h, 1)), lambda two: joined(two, two, 2))
-        return F.transform(fours, lambda four: F.when(distinct(four), F.lit(0)).otherwise(
-            F.transform(F.array(joined(four, h, 4)), lambda five: F.when(distinct(five), F.lit(0)).otherwise(covered(five)))[0],
-        ))[0]
+        n = F.size(h) - 4
+        windows = F.arrays_zip(*[F.slice(h, F.lit(k + 1), n).alias(f"w{k}") for k in range(5)])
+        five = F.transform(F.array(F.transform(windows, lambda w: F.xxhash64(w))), lambda five: F.when(
+            F.size(F.array_distinct(five)) == F.size(five), F.lit(0),
+        ).otherwise(covered(five)))
+        return five[0]
 
     found = F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), found)[0]
     return F.when(F.size(words) < 6, F.lit(0)).otherwise(found).cast("long")
 
 
 def base_features(docs: DataFrame) -> DataFrame:
-    """doc_id, __lang, __words, __class (counts) and the base counts of every whole text; null counts as empty."""
+    """doc_id, __lang, __has_text, __words, __class (counts) and the base counts of every whole text; null counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", _key(F.col("lang")).alias("__lang"), text.alias("__text"))
+    rows = docs.select("doc_id", _key(F.col("lang")).alias("__lang"), text.alias("__text"), F.col("text").isNotNull().alias("__has_text"))
     rest, columns = "__text", []
     for i, pattern in enumerate(CLASSES):
         rows = rows.withColumn(f"__rest{i}", F.regexp_replace(rest, pattern, ""))
@@ -91,7 +84,7 @@ def base_features(docs: DataFrame) -> DataFrame:
     symbols = F.length(F.regexp_replace(rest, f"[^{SYMBOLS}]+", ""))
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(
-        "doc_id", "__lang", words_of(F.col("__text")).alias("__words"),
+        "doc_id", "__lang", "__has_text", words_of(F.col("__text")).alias("__words"),
         F.array(*[c.cast("double") for c in columns]).alias("__class"),
         (F.length("__text") - columns[1]).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
@@ -103,37 +96,27 @@ def _key(lang: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), lang), F.lit(ALL))
 
 
-def references(docs: DataFrame, common_words: int = 24) -> DataFrame:
-    """Per language, and over all documents (key ``*``): class shares, the ``common_words`` most frequent words and their
-    shares.
+def _with_all(sums: DataFrame, *keys: str) -> DataFrame:
+    """The rows by language, and their sums over all languages."""
+    totals = [F.sum(c).alias(c) for c in sums.columns if c not in ("__lang", *keys)]
+    every = sums.groupBy(F.lit(ALL).alias("__lang"), *keys).agg(*totals)
+    return sums.filter(F.col("__lang") != ALL).unionByName(every)
+
+
+def word_references(docs: DataFrame, common_words: int = 24) -> DataFrame:
+    """Per language, and over all documents (key ``*``): the ``common_words`` most frequent words and their shares.
 
     Words are lower-cased and split at blanks; the last share is that of all other words. Ties in frequency follow the
     word. Documents without language count in the reference over all. Counts are combined before they are shuffled.
     """
     rows = docs.filter("text IS NOT NULL").select(_key(F.col("lang")).alias("__lang"), F.col("text").alias("__text"))
-
-    def with_all(sums: DataFrame, *keys: str) -> DataFrame:
-        """The rows by language, and their sums over all languages."""
-        totals = [F.sum(c).alias(c) for c in sums.columns if c not in ("__lang", *keys)]
-        every = sums.groupBy(F.lit(ALL).alias("__lang"), *keys).agg(*totals)
-        return sums.filter(F.col("__lang") != ALL).unionByName(every)
-
-    rest, columns = "__text", []
-    classes = rows
-    for i, pattern in enumerate(CLASSES):
-        classes = classes.withColumn(f"__rest{i}", F.regexp_replace(rest, pattern, ""))
-        columns.append(F.length(rest) - F.length(f"__rest{i}"))
-        rest = f"__rest{i}"
-    columns.append(F.length(rest))
-    sums = with_all(classes.groupBy("__lang").agg(*[F.sum(c.cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]))
-    sums = sums.select("__lang", F.array(*[f"c{i}" for i in range(len(columns))]).alias("c"))
     # The outer form, as the plain one would split each text a second time to see whether it has words.
     words = rows.select("__lang", F.explode_outer(words_of(F.lower("__text"))).alias("word")).filter("word IS NOT NULL")
-    counts = stored(words.groupBy("__lang", "word").count(), "word-counts")
-    counts = with_all(counts, "word")
-    totals = counts.groupBy("__lang").agg(F.sum("count").alias("total"))
+    found = stored(words.groupBy("__lang", "word").count(), "word-counts")
+    totals = _with_all(found.groupBy("__lang").agg(F.sum("count").alias("total")))
     # The leading words of each language are kept per task first (max_by-like heap), so no language meets in one task whole.
-    top = counts.withColumn("__part", F.pmod(F.xxhash64("word"), F.lit(64)))
+    top = _with_all(found, "word")
+    top = top.withColumn("__part", F.pmod(F.xxhash64("word"), F.lit(64)))
     for keys in (["__lang", "__part"], ["__lang"]):
         top = top.withColumn("__rank", F.expr(
             f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY count DESC, word)",
@@ -143,10 +126,15 @@ def references(docs: DataFrame, common_words: int = 24) -> DataFrame:
         F.transform("top", lambda t: t["count"] / F.col("total")),
         F.array(1.0 - F.aggregate("top", F.lit(0.0), lambda s, t: s + t["count"] / F.col("total"))),
     )
-    words = top.join(totals, "__lang").select("__lang", F.transform("top", lambda t: t["word"]).alias("ref_words"), shares.alias("ref_shares"))
-    return sums.join(words, "__lang", "left").select(
-        "__lang", F.transform("c", lambda x: x / F.aggregate("c", F.lit(0.0), lambda s, y: s + y)).alias("ref_class"), "ref_words", "ref_shares",
-    )
+    return top.join(totals, "__lang").select("__lang", F.transform("top", lambda t: t["word"]).alias("ref_words"), shares.alias("ref_shares"))
+
+
+def class_references(rows: DataFrame) -> DataFrame:
+    """Per language of rows (__lang, __class), and over all (key ``*``): shares of the character classes."""
+    each = [F.sum(F.get("__class", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
+    sums = _with_all(rows.groupBy("__lang").agg(*each))
+    c = F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)])
+    return sums.select("__lang", F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda s, y: s + y)).alias("ref_class"))
 
 
 def judge(
@@ -162,15 +150,26 @@ def judge(
     Repeated rows are judged one by one; columns other than doc_id, text and lang are not read. An empty table gives
     no rows.
     """
-    refs = stored(references(docs, common_words), "language-references")
-    rows = base_features(docs).join(refs, "__lang", "left")
-    rows = rows.withColumn("__line", F.concat(F.lit(" "), F.lower(F.array_join("__words", "  ")), F.lit(" ")))
-    found = F.transform("ref_words", lambda w: (
-        F.octet_length("__line") - F.octet_length(F.replace(F.col("__line"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))
-    ) / (F.octet_length(w) + 2))
-    rows = rows.withColumn("__found", found)
+    words = stored(word_references(docs, common_words), "word-references")
+    rows = base_features(docs).join(words, "__lang", "left")
+
+    # Each list and line is bound once, as the one element of an array, so that it is not computed per use.
+    def line(longest: Column) -> Column:
+        """The words, lower-cased, without those longer than any reference word: lower case is never shorter."""
+        return F.concat(F.lit(" "), F.lower(F.array_join(F.filter("__words", lambda w: F.length(w) <= longest), "  ")), F.lit(" "))
+
+    def counted(line: Column) -> Column:
+        left = lambda w: F.octet_length(F.replace(line, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))
+        return F.transform("ref_words", lambda w: (F.octet_length(line) - left(w)) / (F.octet_length(w) + 2))
+
+    longest = F.array_max(F.transform("ref_words", lambda w: F.length(w)))
+    found = F.transform(F.array(longest), lambda m: F.transform(F.array(line(m)), counted)[0])[0]
+    # Each text is worked on once: what is compared with the classes of all is stored, without the text.
+    rows = stored(rows.withColumn("__found", found).drop("__words", "ref_words"), "base-features")
+    refs = stored(class_references(rows.filter("__has_text")), "class-references")
+    rows = rows.join(refs, "__lang", "left")
     rest = F.col("n_words") - F.aggregate("__found", F.lit(0.0), lambda s, x: s + x)
-    enough = (F.col("n_words") > 0) & F.col("ref_words").isNotNull()
+    enough = (F.col("n_words") > 0) & F.col("ref_shares").isNotNull()
     rows = rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.aggregate("__class", F.lit(0.0), lambda s, x: s + x).alias("__chars"),

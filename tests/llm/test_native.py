@@ -96,6 +96,23 @@ def test_divergence_verdicts(spark):
     assert 0 <= min(r.word_distance for r in got.values()) and max(r.word_distance for r in got.values()) <= 1
 
 
+def test_divergence_reads_texts_twice(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, f"The STONE of the{i} river%% 7", "en") for i in range(30)], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    plans, store = [], divergence.stored
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, label)
+
+    monkeypatch.setattr(divergence, "stored", seen)
+    found = divergence.judge(spark.read.parquet(str(tmp_path / "documents")))
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert found.count() == 30
+    # Once for the words of the languages, once for everything else.
+    assert sum(len(re.findall(r"Relation \[[^]]*\btext#", p)) for p in plans) == 2
+
+
 def test_divergence_edges(spark):
     got = divergence.judge(fixture.documents(spark, ["kept", "n_words", "count"])).collect()
     assert len(got) == len(fixture.TEXTS)
