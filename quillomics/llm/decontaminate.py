@@ -198,5 +198,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, shingl
     # The scan passes its doc_id on; here that is the id together with the text's hash.
     marked = keyed.select(F.struct("doc_id", "__tie").alias("doc_id"), "text")
     _, rows, joined = _occurrences(marked, items, width, shingle)
-    hit = rows.join(joined.select("__row").distinct(), "__row", "left_semi").select(F.col("doc_id.doc_id").alias("__doc"), F.col("doc_id.__tie").alias("__own")).distinct()
+    hit = rows.join(joined.select("__row").distinct(), "__row", "left_semi").select(F.col("doc_id.doc_id").alias("__doc"), F.col("doc_id.__tie").alias("__own"))
+    # Stored first, so that its size is known where it is joined: as long as it is small, no text is shuffled.
+    hit = stored(hit.distinct(), "hit-documents")
     return keyed.join(hit, F.expr("doc_id <=> __doc AND __tie <=> __own"), "left_anti").select(*[f"`{c}`" for c in docs.columns])

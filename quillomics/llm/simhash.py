@@ -377,7 +377,9 @@ def distinct_documents(
     one = F.min(F.struct("doc_id", "__tie")).alias("one")
     nodes = stored(slim.groupBy("node").agg(F.first("size").alias("size"), F.first("prints").alias("prints"), F.first("bands").alias("bands"), one), "distinct-fingerprints")
     near = components(_links_by(nodes.select("node", F.explode("bands").alias("key")), nodes, radius))
+    # Stored first, so that its size is known where it is joined: as long as it is small, no text is shuffled.
     members = nodes.join(near, "node").select(F.col("one.doc_id").alias("__doc"), F.col("one.__tie").alias("__own"), "root", "node", "size", "prints")
+    members = stored(members, "candidate-members")
     texts = keyed.select("doc_id", "__tie", "text").join(members, F.expr("doc_id <=> __doc AND __tie <=> __own"))
     members = stored(shingle_sets(texts, shingle, ["root", "node", "size", "prints"]), "shingle-sets")
     roots = components(similar(members, radius, similarity))

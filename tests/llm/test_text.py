@@ -294,6 +294,15 @@ def test_contamination_edges(spark):
     assert decontaminate.contamination(fixture.empty(spark), bench).count() == 0
 
 
+def test_texts_stay_where_they_are_if_few_are_hit(spark):
+    docs = spark.createDataFrame([(i, f"w{i} alpha beta gamma delta w{i}" if i % 9 == 0 else f"plain text {i}") for i in range(50)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "alpha beta gamma delta")], "item_id string, text string")
+    kept = decontaminate.drop_contaminated(docs, items)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(50) if i % 9}
+
+
 # --- tokens
 
 def plain_ids(texts):
