@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, NullType, StructType, VariantType
 
+from ..functions import payload as V
 from ..functions import scalars as S
 from ..operators import aggregates as G
 from ..operators import joins
@@ -108,8 +109,13 @@ def record(record_id, title=None, summary=None, payload=None, disease=None, drug
     }
 
 
-def emit(docs: DataFrame, source_key: str, *kinds: dict[str, Column], kind: Column | None = None) -> DataFrame:
-    """Common columns from rows that each hold one record; ``kind`` numbers the kind of a row."""
+def emit(
+    docs: DataFrame, source_key: str, *kinds: dict[str, Column], kind: Column | None = None, payload: Column | None = None
+) -> DataFrame:
+    """Common columns from rows that each hold one record; ``kind`` numbers the kind of a row.
+
+    ``payload`` is a VARIANT that stands for the payloads of the kinds.
+    """
 
     def part(name: str) -> Column:
         out = kinds[0][name]
@@ -120,7 +126,7 @@ def emit(docs: DataFrame, source_key: str, *kinds: dict[str, Column], kind: Colu
     names = ("gene_symbol", "disease", "drug", "title", "summary")
     return docs.select(
         part("record_id"), F.lit(source_key).alias("source_key"), *[part(n) for n in names],
-        F.parse_json(part("payload")).alias("payload"),
+        (F.parse_json(part("payload")) if payload is None else payload).alias("payload"),
     )
 
 
@@ -474,22 +480,73 @@ def mutation_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+# What a study's document consists of, in this order: the head, its changes, the next list's head, its mutations, the end.
+HEAD, CHANGE, NEXT, ROW, END = range(5)
+ENTRY = ["position", "mutation_type", "sample_id", "protein_change"]
+STUDY_DOCUMENT = "record_id string, gene_symbol string, title string, summary string, payload variant, alone bigint"
+
+
+def study_documents(
+    mutations: DataFrame, studies: DataFrame, keys: list[str], changes_kept: int | None, sample_rows: int | None
+) -> DataFrame:
+    """The JSON documents of studies, written from sorted pieces and read as rows whose payload is a VARIANT.
+
+    ``mutations`` say in ``kinds`` which lists they belong to; ``studies`` have the opened document in ``head``, their
+    own ``number``, and one above 0 in ``alone`` if they get a file of their own. No task gathers a list: pieces are
+    sorted, which may spill, and written one after the other. A file of one study is parsed while it is read, so its
+    text is never held as a whole; the other documents are lines.
+    """
+    spark = mutations.sparkSession
+    heads = studies.withColumn("kinds", F.array(F.lit(HEAD), F.lit(NEXT), F.lit(END)))
+    pieces = mutations.join(studies.drop("head"), keys).unionByName(heads, allowMissingColumns=True).drop(*keys)
+    # One task writes a study. Equal mutations are told apart, so that the order is the same whoever sorts.
+    pieces = pieces.repartition("number").withColumn("kind", F.explode("kinds")).withColumn("tie", F.monotonically_increasing_id())
+    group, order = ["alone", "number", "kind"], [*ENTRY, "tie"]
+    pieces = pieces.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    for kind, n in ((CHANGE, changes_kept), (ROW, sample_rows)):
+        if n is not None:
+            pieces = pieces.filter((F.col("kind") != kind) | (F.col("rank") <= n))
+    comma = F.when(F.col("rank") > 1, ",").otherwise("")
+    change = F.to_json(F.array("protein_change"))
+    piece = (
+        F.when(F.col("kind") == CHANGE, F.concat(comma, change.substr(F.lit(2), F.length(change) - 2)))
+        .when(F.col("kind") == ROW, F.concat(comma, F.to_json(F.struct(*ENTRY))))
+        .when(F.col("kind") == HEAD, F.concat("head", F.lit(',"top_protein_changes":[')))
+        .when(F.col("kind") == NEXT, F.lit('],"mutations_sample":['))
+        .otherwise(F.lit("]}}\n"))
+    )
+    stored = scratch_path(spark, "studies")
+    # The window's own order: nothing is sorted again, and the writer keeps it.
+    pieces.sortWithinPartitions(*group, *order).select(piece.alias("value"), "alone").write.partitionBy("alone").text(
+        stored, compression="gzip", lineSep=" "
+    )
+
+    def read(whole_files: bool) -> DataFrame:
+        # A payload above the greatest size of a VARIANT is an error, not a missing one.
+        return spark.read.json(stored, STUDY_DOCUMENT, multiLine=whole_files, mode="FAILFAST")
+
+    return read(False).filter("alone = 0").unionAll(read(True).filter("alone > 0"))
+
+
 def study_records(
-    rows: DataFrame, changes_shown: int = 10, changes_kept: int | None = None, sample_rows: int | None = None
+    rows: DataFrame, changes_shown: int = 10, changes_kept: int | None = None, sample_rows: int | None = None,
+    alone_from: int = 100_000,
 ) -> DataFrame:
     """One summary per gene and study.
 
     Counts come from pre-aggregated types and samples. The payload lists all
     changes and mutation rows of a study, or the first ones if numbers are given;
-    then they are cut before they are gathered, so a study holding most mutations
+    then they are cut before they are listed, so a study holding most mutations
     never meets in one task. The summary names the first ``changes_shown``.
     The mutations are stored in the scratch folder first: types, samples and lists
-    each read them, and documents are parsed once.
+    each read them, and documents are parsed once. So are the payloads, those of studies
+    of ``alone_from`` mutations or more in files of their own (see ``study_documents``).
     """
     keys = ["gene_symbol", "study_id"]
-    stored = scratch_path(rows.sparkSession, "mutations")
+    spark = rows.sparkSession
+    stored = scratch_path(spark, "mutations")
     rows.write.parquet(stored)
-    rows = rows.sparkSession.read.parquet(stored)
+    rows = spark.read.parquet(stored)
     # One shuffle of the mutations serves the type counts and the sample counts.
     per_sample = rows.groupBy(*keys, "mutation_type", "sample_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("position").alias("p"), F.min("profile_id").alias("profile_id"),
@@ -509,38 +566,36 @@ def study_records(
         )
     )
     samples = per_sample.groupBy(*keys).agg(F.countDistinct("sample_id").alias("n_samples_affected"))
-    # Both lists come from one ranking: each mutation competes as a row and, if it names one, as a change.
-    kinds = F.array_compact(F.array(F.lit("row"), F.when(F.col("protein_change").isNotNull(), "change")))
-    entry = F.struct("position", "mutation_type", "sample_id", "protein_change")
-    first = G.keep_first_n(
-        rows.select(*keys, "position", "mutation_type", "sample_id", "protein_change", F.explode(kinds).alias("kind")),
-        [*keys, "kind"], None if None in (changes_kept, sample_rows) else max(changes_kept, sample_rows), F.col("position").asc(),
-    )
-
-    def first_of(rows: str, n: int | None) -> Column:
-        return F.col(rows) if n is None else F.slice(rows, 1, n)
-
-    def listed(kind: str) -> Column:
-        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry)))
-
-    lists = first.groupBy(*keys).agg(listed("row").alias("rows"), listed("change").alias("changes")).select(
-        *keys,
-        first_of("rows", sample_rows).alias("mutations_sample"),
-        F.transform(first_of("changes", changes_kept), lambda x: x["protein_change"]).alias("changes"),
-    )
-    studies = types.join(samples, keys).join(lists, keys)
     gene, study = F.col("gene_symbol"), F.col("study_id")
     entry = record(
         text("cbio_", gene, "_", study),
         text(gene, " somatic mutations in ", study, " — ", F.col("n_mutations"), " events, ", F.col("n_samples_affected"), " samples"),
         text("Gene: ", gene, " | Study: ", study, " | Mutations: ", F.col("n_mutations"), " | Samples: ", F.col("n_samples_affected"),
-             " | Dominant type: ", F.col("dominant"), " | Types: ", F.to_json("mutation_types"),
-             " | Top protein changes: ", joined(F.slice("changes", 1, changes_shown))),
-        F.struct("gene_symbol", "entrez_id", "study_id", "molecular_profile_id", "n_mutations", "n_samples_affected",
-                 "mutation_types", F.col("changes").alias("top_protein_changes"), "mutations_sample"),
+             " | Dominant type: ", F.col("dominant"), " | Types: ", F.to_json("mutation_types"), " | Top protein changes: "),
         gene=gene,
     )
-    return emit(studies, "cbioportal", entry)
+    payload = F.struct("gene_symbol", "entrez_id", "study_id", "molecular_profile_id", "n_mutations", "n_samples_affected", "mutation_types")
+    shown_first = [entry[name].alias(name) for name in ("record_id", "gene_symbol", "title", "summary")]
+    document = F.to_json(F.struct(*shown_first, payload.alias("payload")))
+    stored = scratch_path(spark, "heads")
+    types.join(samples, keys).select(
+        *keys,
+        document.substr(F.lit(1), F.length(document) - 2).alias("head"),
+        F.monotonically_increasing_id().alias("number"), (F.col("n_mutations") >= alone_from).alias("large"),
+    ).select(
+        *keys, "head", "number", F.when(F.col("large"), F.col("number") + 1).otherwise(0).alias("alone")
+    ).write.parquet(stored)
+    # Both lists come from one ranking: each mutation competes as a row and, if it names one, as a change. Uncut, it travels once.
+    kinds = F.array_compact(F.array(F.when(F.col("protein_change").isNotNull(), CHANGE), F.lit(ROW)))
+    cut = None if None in (changes_kept, sample_rows) else max(changes_kept, sample_rows)
+    shares = F.array(kinds) if cut is None else F.transform(kinds, lambda kind: F.array(kind))
+    first = G.keep_first_n(
+        rows.select(*keys, *ENTRY, F.explode(shares).alias("kinds")), [*keys, "kinds"], cut, F.col("position").asc(),
+    )
+    documents = study_documents(first, spark.read.parquet(stored), keys, changes_kept, sample_rows)
+    changes = F.array(*[V.field(f"top_protein_changes[{i}]") for i in range(changes_shown)])
+    entry = record(F.col("record_id"), F.col("title"), text(F.col("summary"), joined(changes)), gene=F.col("gene_symbol"))
+    return emit(documents, "cbioportal", entry, payload=F.col("payload"))
 
 
 def rollup_records(rolled: DataFrame) -> DataFrame:

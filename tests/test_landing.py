@@ -109,6 +109,31 @@ def test_mutation_documents_are_parsed_once(spark):
     assert [r["title"] for r in records.collect()] == ["APP somatic mutations in s1 — 1 events, 1 samples"]
 
 
+def test_large_studies_are_not_gathered(spark):
+    """Their lists are written piece by piece, and are the same as those of a study among others."""
+    large = [{"mutationType": "Missense", "sampleId": f"s{i % 3}", "proteinChange": f'R{i % 5}"H' if i % 4 else None} for i in range(40)]
+    bodies = [{"gene_symbol": "APP", "study_id": s, "mutations": m} for s, m in (("big", large), ("big", large[:7]), ("one", [{"sampleId": ""}]), ("none", []))]
+    found = normalize.mutation_rows(docs(spark, *bodies))
+    records = normalize.study_records(found)
+    assert "collect_list" not in records._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["record_id"]: json.loads(r["p"]) for r in records.select("record_id", F.to_json("payload").alias("p")).collect()}
+    assert set(got) == {"cbio_APP_big", "cbio_APP_one"}
+    assert got["cbio_APP_one"]["mutations_sample"] == [{"position": 0, "mutation_type": "Unknown"}] and got["cbio_APP_one"]["top_protein_changes"] == []
+    expected = sorted([*enumerate(large), *enumerate(large[:7])], key=lambda x: x[0])
+    assert [(m["position"], m["sample_id"], m.get("protein_change")) for m in got["cbio_APP_big"]["mutations_sample"]] == [
+        (i, m["sampleId"], m["proteinChange"]) for i, m in expected]
+    assert got["cbio_APP_big"]["top_protein_changes"] == [m["proteinChange"] for _, m in expected if m["proteinChange"]]
+
+    def rows_of(df):
+        return sorted(map(str, df.withColumn("payload", F.to_json("payload")).collect()))
+
+    for kept in ({}, {"changes_kept": 3, "sample_rows": 2}):
+        alone = normalize.study_records(found, alone_from=40, **kept)
+        assert rows_of(alone) == rows_of(normalize.study_records(found, **kept))
+        folders = [f.split("alone=")[1].split("/")[0] for f in alone.inputFiles()]
+        assert sum(f != "0" for f in folders) == 1 and "0" in folders
+
+
 def test_test_records_accept_lists_and_text(spark):
     listed = {"uid": "1", "_query_gene": "APP", "testname": "T", "conditionlist": [{"name": "A"}, {"name": "B"}], "method": [{"name": "Seq"}]}
     plain = {"uid": "2", "_query_gene": "APP", "testname": "T", "conditionname": "Plain", "method": "Sequencing"}
